@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
@@ -48,7 +49,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
         if batch.num_rows == 0:
             continue
         col = batch.column(text)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
@@ -67,7 +68,7 @@ def utf8_buffer(column: pa.Array):
     """(bytes, offsets) of a string column without copying its data; null counts as empty."""
     import numpy as np
 
-    column = pa.compute.fill_null(column, "")
+    column = pc.fill_null(column, "")
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         kind = np.int64
     else:
