@@ -192,31 +192,35 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class PieceCache(dict):
-    """piece -> its number; numbers address arrays of ids.  Emptied when it holds ``limit`` pieces."""
+    """piece -> its number; numbers address arrays of ids.  Emptied when it holds ``limit`` pieces.
 
-    def __init__(self, merge_piece, limit: int = 400_000):
-        self.merge_piece, self.limit = merge_piece, limit
+    ``encode_new`` gets the list of pieces not met before and returns the ids of each.
+    """
+
+    def __init__(self, encode_new, limit: int = 400_000):
+        self.encode_new, self.limit = encode_new, limit
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.parts: list[list[int]] = []
+        self.new: list[str] = []
         self.flat, self.begin, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self.begin) + len(self.parts)
-        self.parts.append(self.merge_piece(piece))
+        self[piece] = n = len(self)
+        self.new.append(piece)
         return n
 
     def settle(self) -> None:
-        """Appends what came new to the arrays."""
-        if self.parts:
-            count = np.array([len(p) for p in self.parts], np.int64)
-            flat = np.fromiter((i for p in self.parts for i in p), np.uint32, int(count.sum()))
+        """Encodes what came new and appends it to the arrays."""
+        if self.new:
+            parts = self.encode_new(self.new)
+            count = np.array([len(p) for p in parts], np.int64)
+            flat = np.fromiter((i for p in parts for i in p), np.uint32, int(count.sum()))
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
             self.flat = np.concatenate([self.flat, flat])
             self.count = np.concatenate([self.count, count])
-            self.parts = []
+            self.new = []
 
 
 def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -269,7 +273,7 @@ class Decoder:
 @functools.lru_cache(maxsize=2)
 def _codec(path: str) -> tuple[PieceCache, Decoder]:
     ranks = load_ranks(path)
-    return PieceCache(lambda piece: merge(piece.encode("utf-8", "surrogatepass"), ranks)), Decoder(ranks)
+    return PieceCache(lambda new: [merge(p.encode("utf-8", "surrogatepass"), ranks) for p in new]), Decoder(ranks)
 
 
 def vocabulary(path: str | None) -> str:
