@@ -54,7 +54,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+            stop = max(at + 1, min(at + 50_000, int(np.searchsorted(ends, base + limit, "right"))))
             yield batch.slice(at, stop - at)
             at = stop
 
