@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sampling import labelled_sample
+from .sampling import sample_by_table
 from .textvec import U, hashes, sums, words
 from .workspace import pieces, texts_of, utf8_buffer, written
 
@@ -107,11 +107,11 @@ def fit(sample: list[tuple[str, str]], shares: dict[str, float] | None = None) -
 
 def train(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN, max_chars: int = MAX_CHARS) -> Classifier:
     """Fits on a bounded sample of the labelled documents: per_domain texts of max_chars of each domain."""
-    marks = labels.select(F.col("doc_id").alias("_label_doc"), F.concat(F.lit("q"), F.col("quality").cast("int"), F.lit("_t"), F.col("toxic").cast("int")).alias("_domain")).filter("_domain IS NOT NULL")
-    total = {r["_domain"]: r["n"] for r in marks.groupBy("_domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_label_doc"))
+    domain = F.concat(F.lit("q"), F.col("quality").cast("int").cast("string"), F.lit("_t"), F.col("toxic").cast("int").cast("string"))
+    marks = labels.select("doc_id", domain.alias("label")).filter("label IS NOT NULL")
+    total = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     every = sum(total.values())
-    return fit(labelled_sample(rows, F.col("text"), F.col("_domain"), per_domain, max_chars), {k: v / every for k, v in total.items()})
+    return fit(sample_by_table(docs, marks, per_domain, max_chars), {k: v / every for k, v in total.items()})
 
 
 def _annotated(docs: DataFrame, model: Classifier, tokens: str, posterior: str) -> DataFrame:

@@ -24,3 +24,29 @@ def labelled_sample(rows: DataFrame, text: Column, label: Column, per_label: int
     chosen = base.filter(unit <= limit).groupBy("label", "h").agg(F.min(F.substring("text", 1, max_chars)).alias("text"))
     got = chosen.orderBy("h", "label").limit(2 * per_label * len(counts)).collect()
     return [(r["label"], r["text"]) for r in got]
+
+
+def sample_by_table(docs: DataFrame, marks: DataFrame, per_label: int, max_chars: int) -> list[tuple[str, str]]:
+    """As labelled_sample, for labels in a table of their own: marks has doc_id and label.
+
+    The documents are chosen among the marks, by the hash of doc_id, so at most 2 * per_label ids of a label are
+    broadcast and the texts are read where they are, without a shuffle.  Equal texts of a label count once.
+    """
+    marks = marks.select(F.col("doc_id").alias("_doc"), F.col("label").cast("string").alias("_label")).filter("_doc IS NOT NULL AND _label IS NOT NULL")
+    counts = {r["_label"]: r["n"] for r in marks.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return []
+    share = F.lit(None).cast("double")
+    for k in sorted(counts):
+        share = F.when(F.col("_label") == k, F.lit(min(1.0, per_label / counts[k]))).otherwise(share)
+    unit = F.pmod(F.xxhash64("_doc"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    chosen = marks.filter(unit <= share).distinct().limit(2 * per_label * len(counts))
+    joined = docs.select("doc_id", F.substring("text", 1, max_chars).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc"))
+    rows = joined.filter("text IS NOT NULL AND text <> ''").select("_label", "text", F.xxhash64("text").alias("h")).limit(4 * per_label * len(counts)).collect()
+    return sorted({(r["_label"], r["text"]): r["h"] for r in rows}, key=lambda x: (hash_of(x[1]), x))
+
+
+def hash_of(text: str) -> int:
+    import zlib
+
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sampling import labelled_sample
+from .sampling import sample_by_table
 from .textvec import U, eights, hashes, mix, words
 from .workspace import pieces, utf8_buffer
 
@@ -29,7 +29,7 @@ BUCKETS, DIM = 1 << 17, 8
 SHORTEST, LONGEST = 3, 6
 CUT = 0.7
 #: The bound of the training sample: texts of a label, characters of a text, distinct words.
-PER_LABEL, MAX_CHARS, MAX_WORDS = 4000, 8000, 300_000
+PER_LABEL, MAX_CHARS, MAX_WORDS = 3000, 6000, 150_000
 WORD_STEPS, WORD_BATCH, TEXT_STEPS = 80, 20_000, 80
 
 
@@ -224,9 +224,8 @@ def text_logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_chars: int = MAX_CHARS) -> Model:
     """Fits on a bounded sample of docs (doc_id, text) that labels (doc_id, toxic) covers; see PER_LABEL."""
-    marks = labels.select(F.col("doc_id").alias("_label_doc"), F.col("toxic").cast("int").alias("_toxic")).filter("_toxic IS NOT NULL")
-    rows = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_label_doc"))
-    return fit(labelled_sample(rows, F.col("text"), F.when(F.col("_toxic") >= 1, "1").otherwise("0"), per_label, max_chars))
+    marks = labels.select("doc_id", F.when(F.col("toxic").isNotNull(), F.when(F.col("toxic") >= 1, "1").otherwise("0")).alias("label"))
+    return fit(sample_by_table(docs, marks, per_label, max_chars))
 
 
 RESULT = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
