@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .. import params as P
-from .strategy import HOLD, T1_LONG, T1_SHORT, T2_LONG, T2_SHORT, Relay, decide, prepared, rows_of
+from .strategy import HOLD, T1_LONG, T1_SHORT, T2_LONG, T2_SHORT, Relay, _none, decide, prepared, rows_of
 
 COLUMNS = [
     ("symbol", "string"), ("source", "string"), ("kind", "string"), ("n", "bigint"), ("type", "string"), ("pair_id", "int"), ("direction", "string"), ("entry_time", "timestamp_ntz"), ("exit_time", "timestamp_ntz"),
@@ -204,8 +204,16 @@ def backtest(features: DataFrame, params: P.BacktestParams | None = None) -> Dat
         if row is not None:
             book.finish(row)
         out = pd.DataFrame(book.rows, columns=[n for n, _ in COLUMNS])
-        for c in ("entry_time", "exit_time"):
-            out[c] = pd.to_datetime(out[c])
-        return out.astype({"pair_id": "Int32", "point1_hit": "boolean", "point2_hit": "boolean"})
+        kinds = dict(COLUMNS)
+        for c in out.columns:
+            if kinds[c] == "timestamp_ntz":
+                out[c] = pd.to_datetime(out[c])
+            elif kinds[c] == "double":
+                out[c] = out[c].astype(float)
+            else:
+                out[c] = pd.Series([_none(v) for v in out[c]], dtype=object)
+                if kinds[c] == "int":
+                    out[c] = pd.Series([None if v is None else int(v) for v in out[c]], dtype=object)
+        return out
 
     return prepared(features, p.align_bias).groupBy(*p.keys).applyInPandas(run, SCHEMA)
