@@ -289,12 +289,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with column ``ids`` (array of int) appended, replacing one of that name; one pass, no shuffle."""
     docs = docs.select(*[c for c in docs.columns if c.lower() != "ids"])
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    names = schema.names
 
     def run(batches):
         cache, _ = _codec(vocabulary(path))
         for b in pieces(batches):
             ids, at, _, _ = encode_texts(texts_of(b), cache)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], names=[*docs.columns, "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -303,12 +304,13 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded with column ``decoded`` (binary) appended."""
     encoded = encoded.select(*[c for c in encoded.columns if c.lower() != "decoded"])
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
+    names = schema.names
 
     def run(batches):
         _, decoder = _codec(vocabulary(path))
         for b in batches:
             out = [decoder.decode(np.asarray(v, np.int64)) for v in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*encoded.columns, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=names)
 
     return encoded.mapInArrow(run, schema)
 

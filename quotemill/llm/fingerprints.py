@@ -126,10 +126,11 @@ def edited(text: str, following: str) -> str:
 def fingerprint(docs: DataFrame, keep: int = KEEP) -> DataFrame:
     """docs with column ``fingerprint`` appended, replacing one of that name; one pass, no shuffle."""
     docs = docs.select(*[c for c in docs.columns if c.lower() != "fingerprint"])
+    names = [*docs.columns, "fingerprint"]
 
     def run(batches):
         for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([pack(s) for s in sketch_many(texts_of(b), keep)], pa.string())], names=[*docs.columns, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([pack(s) for s in sketch_many(texts_of(b), keep)], pa.string())], names=names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
 

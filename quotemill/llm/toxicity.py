@@ -42,7 +42,7 @@ class Model:
 
     def scores(self, logits: np.ndarray) -> np.ndarray:
         x = np.clip(self.slope * (logits - self.split) + np.log(CUT / (1 - CUT)), -40, 40)
-        return np.where(np.isfinite(logits), 1 / (1 + np.exp(-x)), 0.0)
+        return np.where(np.isfinite(logits) & np.isfinite(self.split), 1 / (1 + np.exp(-x)), 0.0)
 
 
 def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
