@@ -36,7 +36,7 @@ LENGTH, K = 50, 16
 WINDOW = LENGTH - K + 1
 POSITION_BITS = 26
 #: Documents in a chunk, documents whose anchors share a bucket of step 1, and records in a bucket of step 3, on average.
-CHUNK_DOCS, HASH_DOCS, RANGE_DOCS = 1000, 16_000, 16_000
+CHUNK_DOCS, HASH_DOCS, RANGE_DOCS = 1000, 6_000, 6_000
 #: A k-mer in so many documents of one task is known to repeat and isn't sent for each.
 LOCAL = 32
 SAMPLE = 20_000
@@ -109,7 +109,7 @@ def _first_step(buckets: int):
         told = np.zeros(len(h), bool)
         told[order[cut[docs >= LOCAL]]] = True
         shift = U(64 - buckets.bit_length() + 1)
-        home = (h >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)
+        home = (mix(h) >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)  # chosen hashes are small ones
         out = []
 
         def row_of(bucket, which, flag):
@@ -130,13 +130,13 @@ def _first_step(buckets: int):
 
     def run(batches):
         rids, parts, total = [], [], 0
-        for b in pieces(batches, limit=2 << 20):
+        for b in pieces(batches, limit=1 << 20):
             b = b.filter(pc.is_valid(b.column("doc_id")))
             if not b.num_rows:
                 continue
             data, offsets = utf8_buffer(b.column("text"))
             doc, h, pos, _, _ = anchors(data, offsets)
-            if len(rids) + b.num_rows > 60_000 or total > 800_000:
+            if len(rids) + b.num_rows > 60_000 or total > 250_000:
                 if total:
                     yield flush(rids, parts)
                 rids, parts, total = [], [], 0
@@ -327,9 +327,11 @@ def _gone(table: pa.Table) -> pa.Table:
     left = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 40)[base - 40][:, ::-1])
     left[np.arange(40)[None, :] >= lead[:, None]] = 0
     l_order, l_common = _prefix_classes(left, WINDOW - 1)
-    del left
-    # first[i, w]: the smallest doc_id among the windows equal to window w of record i.
-    first = np.full((total, WINDOW), np.iinfo(np.int64).max)
+    del left, padded, data, view
+    # first[i, w]: the rank of the smallest doc_id among the windows equal to window w of record i.
+    ranked, smallest = np.unique(smallest, return_inverse=True)
+    smallest = smallest.astype(np.int32)
+    first = np.full((total, WINDOW), len(ranked), np.int32)
     for back in range(WINDOW):
         w = lead - back
         at = np.flatnonzero((w >= 0) & (w < count))
@@ -347,7 +349,7 @@ def _gone(table: pa.Table) -> pa.Table:
         spans = []
         for a in range(0, len(record), 200_000):
             rec, rw, st = record[a : a + 200_000], row[a : a + 200_000].astype(np.int64), start[a : a + 200_000].astype(np.int64)
-            hit = first[rec] < ids[rw][:, None]
+            hit = first[rec] < np.searchsorted(ranked, ids[rw])[:, None]
             edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             i, x = np.nonzero(edge == 1)
             _, y = np.nonzero(edge == -1)
@@ -415,7 +417,7 @@ def _splitters(docs: DataFrame, n: int, buckets: int) -> np.ndarray:
     wanted = min(n, 40 * buckets)
 
     def leads(batches):
-        for b in pieces(batches, limit=2 << 20):
+        for b in pieces(batches, limit=1 << 20):
             data, offsets = utf8_buffer(b.column("text"))
             _, _, pos, _, _ = anchors(data, offsets)
             pos = pos[:: max(1, len(pos) // 2000)] if len(pos) else pos
