@@ -11,9 +11,11 @@ the first point to reach it, so two registers agree with probability sum(min)/su
 
 Candidates: texts with equal multisets are one.  In each band's bucket every text is compared with two pivots, the
 smallest doc_id and the text with the most bucket mates; each text's best estimate is verified, and the verified
-links contract the buckets.  Where a bucket still holds several components, all pairs across components are estimated
-in blocks and those that may reach the threshold are verified, so no candidate of a bucket is left out, however
-large the bucket; pairs inside a component are never formed.
+links contract the buckets.  Where a bucket still holds several components, each text is compared in blocks with the
+texts of other components and its best estimate is verified.  What still is mixed is settled in blocks that hold the
+shingles: all pairs across components that may reach the threshold are verified where they are, the likeliest first,
+and a pair whose ends have met by then is left out.  So no candidate of a bucket is left out, however large the
+bucket, and neither pairs of a group nor pairs inside a component are written out.
 
 A text without words is a class of its own.  Null text counts as empty.  Rows with null doc_id get class_id null and
 are kept.  Rows that share a doc_id count as one document, linked through any of its texts.
@@ -37,7 +39,9 @@ REGISTERS = BANDS * ROWS
 #: Estimates below this are six standard deviations under the threshold.
 LEAST_ESTIMATE = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Rows of a bucket that one task compares with as many others.
-BLOCK = 2000
+BLOCK = 400
+#: Bytes of text that a worker sketches or compares at once.
+PIECE = 2 << 20
 OWNER_BITS = 16  # a batch has fewer texts than this allows; shingles keep 48 bits
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
 
@@ -126,7 +130,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, content, signature) of each row; content tells equal shingle multisets, null without words."""
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, limit=PIECE):
             h, owner = shingles(*_lower(b.column("text")))
             n = b.num_rows
             sig = signatures(h, owner, n)
@@ -170,10 +174,7 @@ def overlap(left: tuple, right: tuple, n: int) -> np.ndarray:
     for h, owner in (left, right):
         order = np.lexsort((h, owner))
         h, owner = h[order], owner[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        run = np.arange(len(h)) - np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
-        keys.append((owner.astype(U) << U(64 - bits)) | (mix(h + run.astype(U) * _ODD[2]) >> U(bits)))
+        keys.append((owner.astype(U) << U(64 - bits)) | (_occurrences(h, owner) >> U(bits)))
         sizes += np.bincount(owner, minlength=n)
     both = np.sort(np.concatenate(keys))
     twice = both[1:][both[1:] == both[:-1]]
@@ -188,8 +189,8 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     joined = joined.join(text.hint("merge"), F.col("b") == F.col("_id")).select("a", "b", "ta", F.col("text").alias("tb"))
 
     def run(batches):
-        for b in pieces(batches, "ta"):
-            for c in pieces([b], "tb"):
+        for b in pieces(batches, "ta", PIECE):
+            for c in pieces([b], "tb", PIECE):
                 n = c.num_rows
                 sim = overlap(shingles(*_lower(c.column("ta"))), shingles(*_lower(c.column("tb"))), n)
                 ok = pa.array(sim >= THRESHOLD)
@@ -201,7 +202,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _buckets(reps: DataFrame) -> DataFrame:
     """(key, doc, n) of every band of every text, where n > 1 texts share the bucket."""
     width = 4 * ROWS
-    bands = reps.select(F.col("doc_id").alias("doc"), F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(BANDS)])).alias("key"))
+    bands = reps.select(F.col("doc_id").alias("doc"), F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(BANDS)])).alias("band", "key"))
     bands = checkpointed(bands, "bands")
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return bands.join(sizes.hint("merge"), "key")
@@ -215,32 +216,122 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return buckets.join(pivots.hint("merge"), "key").select(F.col("doc").alias("a"), "b").filter("a <> b").distinct()
 
 
-def _across(buckets: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs across the components of each bucket whose estimate may reach the threshold, by blocks of BLOCK rows."""
-    own = buckets.select("key", "doc").join(named.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+def _mixed(buckets: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, band, doc, component, g): the rows of buckets that hold several components, and the blocks a bucket needs."""
+    own = buckets.select("key", "band", "doc").join(named.withColumnRenamed("node", "doc"), "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = own.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 < c1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
-    rows = own.join(mixed.hint("merge"), "key").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int"))
-    rows = rows.select("key", "doc", "component", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("k"))
-    rows = rows.select("key", "doc", "component", "i", F.least("i", "k").alias("p"), F.greatest("i", "k").alias("q"))
-    rows = rows.join(reps.select(F.col("doc_id").alias("doc"), "signature"), "doc")
+    return own.join(mixed.hint("merge"), "key")
 
-    def cross(table: pa.Table) -> pa.Table:
+
+def _blocks(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    """rows with what is carried for each doc, in every pair of blocks (p <= q) that the row's own block i is part of."""
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int"))
+    rows = rows.select("key", "band", "doc", "component", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("k"))
+    rows = rows.select("key", "band", "doc", "component", "i", F.least("i", "k").alias("p"), F.greatest("i", "k").alias("q"))
+    return rows.join(carried, "doc")
+
+
+class _Block:
+    """One pair of blocks of a bucket."""
+
+    def __init__(self, table: pa.Table):
         table = table.combine_chunks()
-        doc, comp, i = (table.column(c).to_numpy() for c in ("doc", "component", "i"))
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, REGISTERS)
+        self.table = table
+        self.doc, self.component, i = (table.column(c).to_numpy() for c in ("doc", "component", "i"))
+        self.signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, REGISTERS)
+        self.band = table.column("band")[0].as_py()
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        left, right = (np.arange(len(doc)),) * 2 if p == q else (np.flatnonzero(i == p), np.flatnonzero(i == q))
-        out_a, out_b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((doc[right] > doc[x]) if p == q else True)]
-            if len(y):
-                y = y[(sig[y] == sig[x]).mean(1) >= LEAST_ESTIMATE]
-                out_a.append(np.full(len(y), doc[x]))
-                out_b.append(doc[y])
-        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    return rows.groupBy("key", "p", "q").applyInArrow(cross, "a bigint, b bigint").distinct()
+        every = np.arange(len(self.doc))
+        self.left, self.right = (every, every) if p == q else (np.flatnonzero(i == p), np.flatnonzero(i == q))
+        self.same = p == q
+
+    def candidates(self):
+        """(row, rows of other components that may be linked, estimates), each pair in the first band that it shares."""
+        for x in self.left:
+            y = self.right[self.component[self.right] != self.component[x]]
+            if self.same:
+                y = y[y > x]
+            if not len(y):
+                continue
+            equal = self.signature[y] == self.signature[x]
+            est = equal.mean(1)
+            first = equal.reshape(len(y), BANDS, ROWS).all(2).argmax(1) == self.band
+            ok = (est >= LEAST_ESTIMATE) & first
+            if ok.any():
+                yield x, y[ok], est[ok]
+
+
+def _best_across(buckets: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
+    """Each text's best estimate in another component of its buckets: a row for each text."""
+
+    def best(table: pa.Table) -> pa.Table:
+        b = _Block(table)
+        score, mate = np.zeros(len(b.doc)), np.full(len(b.doc), -1)
+        for x, y, est in b.candidates():
+            k = est.argmax()
+            if est[k] > score[x]:
+                score[x], mate[x] = est[k], y[k]
+            better = est > score[y]
+            score[y[better]], mate[y[better]] = est[better], x
+        has = np.flatnonzero(mate >= 0)
+        return pa.table({"a": pa.array(b.doc[has]), "b": pa.array(b.doc[mate[has]]), "est": pa.array(score[has])})
+
+    carried = reps.select(F.col("doc_id").alias("doc"), "signature")
+    found = _blocks(_mixed(buckets, named), carried).groupBy("key", "p", "q").applyInArrow(best, "a bigint, b bigint, est double")
+    return found.groupBy("a").agg(F.max(F.struct("est", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+
+
+def _settled(buckets: DataFrame, reps: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) across the components of buckets that still are mixed: of the pairs that may be linked all that
+    aren't connected by the time are verified; a block writes fewer links than it has rows."""
+    rows = checkpointed(_mixed(buckets, named), "mixed")
+    wanted = rows.select(F.col("doc").alias("_want")).distinct()
+    text = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted.hint("merge"), F.col("doc") == F.col("_want"), "left_semi")
+
+    def keys(batches):
+        for b in pieces(batches, limit=PIECE):
+            h, owner = shingles(*_lower(b.column("text")))
+            order = np.lexsort((h, owner))
+            k, o = _occurrences(h[order], owner[order]), owner[order]
+            cut = np.searchsorted(o, np.arange(b.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([np.sort(k[x:y]).tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], names=["doc", "shingles"])
+
+    shingled = text.mapInArrow(keys, "doc bigint, shingles binary").join(reps.select(F.col("doc_id").alias("doc"), "signature"), "doc")
+
+    def settle(table: pa.Table) -> pa.Table:
+        b = _Block(table)
+        sets = [np.frombuffer(x, U) for x in b.table.column("shingles").to_pylist()]
+        pairs = [(np.full(len(y), x), y, est) for x, y, est in b.candidates()]
+        links = []
+        if pairs:
+            x, y, est = (np.concatenate([p[k] for p in pairs]) for k in range(3))
+            parent = {int(c): int(c) for c in b.component}
+
+            def root(c: int) -> int:
+                while parent[c] != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            for k in np.argsort(-est, kind="stable"):
+                u, v = root(int(b.component[x[k]])), root(int(b.component[y[k]]))
+                if u != v:
+                    left, right = sets[x[k]], sets[y[k]]
+                    at = np.searchsorted(right, left)
+                    shared = int((right[np.minimum(at, len(right) - 1)] == left).sum())
+                    if shared >= THRESHOLD * (len(left) + len(right) - shared):
+                        parent[u] = v
+                        links.append((int(b.doc[x[k]]), int(b.doc[y[k]])))
+        return pa.table({"a": pa.array([u for u, _ in links], pa.int64()), "b": pa.array([v for _, v in links], pa.int64())})
+
+    return _blocks(rows, shingled).groupBy("key", "p", "q").applyInArrow(settle, "a bigint, b bigint")
+
+
+def _occurrences(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Keys of sorted shingles that count repeats: the n-th occurrence of a shingle in a text has a key of its own."""
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    run = np.arange(len(h)) - np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
+    return mix(h + run.astype(U) * _ODD[2])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -254,10 +345,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = stars.groupBy("a").agg(F.max(F.struct("est", (-F.col("b")).alias("neg"))).alias("m")).select("a", (-F.col("m.neg")).alias("b"))
     links = checkpointed(verify(checkpointed(best, "candidates"), docs), "links")
     named = checkpointed(components(links), "components")
-    more = checkpointed(_across(buckets, reps, named), "candidates")
+    more = checkpointed(_best_across(buckets, reps, named), "candidates")
     if more.limit(1).count():
         links = links.union(checkpointed(verify(more, docs), "links"))
         named = checkpointed(components(links), "components")
+        links = links.union(checkpointed(_settled(buckets, reps, named, docs), "links"))
+        named = checkpointed(components(links), "components")
     classes = reps.select("content", "doc_id").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("content", F.coalesce("component", "doc_id").alias("class"))
     out = made.select("doc_id", "content").join(classes.hint("merge"), "content", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")))
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))

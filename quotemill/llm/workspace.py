@@ -33,7 +33,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     """df, written once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").partitionBy(*(partition_by or [])).parquet(path)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
