@@ -2,9 +2,9 @@
 
 A k-mer of UTF-8 bytes is a closed syncmer if the smallest of its s-mers (by hash) is its first or its last.  The
 choice looks at nothing but the k-mer itself, so an edit disturbs only the anchors it touches.  A fingerprint holds
-the ``keep`` anchors of smallest 48-bit hash with their places, in base 64; two fingerprints are compared over the
-union's smallest anchors (an unbiased sample of all anchors of both texts), and an anchor counts as shared if it is
-in both and its displacement agrees with the one most shared anchors vote for or with a neighbour in place.
+all distinct anchors (48-bit hashes, each with its first place), in base 64, so it grows with the text; two
+fingerprints are compared over all anchors of both, and an anchor counts as shared if it is in both and its
+displacement agrees with the one most shared anchors vote for or with a neighbour in place.
 
 Texts of fewer than k bytes have one anchor, their own hash.  Null counts as empty; two empty texts are alike (1),
 an empty and a non-empty one are not (0).  Equal texts have equal fingerprints.
@@ -26,7 +26,6 @@ from .textvec import U, eights, mix
 from .workspace import pieces, texts_of
 
 K, S = 20, 8
-KEEP = 64
 #: Places are kept to this many bytes, so that a fingerprint's places fit 32 bits.
 PLACE_MAX = (1 << 32) - 1
 #: Displacements this close are one diagonal; a short insertion moves the rest by less.
@@ -59,8 +58,8 @@ def syncmers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return pos, h & U((1 << 48) - 1)
 
 
-def sketch_many(texts: list[str], keep: int = KEEP) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """For each text: the smallest anchors' hashes (ascending), their places and the number of distinct anchors."""
+def sketch_many(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each text: its distinct anchors' hashes (ascending), their first places and the number of them."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     offsets = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) for r in raw], out=offsets[1:])
@@ -75,7 +74,7 @@ def sketch_many(texts: list[str], keep: int = KEEP) -> list[tuple[np.ndarray, np
             out.append((one, np.zeros(len(one), np.int64), len(one)))
             continue
         hh, first = np.unique(h[a:b], return_index=True)
-        out.append((hh[:keep], pos[a:b][first[:keep]] - offsets[i], len(hh)))
+        out.append((hh, pos[a:b][first] - offsets[i], len(hh)))
     return out
 
 
@@ -94,15 +93,12 @@ def unpack(fingerprint: str) -> tuple[np.ndarray, np.ndarray, int]:
     return h.view("<u8").ravel(), np.frombuffer(raw, "<u4", n, 4 + 6 * n).astype(np.int64), int(np.frombuffer(raw, "<u4", 1)[0])
 
 
-def likeness(a, b, keep: int = KEEP) -> float:
-    """The share of the union's ``keep`` smallest anchors that both texts have in matching places."""
+def likeness(a, b) -> float:
+    """The share of the union's anchors that both texts have in matching places."""
     (ha, pa_, _), (hb, pb, _) = a, b
     if not len(ha) or not len(hb):
         return 1.0 if len(ha) == len(hb) else 0.0
-    union = np.union1d(ha, hb)[:keep]
-    shared, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    ok = shared <= union[-1]
-    ia, ib = ia[ok], ib[ok]
+    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     if not len(ia):
         return 0.0
     order = np.argsort(pa_[ia], kind="stable")
@@ -114,7 +110,7 @@ def likeness(a, b, keep: int = KEEP) -> float:
     beside = np.zeros(len(shift), bool)
     beside[1:] |= step
     beside[:-1] |= step
-    return float((main | beside).sum() / len(union))
+    return float((main | beside).sum() / (len(ha) + len(hb) - len(ia)))
 
 
 def edited(text: str, following: str) -> str:
@@ -123,14 +119,14 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
-def fingerprint(docs: DataFrame, keep: int = KEEP) -> DataFrame:
+def fingerprint(docs: DataFrame) -> DataFrame:
     """docs with column ``fingerprint`` appended, replacing one of that name; one pass, no shuffle."""
     docs = docs.select(*[c for c in docs.columns if c.lower() != "fingerprint"])
     names = [*docs.columns, "fingerprint"]
 
     def run(batches):
         for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([pack(s) for s in sketch_many(texts_of(b), keep)], pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([pack(s) for s in sketch_many(texts_of(b))], pa.string())], names=names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
@@ -195,7 +191,7 @@ def in_order(docs: DataFrame) -> DataFrame:
 RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compare_edits(docs: DataFrame, keep: int = KEEP) -> DataFrame:
+def compare_edits(docs: DataFrame) -> DataFrame:
     """Each text's fingerprint, that of its edited text, and how like it is to that and to the next document.
 
     The next document is the next in ascending (doc_id, text), nulls first; after the last comes the first.
@@ -206,20 +202,20 @@ def compare_edits(docs: DataFrame, keep: int = KEEP) -> DataFrame:
         for b in pieces(batches):
             block, head = b.column("block").to_pylist(), b.column("head").to_pylist()
             ids, texts = b.column("doc_id").to_pylist(), texts_of(b)
-            sketches = sketch_many(texts, keep)
+            sketches = sketch_many(texts)
             rows = list(zip(block, head, ids, texts, sketches))
             if held:
                 rows.insert(0, held)
             held = rows[-1]
             pairs = [(r, s) for r, s in zip(rows, rows[1:]) if not r[1] and r[0] == s[0]]
             changed = [edited(r[3], s[3]) for r, s in pairs]
-            after = sketch_many(changed, keep)
+            after = sketch_many(changed)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[2] for r, _ in pairs], pa.int64()), pa.array([len(r[3]) for r, _ in pairs], pa.int64()),
                     pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in changed], pa.string()),
                     pa.array([pack(r[4]) for r, _ in pairs], pa.string()), pa.array([pack(e) for e in after], pa.string()),
-                    pa.array([likeness(r[4], e, keep) for (r, _), e in zip(pairs, after)], pa.float64()), pa.array([likeness(r[4], s[4], keep) for r, s in pairs], pa.float64()),
+                    pa.array([likeness(r[4], e) for (r, _), e in zip(pairs, after)], pa.float64()), pa.array([likeness(r[4], s[4]) for r, s in pairs], pa.float64()),
                 ],
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )

@@ -330,6 +330,19 @@ def test_fingerprints(spark):
     assert fingerprints.likeness(fingerprints.unpack(got[3].fingerprint), fingerprints.unpack(got[8].fingerprint)) == 1.0
 
 
+def test_fingerprints_keep_every_anchor():
+    passage = prose(50, 40)
+    a, b = (f"{prose(k, 2000)} {passage} {prose(k + 10, 2000)}" for k in (60, 80))
+    sketches = [fingerprints.unpack(fingerprints.pack(s)) for s in fingerprints.sketch_many([a, b])]
+    for text, (h, places, n) in zip((a, b), sketches):
+        raw = text.encode()
+        _, every = fingerprints.syncmers(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert h.tolist() == sorted(set(every.tolist())) and len(places) == n == len(h) > 1000
+    in_passage = set(fingerprints.sketch_many([passage])[0][0].tolist())
+    assert len(in_passage) >= 20 and all(in_passage <= set(s[0].tolist()) for s in sketches)
+    assert fingerprints.likeness(*sketches) >= 0.9 * len(in_passage) / sum(s[2] for s in sketches)
+
+
 def test_syncmers_equal_their_definition():
     raw = prose(1, 60).encode()
     data = np.frombuffer(raw, np.uint8)
