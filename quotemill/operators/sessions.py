@@ -1,4 +1,4 @@
-"""Day and session levels from minute ranges, with windows only."""
+"""Day and session levels from minute ranges or ticks, with windows only."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions.core import over, session_by_start
+from ..functions.core import floor_to, over, session_by_start
+from .candles import daily_ranges
 
 
 def session_levels(minutes: DataFrame, sessions_back: int = 2) -> DataFrame:
@@ -35,6 +36,35 @@ def session_levels(minutes: DataFrame, sessions_back: int = 2) -> DataFrame:
     )
 
 
+def tick_session_levels(ticks: DataFrame, bars_4h: DataFrame) -> DataFrame:
+    """The older rule: a snapshot at each tick, by (timestamp_utc, seq), whose session differs from the tick's before.
+
+    A key's first tick is silent and counts as asian whatever its hour.  current_session_*: the boundary tick's mid;
+    prev_session_*: range of the ticks since the boundary before; prev_day_*: yesterday's range of 4-hour bars, taken
+    at a boundary within hour 0 if yesterday has any, otherwise as at the boundary before.
+
+    Ticks are aggregated to minutes first, as no boundary lies within one; only the silent tick stands alone.
+    """
+    at = F.struct("timestamp_utc", "seq")
+    silent = ticks.groupBy(*P.KEY).agg(F.min(at).alias("_silent"))
+    t = floor_to(ticks, "timestamp_utc", "1 minute", "minute").join(F.broadcast(silent), [*P.KEY]).withColumn("_silent", at == F.col("_silent"))
+    m = t.groupBy(*P.KEY, "minute", "_silent").agg(F.min(F.struct("timestamp_utc", "seq", "mid")).alias("_first"), F.max("mid").alias("high"), F.min("mid").alias("low"))
+    w = over(order=("_first",))
+    m = m.withColumn("_name", F.when(F.col("_silent"), "asian").otherwise(session_by_start("minute")))
+    m = m.withColumn("_turn", F.coalesce(F.col("_name") != F.lag("_name").over(w), F.lit(False)).cast("int"))
+    m = m.withColumn("_s", F.sum("_turn").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    before = m.groupBy(*P.KEY, (F.col("_s") + 1).alias("_s")).agg(F.max("high").alias("prev_session_high"), F.min("low").alias("prev_session_low"))
+    # A null day joins nothing, so only boundaries within hour 0 meet yesterday.
+    snap = m.filter("_turn = 1").withColumn("day", F.when(F.hour("minute") == 0, F.date_sub(F.to_date("minute"), 1)))
+    out = snap.join(before, [*P.KEY, "_s"], "left").join(daily_ranges(bars_4h), [*P.KEY, "day"], "left")
+    known = over(order=("_s",)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return out.select(
+        *P.KEY, F.col("_first.timestamp_utc").alias("snapshot_time"), F.lit(True).alias("session_boundary"),
+        F.last("day_high", ignorenulls=True).over(known).alias("prev_day_high"), F.last("day_low", ignorenulls=True).over(known).alias("prev_day_low"),
+        F.col("_first.mid").alias("current_session_high"), F.col("_first.mid").alias("current_session_low"), "prev_session_high", "prev_session_low",
+    )
+
+
 def levels_of(snapshots: DataFrame) -> DataFrame:
     """Tier 1 and 2 levels with the time from which they count; of equal (price to 2 places, direction) the first stays."""
     cols = [("prev_day_high", "high", 1), ("prev_day_low", "low", 1), ("current_session_high", "high", 2), ("current_session_low", "low", 2), ("prev_session_high", "high", 2), ("prev_session_low", "low", 2)]

@@ -476,6 +476,26 @@ def _(s, d):
     return sessions.session_levels(candles.minute_ranges(ticks(s, d)), 1)
 
 
+TICK_SESSIONS = f"""WITH {TICKS}, {bars_sql('b', '4 hours')},
+ dd AS (SELECT symbol, source, CAST(bar_time AS DATE) AS day, max(bar_high) AS dh, min(bar_low) AS dl FROM b GROUP BY 1, 2, 3),
+ o AS (SELECT *, row_number() OVER (PARTITION BY symbol, source ORDER BY timestamp_utc, seq) AS i FROM ticks),
+ n AS (SELECT *, CASE WHEN i = 1 THEN 'asian' WHEN hour(timestamp_utc) >= 13 THEN 'ny' WHEN hour(timestamp_utc) >= 8 THEN 'london' ELSE 'asian' END AS name FROM o),
+ c AS (SELECT *, CASE WHEN i > 1 AND name <> lag(name) OVER (PARTITION BY symbol, source ORDER BY i) THEN 1 ELSE 0 END AS turn FROM n),
+ r AS (SELECT *, sum(turn) OVER (PARTITION BY symbol, source ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM c),
+ e AS (SELECT symbol, source, s + 1 AS s, max(mid) AS prev_session_high, min(mid) AS prev_session_low FROM r GROUP BY 1, 2, 3),
+ x AS (SELECT r.*, prev_session_high, prev_session_low, dh, dl FROM r LEFT JOIN e ON r.symbol = e.symbol AND r.source = e.source AND r.s = e.s
+       LEFT JOIN dd ON r.symbol = dd.symbol AND r.source = dd.source AND hour(timestamp_utc) = 0 AND dd.day = CAST(timestamp_utc AS DATE) - 1 WHERE turn = 1)
+ SELECT symbol, source, timestamp_utc AS snapshot_time, true AS session_boundary, last_value(dh IGNORE NULLS) OVER p AS prev_day_high, last_value(dl IGNORE NULLS) OVER p AS prev_day_low,
+        mid AS current_session_high, mid AS current_session_low, prev_session_high, prev_session_low
+ FROM x WINDOW p AS (PARTITION BY symbol, source ORDER BY s ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("session_levels_ticks", TICK_SESSIONS)
+def _(s, d):
+    t = ticks(s, d)
+    return sessions.tick_session_levels(t, candles.ohlc(t, "4 hours"))
+
+
 # ---------------------------------------------------------------- as-of joins
 
 @query("asof_candles", f"WITH {TICKS}, {bars_sql('b', '1 minute')} SELECT t.seq, b.bar_open, b.bar_high, b.bar_low, b.bar_close FROM ticks t ASOF LEFT JOIN b ON t.symbol = b.symbol AND t.source = b.source AND t.timestamp_utc >= b.bar_time")

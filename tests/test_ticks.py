@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
@@ -101,6 +102,42 @@ def test_session_labels(spark):
     assert [r[0] for r in df.select(core.session_label("t")).collect()] == ["asian", "london", "newyork"]
 
 
+def walk_sessions(ticks):
+    """The older session tracker as a walk over (time, seq, mid), with the days' ranges."""
+    name = lambda t: "ny" if t.hour >= 13 else "london" if t.hour >= 8 else "asian"
+    days, out, now = {}, [], "asian"
+    for t, _, mid in ticks:
+        days.setdefault(t.date(), []).append(mid)
+    day = prev = (None, None)
+    high = low = None
+    for t, _, mid in sorted(ticks):
+        if high is None:
+            high = low = mid
+        elif name(t) != now:
+            prev, now = (high, low), name(t)
+            yesterday = days.get(t.date() - dt.timedelta(days=1))
+            if t.hour == 0 and yesterday:
+                day = (max(yesterday), min(yesterday))
+            high = low = mid
+            out.append((t, *day, mid, mid, *prev))
+        else:
+            high, low = max(high, mid), min(low, mid)
+    return out
+
+
+def test_older_session_tracker_walks_ticks(spark):
+    at = lambda d, h, m, s=0: T0 + dt.timedelta(days=d, hours=h, minutes=m, seconds=s)
+    hand = [(at(0, 9, 0, 1), 5.0), (at(0, 9, 0, 2), 7.0), (at(0, 9, 0, 3), 3.0), (at(0, 14, 0, 9), 6.0), (at(1, 0, 5), 8.0), (at(1, 0, 5, 30), 9.0), (at(2, 13, 0), 1.0), (at(3, 4, 0), 2.0), (at(5, 0, 0), 4.0), (at(5, 8, 0), 2.5)]
+    r = random.Random(5)
+    many = sorted((at(0, 0, 0) + dt.timedelta(seconds=r.randrange(12 * 86400)), float(r.randrange(100))) for _ in range(150))
+    keyed = {"H": [(t, i, m) for i, (t, m) in enumerate(hand)], "A": [(t, i, m) for i, (t, m) in enumerate(many)], "T": [(at(0, 8, 0), 9 - i, float(i)) for i in range(4)]}
+    ticks = spark.createDataFrame([(k, "mt5", *x) for k, v in keyed.items() for x in v], "symbol string, source string, timestamp_utc timestamp_ntz, seq long, mid double")
+    got = rows(sessions.tick_session_levels(ticks, candles.ohlc(ticks, "4 hours")), "snapshot_time")
+    for k, v in keyed.items():
+        assert [tuple(x)[2:3] + tuple(x)[4:] for x in got if x.symbol == k] == walk_sessions(v)
+    assert tuple(next(x for x in got if x.symbol == "H"))[2:] == (at(0, 9, 0, 2), True, None, None, 7.0, 7.0, 5.0, 5.0)
+
+
 def test_same_session_after_a_gap_is_one_session(spark):
     m = spark.createDataFrame([("X", "mt5", T0 + dt.timedelta(hours=1), 5.0, 4.0), ("X", "mt5", T0 + dt.timedelta(days=1, hours=1), 8.0, 7.0), ("X", "mt5", T0 + dt.timedelta(days=1, hours=9), 9.0, 6.0)], "symbol string, source string, minute timestamp_ntz, high double, low double")
     out = rows(sessions.session_levels(m), "snapshot_time")
