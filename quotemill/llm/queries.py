@@ -27,7 +27,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(documents(spark, sf_dir))
+    return token_files.round_trip(documents(spark, sf_dir), added=True)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

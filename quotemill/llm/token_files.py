@@ -5,8 +5,10 @@ ids as one payload of ``token_codec`` (independent, checksummed blocks).  ``befo
 chunk, so a document's place among all ids needs one number for each part besides its own chunk.
 
 Texts are encoded by the tokenizers library; pieces met before are looked up (a piece's ids don't depend on what
-stands around it), new ones go to the library.  Null text is empty: its only id is the end id.  Rows with equal
-doc_id are ordered by text, nulls first.  An empty table gives no chunks.
+stands around it), new ones go to the library.  With ``added`` the tokenizer's special tokens are matched in texts, as
+the library does by default, without it they are text like any other; a text with a token to match goes to the
+library whole.  Null text is empty: its only id is the end id.  Rows with equal doc_id are ordered by text, nulls
+first.  An empty table gives no chunks.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ CHUNK_SCHEMA = "part int, chunk int, before bigint, doc_ids array<bigint>, count
 
 
 @functools.lru_cache(maxsize=2)
-def _cache(path: str | None) -> PieceCache:
+def _cache(path: str | None, added: bool) -> tuple[PieceCache, list[str]]:
+    """The pieces met before, and the tokens that no piece may be looked up around."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -41,8 +44,24 @@ def _cache(path: str | None) -> PieceCache:
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return PieceCache(lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+    tokenizer.encode_special_tokens = not added
+    matched = [t.content for t in tokenizer.get_added_tokens_decoder().values() if added or not t.special]
+    return PieceCache(lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]), matched
+
+
+def encode(texts: list[str], cache: PieceCache, matched: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, each text's offset among the ids)."""
+    whole = [i for i, t in enumerate(texts) if any(m in t for m in matched)]
+    if not whole:
+        return encode_texts(texts, cache)[:2]
+    looked_up = list(texts)
+    for i in whole:
+        looked_up[i] = ""
+    ids, at, _, _ = encode_texts(looked_up, cache)
+    parts = [ids[a:b] for a, b in zip(at, at[1:])]
+    for i, found in zip(whole, cache.encode_new([texts[i] for i in whole])):
+        parts[i] = np.array(found, np.uint32)
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
 def with_end(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -50,12 +69,12 @@ def with_end(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.insert(ids, at[1:], END_ID)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, chunk_ids: int = CHUNK_IDS) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, chunk_ids: int = CHUNK_IDS, added: bool = False) -> None:
     """Encodes docs (doc_id, text) to files below path; the text moves once, into ranges of doc_id."""
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
 
     def run(batches):
-        cache, part = _cache(tokenizer), TaskContext.get().partitionId()
+        (cache, matched), part = _cache(tokenizer, added), TaskContext.get().partitionId()
         before = chunk = held = 0
         doc_ids, counts, parts = [], [], []
 
@@ -72,7 +91,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, chunk_ids: i
             return out
 
         for b in pieces(batches):
-            ids, at, _, _ = encode_texts(texts_of(b), cache)
+            ids, at = encode(texts_of(b), cache, matched)
             all_ids, n = with_end(ids, at), np.diff(at) + 1
             if doc_ids and held + len(all_ids) > chunk_ids:
                 yield close()
@@ -124,9 +143,9 @@ def _read(spark: SparkSession, path: str, schema: str, value) -> DataFrame:
     return placed.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str | None = None, added: bool = False) -> DataFrame:
     """doc_id, start, n_tokens (with the end id) and ids_crc32 as read back from files written for docs."""
     spark = docs.sparkSession
     path = scratch(spark, "tokens")
-    write(docs, path, tokenizer)
+    write(docs, path, tokenizer, added=added)
     return _read(spark, path, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint", None)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quotemill.llm import byte_bpe, components, exact_dedup, fingerprints, language_id, mixing, near_dedup, sharding, suffix_dedup, token_codec, token_files, toxicity
+from quotemill.llm import byte_bpe, components, exact_dedup, fingerprints, language_id, mixing, near_dedup, queries, sharding, suffix_dedup, token_codec, token_files, toxicity
 from quotemill.llm.textvec import words
 from quotemill.llm.workspace import pieces, utf8_buffer
 
@@ -164,6 +164,20 @@ def test_token_files(spark):
         at += len(ids)
 
 
+def test_token_files_match_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["it's", "a <|endoftext|> b", None, "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n 12", "<|endoftext", prose(1, 50)]
+    assert t.encode(texts[1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got, at = {x.doc_id: x for x in queries.op4_token_files(spark, str(tmp_path)).collect()}, 0
+    for i, text in enumerate(texts):
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 # ---------------------------------------------------------------- 3
 
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 997])
