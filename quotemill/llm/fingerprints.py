@@ -2,11 +2,12 @@
 
 A k-mer of UTF-8 bytes is a closed syncmer if the smallest of its s-mers (by hash) is its first or its last.  The
 choice looks at nothing but the k-mer itself, so an edit disturbs only the anchors it touches.  A fingerprint holds
-all distinct anchors (48-bit hashes, each with its first place), in base 64, so it grows with the text; two
+all distinct anchors (47-bit hashes and a bit for the kind, each with its first place), in base 64, so it grows with the text; two
 fingerprints are compared over all anchors of both, and an anchor counts as shared if it is in both and its
 displacement agrees with the one most shared anchors vote for or with a neighbour in place.
 
-Texts of fewer than k bytes have one anchor, their own hash.  Null counts as empty; two empty texts are alike (1),
+Texts under SHORT bytes have all their SHORT_K-mers as anchors besides (the top bit of a hash tells them), which count
+only between two such texts; texts of fewer than SHORT_K bytes have one anchor, their own hash.  Null counts as empty; two empty texts are alike (1),
 an empty and a non-empty one are not (0).  Equal texts have equal fingerprints.
 """
 
@@ -26,6 +27,9 @@ from .textvec import U, eights, mix
 from .workspace import pieces, texts_of
 
 K, S = 20, 8
+#: Any 2K - S - 1 = 31 bytes hold a syncmer, which three quarters of a text of SHORT bytes are well above.
+SHORT, SHORT_K = 128, 5
+SHORT_BIT = U(1 << 47)
 #: Places are kept to this many bytes, so that a fingerprint's places fit 32 bits.
 PLACE_MAX = (1 << 32) - 1
 #: Displacements this close are one diagonal; a short insertion moves the rest by less.
@@ -55,7 +59,15 @@ def syncmers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     pos = np.flatnonzero(hit)
     tail = at[pos + 16] & U((1 << 8 * (K - 16)) - 1)
     h = mix(at[pos] * U(0x9E3779B97F4A7C15) ^ mix(at[pos + 8] * U(0xC2B2AE3D27D4EB4F) ^ mix(tail + U(1))))
-    return pos, h & U((1 << 48) - 1)
+    return pos, h & (SHORT_BIT - U(1))
+
+
+def short_anchors(raw: bytes) -> np.ndarray:
+    """The hashes of all SHORT_K-mers of a short text by place, or its own hash if it has none."""
+    if len(raw) < SHORT_K:
+        return np.array([int.from_bytes(hashlib.sha256(raw).digest()[:6], "little")][: len(raw)], U) | SHORT_BIT
+    at = eights(np.frombuffer(raw, np.uint8))[: len(raw) - SHORT_K + 1]
+    return mix(at & U((1 << 8 * SHORT_K) - 1)) & (SHORT_BIT - U(1)) | SHORT_BIT
 
 
 def sketch_many(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -68,13 +80,12 @@ def sketch_many(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
     cut = np.searchsorted(pos, offsets)
     out = []
     for i, r in enumerate(raw):
-        a, b = cut[i], cut[i + 1]
-        if a == b:
-            one = np.array([int.from_bytes(hashlib.sha256(r).digest()[:6], "little")], U) if r else np.zeros(0, U)
-            out.append((one, np.zeros(len(one), np.int64), len(one)))
-            continue
-        hh, first = np.unique(h[a:b], return_index=True)
-        out.append((hh, pos[a:b][first] - offsets[i], len(hh)))
+        h_i, place = h[cut[i] : cut[i + 1]], pos[cut[i] : cut[i + 1]] - offsets[i]
+        if len(r) < SHORT:
+            more = short_anchors(r)
+            h_i, place = np.concatenate([h_i, more]), np.concatenate([place, np.arange(len(more))])
+        hh, first = np.unique(h_i, return_index=True)
+        out.append((hh, place[first], len(hh)))
     return out
 
 
@@ -98,6 +109,8 @@ def likeness(a, b) -> float:
     (ha, pa_, _), (hb, pb, _) = a, b
     if not len(ha) or not len(hb):
         return 1.0 if len(ha) == len(hb) else 0.0
+    if (ha[-1] < SHORT_BIT) != (hb[-1] < SHORT_BIT):
+        (ha, pa_), (hb, pb) = ((h[: np.searchsorted(h, SHORT_BIT)], p) for h, p in ((ha, pa_), (hb, pb)))
     _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     if not len(ia):
         return 0.0

@@ -357,6 +357,15 @@ def test_fingerprints_keep_every_anchor():
     assert fingerprints.likeness(*sketches) >= 0.9 * len(in_passage) / sum(s[2] for s in sketches)
 
 
+def test_fingerprints_of_short_texts_survive_an_edit():
+    sketch = lambda t: fingerprints.unpack(fingerprints.pack(fingerprints.sketch_many([t])[0]))
+    for n in range(7, 300):
+        for text, following in ((prose(n, 60)[:n], prose(1000 + n, 60)), (prose(n, 60)[:n], "é😀" * 200), (prose(n, 60)[: n - n // 4] + "😀" * (n // 4), "x" * 300)):
+            changed = fingerprints.edited(text, following)
+            assert fingerprints.likeness(sketch(text), sketch(changed)) > 0 and fingerprints.likeness(sketch(text), sketch(text)) == 1.0
+    assert fingerprints.likeness(sketch("short"), sketch(prose(1, 60))) == 0.0 and sketch(prose(1, 60))[0][-1] < fingerprints.SHORT_BIT
+
+
 def test_syncmers_equal_their_definition():
     raw = prose(1, 60).encode()
     data = np.frombuffer(raw, np.uint8)
