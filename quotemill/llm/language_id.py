@@ -2,8 +2,8 @@
 
 One model per language over 4-grams of lower-cased characters, stored as sorted arrays of n-gram hashes with the
 discounted probability of each n-gram and the back-off weight of each context.  A text gets the language of the
-lowest cross-entropy per letter; it is rejected if that exceeds the threshold calibrated for the language on texts
-kept out of the counts, or if it has no letter.
+lowest cross-entropy per letter; it is rejected if that exceeds the threshold calibrated for the language and the
+text's number of letters on texts kept out of the counts, or if it has no letter.
 
 Null or letterless texts: ``und``, score 0, rejected.  Ties go to the first language in alphabetical order.  No
 labelled text at all: every text is ``und`` and rejected.  Columns of the input named like the results are replaced.
@@ -30,6 +30,8 @@ ORDER, BITS = 4, 6
 BLOCKS, FREQUENT = 12, 51
 #: Letters of a calibration slice; texts vary less the longer they are, so the threshold holds for longer ones too.
 SLICE, MARGIN = 60, 0.12
+#: Shorter texts are held against slices of the greatest of these lengths that they reach.
+LENGTHS = (1, 2, 4, 8, 15, 30, SLICE)
 #: The score is a posterior over this many letters at most, so that it doesn't saturate with length.
 SCORE_LETTERS = 40
 
@@ -40,7 +42,7 @@ class Model:
     symbols: np.ndarray
     grams: list[tuple[np.ndarray, np.ndarray]]  # by language and order: sorted hashes, discounted probabilities
     contexts: list[tuple[np.ndarray, np.ndarray]]  # by language and context length: sorted hashes, back-off weights
-    reject: np.ndarray
+    reject: np.ndarray  # by language and length of LENGTHS
     uid: str = dataclasses.field(default_factory=lambda: uuid.uuid4().hex)
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
@@ -117,7 +119,7 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     """A model from (language, text); every fifth text of a language calibrates its threshold instead of counting."""
     languages = sorted({k for k, _ in sample})
     table = _symbol_table([t for _, t in sample])
-    model = Model(languages, table, [], [], np.zeros(len(languages)))
+    model = Model(languages, table, [], [], np.zeros((len(languages), len(LENGTHS))))
     held = []
     for lang in languages:
         texts = [t for k, t in sample if k == lang]
@@ -134,9 +136,12 @@ def fit(sample: list[tuple[str, str]]) -> Model:
         cps, off = code_points([t.lower() for t in texts])
         sym = table[cps]
         lp = model.log_probabilities(_packed(sym, off)[sym > 0].astype(U))[:, k] if len(sym) else np.zeros(0)
-        cut = np.arange(0, max(1, len(lp) - SLICE + 1), SLICE)
-        means = np.array([-lp[a : a + SLICE].mean() for a in cut]) if len(lp) else np.array([np.log(1 << BITS)])
-        model.reject[k] = np.quantile(means, 0.999) * (1 + MARGIN)
+        for j, size in enumerate(LENGTHS):
+            cut = np.arange(0, max(1, len(lp) - size + 1), size)
+            means = np.array([-lp[a : a + size].mean() for a in cut]) if len(lp) else np.array([np.log(1 << BITS)])
+            model.reject[k, j] = np.quantile(means, 0.999) * (1 + MARGIN)
+    # No threshold lies below that of longer texts.
+    model.reject = np.maximum.accumulate(model.reject[:, ::-1], axis=1)[:, ::-1]
     return model
 
 
@@ -180,7 +185,7 @@ def score(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.nda
         ["und" if none[i] else model.languages[best[i]] for i in range(n)],
         np.where(none, 0.0, 1 / odds.sum(1)),
         lowest,
-        none | (lowest > model.reject[best]),
+        none | (lowest > model.reject[best, np.searchsorted(LENGTHS, np.maximum(letters, 1), "right") - 1]),
     )
 
 

@@ -309,6 +309,13 @@ def test_language_models_sum_to_one_and_separate():
         assert np.exp(m.log_probabilities(keys)[:, k]).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_no_short_document_of_a_known_language_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang IS NOT NULL")
+    found = language_id.identify(docs.select("doc_id", "text", "lang"), language_id.train(docs))
+    short = [r for r in found.filter("lang_pred = lang AND length(text) < 120").select("text", "rejected").collect() if sum(c.isalpha() for c in r.text) < language_id.SLICE]
+    assert len(short) > 200 and not any(r.rejected for r in short)
+
+
 # ---------------------------------------------------------------- 9, 10
 
 def test_index_persists(spark, tmp_path):
