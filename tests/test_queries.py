@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -25,7 +26,7 @@ def db():
 def plain(frame):
     frame = frame[sorted(frame.columns)]
     def one(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
         if hasattr(v, "isoformat"):
             return v.isoformat()
