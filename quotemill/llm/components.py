@@ -2,20 +2,61 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import checkpointed
 
+#: Edges that a task contracts at once.
+PIECE = 1 << 19
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with the same components and no more rows: each piece of a task becomes a star for each of its
+    components."""
+
+    def star(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        parent = list(range(len(nodes)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        top = np.array([root(k) for k in range(len(nodes))], np.int64)
+        far = np.flatnonzero(top != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[top[far]])], names=["u", "v"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append((b.column("u").to_numpy(), b.column("v").to_numpy()))
+            n += b.num_rows
+            if n >= PIECE:
+                yield star(*(np.concatenate(x) for x in zip(*held)))
+                held, n = [], 0
+        if n:
+            yield star(*(np.concatenate(x) for x in zip(*held)))
+
+    return edges.mapInArrow(run, "u bigint, v bigint")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b); a component's name is its smallest node.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014): each replaces a node's edges by edges to the
-    smallest node it knows, by one aggregation and one join, without collecting neighbours; each step's edges are
-    written to the shared folder.  Ends when the edges stop changing.
+    Without edges that join two nodes there are no rows.  Tasks first contract their own edges.  Then alternates
+    large-star and small-star steps (Kiveris et al., 2014): each replaces a node's edges by edges to the smallest node
+    it knows, by one aggregation and one join, without collecting neighbours; each step's edges are written to the
+    shared folder.  Ends when the edges stop changing.
     """
-    e = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    e = checkpointed(contracted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()), "edges")
     state = _state(e)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

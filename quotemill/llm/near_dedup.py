@@ -1,7 +1,6 @@
 """Near-duplicate groups by BagMinHash signatures, banding and verified multiset overlap.
 
-Texts are multisets of five-word shingles (lower case, runs of letters and digits; a text of one to four words is one
-shingle).  Two texts are linked if their weighted Jaccard similarity is 0.8 or more, and a class is a connected
+Texts are multisets of five-word shingles (lower case; a text of one to four words is one shingle).  Two texts are linked if their weighted Jaccard similarity is 0.8 or more, and a class is a connected
 component of links, named by its smallest doc_id.
 
 Signatures: each shingle with weight w owns Poisson processes over the weight ranges [0,1), [1,2), [2,4), [4,8) ...
@@ -11,14 +10,18 @@ the first point to reach it, so two registers agree with probability sum(min)/su
 
 Candidates: texts with equal multisets are one.  In each band's bucket every text is compared with two pivots, the
 smallest doc_id and the text with the most bucket mates; each text's best estimate is verified, and the verified
-links contract the buckets.  Where a bucket still holds several components, each text is compared in blocks with the
-texts of other components and its best estimate is verified.  What still is mixed is settled in blocks that hold the
-shingles: all pairs across components that may reach the threshold are verified where they are, the likeliest first,
-and a pair whose ends have met by then is left out.  So no candidate of a bucket is left out, however large the
-bucket, and neither pairs of a group nor pairs inside a component are written out.
-
-A text without words is a class of its own.  Null text counts as empty.  Rows with null doc_id get class_id null and
-are kept.  Rows that share a doc_id count as one document, linked through any of its texts.
+links contract the buckets.  A bucket that still holds several components is anchored at the largest of them, and all
+buckets of an anchor are settled together: the few texts outside the anchor's component (outsiders) meet its members
+and each other, each text being sent once and not once a band; their overlaps are counted exactly.  Members of the anchor never meet each other, so a large group costs its
+size times the number of its outsiders, and a task writes fewer links than it has rows.  An anchor with many buckets
+is parted by buckets, and a part that still has more than UNIT_ROWS rows or UNIT_BYTES of shingles by blocks of
+outsiders and of all rows, so no candidate of a bucket is left out, however large the bucket.
+
+Words: runs of letters, marks and digits; in scripts without spaces each character.  A text without words is a class
+of its own.  Null text counts as empty.  Rows with null doc_id get class_id null and are kept.  Rows that share a
+doc_id count as one document, linked through any of its texts; repeated rows are all returned.  Classes are named by
+their smallest doc_id, so ties cannot arise.  An empty table gives no rows.  Columns of docs but doc_id and text are
+ignored (keep_one returns them unchanged).
 """
 
 from __future__ import annotations
@@ -31,15 +34,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .textvec import U, hashes, mix, words
-from .workspace import checkpointed, pieces, utf8_buffer, written
+from .workspace import checkpointed, pieces, released, utf8_buffer, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
 #: Estimates below this are six standard deviations under the threshold.
 LEAST_ESTIMATE = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-#: Rows of a bucket that one task compares with as many others.
-BLOCK = 400
+#: Rows, and bytes of shingles, of one block of outsiders or of all texts of an anchor.
+UNIT_ROWS, UNIT_BYTES = 1024, 8 << 20
 #: Bytes of text that a worker sketches or compares at once.
 PIECE = 2 << 20
 OWNER_BITS = 16  # a batch has fewer texts than this allows; shingles keep 48 bits
@@ -126,6 +129,20 @@ def _lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return utf8_buffer(pc.utf8_lower(pc.fill_null(column, "")))
 
 
+def contents(h: np.ndarray, owner: np.ndarray, n: int) -> list[bytes | None]:
+    """128 bits that tell the shingle multisets of n texts apart; None for a text without words."""
+    count = np.bincount(owner, minlength=n)
+    order = np.lexsort((h, owner))
+    hh, first = h[order], np.cumsum(count) - count
+    has = count > 0
+    place = np.arange(len(hh)).astype(U) - np.repeat(first, count).astype(U)
+    both = np.zeros((n, 2), U)
+    if has.any():
+        both[has, 0] = np.add.reduceat(mix(hh + place * _ODD[0]), first[has])
+        both[has, 1] = np.add.reduceat(mix(hh * _ODD[1] + place), first[has])
+    return [both[i].tobytes() if has[i] else None for i in range(n)]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, content, signature) of each row; content tells equal shingle multisets, null without words."""
 
@@ -133,28 +150,17 @@ def sketches(docs: DataFrame) -> DataFrame:
         for b in pieces(batches, limit=PIECE):
             h, owner = shingles(*_lower(b.column("text")))
             n = b.num_rows
-            sig = signatures(h, owner, n)
-            count = np.bincount(owner, minlength=n)
-            order = np.lexsort((h, owner))
-            hh, first = h[order], np.cumsum(count) - count
-            has = count > 0
-            place = np.arange(len(hh)).astype(U) - np.repeat(first, count).astype(U)
-            c1, c2 = np.zeros(n, U), np.zeros(n, U)
-            if has.any():
-                c1[has] = np.add.reduceat(mix(hh + place * _ODD[0]), first[has])
-                c2[has] = np.add.reduceat(mix(hh * _ODD[1] + place), first[has])
-            both = np.stack([c1, c2], 1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([both[i].tobytes() if has[i] else None for i in range(n)], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
+                [b.column("doc_id"), pa.array(contents(h, owner, n), pa.binary()), pa.array([s.tobytes() for s in signatures(h, owner, n)], pa.binary())],
                 names=["doc_id", "content", "signature"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, content binary, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id bigint, content binary, signature binary")
 
 
-def estimates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def estimates(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b) with est, the share of equal registers, where it may reach the threshold."""
-    sig = reps.select(F.col("doc_id").alias("_id"), F.col("signature").alias("_sig"))
+    sig = texts.select(F.col("doc").alias("_id"), F.col("signature").alias("_sig"))
     joined = pairs.join(sig.select(F.col("_id").alias("a"), F.col("_sig").alias("sa")), "a").join(sig.select(F.col("_id").alias("b"), F.col("_sig").alias("sb")), "b")
 
     def run(batches):
@@ -167,171 +173,184 @@ def estimates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, est double")
 
 
-def overlap(left: tuple, right: tuple, n: int) -> np.ndarray:
-    """Weighted Jaccard similarity of n pairs of shingle multisets, each side as (hashes, pair number)."""
-    bits = max(1, int(n).bit_length())
-    keys, sizes = [], np.zeros(n)
-    for h, owner in (left, right):
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        keys.append((owner.astype(U) << U(64 - bits)) | (_occurrences(h, owner) >> U(bits)))
-        sizes += np.bincount(owner, minlength=n)
-    both = np.sort(np.concatenate(keys))
-    twice = both[1:][both[1:] == both[:-1]]
-    shared = np.bincount((twice >> U(64 - bits)).astype(np.int64), minlength=n)
-    return np.where(sizes > 0, shared / np.maximum(sizes - shared, 1), 0.0)
+def shared_shingles(left: np.ndarray, rights: list[np.ndarray]) -> np.ndarray:
+    """How many keys each of ``rights`` shares with ``left``; all are sorted, without repeats and not empty."""
+    every = np.concatenate(rights)
+    at = np.searchsorted(left, every)
+    hit = left[np.minimum(at, len(left) - 1)] == every
+    sizes = np.array([len(r) for r in rights])
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def linked(left: np.ndarray, rights: list[np.ndarray]) -> np.ndarray:
+    """Whether the weighted Jaccard similarity of left with each of rights reaches THRESHOLD."""
+    both = shared_shingles(left, rights)
+    sizes = len(left) + np.array([len(r) for r in rights])
+    return both >= THRESHOLD * (sizes - both)
+
+
+def _occurrences(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Keys of sorted shingles that count repeats: the n-th occurrence of a shingle in a text has a key of its own."""
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    run = np.arange(len(h)) - np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
+    return mix(h + run.astype(U) * _ODD[2])
+
+
+def multiset_keys(h: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
+    """The shingles of each of n texts as sorted keys, one for each occurrence."""
+    order = np.lexsort((h, owner))
+    k, o = _occurrences(h[order], owner[order]), owner[order]
+    cut = np.searchsorted(o, np.arange(n + 1))
+    return [np.sort(k[x:y]) for x, y in zip(cut, cut[1:])]
+
+
+def carried(docs: DataFrame, reps: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(doc, signature, shingles, size) of the texts that share a bucket; the corpus's texts move once for it."""
+    wanted = buckets.select(F.col("doc").alias("_want")).distinct()
+    text = docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("_want"), "left_semi")
+
+    def run(batches):
+        for b in pieces(batches, limit=PIECE):
+            data, offsets = _lower(b.column("text"))
+            h, owner = shingles(data, offsets)
+            content = contents(h, owner, b.num_rows)
+            keys = multiset_keys(h, owner, b.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(content, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([len(k) for k in keys], pa.int32())],
+                names=["doc", "content", "shingles", "size"],
+            )
+
+    keyed = text.mapInArrow(released(run), "doc bigint, content binary, shingles binary, size int").dropDuplicates(["doc", "content"])
+    own = reps.select(F.col("doc_id").alias("doc"), "content", "signature").join(wanted.hint("merge"), F.col("doc") == F.col("_want"), "left_semi")
+    return own.join(keyed.hint("merge"), ["doc", "content"]).select("doc", "signature", "shingles", "size")
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' overlap reaches THRESHOLD.  Both joins use one exchange of the texts."""
-    text = docs.select(F.col("doc_id").alias("_id"), "text")
-    joined = pairs.select("a", "b").join(text.hint("merge"), F.col("a") == F.col("_id")).select("a", "b", F.col("text").alias("ta"))
-    joined = joined.join(text.hint("merge"), F.col("b") == F.col("_id")).select("a", "b", "ta", F.col("text").alias("tb"))
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts (as of carried) whose overlap reaches THRESHOLD."""
+    keys = texts.select(F.col("doc").alias("_doc"), "shingles")
+    joined = pairs.select("a", "b").join(keys.hint("merge"), F.col("a") == F.col("_doc")).select("a", "b", F.col("shingles").alias("sa"))
+    joined = joined.join(keys.hint("merge"), F.col("b") == F.col("_doc")).select("a", "b", "sa", F.col("shingles").alias("sb"))
 
     def run(batches):
-        for b in pieces(batches, "ta", PIECE):
-            for c in pieces([b], "tb", PIECE):
-                n = c.num_rows
-                sim = overlap(shingles(*_lower(c.column("ta"))), shingles(*_lower(c.column("tb"))), n)
-                ok = pa.array(sim >= THRESHOLD)
-                yield pa.RecordBatch.from_arrays([c.column("a").filter(ok), c.column("b").filter(ok)], names=["a", "b"])
+        for b in batches:
+            left, right = (b.column(c) for c in ("sa", "sb"))
+            ok = pa.array([bool(linked(np.frombuffer(x.as_buffer(), U), [np.frombuffer(y.as_buffer(), U)])[0]) for x, y in zip(left, right)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return joined.mapInArrow(released(run), "a bigint, b bigint")
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """(key, doc, n) of every band of every text, where n > 1 texts share the bucket."""
+    """(key, doc) of every band of every text, where several texts share the bucket.  Both uses of the bands read one exchange."""
     width = 4 * ROWS
-    bands = reps.select(F.col("doc_id").alias("doc"), F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(BANDS)])).alias("band", "key"))
-    bands = checkpointed(bands, "bands")
-    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return bands.join(sizes.hint("merge"), "key")
+    bands = reps.select(F.col("doc_id").alias("doc"), F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(BANDS)])).alias("key"))
+    bands = bands.select("key", "doc").repartition("key")
+    several = bands.groupBy("key").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).filter("d0 < d1").select("key")
+    return bands.join(several.hint("merge"), "key", "left_semi")
 
 
 def _stars(buckets: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of each text with its buckets' two pivots."""
-    mates = buckets.groupBy("doc").agg(F.sum("n").alias("mates"))
-    pivots = buckets.join(mates, "doc").groupBy("key").agg(F.min("doc").alias("smallest"), F.max(F.struct("mates", (-F.col("doc")).alias("neg"))).alias("top"))
-    pivots = pivots.select("key", F.explode(F.array_distinct(F.array("smallest", -F.col("top.neg")))).alias("b"))
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("smallest"))
+    sized = buckets.join(sizes.hint("merge"), "key")
+    mates = sized.groupBy("doc").agg(F.sum("n").alias("mates"))
+    top = buckets.join(mates.hint("merge"), "doc").groupBy("key").agg(F.max(F.struct("mates", (-F.col("doc")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("top"))
+    pivots = sizes.join(top.hint("merge"), "key").select("key", F.explode(F.array_distinct(F.array("smallest", "top"))).alias("b"))
     return buckets.join(pivots.hint("merge"), "key").select(F.col("doc").alias("a"), "b").filter("a <> b").distinct()
 
 
-def _mixed(buckets: DataFrame, named: DataFrame) -> DataFrame:
-    """(key, band, doc, component, g): the rows of buckets that hold several components, and the blocks a bucket needs."""
-    own = buckets.select("key", "band", "doc").join(named.withColumnRenamed("node", "doc"), "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 < c1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
-    return own.join(mixed.hint("merge"), "key")
-
-
-def _blocks(rows: DataFrame, carried: DataFrame) -> DataFrame:
-    """rows with what is carried for each doc, in every pair of blocks (p <= q) that the row's own block i is part of."""
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int"))
-    rows = rows.select("key", "band", "doc", "component", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("k"))
-    rows = rows.select("key", "band", "doc", "component", "i", F.least("i", "k").alias("p"), F.greatest("i", "k").alias("q"))
-    return rows.join(carried, "doc")
-
-
-class _Block:
-    """One pair of blocks of a bucket."""
-
-    def __init__(self, table: pa.Table):
-        table = table.combine_chunks()
-        self.table = table
-        self.doc, self.component, i = (table.column(c).to_numpy() for c in ("doc", "component", "i"))
-        self.signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, REGISTERS)
-        self.band = table.column("band")[0].as_py()
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        every = np.arange(len(self.doc))
-        self.left, self.right = (every, every) if p == q else (np.flatnonzero(i == p), np.flatnonzero(i == q))
-        self.same = p == q
-
-    def candidates(self):
-        """(row, rows of other components that may be linked, estimates), each pair in the first band that it shares."""
-        for x in self.left:
-            y = self.right[self.component[self.right] != self.component[x]]
-            if self.same:
-                y = y[y > x]
-            if not len(y):
-                continue
-            equal = self.signature[y] == self.signature[x]
-            est = equal.mean(1)
-            first = equal.reshape(len(y), BANDS, ROWS).all(2).argmax(1) == self.band
-            ok = (est >= LEAST_ESTIMATE) & first
-            if ok.any():
-                yield x, y[ok], est[ok]
-
-
-def _best_across(buckets: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
-    """Each text's best estimate in another component of its buckets: a row for each text."""
-
-    def best(table: pa.Table) -> pa.Table:
-        b = _Block(table)
-        score, mate = np.zeros(len(b.doc)), np.full(len(b.doc), -1)
-        for x, y, est in b.candidates():
-            k = est.argmax()
-            if est[k] > score[x]:
-                score[x], mate[x] = est[k], y[k]
-            better = est > score[y]
-            score[y[better]], mate[y[better]] = est[better], x
-        has = np.flatnonzero(mate >= 0)
-        return pa.table({"a": pa.array(b.doc[has]), "b": pa.array(b.doc[mate[has]]), "est": pa.array(score[has])})
-
-    carried = reps.select(F.col("doc_id").alias("doc"), "signature")
-    found = _blocks(_mixed(buckets, named), carried).groupBy("key", "p", "q").applyInArrow(best, "a bigint, b bigint, est double")
-    return found.groupBy("a").agg(F.max(F.struct("est", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-
-
-def _settled(buckets: DataFrame, reps: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) across the components of buckets that still are mixed: of the pairs that may be linked all that
-    aren't connected by the time are verified; a block writes fewer links than it has rows."""
-    rows = checkpointed(_mixed(buckets, named), "mixed")
-    wanted = rows.select(F.col("doc").alias("_want")).distinct()
-    text = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted.hint("merge"), F.col("doc") == F.col("_want"), "left_semi")
-
-    def keys(batches):
-        for b in pieces(batches, limit=PIECE):
-            h, owner = shingles(*_lower(b.column("text")))
-            order = np.lexsort((h, owner))
-            k, o = _occurrences(h[order], owner[order]), owner[order]
-            cut = np.searchsorted(o, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([np.sort(k[x:y]).tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], names=["doc", "shingles"])
-
-    shingled = text.mapInArrow(keys, "doc bigint, shingles binary").join(reps.select(F.col("doc_id").alias("doc"), "signature"), "doc")
-
-    def settle(table: pa.Table) -> pa.Table:
-        b = _Block(table)
-        sets = [np.frombuffer(x, U) for x in b.table.column("shingles").to_pylist()]
-        pairs = [(np.full(len(y), x), y, est) for x, y, est in b.candidates()]
-        links = []
-        if pairs:
-            x, y, est = (np.concatenate([p[k] for p in pairs]) for k in range(3))
-            parent = {int(c): int(c) for c in b.component}
-
-            def root(c: int) -> int:
-                while parent[c] != c:
-                    parent[c] = c = parent[parent[c]]
-                return c
-
-            for k in np.argsort(-est, kind="stable"):
-                u, v = root(int(b.component[x[k]])), root(int(b.component[y[k]]))
-                if u != v:
-                    left, right = sets[x[k]], sets[y[k]]
-                    at = np.searchsorted(right, left)
-                    shared = int((right[np.minimum(at, len(right) - 1)] == left).sum())
-                    if shared >= THRESHOLD * (len(left) + len(right) - shared):
-                        parent[u] = v
-                        links.append((int(b.doc[x[k]]), int(b.doc[y[k]])))
-        return pa.table({"a": pa.array([u for u, _ in links], pa.int64()), "b": pa.array([v for _, v in links], pa.int64())})
-
-    return _blocks(rows, shingled).groupBy("key", "p", "q").applyInArrow(settle, "a bigint, b bigint")
+def _units(buckets: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of mixed buckets, by unit (anchor, part, i, k): block i of the outsiders (left) and block k of all (right)."""
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    own = buckets.join(named.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    own = checkpointed(own.join(sizes.hint("merge"), "component", "left").select("key", "doc", "component", F.coalesce("members", F.lit(1)).alias("members")), "members")
+    anchors = own.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.struct("members", (-F.col("component")).alias("neg"))).alias("m"))
+    anchors = anchors.filter("c0 < c1").select("key", (-F.col("m.neg")).alias("anchor"))
+    rows = checkpointed(own.join(anchors.hint("merge"), "key").select("key", "doc", "component", "anchor"), "mixed")
+    parts = rows.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / (8 * UNIT_ROWS)).cast("int").alias("parts"))
+    rows = rows.join(parts.hint("merge"), "anchor").select("anchor", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "doc", "component").distinct()
+    held = rows.join(texts.select("doc", "shingles", "size").hint("merge"), "doc").withColumn("outside", F.col("component") != F.col("anchor"))
+    held = checkpointed(held, "held")
+    blocks = lambda n, size: F.greatest(F.ceil(n / UNIT_ROWS), F.ceil(8 * size / UNIT_BYTES), F.lit(1)).cast("int")
+    out = F.col("outside").cast("int")
+    counts = held.groupBy("anchor", "part").agg(blocks(F.count(F.lit(1)), F.sum("size")).alias("gk"), blocks(F.sum(out), F.sum(out * F.col("size"))).alias("gi"))
+    at = held.join(counts.hint("merge"), ["anchor", "part"])
+    at = at.withColumn("own_i", F.pmod(F.xxhash64("doc"), F.col("gi")).cast("int")).withColumn("own_k", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("gk")).cast("int"))
+    place = lambda i, k, left, right: F.struct(i.alias("i"), k.alias("k"), left.alias("left"), right.alias("right"))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("gk") - 1), lambda k: place(F.col("own_i"), k, F.lit(True), k == F.col("own_k")))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("gi") - 1), lambda i: place(i, F.col("own_k"), F.lit(False), F.lit(True)))
+    places = F.when(F.col("outside"), F.concat(as_left, F.filter(as_right, lambda s: s["i"] != F.col("own_i")))).otherwise(as_right)
+    return at.withColumn("at", F.explode(places)).select("anchor", "part", "at.i", "at.k", "at.left", "at.right", "doc", "component", "shingles")
+
+
+def _settle_unit(anchor: int, doc: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Links between components of a unit, so many that all that is alike is connected; keys are the rows' shingles one
+    after another.  Each left row's overlaps with all right rows at once are counted by an index of the right rows' keys."""
+    links, parent = [], {int(c): int(c) for c in component}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    start = np.cumsum(sizes) - sizes
+    code = np.unique(keys, return_inverse=True)[1].astype(np.int32)
+    number = np.full(len(doc), -1, np.int32)  # of right rows
+    rows = np.flatnonzero(right)
+    number[rows] = np.arange(len(rows))
+    owner = np.repeat(number, sizes)
+    at = np.flatnonzero(owner >= 0)
+    at = at[np.argsort(code[at], kind="stable")]
+    owner = owner[at]
+    first = np.searchsorted(code[at], np.arange(int(code.max(initial=-1)) + 2))
+    inside, doc_r, size_r, comp_r = component[rows] == anchor, doc[rows], sizes[rows], component[rows]
+    for x in np.flatnonzero(left):
+        own = code[start[x] : start[x] + sizes[x]]
+        lo = first[own]
+        n = first[own + 1] - lo
+        places = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        both = np.bincount(owner[places], minlength=len(rows))
+        # Of two outsiders the one with the smaller doc_id is the left one.
+        alike = (both >= THRESHOLD * (sizes[x] + size_r - both)) & (comp_r != component[x]) & (inside | (doc_r > doc[x]))
+        for k in np.flatnonzero(alike):
+            u, v = root(int(component[x])), root(int(comp_r[k]))
+            if u != v:
+                parent[u] = v
+                links.append((int(doc[x]), int(doc_r[k])))
+    return links
+
+
+def _settled(units: DataFrame) -> DataFrame:
+    """Links (a, b) across the components of mixed buckets; each unit writes fewer than it has rows."""
 
+    def run(batches):
+        held, now = [], None
 
-def _occurrences(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Keys of sorted shingles that count repeats: the n-th occurrence of a shingle in a text has a key of its own."""
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    run = np.arange(len(h)) - np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
-    return mix(h + run.astype(U) * _ODD[2])
+        def close():
+            table = pa.Table.from_batches(held).combine_chunks()
+            doc, component = (table.column(c).to_numpy() for c in ("doc", "component"))
+            left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
+            blobs = table.column("shingles").to_pylist()
+            sizes = np.array([len(x) // 8 for x in blobs])
+            links = _settle_unit(now[0], doc, component, left, right, np.frombuffer(b"".join(blobs), U), sizes)
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            names = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("anchor", "part", "i", "k")], 1)
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(names)]
+            for p, q in zip(cuts, cuts[1:]):
+                if q > p:
+                    if now is not None and tuple(names[p].tolist()) != now:
+                        yield close()
+                        held = []
+                    now = tuple(names[p].tolist())
+                    held.append(b.slice(p, q - p))
+        if held:
+            yield close()
+
+    order = ["anchor", "part", "i", "k"]
+    return units.repartition(*order).sortWithinPartitions(*order).mapInArrow(released(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -341,17 +360,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = made.filter("content IS NOT NULL AND doc_id IS NOT NULL")
     reps = written(usable.groupBy("content").agg(F.min(F.struct("doc_id", "signature")).alias("r")).select("content", "r.doc_id", "r.signature"), "representatives")
     buckets = checkpointed(_buckets(reps), "buckets")
-    stars = estimates(_stars(buckets), reps)
+    texts = written(carried(docs, reps, buckets), "carried")
+    stars = estimates(_stars(buckets), texts)
     best = stars.groupBy("a").agg(F.max(F.struct("est", (-F.col("b")).alias("neg"))).alias("m")).select("a", (-F.col("m.neg")).alias("b"))
-    links = checkpointed(verify(checkpointed(best, "candidates"), docs), "links")
+    links = checkpointed(verify(best, texts), "links")
+    links = links.union(checkpointed(_settled(_units(buckets, checkpointed(components(links), "components"), texts)), "links"))
     named = checkpointed(components(links), "components")
-    more = checkpointed(_best_across(buckets, reps, named), "candidates")
-    if more.limit(1).count():
-        links = links.union(checkpointed(verify(more, docs), "links"))
-        named = checkpointed(components(links), "components")
-        links = links.union(checkpointed(_settled(buckets, reps, named, docs), "links"))
-        named = checkpointed(components(links), "components")
-    classes = reps.select("content", "doc_id").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("content", F.coalesce("component", "doc_id").alias("class"))
+    classes = reps.select("content", "doc_id").join(named.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("content", F.coalesce("component", "doc_id").alias("class"))
     out = made.select("doc_id", "content").join(classes.hint("merge"), "content", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")))
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 

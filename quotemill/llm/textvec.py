@@ -29,24 +29,60 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For each code point: 1 part of a word (letter, mark, number), 2 a word of its own (scripts without spaces), 0 neither."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x80, 0x110000):
+        if unicodedata.category(chr(c))[0] in "LMN":
+            out[c] = 1
+    # Thai, Lao, Myanmar, Khmer, kana, Bopomofo and ideographs.
+    for a, b in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)):
+        out[a : b + 1][out[a : b + 1] == 1] = 2
+    return out
+
+
+def _wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, bytes and kind of each non-ASCII character."""
+    at = np.flatnonzero(data >= 0xC0)
+    lead = data[at].astype(np.int32)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    point = lead & (0xFF >> (size + 1))
+    last = len(data) - 1
+    for k in range(1, 4):
+        more = size > k
+        point[more] = (point[more] << 6) | (data[np.minimum(at[more] + k, last)] & 0x3F)
+    return at, size, _kinds()[np.minimum(point, 0x10FFFF)]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of maximal runs of ASCII letters, digits and non-ASCII bytes, and each run's document."""
+    """Starts and ends of the words of UTF-8 texts, and each word's document.
+
+    A word is a maximal run of letters, marks and digits; in scripts that don't part words by spaces each character is one.
+    """
     if not len(data):
         e = np.zeros(0, np.int64)
         return e, e, e
     inside = _ALNUM[data]
     before = np.empty_like(inside)
+    cuts = offsets[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    at, size, kind = _wide(data)
+    for k in range(4):
+        neither = at[(kind == 0) & (size > k)] + k
+        inside[neither[neither < len(data)]] = False
+    alone = kind == 2
+    if alone.any():
+        cuts = np.concatenate([cuts, at[alone], (at + size)[alone]])
+        cuts = cuts[(cuts > 0) & (cuts < len(data))]
     before[0] = False
     before[1:] = inside[:-1]
-    edges = offsets[1:-1]
-    edges = edges[edges < len(data)]
-    before[edges] = False
+    before[cuts] = False
     starts = np.flatnonzero(inside & ~before)
-    after = np.empty_like(inside)
+    after = before  # reused
     after[-1] = False
     after[:-1] = inside[1:]
-    cut = edges[edges > 0] - 1
-    after[cut] = False
+    after[cuts - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,6 +38,36 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """What a Python worker keeps from task to task, one thing at a time: asking for another lets the last one go."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def released(run: Callable) -> Callable:
+    """run, as a task that keeps nothing afterwards: workers live on, so free memory goes back to the system."""
+
+    def whole(batches):
+        _held.clear()
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
+def trim() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def checkpointed(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 

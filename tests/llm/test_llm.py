@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -55,9 +57,28 @@ def test_awkward_and_empty_tables(spark, op):
 
 # ---------------------------------------------------------------- 1
 
+ALONE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af]")
+
+
+def own_words(text):
+    """Words letter by letter: runs of letters, marks and digits, or single characters of scripts without spaces."""
+    out, run = [], ""
+    for c in text + " ":
+        word = c.isascii() and c.isalnum() or not c.isascii() and unicodedata.category(c)[0] in "LMN"
+        if word and not ALONE.match(c):
+            run += c
+            continue
+        if run:
+            out.append(run)
+        run = ""
+        if word:
+            out.append(c)
+    return out
+
+
 def brute_classes(ids, texts):
     def grams(t):
-        w = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower())
+        w = own_words((t or "").lower())
         return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
     sets, parent = [grams(t) for t in texts], list(range(len(ids)))
@@ -93,6 +114,85 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_classes(list(range(len(texts))), texts)
 
 
+@pytest.mark.parametrize("rows, size", [(1024, 8 << 20), (7, 4000)])
+def test_a_cloud_of_near_copies_is_settled_exactly(spark, monkeypatch, rows, size):
+    """Copies of one text, each changed at so many places that about half of the pairs are alike: units of one block, and of many."""
+    monkeypatch.setattr(near_dedup, "UNIT_ROWS", rows)
+    monkeypatch.setattr(near_dedup, "UNIT_BYTES", size)
+    r, texts = random.Random(8), []
+    for k in range(90):
+        w = prose(77, 150).split()
+        for _ in range(r.choice([1, 2, 3, 4])):
+            w[r.randrange(len(w))] = f"new{k}"
+        texts.append(" ".join(w))
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(table(spark, texts)).collect()}
+    want = brute_classes(list(range(len(texts))), texts)
+    assert got == want and 1 < len(set(want.values())) < 60
+
+
+def test_near_copies_without_spaces(spark):
+    r = random.Random(3)
+    a, b = ("".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(600)) for _ in range(2))
+    thai = "".join(chr(r.randrange(0xE01, 0xE2F)) for _ in range(600))
+    texts = [a, b, a[:300] + "中" + a[301:], thai, thai[:100] + thai[101:], a.replace(a[5], "、"), "one\u00a0two，three four five six", "one two three four five six"]
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert got == brute_classes(list(range(len(texts))), texts) == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3, 5: 0, 6: 6, 7: 6}
+
+
+def test_rows_that_share_a_doc_id_are_one_document(spark):
+    x, y = prose(1, 60), prose(2, 60)
+    rows = [(1, x), (1, y), (2, x + " end"), (3, y + " end"), (4, prose(3, 60)), (4, prose(3, 60)), (None, x), (5, ""), (6, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.class_id, r.kept) for r in near_dedup.near_duplicates(d).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (None, None, True), (5, 5, True), (6, 6, True)], key=str)
+
+
+def brute_links(texts):
+    """All pairs at 0.8 or more: two such texts share one of the rarest fifth (and one more) of their shingles."""
+    grams = []
+    for t in texts:
+        w = own_words((t or "").lower())
+        c = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+        grams.append({(g, k) for g, n in c.items() for k in range(n)})
+    seen = Counter(g for s in grams for g in s)
+    lists = {}
+    for i, s in enumerate(grams):
+        for g in sorted(s, key=lambda g: (seen[g], g))[: len(s) - math.ceil(0.8 * len(s)) + 1]:
+            lists.setdefault(g, []).append(i)
+    out, tried = set(), set()
+    for own in lists.values():
+        for p, i in enumerate(own):
+            for j in own[:p]:
+                if (j, i) not in tried:
+                    tried.add((j, i))
+                    if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                        out.add((j, i))
+    return out
+
+
+def test_recall_on_the_tables(spark):
+    """The whole of sf0.1: every link that brute force finds is inside a class, and classes have no more than the links give."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    distinct = {}
+    for i, t in rows:
+        distinct.setdefault(t or "", i)
+    ids, texts = list(distinct.values()), list(distinct)
+    links = [(ids[a], ids[b]) for a, b in brute_links(texts)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in [*links, *((distinct[t or ""], i) for i, t in rows if own_words(t or ""))]:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    assert len(links) > 50 and got == {i: root(i) for i in got}
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     z = []
@@ -104,7 +204,9 @@ def test_signatures_estimate_weighted_jaccard():
         j = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
         s = near_dedup.signatures(np.r_[a, b], np.r_[np.zeros(len(a), int), np.ones(len(b), int)], 2)
         z.append(((s[0] == s[1]).mean() - j) / max(0.02, np.sqrt(j * (1 - j) / near_dedup.REGISTERS)))
-        assert near_dedup.overlap((a, np.zeros(len(a), int)), (b, np.zeros(len(b), int)), 1)[0] == pytest.approx(j)
+        x, y = near_dedup.multiset_keys(np.r_[a, b], np.r_[np.zeros(len(a), int), np.ones(len(b), int)], 2)
+        both = near_dedup.shared_shingles(x, [y])[0]
+        assert both / (len(x) + len(y) - both) == pytest.approx(j) and near_dedup.linked(x, [y])[0] == (j >= 0.8)
     assert abs(np.mean(z)) < 0.6 and np.std(z) < 1.6
 
 
