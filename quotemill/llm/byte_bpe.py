@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .textvec import categories, code_points
-from .workspace import pieces, texts_of
+from .workspace import held, pieces, texts_of
 
 # ---------------------------------------------------------------- pre-tokenisation
 
@@ -197,7 +197,7 @@ class PieceCache(dict):
     ``encode_new`` gets the list of pieces not met before and returns the ids of each.
     """
 
-    def __init__(self, encode_new, limit: int = 400_000):
+    def __init__(self, encode_new, limit: int = 250_000):
         self.encode_new, self.limit = encode_new, limit
         self.reset()
 
@@ -270,10 +270,12 @@ class Decoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def _codec(path: str) -> tuple[PieceCache, Decoder]:
-    ranks = load_ranks(path)
-    return PieceCache(lambda new: [merge(p.encode("utf-8", "surrogatepass"), ranks) for p in new]), Decoder(ranks)
+    def make():
+        ranks = load_ranks(path)
+        return PieceCache(lambda new: [merge(p.encode("utf-8", "surrogatepass"), ranks) for p in new]), Decoder(ranks)
+
+    return held(f"codec {path}", make)
 
 
 def vocabulary(path: str | None) -> str:
@@ -316,7 +318,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, its ids decoded, both digested in one pass."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, its ids decoded, both digested in one pass.
+
+    A row for each row of docs, repeated rows and null doc_ids too; null text is empty; other columns are ignored.
+    """
 
     def run(batches):
         cache, decoder = _codec(vocabulary(path))

@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model per language over 4-grams of lower-cased characters, stored as sorted arrays of n-gram hashes with the
+One model per language over 4-grams of lower-cased letters (code points; whatever is no letter is one mark), stored as sorted arrays of n-gram hashes with the
 discounted probability of each n-gram and the back-off weight of each context.  A text gets the language of the
 lowest cross-entropy per letter; it is rejected if that exceeds the threshold calibrated for the language and the
 text's number of letters on texts kept out of the counts, or if it has no letter.
@@ -12,7 +12,6 @@ labelled text at all: every text is ``und`` and rejected.  Columns of the input
 from __future__ import annotations
 
 import dataclasses
-import functools
 import uuid
 
 import numpy as np
@@ -23,11 +22,13 @@ from pyspark.sql import types as T
 
 from .sampling import labelled_sample
 from .textvec import U, categories, code_points, mix, sums
-from .workspace import pieces, texts_of
+from .workspace import held, pieces, texts_of
 
-ORDER, BITS = 4, 6
-#: Symbols: 0 no letter, 1 to 12 rarer letters by the block of 128 code points they are in, the rest frequent letters.
-BLOCKS, FREQUENT = 12, 51
+ORDER = 4
+#: Bytes of text that a worker scores at once.
+PIECE = 1 << 20
+#: n-grams that a worker remembers; beyond that it starts afresh.
+REMEMBERED = 500_000
 #: Letters of a calibration slice; texts vary less the longer they are, so the threshold holds for longer ones too.
 SLICE, MARGIN = 60, 0.12
 #: Shorter texts are held against slices of the greatest of these lengths that they reach.
@@ -39,30 +40,24 @@ SCORE_LETTERS = 40
 @dataclasses.dataclass
 class Model:
     languages: list[str]
-    symbols: np.ndarray
+    alphabet: int  # distinct letters of the sample, and one for all others
     grams: list[tuple[np.ndarray, np.ndarray]]  # by language and order: sorted hashes, discounted probabilities
     contexts: list[tuple[np.ndarray, np.ndarray]]  # by language and context length: sorted hashes, back-off weights
     reject: np.ndarray  # by language and length of LENGTHS
     uid: str = dataclasses.field(default_factory=lambda: uuid.uuid4().hex)
 
-    def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """Natural log of P(last symbol | those before it) of packed ORDER-grams, a column for each language."""
-        out = np.empty((len(codes), len(self.languages)), np.float32)
+    def log_probabilities(self, grams: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Natural log of P(letter | those before it), a column for each language; rows of the two tables of hashes
+        hold, by order, the n-gram that ends at the letter and the one before it."""
+        out = np.empty((len(grams), len(self.languages)), np.float32)
         for k in range(len(self.languages)):
-            p = np.full(len(codes), 1.0 / (1 << BITS))
-            for m in range(1, ORDER + 1):
-                tail = codes & U((1 << BITS * m) - 1)
-                keys, values = self.grams[k * ORDER + m - 1]
-                ctx, weight = self.contexts[k * ORDER + m - 1]
-                p = _find(keys, values, _key(tail, m), 0.0) + _find(ctx, weight, _key(tail >> U(BITS), m - 1), 1.0) * p
+            p = np.full(len(grams), 1.0 / self.alphabet)
+            for m in range(ORDER):
+                p = _find(*self.grams[k * ORDER + m], grams[:, m], 0.0) + _find(*self.contexts[k * ORDER + m], contexts[:, m], 1.0) * p
             out[:, k] = np.log(p)
         return out
 
 
-def _key(packed: np.ndarray, length: int) -> np.ndarray:
-    return mix(packed | U((length + 1) << 56))
-
-
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
     if not len(keys):
         return np.full(len(wanted), default)
@@ -70,113 +65,119 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: flo
     return np.where(keys[at] == wanted, values[at], default)
 
 
-def _symbol_table(texts: list[str]) -> np.ndarray:
-    cps, _ = code_points([t.lower() for t in texts])
-    letter = categories() == 1
-    table = np.where(letter, 1 + (np.arange(len(letter)) >> 7) % BLOCKS, 0).astype(np.uint8)
-    seen, n = np.unique(cps[letter[cps]], return_counts=True)
-    for rank, c in enumerate(seen[np.argsort(-n, kind="stable")][:FREQUENT]):
-        table[c] = 1 + BLOCKS + rank
-    return table
+def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lower-cased texts one after another, 0 for what is no letter, and each text's offset."""
+    cps, off = code_points([t.lower() for t in texts])
+    return np.where(categories()[cps] == 1, cps, 0).astype(U), off
+
+
+def ngrams(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes by order 1 to ORDER of the n-gram that ends at each symbol, and of its context; texts begin after zeros."""
+    n = len(symbols)
+    place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
+    back = np.zeros((ORDER, n), U)  # back[j]: the symbol j before
+    for j in range(ORDER):
+        back[j, j:] = symbols[: n - j]
+        back[j, place < j] = 0
+    grams, contexts = np.empty((n, ORDER), U), np.empty((n, ORDER), U)
+    for table, shift in ((grams, 0), (contexts, 1)):
+        h = np.zeros(n, U)
+        for m in range(ORDER):
+            # The context of order m + 1 has m symbols.
+            if m >= shift:
+                h = mix(h * _FACTOR + back[m] + _FACTOR)
+            table[:, m] = h
+    return grams, contexts
 
 
-def _packed(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The ORDER-gram that ends at each symbol; texts begin after no-letter symbols."""
-    s = symbols.astype(np.uint32)
-    out = s.copy()
-    place = np.arange(len(s)) - np.repeat(offsets[:-1], np.diff(offsets))
-    for j in range(1, ORDER):
-        moved = np.zeros_like(s)
-        moved[j:] = s[:-j]
-        moved[place < j] = 0
-        out |= moved << np.uint32(BITS * j)
-    return out
+_FACTOR = U(0x9E3779B97F4A7C15)
 
 
-def _fit_language(codes: np.ndarray) -> tuple[list, list]:
+def _fit_language(grams: np.ndarray, contexts: np.ndarray) -> tuple[list, list]:
     """Discounted probabilities and back-off weights of each order; lower orders count distinct left neighbours."""
-    grams, contexts = [None] * ORDER, [None] * ORDER
-    keys, counts = np.unique(codes, return_counts=True)
-    for m in range(ORDER, 0, -1):
+    out, weights = [None] * ORDER, [None] * ORDER
+    _, first, counts = np.unique(grams[:, ORDER - 1], return_index=True, return_counts=True)
+    for m in range(ORDER - 1, -1, -1):
         ones, twos = (counts == 1).sum(), (counts == 2).sum()
         discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-        ctx, where = np.unique(keys >> U(BITS), return_inverse=True)
-        total = np.bincount(where, counts)
-        kinds = np.bincount(where)
+        ctx, where = np.unique(contexts[first, m], return_inverse=True)
+        total, kinds = np.bincount(where, counts), np.bincount(where)
         p = (counts - discount) / total[where]
-        h = _key(keys, m)
-        o = np.argsort(h)
-        grams[m - 1] = (h[o], p[o])
-        h = _key(ctx, m - 1)
-        o = np.argsort(h)
-        contexts[m - 1] = (h[o], (discount * kinds / total)[o])
-        if m > 1:
-            keys, counts = np.unique(keys & U((1 << BITS * (m - 1)) - 1), return_counts=True)
-    return grams, contexts
+        o = np.argsort(grams[first, m])
+        out[m] = (grams[first, m][o], p[o])
+        weights[m] = (ctx, discount * kinds / total)
+        if m:
+            # Of the distinct n-grams of this order, the first place of each shorter one and how many it ends.
+            _, at, counts = np.unique(grams[first, m - 1], return_index=True, return_counts=True)
+            first = first[at]
+    return out, weights
 
 
 def fit(sample: list[tuple[str, str]]) -> Model:
     """A model from (language, text); every fifth text of a language calibrates its threshold instead of counting."""
     languages = sorted({k for k, _ in sample})
-    table = _symbol_table([t for _, t in sample])
-    model = Model(languages, table, [], [], np.zeros((len(languages), len(LENGTHS))))
-    held = []
+    model = Model(languages, 1 + len(np.setdiff1d(symbols_of([t for _, t in sample])[0], [0])), [], [], np.zeros((len(languages), len(LENGTHS))))
+    kept_out = []
     for lang in languages:
         texts = [t for k, t in sample if k == lang]
-        kept = texts[::5] if len(texts) >= 10 else texts
-        used = [t for i, t in enumerate(texts) if i % 5] if len(texts) >= 10 else texts
-        held.append(kept)
-        cps, off = code_points([t.lower() for t in used])
-        sym = table[cps]
-        codes = _packed(sym, off)[sym > 0].astype(U)
-        g, c = _fit_language(codes)
+        kept_out.append(texts[::5] if len(texts) >= 10 else texts)
+        sym, off = symbols_of([t for i, t in enumerate(texts) if i % 5] if len(texts) >= 10 else texts)
+        found = ngrams(sym, off)
+        g, c = _fit_language(found[0][sym > 0], found[1][sym > 0])
         model.grams += g
         model.contexts += c
-    for k, texts in enumerate(held):
-        cps, off = code_points([t.lower() for t in texts])
-        sym = table[cps]
-        lp = model.log_probabilities(_packed(sym, off)[sym > 0].astype(U))[:, k] if len(sym) else np.zeros(0)
+    for k, texts in enumerate(kept_out):
+        sym, off = symbols_of(texts)
+        found = ngrams(sym, off)
+        lp = model.log_probabilities(found[0][sym > 0], found[1][sym > 0])[:, k]
         for j, size in enumerate(LENGTHS):
             cut = np.arange(0, max(1, len(lp) - size + 1), size)
-            means = np.array([-lp[a : a + size].mean() for a in cut]) if len(lp) else np.array([np.log(1 << BITS)])
+            means = np.array([-lp[a : a + size].mean() for a in cut]) if len(lp) else np.array([np.log(model.alphabet)])
             model.reject[k, j] = np.quantile(means, 0.999) * (1 + MARGIN)
     # No threshold lies below that of longer texts.
     model.reject = np.maximum.accumulate(model.reject[:, ::-1], axis=1)[:, ::-1]
     return model
 
 
-@functools.lru_cache(maxsize=1)
-def _memo(uid: str) -> dict:
-    """What this worker has looked up so far: a row number for each packed n-gram, and the rows."""
-    return {"row": np.full(1 << (BITS * ORDER), -1, np.int32), "lp": None}
+class _Memo:
+    """What a worker has looked up so far, by the hash of the longest n-gram; at most REMEMBERED and one batch's."""
 
+    def __init__(self, languages: int):
+        self.keys, self.lp = np.zeros(0, U), np.zeros((0, languages), np.float32)
 
-def _rows(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    memo = _memo(model.uid)
-    at = memo["row"][codes]
-    if (at < 0).any():
-        new = np.unique(codes[at < 0])
-        lp = model.log_probabilities(new.astype(U))
-        memo["row"][new] = np.arange(len(new), dtype=np.int32) + (0 if memo["lp"] is None else len(memo["lp"]))
-        memo["lp"] = lp if memo["lp"] is None else np.concatenate([memo["lp"], lp])
-        at = memo["row"][codes]
-    return at, memo["lp"]
+    def rows(self, model: Model, grams: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Log-probabilities of each letter by language."""
+        keys, first, inverse = np.unique(grams[:, ORDER - 1], return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+        lp = np.empty((len(keys), self.lp.shape[1]), np.float32)
+        lp[known] = self.lp[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            lp[new] = model.log_probabilities(grams[first[new]], contexts[first[new]])
+            if len(self.keys) + len(new) > REMEMBERED:
+                self.keys, self.lp = keys, lp
+            else:
+                self.keys, self.lp = np.insert(self.keys, at[new], keys[new]), np.insert(self.lp, at[new], lp[new], axis=0)
+        return lp[inverse]
 
 
 def score(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Language, score, cross-entropy per letter and rejection of each text."""
-    n = len(texts)
+    n, width = len(texts), len(model.languages)
     if not model.languages:
         return ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
-    cps, off = code_points([t.lower() for t in texts])
-    sym = model.symbols[cps]
+    sym, off = symbols_of(texts)
     is_letter = sym > 0
     letters = sums(is_letter.astype(np.float32), off)
-    codes = _packed(sym, off)[is_letter]
+    grams, contexts = ngrams(sym, off)
     ends = np.zeros(n + 1, np.int64)
     np.cumsum(letters.astype(np.int64), out=ends[1:])
-    at, lp = _rows(model, codes) if len(codes) else (np.zeros(0, np.int32), np.zeros((1, len(model.languages)), np.float32))
-    h = np.stack([-sums(lp[:, k][at], ends) for k in range(len(model.languages))], 1) / np.maximum(letters, 1)[:, None]
+    memo = held(f"languages {model.uid}", lambda: _Memo(width))
+    lp = memo.rows(model, grams[is_letter], contexts[is_letter]) if is_letter.any() else np.zeros((0, width), np.float32)
+    h = np.stack([-sums(lp[:, k], ends) for k in range(width)], 1) / np.maximum(letters, 1)[:, None]
     best = h.argmin(1)
     lowest = h[np.arange(n), best]
     odds = np.exp(-(h - lowest[:, None]) * np.minimum(letters, SCORE_LETTERS)[:, None])
@@ -203,7 +204,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     names = [*docs.columns, *[f.name for f in RESULT]]
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, limit=PIECE):
             lang, sc, h, bad = score(model, texts_of(b))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(sc), pa.array(h), pa.array(bad)], names=names)
 

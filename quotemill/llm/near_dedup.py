@@ -43,6 +43,8 @@ REGISTERS = BANDS * ROWS
 LEAST_ESTIMATE = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Rows, and bytes of shingles, of one block of outsiders or of all texts of an anchor.
 UNIT_ROWS, UNIT_BYTES = 1024, 8 << 20
+#: Tasks among which the rows of a large anchor are dealt in joins.
+SALTS = 32
 #: Bytes of text that a worker sketches or compares at once.
 PIECE = 2 << 20
 OWNER_BITS = 16  # a batch has fewer texts than this allows; shingles keep 48 bits
@@ -260,6 +262,13 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return buckets.join(pivots.hint("merge"), "key").select(F.col("doc").alias("a"), "b").filter("a <> b").distinct()
 
 
+def _salted(rows: DataFrame, few: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """rows with few's columns where few has their keys; a key's rows go to SALTS tasks, by ``spread``."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread, F.lit(2)), F.lit(SALTS)).cast("int"))
+    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(few.hint("merge"), [*keys, "_salt"], "left").drop("_salt")
+
+
 def _units(buckets: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
     """The texts of mixed buckets, by unit (anchor, part, i, k): block i of the outsiders (left) and block k of all (right)."""
     sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
@@ -268,14 +277,15 @@ def _units(buckets: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
     anchors = own.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.struct("members", (-F.col("component")).alias("neg"))).alias("m"))
     anchors = anchors.filter("c0 < c1").select("key", (-F.col("m.neg")).alias("anchor"))
     rows = checkpointed(own.join(anchors.hint("merge"), "key").select("key", "doc", "component", "anchor"), "mixed")
-    parts = rows.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / (8 * UNIT_ROWS)).cast("int").alias("parts"))
-    rows = rows.join(parts.hint("merge"), "anchor").select("anchor", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "doc", "component").distinct()
+    parts = rows.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / (8 * UNIT_ROWS)).cast("int").alias("parts")).filter("parts > 1")
+    rows = _salted(rows, parts, ["anchor"], "key")
+    rows = rows.select("anchor", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "doc", "component").distinct()
     held = rows.join(texts.select("doc", "shingles", "size").hint("merge"), "doc").withColumn("outside", F.col("component") != F.col("anchor"))
     held = checkpointed(held, "held")
     blocks = lambda n, size: F.greatest(F.ceil(n / UNIT_ROWS), F.ceil(8 * size / UNIT_BYTES), F.lit(1)).cast("int")
     out = F.col("outside").cast("int")
     counts = held.groupBy("anchor", "part").agg(blocks(F.count(F.lit(1)), F.sum("size")).alias("gk"), blocks(F.sum(out), F.sum(out * F.col("size"))).alias("gi"))
-    at = held.join(counts.hint("merge"), ["anchor", "part"])
+    at = _salted(held, counts.filter("gk > 1 OR gi > 1"), ["anchor", "part"], "doc").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("gk", "gi")})
     at = at.withColumn("own_i", F.pmod(F.xxhash64("doc"), F.col("gi")).cast("int")).withColumn("own_k", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("gk")).cast("int"))
     place = lambda i, k, left, right: F.struct(i.alias("i"), k.alias("k"), left.alias("left"), right.alias("right"))
     as_left = F.transform(F.sequence(F.lit(0), F.col("gk") - 1), lambda k: place(F.col("own_i"), k, F.lit(True), k == F.col("own_k")))

@@ -13,7 +13,6 @@ first.  An empty table gives no chunks.
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import token_codec
 from .byte_bpe import PieceCache, encode_texts
-from .workspace import pieces, scratch, texts_of
+from .workspace import held, pieces, scratch, texts_of
 
 END_ID = 0
 #: Ids that a chunk holds before it is closed; a longer document is a chunk of its own.
@@ -33,20 +32,20 @@ CHUNK_IDS = 1 << 22
 CHUNK_SCHEMA = "part int, chunk int, before bigint, doc_ids array<bigint>, counts array<bigint>, payload binary"
 
 
-@functools.lru_cache(maxsize=2)
 def _cache(path: str | None, added: bool) -> tuple[PieceCache, list[str]]:
     """The pieces met before, and the tokens that no piece may be looked up around."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    if not path:
+    def make():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
+        from tokenizers import Tokenizer
 
-        path = public_tokenizers.path("byte_bpe_50k.json")
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = not added
-    matched = [t.content for t in tokenizer.get_added_tokens_decoder().values() if added or not t.special]
-    return PieceCache(lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]), matched
+        tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+        tokenizer.encode_special_tokens = not added
+        matched = [t.content for t in tokenizer.get_added_tokens_decoder().values() if added or not t.special]
+        return PieceCache(lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]), matched
+
+    return held(f"tokenizer {path} {added}", make)
 
 
 def encode(texts: list[str], cache: PieceCache, matched: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,11 +74,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, chunk_ids: i
 
     def run(batches):
         (cache, matched), part = _cache(tokenizer, added), TaskContext.get().partitionId()
-        before = chunk = held = 0
+        before = chunk = n_held = 0
         doc_ids, counts, parts = [], [], []
 
         def close():
-            nonlocal before, chunk, held, doc_ids, counts, parts
+            nonlocal before, chunk, n_held, doc_ids, counts, parts
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([before], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())),
@@ -87,18 +86,18 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, chunk_ids: i
                 ],
                 names=["part", "chunk", "before", "doc_ids", "counts", "payload"],
             )
-            before, chunk, held, doc_ids, counts, parts = before + held, chunk + 1, 0, [], [], []
+            before, chunk, n_held, doc_ids, counts, parts = before + n_held, chunk + 1, 0, [], [], []
             return out
 
         for b in pieces(batches):
             ids, at = encode(texts_of(b), cache, matched)
             all_ids, n = with_end(ids, at), np.diff(at) + 1
-            if doc_ids and held + len(all_ids) > chunk_ids:
+            if doc_ids and n_held + len(all_ids) > chunk_ids:
                 yield close()
             doc_ids += b.column("doc_id").to_pylist()
             counts.append(n)
             parts.append(all_ids)
-            held += len(all_ids)
+            n_held += len(all_ids)
         if doc_ids:
             yield close()
 

@@ -19,10 +19,12 @@ _local: list[str] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, single machine) a local temporary folder is used.
+    Where that setting is absent a single machine (tests) uses a local temporary folder; a cluster is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="quotemill-"))
             atexit.register(shutil.rmtree, _local[0], ignore_errors=True)

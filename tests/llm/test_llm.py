@@ -406,9 +406,74 @@ def test_language_models_sum_to_one_and_separate():
     lang, score, _, rejected = language_id.score(m, text)
     assert lang == ["aa"] * 50 + ["bb"] * 50 and not rejected.any() and score.min() > 0.9
     assert language_id.score(m, ["qqxx zzww vvjj qxzw"])[3][0]
-    for k in range(2):  # every context's probabilities add up
-        keys = np.arange(1 << language_id.BITS, dtype=np.uint64) | np.uint64(13 << 6 | 14 << 12)
-        assert np.exp(m.log_probabilities(keys)[:, k]).sum() == pytest.approx(1, abs=1e-3)
+    for before in ("ka ", "stre", "q", "ou"):  # every context's probabilities add up over the letters seen and one unseen
+        every = [before + c for c in sorted(set("".join(t for _, t in sample_of(make, tongues))) - {" "})] + [before + "\u4e2d"]
+        sym, off = language_id.symbols_of(every)
+        grams, contexts = language_id.ngrams(sym, off)
+        lp = m.log_probabilities(grams[off[1:] - 1], contexts[off[1:] - 1])
+        assert np.exp(lp.astype(float)).sum(0) == pytest.approx(1, abs=1e-3)
+
+
+def sample_of(make, tongues):
+    return [(k, make(k, 60)) for k in tongues for _ in range(60)]
+
+
+class PlainKneserNey:
+    """The same model with dictionaries of strings, from its definition."""
+
+    def __init__(self, texts, alphabet, order=4):
+        self.order, self.alphabet, self.counts = order, alphabet, [Counter() for _ in range(order + 1)]
+        for t in texts:
+            s = ["#"] * order + [c if unicodedata.category(c)[0] == "L" else "#" for c in t.lower()]
+            for i in range(order, len(s)):
+                if s[i] != "#":
+                    self.counts[order][tuple(s[i - order + 1 : i + 1])] += 1
+        for m in range(order - 1, 0, -1):
+            for g in self.counts[m + 1]:
+                self.counts[m][g[1:]] += 1
+        self.discount, self.total, self.kinds = [0] * (order + 1), [Counter() for _ in range(order + 1)], [Counter() for _ in range(order + 1)]
+        for m in range(1, order + 1):
+            of = Counter(self.counts[m].values())
+            self.discount[m] = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.5
+            for g, n in self.counts[m].items():
+                self.total[m][g[:-1]] += n
+                self.kinds[m][g[:-1]] += 1
+
+    def p(self, gram):
+        p = 1 / self.alphabet
+        for m in range(1, self.order + 1):
+            g = gram[self.order - m :]
+            total = self.total[m][g[:-1]]
+            if total:
+                p = max(0, self.counts[m][g] - self.discount[m]) / total + self.discount[m] * self.kinds[m][g[:-1]] / total * p
+        return p
+
+    def entropy(self, text):
+        s = ["#"] * self.order + [c if unicodedata.category(c)[0] == "L" else "#" for c in text.lower()]
+        lp = [math.log(self.p(tuple(s[i - self.order + 1 : i + 1]))) for i in range(self.order, len(s)) if s[i] != "#"]
+        return -sum(lp) / len(lp)
+
+
+def test_language_models_equal_plain_kneser_ney():
+    r = random.Random(16)
+    tongues = {"el": "αβγδε λόγος και το", "en": "the of and to prose", "ja": "これは本です 日本語", "ru": "это и не дом мир"}
+    make = lambda k, n: " ".join(r.choice(tongues[k].split()) + r.choice(tongues[k]) for _ in range(n)) + "!"
+    sample = [(k, make(k, 20)) for k in sorted(tongues) for _ in range(9)]  # fewer than ten texts: all count
+    m = language_id.fit(sample)
+    alphabet = 1 + len({c for _, t in sample for c in t.lower() if unicodedata.category(c)[0] == "L"})
+    plain = {k: PlainKneserNey([t for j, t in sample if j == k], alphabet) for k in tongues}
+    texts = [make(k, 6) for k in sorted(tongues) for _ in range(5)] + ["the 日本 дом", "xyzzy", "A1b2"]
+    lang, _, h, _ = language_id.score(m, texts)
+    for t, k, x in zip(texts, lang, h):
+        every = {j: plain[j].entropy(t) for j in plain}
+        assert x == pytest.approx(min(every.values()), rel=1e-4) and every[k] == pytest.approx(min(every.values()), rel=1e-6)
+
+
+def test_language_held_out_accuracy(spark):
+    """Of the documents of sf0.1 that the fit has not seen 99 % or more are right, and no more than 0.5 % rejected."""
+    out = queries.op8_language_id(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang"), "doc_id")
+    n, right, rejected = out.filter("held_out AND lang IS NOT NULL").agg(F.count("*"), F.sum((F.col("lang_pred") == F.col("lang")).cast("int")), F.sum(F.col("rejected").cast("int"))).first()
+    assert n > 1500 and right >= 0.99 * n and rejected <= 0.005 * n
 
 
 def test_no_short_document_of_a_known_language_is_rejected(spark):
@@ -425,12 +490,49 @@ def test_index_persists(spark, tmp_path):
     a = exact_dedup.DigestIndex(spark, path, 4).dedup(table(spark, ["x y", "xy", "z", None, ""])).toPandas().set_index("doc_id").sort_index()
     assert a.keep_id.tolist() == [0, 0, 2, 3, 3] and a.kept.tolist() == [True, False, True, True, False] and a.group_size.tolist() == [2, 2, 1, 2, 2]
     later = exact_dedup.DigestIndex(spark, path, 4)
-    new = table(spark, ["z ", "w"]).withColumn("doc_id", F.col("doc_id") + 100)
-    b = later.dedup(new).toPandas().set_index("doc_id")
-    assert b.loc[100, "keep_id"] == 2 and not b.loc[100, "kept"] and b.loc[101, "kept"]
-    assert later.rows().count() == 4
+    new = table(spark, ["z ", "w", "w"]).withColumn("doc_id", F.col("doc_id") + 100)
+    for _ in range(2):  # given again by its name, a batch gets the same answer and adds nothing
+        b = later.dedup(new, "second").toPandas().set_index("doc_id").sort_index()
+        assert b.keep_id.tolist() == [2, 101, 101] and b.kept.tolist() == [False, True, False] and b.group_size.tolist() == [1, 2, 2]
+        assert later.rows().count() == 4
+    assert not later.dedup(new, "third").filter("kept").count()
     plan = later.unseen(exact_dedup.groups(exact_dedup.digests(new)))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
+    later.forget()
+
+
+def test_a_batch_that_died_after_the_append_keeps_its_rows(spark, tmp_path, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/died", 4)
+    docs = table(spark, [f"text {k % 40}" for k in range(50)])
+    append = index.append
+
+    def dies(fresh, batch):
+        append(fresh, batch)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(index, "append", dies)
+    with pytest.raises(RuntimeError):
+        index.dedup(docs, "monday")
+    again = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/died", 4).dedup(docs, "monday")
+    assert again.filter("kept").count() == 40 and sorted(r.doc_id for r in again.filter("kept").collect()) == list(range(40))
+    index.forget()
+
+
+def test_no_table_is_left_behind(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.keep_distinct(table(spark, ["a", "a "])).collect()
+    exact_dedup.exact_dedup(table(spark, ["a", "a "])).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_keep_distinct_prefers_the_longest_original(spark):
+    rows = [(1, "xy"), (1, "x  y"), (1, "x y "), (2, "x   "), (2, "   x"), (3, "x   "), (None, "n"), (None, "n"), (None, "n ")]
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "doc_id bigint, text string").withColumn("digest", F.lit(1)).withColumn("own", F.lit(2)).withColumn("_row", F.lit(3)).repartition(3)
+        out = exact_dedup.keep_distinct(d)
+        assert out.columns == d.columns
+        got = sorted((r.doc_id or 0, len(r.text)) for r in out.collect())
+        assert got == [(0, 2), (1, 4), (2, 4)]
 
 
 def test_keep_distinct_keeps_one_of_identical_rows(spark):
