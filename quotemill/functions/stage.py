@@ -13,9 +13,11 @@ _local: list[str] = []
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written below spark.checkpoint.dir, which all machines share (a local folder only where that is unset), and read back."""
+    """df written below spark.checkpoint.dir, which all machines share (unset: a local folder on a single machine, an error on a cluster), and read back."""
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if df.sparkSession.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="quotemill-"))
             atexit.register(shutil.rmtree, _local[0], ignore_errors=True)

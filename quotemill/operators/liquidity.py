@@ -68,7 +68,7 @@ def sweeps(bars: DataFrame, session_levels: DataFrame, swings: DataFrame, equal:
     early = F.lit(None).cast(bars.schema["bar_time"].dataType)
     order = F.struct(F.col("tier"), F.col("visible"), F.col("ordinal"))
     structural = swings.select(*P.KEY, F.col("kind").alias("direction"), "price", F.lit(3).alias("tier"), early.alias("visible"), (F.when(F.col("kind") == "high", 0).otherwise(1) * F.lit(1 << 40) + F.row_number().over(W.partitionBy(*P.KEY, "kind").orderBy("bar_time"))).cast("long").alias("ordinal"))
-    clusters = equal.select(*P.KEY, "direction", "price", F.lit(3).alias("tier"), early.alias("visible"), F.lit(1 << 42).cast("long").alias("ordinal"))
+    clusters = equal.select(*P.KEY, "direction", "price", F.lit(3).alias("tier"), early.alias("visible"), (F.lit(1 << 42) + F.when(F.col("direction") == "high", 0).otherwise(1)).cast("long").alias("ordinal"))
     levels = session_levels.select(*P.KEY, "direction", "price", "tier", "visible", F.col("ordinal").cast("long").alias("ordinal")).unionByName(structural).unionByName(clusters)
     # Equal levels sweep at the same bars; only the first of each matters.
     levels = levels.groupBy(*P.KEY, "direction", "price", "tier", "visible").agg(F.min("ordinal").alias("ordinal"))

@@ -117,31 +117,36 @@ def structure(bars: DataFrame, mode: str = "bos") -> DataFrame:
 def _breaks_v3(g: pd.DataFrame, window: int, horizon: int) -> dict:
     n = len(g)
     high, low, close = (g[f"bar_{k}"].to_numpy(float) for k in ("high", "low", "close"))
-    kind, side = np.full(n, None, object), np.full(n, None, object)
-    last, level = None, {1: None, -1: None}
-    due: dict[int, list[tuple[int, float]]] = {}
-    for i in range(window, n - window):
-        around = slice(i - window, i + window + 1)
+    # due[s][i]: the furthest swing, window to 2 * window bars back, that a close has confirmed by bar i.
+    due = {1: np.full(n, np.nan), -1: np.full(n, np.nan)}
+    for j in range(window, n - window):
+        around = slice(j - window, j + window + 1)
         for s, x, y in ((1, high, low), (-1, low, high)):
-            if s * x[i] >= (s * x[around]).max():
-                ahead = np.flatnonzero(s * close[i + 1 : i + 1 + horizon] < s * y[i])
+            if s * x[j] >= (s * x[around]).max() - 1e-8:
+                ahead = np.flatnonzero(s * close[j + 1 : j + 1 + horizon] < s * y[j])
                 if len(ahead):
-                    due.setdefault(i + 1 + int(ahead[0]), []).append((s, x[i]))
-    for i in range(n):
-        for s, p in due.get(i, []):
-            level[s] = p
+                    for i in range(max(j + window, j + 1 + int(ahead[0])), min(j + 2 * window, n - 1) + 1):
+                        due[s][i] = x[j] if np.isnan(due[s][i]) else s * max(s * due[s][i], s * x[j])
+    last, level = None, {1: None, -1: None}
+    kinds = {"BOS": np.zeros(n, bool), "CHoCH": np.zeros(n, bool)}
+    side = np.full(n, None, object)
+    for i in range(window, n):
+        for s in (1, -1):
+            if not np.isnan(due[s][i]):
+                level[s] = due[s][i] if level[s] is None else s * max(s * level[s], s * due[s][i])
         for s in (1, -1):
             if level[s] is not None and s * close[i] > s * level[s]:
-                kind[i], side[i] = ("BOS" if last == s else "CHoCH"), ("bull" if s > 0 else "bear")
+                kinds["BOS" if last == s else "CHoCH"][i] = True
                 last, level[s] = s, None
-                break
-    return {"break_kind": kind, "break_side": side}
+        side[i] = {1: "bullish", -1: "bearish", None: None}[last]
+    return {"structure_direction": side, "bos_detected": kinds["BOS"], "choch_detected": kinds["CHoCH"]}
 
 
 def breaks_v3(bars: DataFrame, window: int = P.V3_WINDOW, horizon: int = 20) -> DataFrame:
-    """The older engine's breaks: swings within ``window`` bars on both sides, confirmed by a close through the swing
-    bar's other end within ``horizon`` bars; a break with the last break's direction is BOS, else CHoCH; the level is spent."""
-    return per_key(bars, lambda g: _breaks_v3(g, window, horizon), [T.StructField("break_kind", _S), T.StructField("break_side", _S)])
+    """The older engine's breaks, per bar: swings within ``window`` bars on both sides, seen ``window`` to twice as many
+    bars later, if a close has passed the swing bar's other end within ``horizon`` bars; a level moves outwards only.  A
+    close beyond it in the last break's direction is BOS, else CHoCH (the first too), and spends it; highs go first."""
+    return per_key(bars, lambda g: _breaks_v3(g, window, horizon), [T.StructField("structure_direction", _S), T.StructField("bos_detected", _B), T.StructField("choch_detected", _B)])
 
 
 def triggers(structured: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import core
 from ..functions.stage import stage
 from ..operators import asof, backtest, candles, gaps, indicators, liquidity, metrics, sessions, silver, strategy, structure, swings
 from ..sources import bi5, events
-from . import features, store
+from . import features, oracles, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -433,22 +433,30 @@ def _structure_columns(df: DataFrame) -> DataFrame:
     return df.select(*P.KEY, "bar_time", *[f.name for f in structure.ADDED])
 
 
-@query("structure_bos")
+def turned_sql(mode: str, ticks: str = TICKS) -> str:
+    """15-minute bars with ATR, R, swings and structure, as CTEs from ticks to sd."""
+    return f"WITH RECURSIVE {ADAPTIVE.replace(TICKS, ticks).removeprefix('WITH ')}, {oracles.ordered_sql('f')}, {oracles.structure_sql(mode)}, {oracles.structured_sql(mode)}"
+
+
+BOS, CHOCH = turned_sql("bos"), turned_sql("choch")
+
+
+@query("structure_bos", f"{BOS} SELECT {oracles.STRUCTURE} FROM sd")
 def _(s, d):
     return _structure_columns(structured(s, d))
 
 
-@query("structure_choch")
+@query("structure_choch", f"{CHOCH} SELECT {oracles.STRUCTURE} FROM sd")
 def _(s, d):
     return _structure_columns(structured(s, d, "choch"))
 
 
-@query("breaks_v3")
+@query("breaks_v3", f"WITH RECURSIVE {TICKS}, {bars_sql('b', '15 minutes')}, {oracles.breaks_v3_sql('b')} SELECT nb.symbol, nb.source, nb.bar_time, dir AS structure_direction, bos AS bos_detected, choch AS choch_detected FROM nb JOIN sb ON nb.symbol = sb.symbol AND nb.source = sb.source AND nb.n = sb.n")
 def _(s, d):
-    return structure.breaks_v3(candles.ohlc(ticks(s, d), "1 hour")).filter("break_kind IS NOT NULL").select(*P.KEY, "bar_time", "break_kind", "break_side")
+    return structure.breaks_v3(b15(s, d)).select(*P.KEY, "bar_time", "structure_direction", "bos_detected", "choch_detected")
 
 
-@query("structure_equi_join")
+@query("structure_equi_join", f"{BOS} SELECT symbol, source, bar_time, bar_open, bar_high, bar_low, bar_close, smc_trend_15m, hh_15m, ll_15m FROM sd")
 def _(s, d):
     st = _structure_columns(structured(s, d)).select(*P.KEY, "bar_time", "smc_trend_15m", "hh_15m", "ll_15m")
     return b15(s, d).join(st, [*P.KEY, "bar_time"], "left")
@@ -531,18 +539,18 @@ def _(s, d):
     return asof.asof_backward(t, swings.bias_4h(candles.ohlc(t, "1 hour")), "timestamp_utc", "bar_time", ["market_bias_4h"]).select("seq", "market_bias_4h")
 
 
-@query("asof_zones")
+@query("asof_zones", f"{BOS} SELECT t.seq, z.zone_low, z.zone_high FROM ticks t ASOF LEFT JOIN (SELECT * FROM sd WHERE zone_low IS NOT NULL OR zone_high IS NOT NULL) z ON t.symbol = z.symbol AND t.source = z.source AND t.timestamp_utc >= z.bar_time")
 def _(s, d):
     return asof.asof_backward(ticks(s, d), structure.zones(structured(s, d)), "timestamp_utc", "bar_time", ["zone_low", "zone_high"]).select("seq", "zone_low", "zone_high")
 
 
-@query("asof_trend_1m")
+@query("asof_trend_1m", f"{BOS}, {bars_sql('m1', '1 minute')} SELECT m1.symbol, m1.source, m1.bar_time, z.smc_trend_15m FROM m1 ASOF LEFT JOIN (SELECT * FROM sd WHERE smc_trend_15m IS NOT NULL) z ON m1.symbol = z.symbol AND m1.source = z.source AND m1.bar_time >= z.bar_time")
 def _(s, d):
     t = structured(s, d).filter("smc_trend_15m IS NOT NULL").select(*P.KEY, F.col("bar_time").alias("at"), "smc_trend_15m")
     return asof.asof_backward(candles.ohlc(ticks(s, d), "1 minute").select(*P.KEY, "bar_time"), t, "bar_time", "at", ["smc_trend_15m"])
 
 
-@query("prior_trigger")
+@query("prior_trigger", f"{BOS}, {bars_sql('m1', '1 minute')} SELECT m1.symbol, m1.source, m1.bar_time, z.bar_time AS trigger_time FROM m1 ASOF LEFT JOIN (SELECT * FROM sd WHERE bos_detected_15m) z ON m1.symbol = z.symbol AND m1.source = z.source AND m1.bar_time >= z.bar_time")
 def _(s, d):
     return asof.asof_backward(candles.ohlc(ticks(s, d), "1 minute").select(*P.KEY, "bar_time"), structure.triggers(structured(s, d)), "bar_time", "trigger_time", ["trigger_time"])
 
@@ -553,23 +561,44 @@ def b1(s, d):
     return features.bars_1m(ticks(s, d))
 
 
-def hourly(s, d):
-    """Hourly bars and 4-hour structure in place of minutes and quarters: the tables have one tick in most minutes."""
-    t = ticks(s, d)
-    b = stage(indicators.atr(candles.ohlc(t, "1 hour"), P.ATR_1M, "atr_20_1m"), "bars")
-    big = indicators.with_r_dynamic(indicators.atr(candles.ohlc(t, "4 hours"), P.ATR_15M, "atr_15_15m"))
-    return b, stage(structure.structure(swings.fractals(big, P.FRACTAL_LEFT, None)), "structure")
+def dense_ticks(s, d):
+    """A price path made of the events: each value's distance from its key's mean, summed up, is the price's way, and time
+    runs thirty times as fast, so that minutes have bodies, breaks, gaps and sweeps."""
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    t = ticks(s, d).withColumn("timestamp_utc", (start + (F.col("timestamp_utc") - start) / 30).cast("timestamp_ntz"))
+    step = F.col("bid") - F.avg("bid").over(W.partitionBy(*P.KEY))
+    path = F.sum("step").over(W.partitionBy(*P.KEY).orderBy("timestamp_utc", "seq").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return t.withColumn("step", step).withColumn("bid", F.lit(2000.0) + F.round(path / 35, 2)).drop("step").withColumn("ask", F.col("bid") + F.col("spread")).withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
+
+
+DENSE_TICKS = f"""{TICKS.replace("ticks AS (", "thin AS (")}, dense0 AS (SELECT TIMESTAMP '2024-01-01' + to_microseconds(CAST(round((epoch_us(timestamp_utc) - epoch_us(TIMESTAMP '2024-01-01')) / 30.0::DOUBLE) AS BIGINT)) AS timestamp_utc, symbol, source, volume, seq, spread, bid - avg(bid) OVER (PARTITION BY symbol, source) AS step FROM thin),
+dense1 AS (SELECT * EXCLUDE (step), 2000.0::DOUBLE + round(sum(step) OVER (PARTITION BY symbol, source ORDER BY timestamp_utc, seq ROWS UNBOUNDED PRECEDING) / 35, 2) AS bid FROM dense0),
+ticks AS MATERIALIZED (SELECT *, bid + spread AS ask, (bid + (bid + spread)) / 2 AS mid FROM dense1)"""
+
+
+def minutes_and_quarters(s, d):
+    """1-minute bars with their ATR and 15-minute structure of the dense ticks."""
+    t = stage(dense_ticks(s, d), "dense")
+    return t, stage(indicators.atr(candles.ohlc(t, "1 minute"), P.ATR_1M, "atr_20_1m"), "bars"), stage(features.bars_15m(t), "structure")
+
 
+GAPS = f"{turned_sql('bos', DENSE_TICKS)}, {bars_sql('m0', '1 minute')}, {wilder_sql('m0', P.ATR_1M, 'm1')}, {oracles.gaps_sql('m1')}"
+ACTIVE = f"{GAPS}, {oracles.active_gaps_sql()}"
 
-@query("gaps")
+
+@query("gaps", f"{GAPS} SELECT * FROM fg")
 def _(s, d):
-    return gaps.find_gaps(*hourly(s, d))
+    return gaps.find_gaps(*minutes_and_quarters(s, d)[1:])
+
 
+def with_active_gaps(s, d):
+    t, bars, st = minutes_and_quarters(s, d)
+    return t, gaps.active_gaps(bars, stage(gaps.find_gaps(bars, st), "gaps"), st)
 
-@query("active_gaps")
+
+@query("active_gaps", f"{ACTIVE} SELECT * FROM ag")
 def _(s, d):
-    bars, st = hourly(s, d)
-    return gaps.active_gaps(bars, stage(gaps.find_gaps(bars, st), "gaps"), st)
+    return with_active_gaps(s, d)[1]
 
 
 V3_GAPS = f"""WITH {TICKS}, {bars_sql('b', '5 minutes')}, x AS (SELECT *, lag(bar_high) OVER w AS h0, lag(bar_low) OVER w AS l0, lead(bar_high) OVER w AS h2, lead(bar_low) OVER w AS l2,
@@ -587,11 +616,10 @@ def _(s, d):
     return gaps.gaps_v3(candles.ohlc(ticks(s, d), "5 minutes")).select("fvg_high", "fvg_low").dropDuplicates()
 
 
-@query("gap_ticks")
+@query("gap_ticks", f"{ACTIVE} SELECT t.seq, ag.fvg_high, ag.fvg_low, ag.fvg_side, ag.fvg_age_bars FROM ticks t JOIN ag ON t.symbol = ag.symbol AND t.source = ag.source AND time_bucket(INTERVAL '1 minute', t.timestamp_utc) = ag.bar_time WHERE ag.fvg_high IS NOT NULL")
 def _(s, d):
-    bars, st = hourly(s, d)
-    active = gaps.active_gaps(bars, stage(gaps.find_gaps(bars, st), "gaps"), st)
-    return asof.bar_join(ticks(s, d), active, "1 hour", ["fvg_high", "fvg_low", "fvg_side", "fvg_age_bars"]).filter("fvg_high IS NOT NULL").select("seq", "fvg_high", "fvg_low", "fvg_side", "fvg_age_bars")
+    t, active = with_active_gaps(s, d)
+    return asof.bar_join(t, active, "1 minute", ["fvg_high", "fvg_low", "fvg_side", "fvg_age_bars"]).filter("fvg_high IS NOT NULL").select("seq", "fvg_high", "fvg_low", "fvg_side", "fvg_age_bars")
 
 
 def quarter_levels(s, d):
@@ -603,12 +631,15 @@ def _(s, d):
     return quarter_levels(s, d)
 
 
-@query("equal_levels")
+SWUNG = f"{SWINGS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {bars_sql('m0', '1 minute')}, {wilder_sql('m0', P.ATR_1M, 'm1')}, {oracles.equal_levels_sql('sw', 'm1')}"
+
+
+@query("equal_levels", f"{SWUNG} SELECT symbol, source, direction, round(price, 9) AS price, strength FROM eq")
 def _(s, d):
-    return rounded(liquidity.equal_levels(swing_table(s, d), b1(s, d)), "price")
+    return liquidity.equal_levels(swing_table(s, d), b1(s, d)).withColumn("price", F.round("price", 9))
 
 
-@query("sweeps")
+@query("sweeps", f"{SWUNG}, ses AS ({_sessions_sql(2)}), {oracles.sweeps_sql('m1', 'ses', 'sw')} SELECT symbol, source, bar_time, liq_swept, liq_side, sweep_tier, sweep_candle_low, sweep_candle_high, sweep_wick, sweep_body FROM sv")
 def _(s, d):
     bars, turned = b1(s, d), swing_table(s, d)
     out = liquidity.sweeps(bars, quarter_levels(s, d), turned, liquidity.equal_levels(turned, bars))
@@ -691,27 +722,36 @@ def built(s, d, mode="bos"):
 
 
 def dense(s, d, mode="bos"):
-    """Features of a price path made of the events: each value's distance from its key's mean, summed up, is the price's way, and
-    time runs thirty times as fast, so that minutes have bodies, breaks, gaps and sweeps."""
-    start = F.lit("2024-01-01").cast("timestamp_ntz")
-    t = ticks(s, d).withColumn("timestamp_utc", (start + (F.col("timestamp_utc") - start) / 30).cast("timestamp_ntz"))
-    step = F.col("bid") - F.avg("bid").over(W.partitionBy(*P.KEY))
-    path = F.sum("step").over(W.partitionBy(*P.KEY).orderBy("timestamp_utc", "seq").rowsBetween(W.unboundedPreceding, W.currentRow))
-    t = t.withColumn("step", step).withColumn("bid", F.lit(2000.0) + F.round(path / 35, 2)).drop("step").withColumn("ask", F.col("bid") + F.col("spread")).withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
-    return features.build_features(t, mode)
+    """Features of the dense ticks."""
+    return features.build_features(stage(dense_ticks(s, d), "dense"), mode)
+
+
+def features_sql(ticks: str) -> str:
+    """All CTEs from ticks to ft, the enriched ticks."""
+    facts = f"""sw AS (SELECT symbol, source, bar_time, 'high' AS kind, bar_high AS price FROM sd WHERE is_swing_high UNION ALL SELECT symbol, source, bar_time, 'low', bar_low FROM sd WHERE is_swing_low),
+ cnt AS (SELECT b.symbol, b.source, b.bar_time, count(*) FILTER (a.kind = 'high') AS n_highs, count(*) FILTER (a.kind = 'low') AS n_lows FROM (SELECT DISTINCT symbol, source, bar_time FROM sw) b JOIN sw a ON a.symbol = b.symbol AND a.source = b.source AND a.bar_time <= b.bar_time GROUP BY 1, 2, 3),
+ ses AS ({_sessions_sql(2).replace(TICKS + ', ', '')}), bias AS ({BIAS.replace(TICKS + ', ', '').replace("INTERVAL '1 hour'", "INTERVAL '4 hours'")}),
+ cf0 AS (SELECT *, row_number() OVER ({KW}) AS i FROM m1), {fractal_sql('cf1', 'cf0', 3, 3)},
+ cf AS (SELECT a.symbol, a.source, a.bar_time, (SELECT arg_max(h.bar_high, h.i) FROM cf1 h WHERE h.symbol = a.symbol AND h.source = a.source AND h.is_swing_high AND h.i + 3 <= a.i) AS confirmed_1m_swing_high,
+   (SELECT arg_max(l.bar_low, l.i) FROM cf1 l WHERE l.symbol = a.symbol AND l.source = a.source AND l.is_swing_low AND l.i + 3 <= a.i) AS confirmed_1m_swing_low FROM cf1 a)"""
+    bars = f"{bars_sql('m0', '1 minute')}, {wilder_sql('m0', P.ATR_1M, 'ma')}, {oracles.rsi_sql('ma', 'm1')}"
+    return f"{turned_sql('bos', ticks)}, {bars}, {facts}, {oracles.equal_levels_sql('sw', 'm1')}, {oracles.sweeps_sql('m1', 'ses', 'sw')}, {oracles.gaps_sql('m1')}, {oracles.active_gaps_sql()}, {oracles.features_sql(SESSION.format('t.timestamp_utc'))}"
+
+
+FULL, DENSE_FULL = features_sql(TICKS), features_sql(DENSE_TICKS)
 
 
-@query("build_features")
+@query("build_features", f"{FULL} SELECT * REPLACE (round(atr_20_1m, 6) AS atr_20_1m, round(rsi_14, 6) AS rsi_14, round(atr_15_15m, 6) AS atr_15_15m) FROM ft")
 def _(s, d):
-    return built(s, d).ticks
+    return rounded(built(s, d).ticks, "atr_20_1m", "rsi_14", "atr_15_15m")
 
 
-@query("decisions_stateless")
+@query("decisions_stateless", f"{DENSE_FULL}, {oracles.stateless_sql()} SELECT seq, spread_gate, t1_action, t1_reason, gap_gate, sweep_gate, sweep_score, gap_score FROM dz")
 def _(s, d):
     return strategy.stateless(dense(s, d).ticks).select("seq", "spread_gate", "t1_action", "t1_reason", "gap_gate", "sweep_gate", "sweep_score", "gap_score")
 
 
-@query("audit_log")
+@query("audit_log", f"{DENSE_FULL}, {oracles.stateless_sql()}, {oracles.audit_sql()} SELECT symbol, source, timestamp_utc, decision, reason, score, bid, ask, market_bias_4h, session FROM au WHERE k > 0")
 def _(s, d):
     return strategy.audit_log(dense(s, d).ticks)
 
@@ -783,7 +823,7 @@ def _(s, d):
     return metrics.funnel(backtest.backtest(dense(s, d).ticks))
 
 
-@query("detections")
+@query("detections", f"{DENSE_FULL} SELECT count(*) FILTER (bos_detected_15m) AS bos, count(*) FILTER (choch_detected_15m) AS choch, count(*) FILTER (is_swing_high_15m) AS swing_highs, count(*) FILTER (is_swing_low_15m) AS swing_lows, 0::BIGINT AS gaps FROM ft")
 def _(s, d):
     return metrics.detections(dense(s, d).ticks)
 

@@ -4,17 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 SCHEMA = "symbol string, bid double, ask double, last double, volume double, time_msc bigint"
 
 
-class _Span(InputPartition):
-    def __init__(self, start: int, end: int):
-        self.start, self.end = start, end
-
-
 class QuoteSource(DataSource):
     """``spark.readStream.format("quotes")``: a deterministic feed of ``rate`` quotes a batch from ``start_msc`` on, which
     stands in for a terminal; a subclass overrides ``quote``."""
@@ -26,7 +21,7 @@ class QuoteSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
         return _Reader(self)
 
     def quote(self, n: int) -> tuple:
@@ -35,21 +30,18 @@ class QuoteSource(DataSource):
         return o.get("symbol", "XAUUSD"), bid, bid + 0.16, bid, 1.0, int(o.get("start_msc", "0")) + n * 1000
 
 
-class _Reader(DataSourceStreamReader):
+class _Reader(SimpleDataSourceStreamReader):
+    """A poll reads on from the offset that the engine holds, so a restart from a checkpoint goes on where it stopped."""
+
     def __init__(self, source: QuoteSource):
         self.source, self.rate, self.limit = source, int(source.options.get("rate", "50")), int(source.options.get("limit", "1000000000"))
-        self.sent = 0
 
     def initialOffset(self) -> dict:
         return {"n": 0}
 
-    def latestOffset(self) -> dict:
-        self.sent = min(self.limit, self.sent + self.rate)
-        return {"n": self.sent}
-
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Span(start["n"], end["n"])]
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        end = {"n": max(start["n"], min(self.limit, start["n"] + self.rate))}
+        return self.readBetweenOffsets(start, end), end
 
-    def read(self, partition: _Span) -> Iterator[tuple]:
-        for n in range(partition.start, partition.end):
-            yield self.source.quote(n)
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([self.source.quote(n) for n in range(start["n"], end["n"])])
