@@ -7,11 +7,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from .. import params as P
-from .strategy import HOLD, T1_LONG, T1_SHORT, T2_LONG, T2_SHORT, Relay, _none, decide, prepared, rows_of
+from .strategy import HOLD, T1_LONG, T1_SHORT, T2_LONG, T2_SHORT, Relay, Strategy, decide, fold_ticks, prepared
 
 COLUMNS = [
     ("symbol", "string"), ("source", "string"), ("kind", "string"), ("n", "bigint"), ("type", "string"), ("pair_id", "int"), ("direction", "string"), ("entry_time", "timestamp_ntz"), ("exit_time", "timestamp_ntz"),
@@ -55,20 +54,20 @@ class Trade:
 class Book:
     """One key's account: open trades by type, relay, equity and what was recorded."""
 
-    def __init__(self, p: P.BacktestParams):
-        self.p, self.relay, self.open = p, Relay(), {}
-        self.equity, self.next_pair = p.capital, 1
-        self.rows: list[dict] = []
+    def __init__(self, p: P.BacktestParams, strategy: Strategy = decide):
+        self.p, self.strategy, self.relay, self.open = p, strategy, Relay(), {}
+        self.equity, self.next_pair, self.recorded = p.capital, 1, 0
+        self.rows: list[dict] = []  # since the last drain
 
     def lot(self, entry: float, sl: float, equity: float) -> float:
         pips = abs(entry - sl) / self.p.pip
         return 0.01 if pips <= 0 else max(0.01, round(equity * P.RISK / 2 / (pips * self.p.pip_value), 2))
 
-    def fill(self, t: Trade, price: float, row: dict, atr: float) -> None:
+    def fill(self, t: Trade, price: float, row: dict, atr: float, edge: float) -> None:
         """Entry at price: Point 1 at the bar's end or 0.3 ATR, Point 2 at 1.25 ATR and 0.3 ATR beyond Point 1 at least."""
         s = t.side
         t.pending, t.entry, t.time, t.risk, t.best = False, price, row["timestamp_utc"], abs(price - t.sl), price
-        edge = row["bar_high" if s > 0 else "bar_low"] or price
+        edge = row["bar_high" if s > 0 else "bar_low"] or edge
         t.p1 = s * max(s * edge, s * price + atr * P.P1_ATR)
         t.p2 = s * max(s * price + atr * P.P2_ATR, s * t.p1 + atr * P.P2_GAP)
 
@@ -94,7 +93,12 @@ class Book:
         return pnl
 
     def record(self, row: dict, kind: str, **values) -> None:
-        self.rows.append({"symbol": row["symbol"], "source": row["source"], "kind": kind, "n": len(self.rows), **values})
+        self.rows.append({"symbol": row["symbol"], "source": row["source"], "kind": kind, "n": self.recorded, **values})
+        self.recorded += 1
+
+    def drain(self) -> list[dict]:
+        out, self.rows = self.rows, []
+        return out
 
     # ---- one tick, in this order
 
@@ -125,7 +129,7 @@ class Book:
             self.relay.stopped = False
         elif (t.side > 0 and row["ask"] <= t.mid) or (t.side < 0 and row["bid"] >= t.mid):
             atr = row["atr_15_15m"]
-            self.fill(t, t.mid, row, atr if atr and atr > 0 else 0.0)
+            self.fill(t, t.mid, row, atr if atr and atr > 0 else 0.0, t.mid)
             t.tp = self.target(t, row)
             self.relay.stopped = False
 
@@ -162,7 +166,7 @@ class Book:
             bos = choch = False
             if self.p.relay == "full":
                 row |= {"t1_action": None, "t1_reason": None}
-        action, reason, _ = decide(row, now, relay, "T1" in self.open, "T2" in self.open)
+        action, reason, _ = self.strategy(row, now, relay, "T1" in self.open, "T2" in self.open)
         if relay.stopped and action == HOLD and "T2" not in self.open and reason.startswith("REASON_"):
             self.record(row, "reason", exit_reason=reason)
         session = row["session"]
@@ -177,7 +181,7 @@ class Book:
             price, sl = row["ask"] if s > 0 else row["bid"], extreme - s * P.T1_BUFFER * self.p.pip
             trend = "bull" if s > 0 else "bear"
             t = Trade("T1", self.next_pair, s, reason, session or "asian", sl, self.lot(price, sl, equity), trend)
-            self.fill(t, price, row, atr)
+            self.fill(t, price, row, atr, (row["bid"] + row["ask"]) / 2)
             self.open["T1"] = t
             relay.direction, relay.time_ms, relay.r, relay.taken_bar, relay.stopped = trend, now, row["r_dynamic"], bar, False
             self.next_pair += 1
@@ -193,27 +197,11 @@ class Book:
                 self.close(t, row, "end_of_data")
 
 
-def backtest(features: DataFrame, params: P.BacktestParams | None = None) -> DataFrame:
-    """Rows of kind trade, event (breaks) and reason (why a stopped first stage got no second)."""
-    p = params or P.BacktestParams()
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        book, row = Book(p), None
-        for row, now, bar in rows_of(g):
-            book.tick(row, now, bar)
-        if row is not None:
-            book.finish(row)
-        out = pd.DataFrame(book.rows, columns=[n for n, _ in COLUMNS])
-        kinds = dict(COLUMNS)
-        for c in out.columns:
-            if kinds[c] == "timestamp_ntz":
-                out[c] = pd.to_datetime(out[c])
-            elif kinds[c] == "double":
-                out[c] = out[c].astype(float)
-            else:
-                out[c] = pd.Series([_none(v) for v in out[c]], dtype=object)
-                if kinds[c] == "int":
-                    out[c] = pd.Series([None if v is None else int(v) for v in out[c]], dtype=object)
-        return out
+def backtest(features: DataFrame, params: P.BacktestParams | None = None, strategy: Strategy = decide) -> DataFrame:
+    """Rows of kind trade, event (breaks) and reason (why a stopped first stage got no second).
 
-    return prepared(features, p.align_bias).groupBy(*p.keys).applyInPandas(run, SCHEMA)
+    ``strategy`` is called for each tick as ``decide`` is.  A key's ticks stream through its book, so a task holds one
+    batch of ticks and the book, however long the key.
+    """
+    p = params or P.BacktestParams()
+    return fold_ticks(prepared(features, p.align_bias), p.keys, lambda: Book(p, strategy), SCHEMA)

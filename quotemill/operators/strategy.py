@@ -6,11 +6,16 @@ All times are event times, so a run gives the same result at any wall clock.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import params as P
 from ..functions.core import as_bool, as_float, spread_gate
@@ -141,6 +146,9 @@ def decide(row: dict, now_ms: int, relay: Relay, t1: bool, t2: bool) -> tuple[st
     return HOLD, "hold", score
 
 
+#: (tick, its time in ms, relay, whether T1 and T2 are open) -> (action, reason, score)
+Strategy = Callable[[dict, int, Relay, bool, bool], tuple[str, str, int]]
+
 NEEDED = ["symbol", "source", "timestamp_utc", "seq", *NUMBERS, *FLAGS, *TEXTS, "spread_gate", "t1_action", "t1_reason", "gap_gate", "sweep_gate", "sweep_score", "gap_score", "gap_mid"]
 
 
@@ -162,24 +170,68 @@ def rows_of(g: pd.DataFrame):
 AUDIT_SCHEMA = "symbol string, source string, timestamp_utc timestamp_ntz, decision string, reason string, score int, bid double, ask double, market_bias_4h string, session string"
 
 
-def audit_log(features: DataFrame, align_bias: bool = False) -> DataFrame:
+class _Log:
+    """One key's audit log."""
+
+    def __init__(self, strategy: Strategy):
+        self.strategy, self.relay, self.open_t1 = strategy, Relay(), False
+        self.rows: list[dict] = []
+
+    def tick(self, row: dict, now: int, bar: int) -> None:
+        relay = self.relay
+        if relay.taken_bar == bar:
+            row |= {"t1_action": None, "t1_reason": None}
+        action, reason, score = self.strategy(row, now, relay, self.open_t1, False)
+        if action in (T1_LONG, T1_SHORT):
+            self.open_t1, relay.taken_bar = True, bar
+            relay.direction, relay.time_ms, relay.r = ("bull" if action == T1_LONG else "bear"), now, row["r_dynamic"]
+        self.rows.append({c: row[c] for c in ("symbol", "source", "timestamp_utc", "bid", "ask", "market_bias_4h", "session")} | {"decision": action, "reason": reason, "score": score})
+
+    def finish(self, row: dict) -> None:
+        pass
+
+    def drain(self) -> list[dict]:
+        out, self.rows = self.rows, []
+        return out
+
+
+def fold_ticks(ticks: DataFrame, keys: tuple[str, ...], new: Callable[[], object], schema: str) -> DataFrame:
+    """Each key's ticks, in order, through an object of its own with tick(row, ms, bar), finish(last row) and drain().
+
+    Keys are sorted within partitions and streamed batch by batch; what the object drains goes out after each batch.
+    """
+    order, fields = [*keys, "timestamp_utc", "seq"], T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(fields)
+
+    def run(batches):
+        now_key, book, row = None, None, None
+        for b in batches:
+            out = []
+            ms = pc.cast(b.column("timestamp_utc"), pa.timestamp("ms"), safe=False).cast(pa.int64()).to_pylist()
+            for at, row_now in zip(ms, b.to_pylist()):
+                key = tuple(row_now[k] for k in keys)
+                if book is None or key != now_key:
+                    if book is not None:
+                        book.finish(row)
+                        out += book.drain()
+                    now_key, book = key, new()
+                row = row_now
+                book.tick(row, at, at // 900_000)
+            if book is not None:
+                out += book.drain()
+            yield pa.RecordBatch.from_pylist(out, arrow)
+        if book is not None:
+            book.finish(row)
+            yield pa.RecordBatch.from_pylist(book.drain(), arrow)
+
+    return ticks.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def audit_log(features: DataFrame, align_bias: bool = False, strategy: Strategy = decide) -> DataFrame:
     """Decisions of the ticks that show a break, a gap or a sweep, in order, each 15-minute bar opening one first stage
     at most.  The first stage stays open, as nothing closes it here, so there is at most one per key."""
     p = prepared(features, align_bias).filter("bos_detected_15m OR choch_detected_15m OR fvg_side IS NOT NULL OR liq_swept")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        relay, open_t1, out = Relay(), False, []
-        for row, now, bar in rows_of(g):
-            if relay.taken_bar == bar:
-                row |= {"t1_action": None, "t1_reason": None}
-            action, reason, score = decide(row, now, relay, open_t1, False)
-            if action in (T1_LONG, T1_SHORT):
-                open_t1, relay.taken_bar = True, bar
-                relay.direction, relay.time_ms, relay.r = ("bull" if action == T1_LONG else "bear"), now, row["r_dynamic"]
-            out.append((row["symbol"], row["source"], row["timestamp_utc"], action, reason, score, row["bid"], row["ask"], row["market_bias_4h"], row["session"]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in AUDIT_SCHEMA.split(", ")])
-
-    return p.groupBy(*P.KEY).applyInPandas(run, AUDIT_SCHEMA)
+    return fold_ticks(p, P.KEY, lambda: _Log(strategy), AUDIT_SCHEMA)
 
 
 def unaudited(features: DataFrame, decisions: DataFrame) -> DataFrame:

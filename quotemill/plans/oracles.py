@@ -149,11 +149,13 @@ def features_sql(session: str) -> str:
   FROM ft2 t ASOF LEFT JOIN (SELECT symbol, source, bar_time, zone_low, zone_high FROM sd WHERE zone_low IS NOT NULL OR zone_high IS NOT NULL) z ON {on('z')} AND t.timestamp_utc >= z.bar_time)"""
 
 
-def stateless_sql(features: str = "ft", name: str = "dz") -> str:
+def stateless_sql(features: str = "ft", name: str = "dz", align_bias: bool = False) -> str:
     """What each tick says by itself: gates, first-stage action and the two scores, point by point."""
+    with_bias = (" AND market_bias_4h = 'bullish'", " AND market_bias_4h = 'bearish'") if align_bias else ("", "")
+    up, down = (f"coalesce((bos_{k}_15m OR choch_{k}_15m){b}, false)" for k, b in zip(("up", "down"), with_bias))
     return f"""{name} AS (SELECT *, coalesce(atr_15_15m > 0 AND ask - bid > atr_15_15m * 0.25::DOUBLE, false) AS spread_gate,
-   CASE WHEN bos_up_15m OR choch_up_15m THEN 'OPEN_T1_LONG' WHEN bos_down_15m OR choch_down_15m THEN 'OPEN_T1_SHORT' END AS t1_action,
-   CASE WHEN bos_up_15m THEN 'BOS' WHEN choch_up_15m THEN 'CHoCH' WHEN bos_down_15m THEN 'BOS' WHEN choch_down_15m THEN 'CHoCH' END AS t1_reason,
+   CASE WHEN {up} THEN 'OPEN_T1_LONG' WHEN {down} THEN 'OPEN_T1_SHORT' END AS t1_action,
+   CASE WHEN {up} THEN CASE WHEN bos_up_15m THEN 'BOS' ELSE 'CHoCH' END WHEN {down} THEN CASE WHEN bos_down_15m THEN 'BOS' ELSE 'CHoCH' END END AS t1_reason,
    CASE WHEN fvg_side IS NULL OR coalesce(fvg_filled, false) OR fvg_high IS NULL OR fvg_low IS NULL THEN 'REASON_NO_FVG' WHEN coalesce(atr_20_1m, 0) <= 0 THEN 'REASON_NO_ATR'
         WHEN fvg_high - fvg_low < greatest(0.15::DOUBLE * atr_20_1m, 3.0) THEN 'REASON_FVG_TOO_SMALL' END AS gap_gate,
    CASE WHEN NOT coalesce(liq_swept, false) THEN 'REASON_NO_LIQUIDITY' WHEN sweep_tier IS NULL THEN 'REASON_NO_LIQ_TIER' END AS sweep_gate,
@@ -186,3 +188,105 @@ def audit_sql(name: str = "au") -> str:
     CASE decision WHEN 'OPEN_T1_LONG' THEN 'bull' WHEN 'OPEN_T1_SHORT' THEN 'bear' ELSE direction END, CASE WHEN decision LIKE 'OPEN_T1%' THEN now_ms ELSE since END, CASE WHEN decision LIKE 'OPEN_T1%' THEN r_dynamic ELSE r END
    FROM (SELECT *, {chosen} AS decision, {reason} AS reason, {total} AS score FROM
      (SELECT q.*, a.opened, a.taken, a.direction, a.since, a.r, CASE WHEN a.taken IS DISTINCT FROM q.bar THEN q.t1_action END AS t1_now FROM {name} a JOIN aq q ON q.symbol = a.symbol AND q.source = a.source AND q.k = a.k + 1)))"""
+
+
+#: Columns of the backtest's rows after symbol, source and n.
+ROW = {
+    "kind": "VARCHAR", "type": "VARCHAR", "pair_id": "INTEGER", "direction": "VARCHAR", "entry_time": "TIMESTAMP", "exit_time": "TIMESTAMP", "entry_price": "DOUBLE", "exit_price": "DOUBLE", "pnl": "DOUBLE", "pnl_pips": "DOUBLE", "lot": "DOUBLE",
+    "exit_reason": "VARCHAR", "entry_reason": "VARCHAR", "session": "VARCHAR", "point1_hit": "BOOLEAN", "point2_hit": "BOOLEAN", "hold_minutes": "DOUBLE", "sl_pips": "DOUBLE", "mae_pips": "DOUBLE", "mfe_pips": "DOUBLE", "trend": "VARCHAR", "equity": "DOUBLE",
+}
+#: The account between two ticks: equity, what the first stage left (z_stopped to z_taken), and the one trade or order.
+ACCOUNT = {
+    "z_eq": "DOUBLE", "z_pair": "INTEGER", "z_stopped": "BOOLEAN", "z_dir": "VARCHAR", "z_since": "BIGINT", "z_r": "INTEGER", "z_taken": "BIGINT", "z_ty": "VARCHAR", "z_pend": "BOOLEAN", "z_side": "INTEGER", "z_entry": "DOUBLE", "z_sl": "DOUBLE",
+    "z_lot": "DOUBLE", "z_time": "TIMESTAMP", "z_risk": "DOUBLE", "z_p1": "DOUBLE", "z_p2": "DOUBLE", "z_hit1": "BOOLEAN", "z_hit2": "BOOLEAN", "z_best": "DOUBLE", "z_worst": "DOUBLE", "z_why": "VARCHAR", "z_ses": "VARCHAR", "z_trend": "VARCHAR",
+    "z_own": "INTEGER", "z_mid": "DOUBLE", "z_expires": "BIGINT", "z_tp": "DOUBLE",
+}
+
+
+def _row(**values: str) -> str:
+    return "{" + ", ".join(f"'{c}': CAST({values.get(c, 'NULL')} AS {t})" for c, t in ROW.items()) + "}"
+
+
+def _closed(why: str, best: str = "z_best", worst: str = "z_worst") -> tuple[str, str]:
+    """(profit, row) of the open trade closed at this tick."""
+    out = "CASE WHEN z_side > 0 THEN bid ELSE ask END"
+    pips = f"z_side * ({out} - z_entry) / 0.1::DOUBLE"
+    pnl = f"({pips}) * z_lot * 10"
+    return pnl, _row(
+        kind="'trade'", type="z_ty", pair_id="z_own", direction="CASE WHEN z_side > 0 THEN 'LONG' ELSE 'SHORT' END", entry_time="z_time", exit_time="timestamp_utc", entry_price="z_entry", exit_price=out, pnl=pnl, pnl_pips=pips, lot="z_lot",
+        exit_reason=f"'{why}'", entry_reason="z_why", session="z_ses", point1_hit="z_hit1", point2_hit="z_hit2", hold_minutes="(epoch_us(timestamp_utc) - epoch_us(z_time)) / 60000000.0::DOUBLE", sl_pips="z_risk / 0.1::DOUBLE",
+        mae_pips=f"coalesce(greatest(0, z_side * (z_entry - {worst}) / 0.1::DOUBLE), 0)", mfe_pips=f"coalesce(greatest(0, z_side * ({best} - z_entry) / 0.1::DOUBLE), 0)", trend="z_trend", equity=f"z_eq + {pnl}",
+    )
+
+
+def _after(source: str, flags: dict[str, str], changes: dict[str, str]) -> str:
+    """source with flags added, then the changes made to its columns."""
+    flagged = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in flags.items())} FROM ({source})"
+    return f"SELECT * EXCLUDE ({', '.join(flags)}) REPLACE ({', '.join(f'{e} AS {c}' for c, e in changes.items())}) FROM ({flagged})"
+
+
+def backtest_sql(ticks: str = "dz", relay: str = "compat", name: str = "bt") -> str:
+    """The tick loop as the rule runs it: a wide spread closes, then the pending order, then stop, target, points 1 and 2
+    and trail, then the decision.  At most one trade or order is open, as each needs the other to be gone."""
+    size = lambda entry, sl: f"CASE WHEN abs({entry} - ({sl})) <= 0 THEN 0.01 ELSE greatest(0.01, round_even(eq0 * 0.005::DOUBLE / (abs({entry} - ({sl})) / 0.1::DOUBLE * 10) * 100, 0) / 100) END"
+    p1 = lambda s, price, edge_hi, edge_lo, a: f"CASE WHEN {s} > 0 THEN greatest({edge_hi}, {price} + {a} * 0.3::DOUBLE) ELSE least({edge_lo}, {price} - {a} * 0.3::DOUBLE) END"
+    p2 = lambda s, price, first, a: f"CASE WHEN {s} > 0 THEN greatest({price} + {a} * 1.25::DOUBLE, ({first}) + {a} * 0.3::DOUBLE) ELSE least({price} - {a} * 1.25::DOUBLE, ({first}) - {a} * 0.3::DOUBLE) END"
+    out0 = "[]::STRUCT(" + ", ".join(f'"{c}" {t}' for c, t in ROW.items()) + ")[]"
+    joined = f"SELECT q.*, {', '.join('b.' + c for c in ACCOUNT)}, {out0} AS z_out, b.z_eq AS eq0, q.ask - q.bid >= 2.0::DOUBLE AS wide FROM {name} b JOIN bq q ON q.symbol = b.symbol AND q.source = b.source AND q.k = b.k + 1"
+    pnl, row = _closed("wide_spread")
+    fled = _after(joined, {"x_close": "wide AND z_ty IS NOT NULL AND NOT z_pend"}, {"z_eq": f"CASE WHEN x_close THEN z_eq + {pnl} ELSE z_eq END", "z_out": f"CASE WHEN x_close THEN list_append(z_out, {row}) ELSE z_out END", "z_stopped": f"CASE WHEN x_close AND z_ty = 'T1' THEN {pnl} < 0 ELSE z_stopped END", "z_ty": "CASE WHEN NOT wide THEN z_ty END"})
+    waiting = "NOT wide AND coalesce(z_ty = 'T2' AND z_pend, false)"
+    cancel = "(now_ms >= z_expires OR coalesce(z_trend = 'bull' AND market_bias_4h = 'bearish' OR z_trend = 'bear' AND market_bias_4h = 'bullish', false) OR bar_close IS NOT NULL AND coalesce(fvg_filled, false))"
+    a = "CASE WHEN atr_15_15m > 0 THEN atr_15_15m ELSE 0 END"
+    first = p1("z_side", "z_mid", "coalesce(nullif(bar_high, 0), z_mid)", "coalesce(nullif(bar_low, 0), z_mid)", a)
+    levels = "[prev_day_high, prev_day_low, current_session_high, current_session_low, prev_session_high, prev_session_low]"
+    near = f"list_sort(list_transform(list_filter({levels}, lambda x: x IS NOT NULL AND z_side * x > z_side * z_mid), lambda x: {{'far': abs(x - z_mid), 'at': x}}))[1]"
+    filled = _after(fled, {"x_off": f"{waiting} AND {cancel}", "x_fill": f"{waiting} AND NOT {cancel} AND CASE WHEN z_side > 0 THEN ask <= z_mid ELSE bid >= z_mid END"}, {
+        "z_ty": "CASE WHEN NOT x_off THEN z_ty END", "z_stopped": "z_stopped AND NOT x_off AND NOT x_fill", "z_pend": "z_pend AND NOT x_fill", "z_entry": "CASE WHEN x_fill THEN z_mid ELSE z_entry END", "z_time": "CASE WHEN x_fill THEN timestamp_utc ELSE z_time END",
+        "z_risk": "CASE WHEN x_fill THEN abs(z_mid - z_sl) ELSE z_risk END", "z_best": "CASE WHEN x_fill THEN z_mid ELSE z_best END", "z_p1": f"CASE WHEN x_fill THEN {first} ELSE z_p1 END", "z_p2": f"CASE WHEN x_fill THEN {p2('z_side', 'z_mid', first, a)} ELSE z_p2 END",
+        "z_tp": f"CASE WHEN x_fill THEN CASE WHEN abs(z_mid - z_sl) > 0 AND ({near}).far >= 2.0 * abs(z_mid - z_sl) THEN ({near}).at END ELSE z_tp END",
+    })
+    live = "NOT wide AND z_ty IS NOT NULL AND NOT z_pend"
+    price = "CASE WHEN z_side > 0 THEN bid ELSE ask END"
+    seen = _after(filled, {"x_live": live}, {"z_best": f"CASE WHEN NOT x_live THEN z_best WHEN z_side > 0 THEN greatest(z_best, {price}) ELSE least(z_best, {price}) END", "z_worst": f"CASE WHEN NOT x_live THEN z_worst WHEN z_side > 0 THEN least(coalesce(z_worst, {price}), {price}) ELSE greatest(coalesce(z_worst, {price}), {price}) END"})
+    (pnl, stop), (_, target) = _closed("sl"), _closed("tp")
+    sl_hit = f"{live} AND z_side * ({price}) <= z_side * z_sl"
+    ended = _after(seen, {"x_sl": sl_hit, "x_tp": f"{live} AND NOT ({sl_hit}) AND coalesce(z_side * ({price}) >= z_side * z_tp, false)"}, {
+        "z_out": f"CASE WHEN x_sl THEN list_append(z_out, {stop}) WHEN x_tp THEN list_append(z_out, {target}) ELSE z_out END", "z_eq": f"CASE WHEN x_sl OR x_tp THEN z_eq + {pnl} ELSE z_eq END",
+        "z_stopped": f"CASE WHEN x_sl AND z_ty = 'T1' THEN NOT z_hit1 AND {pnl} < 0 ELSE z_stopped END", "z_ty": "CASE WHEN NOT (x_sl OR x_tp) THEN z_ty END",
+    })
+    one = _after(ended, {"x_one": f"{live} AND NOT z_hit1 AND z_side * ({price}) >= z_side * z_p1"}, {"z_hit1": "z_hit1 OR x_one", "z_sl": "CASE WHEN x_one THEN z_entry ELSE z_sl END"})
+    two = _after(one, {"x_two": f"{live} AND z_hit1 AND NOT z_hit2 AND z_side * ({price}) >= z_side * z_p2"}, {"z_hit2": "z_hit2 OR x_two"})
+    trailed = _after(two, {"x_trail": f"{live} AND z_hit2"}, {"z_sl": "CASE WHEN NOT x_trail THEN z_sl WHEN z_side > 0 THEN greatest(z_sl, confirmed_1m_swing_low - 0.25::DOUBLE) ELSE least(z_sl, confirmed_1m_swing_high + 0.25::DOUBLE) END"})
+    same_bar = "coalesce(z_taken = bar, false)"
+    action, reason, _ = decide_sql("coalesce(z_ty = 'T1', false)", "coalesce(z_ty = 'T2', false)", "z_stopped", "z_dir", "z_since", "z_r", f"(CASE WHEN NOT {same_bar} THEN t1_action END)" if relay == "full" else "t1_action")
+    decided = f"SELECT *, CASE WHEN wide THEN 'HOLD' ELSE {action} END AS act, CASE WHEN wide THEN 'hold' ELSE {reason} END AS why FROM ({trailed})"
+    event = _row(kind="'event'", type="CASE WHEN bos_detected_15m THEN 'BOS' ELSE 'CHoCH' END", direction="CASE WHEN bos_up_15m OR choch_up_15m THEN 'bull' ELSE 'bear' END", entry_time="timestamp_utc", entry_reason="act", session="coalesce(session, 'off')", entry_price="bid", exit_price="ask")
+    noted = f"""SELECT * REPLACE (CASE WHEN NOT wide AND (bos_detected_15m OR choch_detected_15m) AND NOT {same_bar} THEN list_append(z_out, {event}) ELSE z_out END AS z_out) FROM
+      (SELECT * REPLACE (CASE WHEN NOT wide AND z_stopped AND act = 'HOLD' AND coalesce(z_ty <> 'T2', true) AND why LIKE 'REASON\\_%' ESCAPE '\\' THEN list_append(z_out, {_row(kind="'reason'", exit_reason='why')}) ELSE z_out END AS z_out) FROM ({decided}))"""
+    s = "CASE WHEN act LIKE '%LONG' THEN 1 ELSE -1 END"
+    price1 = "CASE WHEN act LIKE '%LONG' THEN ask ELSE bid END"
+    sl1 = "CASE WHEN act LIKE '%LONG' THEN sweep_candle_low - 0.4::DOUBLE ELSE sweep_candle_high + 0.4::DOUBLE END"
+    mid2, sl2 = "(fvg_high + fvg_low) / 2", "CASE WHEN act LIKE '%LONG' THEN fvg_low - 0.25::DOUBLE ELSE fvg_high + 0.25::DOUBLE END"
+    mid = "(bid + ask) / 2"
+    first1 = p1(s, f"({price1})", f"coalesce(nullif(bar_high, 0), {mid})", f"coalesce(nullif(bar_low, 0), {mid})", "atr_15_15m")
+    trend = "CASE WHEN act LIKE '%LONG' THEN 'bull' ELSE 'bear' END"
+    either = lambda one, two, old: f"CASE WHEN x_1 THEN {one} WHEN x_2 THEN {two} ELSE {old} END"
+    opened = _after(noted, {"x_1": f"act LIKE 'OPEN_T1%' AND ({sl1}) IS NOT NULL AND coalesce(atr_15_15m > 0, false)", "x_2": "act LIKE 'OPEN_T2%'"}, {
+        "z_ty": either("'T1'", "'T2'", "z_ty"), "z_pend": either("false", "true", "z_pend"), "z_side": either(s, s, "z_side"), "z_entry": either(price1, "NULL", "z_entry"), "z_sl": either(sl1, sl2, "z_sl"),
+        "z_lot": either(size(f"({price1})", sl1), size(mid2, sl2), "z_lot"), "z_time": either("timestamp_utc", "NULL", "z_time"), "z_risk": either(f"abs(({price1}) - ({sl1}))", "0", "z_risk"), "z_p1": either(first1, "NULL", "z_p1"),
+        "z_p2": either(p2(s, f"({price1})", first1, "atr_15_15m"), "NULL", "z_p2"), "z_hit1": either("false", "false", "z_hit1"), "z_hit2": either("false", "false", "z_hit2"), "z_best": either(price1, "NULL", "z_best"), "z_worst": either("NULL", "NULL", "z_worst"),
+        "z_why": either("why", "why", "z_why"), "z_ses": either("coalesce(session, 'asian')", "coalesce(session, 'asian')", "z_ses"), "z_trend": either(trend, trend, "z_trend"), "z_own": either("z_pair", "z_pair - 1", "z_own"), "z_mid": either("NULL", mid2, "z_mid"),
+        "z_expires": either("0", "now_ms + 600000", "z_expires"), "z_tp": either("NULL", "NULL", "z_tp"), "z_dir": f"CASE WHEN x_1 THEN {trend} ELSE z_dir END", "z_since": "CASE WHEN x_1 THEN now_ms ELSE z_since END", "z_r": "CASE WHEN x_1 THEN r_dynamic ELSE z_r END",
+        "z_taken": "CASE WHEN x_1 THEN bar ELSE z_taken END", "z_stopped": "z_stopped AND NOT x_1", "z_pair": "CASE WHEN x_1 THEN z_pair + 1 ELSE z_pair END",
+    })
+    keep = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in ACCOUNT.items())
+    begin = {"z_eq": "10000.0", "z_pair": "1", "z_stopped": "false", "z_pend": "false"}
+    account = ", ".join(f"CAST({begin.get(c, 'NULL')} AS {t}) AS {c}" for c, t in ACCOUNT.items())
+    start = f"SELECT symbol, source, 0::BIGINT AS k, NULL::TIMESTAMP AS timestamp_utc, NULL::DOUBLE AS bid, NULL::DOUBLE AS ask, {account}, {out0} AS z_out FROM bq GROUP BY 1, 2"
+    _, last = _closed("end_of_data")
+    return f"""bq AS MATERIALIZED (SELECT *, epoch_ms(timestamp_utc) AS now_ms, epoch_ms(timestamp_utc) // 900000 AS bar, row_number() OVER (PARTITION BY symbol, source ORDER BY timestamp_utc, seq) AS k FROM {ticks}),
+ {name} AS ({start} UNION ALL SELECT symbol, source, k, timestamp_utc, bid, ask, {keep}, z_out FROM ({opened})),
+ {name}_rows AS (SELECT symbol, source, k, generate_subscripts(z_out, 1) AS j, unnest(z_out) AS o FROM {name}
+   UNION ALL SELECT symbol, source, k + 1, 1, {last} FROM {name} WHERE z_ty IS NOT NULL AND NOT z_pend QUALIFY k = max(k) OVER (PARTITION BY symbol, source) AND k = (SELECT max(k) FROM {name} m WHERE m.symbol = {name}.symbol AND m.source = {name}.source)),
+ {name}_out AS (SELECT symbol, source, row_number() OVER (PARTITION BY symbol, source ORDER BY k, j) - 1 AS n, unnest(o) FROM {name}_rows)"""

@@ -756,14 +756,55 @@ def _(s, d):
     return strategy.audit_log(dense(s, d).ticks)
 
 
-@query("backtest")
+# Ticks of the dense path with all that a decision reads, made of the row number so that every gate, both stages, targets,
+# trails and cancelled orders occur; the same expressions in both dialects.
+STAGED = {
+    "ask": "CASE WHEN seq % 211 = 0 THEN ask + 3 ELSE ask END", "atr_15_15m": "CAST(CASE WHEN seq % 41 = 0 THEN 0.1 WHEN seq % 43 = 0 THEN 0 ELSE 6.0 END AS DOUBLE)", "atr_20_1m": "CAST(CASE WHEN seq % 37 <> 0 THEN 2.0 END AS DOUBLE)",
+    "bos_up_15m": "seq % 19 = 0", "bos_down_15m": "seq % 23 = 0", "choch_up_15m": "seq % 29 = 3", "choch_down_15m": "seq % 31 = 7", "bos_detected_15m": "seq % 19 = 0 OR seq % 23 = 0", "choch_detected_15m": "seq % 29 = 3 OR seq % 31 = 7",
+    "sweep_candle_low": "CASE WHEN seq % 17 <> 0 THEN bid - 1 - seq % 5 END", "sweep_candle_high": "CASE WHEN seq % 17 <> 0 THEN bid + 1 + seq % 5 END", "bar_open": "bid", "bar_close": "bid", "bar_high": "bid + CAST(seq % 3 AS DOUBLE)", "bar_low": "bid - CAST(seq % 3 AS DOUBLE)",
+    "fvg_side": "CASE seq % 5 WHEN 0 THEN 'bullish_fvg' WHEN 1 THEN 'bearish_fvg' WHEN 2 THEN 'bullish_fvg' WHEN 3 THEN 'bearish_fvg' END", "fvg_low": "bid - CAST(2 + seq % 9 AS DOUBLE)", "fvg_high": "bid - CAST(2 + seq % 9 AS DOUBLE) + CAST(2 + 4 * (seq % 6) AS DOUBLE)",
+    "fvg_filled": "seq % 13 = 0", "fvg_age_bars": "CAST(seq % 7 AS INT)", "liq_swept": "seq % 6 <> 0", "liq_side": "CASE WHEN seq % 4 < 2 THEN 'high' ELSE 'low' END", "sweep_tier": "CAST(CASE WHEN seq % 11 <> 0 THEN 1 + seq % 2 END AS INT)",
+    "sweep_wick": "CAST(seq % 4 AS DOUBLE)", "sweep_body": "CAST(seq % 3 AS DOUBLE)", "market_bias_4h": "CASE WHEN seq % 900 < 400 THEN 'bullish' WHEN seq % 900 < 800 THEN 'bearish' WHEN seq % 900 < 850 THEN 'neutral' END",
+    "hh_15m": "CASE WHEN seq % 8 <> 0 THEN bid + 9 END", "ll_15m": "CASE WHEN seq % 8 <> 1 THEN bid - 9 END", "strong_low_15m": "CASE WHEN seq % 9 <> 0 THEN bid - 20 END", "strong_high_15m": "bid + 20", "r_dynamic": "CAST(seq % 3 AS INT)",
+    "prev_day_high": "bid + 15", "prev_day_low": "bid - 25", "current_session_high": "CASE WHEN seq % 3 = 0 THEN bid + 40 END", "current_session_low": "bid - 40", "prev_session_high": "bid + 60", "prev_session_low": "CASE WHEN seq % 3 = 1 THEN bid - 8 END",
+    "confirmed_1m_swing_low": "CASE WHEN seq % 10 <> 0 THEN bid - 2 END", "confirmed_1m_swing_high": "CASE WHEN seq % 10 <> 0 THEN bid + 2 END",
+}
+
+
+def staged(s, d):
+    t = dense_ticks(s, d).select("symbol", "source", "timestamp_utc", "seq", "bid", "ask")
+    return t.selectExpr("symbol", "source", "timestamp_utc", "seq", "bid", *[f"{e} AS {c}" for c, e in STAGED.items()]).withColumn("session", core.session_label("timestamp_utc"))
+
+
+def backtest_sql(relay: str, align_bias: bool) -> str:
+    made = ", ".join(f"{e} AS {c}" for c, e in STAGED.items())
+    return f"WITH RECURSIVE {DENSE_TICKS}, ft AS (SELECT symbol, source, timestamp_utc, seq, bid, {made}, {SESSION.format('timestamp_utc')} AS session FROM ticks), {oracles.stateless_sql(align_bias=align_bias)}, {oracles.backtest_sql(relay=relay)}"
+
+
+MONEY = {"entry_price": 6, "exit_price": 6, "pnl": 6, "pnl_pips": 6, "hold_minutes": 9, "sl_pips": 6, "mae_pips": 6, "mfe_pips": 6, "equity": 6}
+ROUNDED = ", ".join(f"round({c}, {n}) + 0.0 AS {c}" for c, n in MONEY.items())  # no negative zeros
+
+
+def money(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) + F.lit(0.0) for c, n in MONEY.items()})
+
+
+STAGED_BOS, STAGED_FULL = backtest_sql("compat", False), backtest_sql("full", True)
+
+
+@query("backtest", f"{STAGED_BOS} SELECT * REPLACE ({ROUNDED}) FROM bt_out")
 def _(s, d):
-    return backtest.backtest(dense(s, d).ticks)
+    return money(backtest.backtest(staged(s, d)))
 
 
-@query("backtest_choch_full")
+@query("backtest_choch_full", f"{STAGED_FULL} SELECT * REPLACE ({ROUNDED}) FROM bt_out")
 def _(s, d):
-    return backtest.backtest(dense(s, d, "choch").ticks, P.BacktestParams(relay="full", align_bias=True))
+    return money(backtest.backtest(staged(s, d), P.BacktestParams(relay="full", align_bias=True)))
+
+
+@query("backtest_features")
+def _(s, d):
+    return backtest.backtest(dense(s, d).ticks)
 
 
 # Metrics are held against SQL on trade-like rows of orders: profit is the price's distance from 250 000.
@@ -818,9 +859,9 @@ def _(s, d):
     return metrics.unrealised(p).select("seq", F.round("unrealised", 6).alias("unrealised"))
 
 
-@query("gate_funnel")
+@query("gate_funnel", f"{STAGED_BOS} SELECT exit_reason AS reason, count(*) AS n FROM bt_out WHERE kind = 'reason' GROUP BY 1")
 def _(s, d):
-    return metrics.funnel(backtest.backtest(dense(s, d).ticks))
+    return metrics.funnel(backtest.backtest(staged(s, d)))
 
 
 @query("detections", f"{DENSE_FULL} SELECT count(*) FILTER (bos_detected_15m) AS bos, count(*) FILTER (choch_detected_15m) AS choch, count(*) FILTER (is_swing_high_15m) AS swing_highs, count(*) FILTER (is_swing_low_15m) AS swing_lows, 0::BIGINT AS gaps FROM ft")
