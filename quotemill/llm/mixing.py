@@ -14,6 +14,7 @@ and rate 1.  Without labels there is one domain, ``all``.
 from __future__ import annotations
 
 import dataclasses
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ BUCKETS = 1 << 17
 PER_DOMAIN, MAX_CHARS = 1500, 8000
 EPOCHS, BATCH = 12, 64
 STEPS, STEP, PULL = 40, 0.6, 1e-3
+#: Share of all tokens by which a domain may miss its target without a warning.
+WARN = 0.01
 #: Target shares by domain (quality, toxic); domains that the labels lack are left out and the rest scaled to 1.
 TARGETS = {"q1_t0": 0.80, "q0_t0": 0.17, "q1_t1": 0.02, "q0_t1": 0.01}
 
@@ -165,7 +168,7 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float] |
     before = totals(F.lit(1.0))
     total = before.sum()
     if total <= 0:
-        return F.lit(1.0), {"domains": domains, "before": before.tolist(), "after": before.tolist(), "target": (wanted * total).tolist()}
+        return F.lit(1.0), {"domains": domains, "before": before.tolist(), "after": before.tolist(), "target": (wanted * total).tolist(), "residual": 0.0}
     # Residuals are weighted by the inverse of the posteriors' second moments, and rates measured by their tokens; in
     # this metric a full step from interior rates would reach the targets, so shorter steps descend.
     n = len(domains)
@@ -179,16 +182,22 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float] |
             break
         residuals.append((inverse @ gap).tolist())
         now = totals(rate_after(residuals, STEP, PULL))
-    return rate_after(residuals, STEP, PULL), {"domains": domains, "before": before.tolist(), "after": now.tolist(), "target": (wanted * total).tolist()}
+    return rate_after(residuals, STEP, PULL), {"domains": domains, "before": before.tolist(), "after": now.tolist(), "target": (wanted * total).tolist(), "residual": float(np.abs(now - wanted * total).max() / total)}
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, n_tokens, domain (the likeliest), posterior and rate of every row of docs."""
+    """doc_id, n_tokens, domain (the likeliest), posterior and rate of every row of docs, and the domain's expected tokens
+    before, its target and after.  Repeated rows get the same rate each; other columns are ignored."""
     model = train(docs, labels)
     table = written(posteriors(docs, model), "posteriors")
-    rate, _ = fit_rates(table, model.domains, targets)
+    rate, report = fit_rates(table, model.domains, targets)
+    if report["residual"] > WARN:
+        warnings.warn(f"the rates miss their targets by {report['residual']:.1%} of the tokens: {report}", stacklevel=2)
+    # What each domain was to get and gets, in tokens, stands with its documents.
+    place = F.array_position("posterior", F.array_max("posterior")).cast("int")
+    told = {f"domain_{k}": F.element_at(F.array(*[F.lit(float(x)) for x in report[k]]), place) for k in ("before", "target", "after")}
     names = F.array(*[F.lit(d) for d in model.domains])
-    return table.select("doc_id", "n_tokens", F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int")).alias("domain"), "posterior", F.round(rate, 6).alias("rate"))
+    return table.select("doc_id", "n_tokens", F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int")).alias("domain"), "posterior", F.round(rate, 6).alias("rate"), *[F.round(v, 3).alias(k) for k, v in told.items()])
 
 
 def copies_of(rate: Column, key: Column) -> Column:
@@ -205,7 +214,8 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     table = written(posteriors(docs, model), "posteriors")
     rate, _ = fit_rates(table, model.domains, targets)
     kept = [k + 1 for k, d in enumerate(model.domains) if d in keep]
-    rows = _annotated(docs, model, "_n_tokens", "_posterior").select(F.struct(*docs.columns).alias("_row"), F.col("_n_tokens").alias("n_tokens"), F.col("_posterior").alias("posterior"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    rows = _annotated(whole, model, "n_tokens", "posterior").select("_row", "n_tokens", "posterior")
     least = F.when(F.array_position("posterior", F.array_max("posterior")).isin(kept), 1).otherwise(0) if kept else F.lit(0)
     count = F.greatest(least, copies_of(rate, F.xxhash64("_row.doc_id", "_row.text")))
     return rows.select("_row", F.explode(F.array_repeat(F.lit(0), count)).alias("_copy")).select("_row.*")

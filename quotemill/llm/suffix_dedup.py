@@ -199,7 +199,7 @@ def _chunk_docs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return table.column("rid").to_numpy(), pc.fill_null(ids, 0).to_numpy(), pc.is_valid(ids).to_numpy(), data, offsets
 
 
-RECORDS = "bucket int, chunk int, docs binary, n bigint, n_refs bigint, shape binary, slices binary, refs binary"
+RECORDS = "bucket int, chunk int, docs binary, n bigint, n_refs bigint, shape binary, slices binary, refs binary"  # docs: those that refs use
 
 
 def _records(splitters: np.ndarray):
@@ -238,16 +238,16 @@ def _records(splitters: np.ndarray):
                 ref_count = np.bincount(rank[inverse], minlength=len(first))
                 ref_end = np.cumsum(ref_count)
                 cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
-                all_ids = ids.astype("<i8").tobytes()
                 for a, b in zip(cut, [*cut[1:], len(order)]):
                     f = first[order[a:b]]
                     refs = by_record[ref_end[a] - ref_count[a] : ref_end[b - 1]]
                     slices = np.concatenate([data[x:y] for x, y in zip(start[f], stop[f])])
+                    used, own = np.unique(doc[refs], return_inverse=True)
                     rows.append(
                         (
-                            int(bucket[order[a]]), chunk, zstandard.ZstdCompressor(level=1).compress(all_ids), b - a, len(refs),
+                            int(bucket[order[a]]), chunk, np.array([len(used)], "<u4").tobytes() + _squeeze(used.astype("<u4"), ids[used].astype("<i8")), b - a, len(refs),
                             _squeeze((pos[f] - start[f]).astype(np.uint8), (end[f] - start[f]).astype(np.uint8), smallest[order[a:b]].astype("<i8"), ref_count[a:b].astype("<u4")),
-                            zstandard.ZstdCompressor(level=3).compress(slices.tobytes()), _squeeze(doc[refs].astype("<u4"), (start[refs] - offsets[doc[refs]]).astype("<u4")),
+                            zstandard.ZstdCompressor(level=3).compress(slices.tobytes()), _squeeze(own.astype("<u4"), (start[refs] - offsets[doc[refs]]).astype("<u4")),
                         )
                     )
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -308,9 +308,10 @@ def _gone(table: pa.Table) -> pa.Table:
     heads = []
     for chunk, docs, n, n_refs, shape, slices, refs in zip(*(table.column(c).to_pylist() for c in ("chunk", "docs", "n", "n_refs", "shape", "slices", "refs"))):
         lead, count, smallest, ref_count = _expand(shape, ("u1", n), ("u1", n), ("<i8", n), ("<u4", n))
-        row, start = _expand(refs, ("<u4", n_refs), ("<u4", n_refs))
-        ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(docs), "<i8")
-        heads.append((chunk, lead.astype(np.int64), count.astype(np.int64), smallest, ref_count, zstandard.ZstdDecompressor().decompress(slices), row, start, ids))
+        own, start = _expand(refs, ("<u4", n_refs), ("<u4", n_refs))
+        n_docs = int(np.frombuffer(docs, "<u4", 1)[0])
+        used, ids = _expand(docs[4:], ("<u4", n_docs), ("<i8", n_docs))
+        heads.append((chunk, lead.astype(np.int64), count.astype(np.int64), smallest, ref_count, zstandard.ZstdDecompressor().decompress(slices), used[own], start, ids[own]))
     lead, count, smallest = (np.concatenate([h[k] for h in heads]) for k in (1, 2, 3))
     data = np.frombuffer(b"".join(h[5] for h in heads), np.uint8)
     size = count + LENGTH - 1
@@ -349,7 +350,7 @@ def _gone(table: pa.Table) -> pa.Table:
         spans = []
         for a in range(0, len(record), 200_000):
             rec, rw, st = record[a : a + 200_000], row[a : a + 200_000].astype(np.int64), start[a : a + 200_000].astype(np.int64)
-            hit = first[rec] < np.searchsorted(ranked, ids[rw])[:, None]
+            hit = first[rec] < np.searchsorted(ranked, ids[a : a + 200_000])[:, None]
             edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             i, x = np.nonzero(edge == 1)
             _, y = np.nonzero(edge == -1)
@@ -423,7 +424,8 @@ def _splitters(docs: DataFrame, n: int, buckets: int) -> np.ndarray:
             pos = pos[:: max(1, len(pos) // 2000)] if len(pos) else pos
             yield pa.RecordBatch.from_arrays([pa.array([data[p : p + K].tobytes() for p in pos], pa.binary())], names=["lead"])
 
-    some = docs.select("text").sample(False, min(1.0, wanted / max(n, 1)), seed=3).mapInArrow(leads, "lead binary").limit(SAMPLE).collect()
+    # The smallest hashes, so that every partition of the sample has its share of the leads that are kept.
+    some = docs.select("text").sample(False, min(1.0, wanted / max(n, 1)), seed=3).mapInArrow(leads, "lead binary").orderBy(F.xxhash64("lead"), "lead").limit(SAMPLE).collect()
     found = np.sort(np.array([bytes(r[0]) for r in some], f"S{K}"))
     return np.unique(found[(np.arange(1, buckets) * len(found)) // buckets]) if len(found) else found
 

@@ -309,11 +309,34 @@ def test_mixing_meets_targets(spark):
     assert t.withColumn("n_tokens", F.lit(0)).select(F.max(rate)).first()[0] == 1.0
 
 
+def test_mixing_equals_plain_projected_gradient(spark):
+    """On the posteriors of real documents: the same steps on plain arrays give every document's rate."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = mixing.mix_rates(docs, labels).toPandas().sort_values("doc_id")
+    p, n = np.array(got.posterior.tolist()), got.n_tokens.to_numpy(float)
+    domains = mixing.train(docs, labels).domains
+    want = np.array([mixing.TARGETS[d] for d in domains])
+    want, total = want / want.sum(), (n[:, None] * p).sum()
+    inverse = np.linalg.pinv((n[:, None, None] * p[:, :, None] * p[:, None, :]).sum(0) / total + 1e-6 * np.eye(len(domains)))
+    rate = np.ones(len(n))
+    for _ in range(mixing.STEPS):
+        gap = ((rate * n) @ p - want * total) / total
+        if np.abs(gap).max() < 1e-4:
+            break
+        rate = np.where(n > 0, np.maximum(0, rate - mixing.STEP * (p @ (inverse @ gap)) - mixing.PULL * (rate - 1)), 1.0)
+    assert np.abs(got.rate.to_numpy() - rate).max() < 1e-4
+    assert np.abs((rate * n) @ p / total - want).max() < 0.02
+    assert got.groupby("domain").domain_after.nunique().max() == 1
+
+
 def test_mixing_on_awkward_tables(spark):
     labels = spark.createDataFrame([(6, 1, 0), (8, 0, 1), (5, None, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
     d = awkward(spark)
     assert mixing.mix_rates(d, labels).count() == d.count()
     assert mixing.mix_rates(d, labels.limit(0)).select("domain").distinct().count() == 1
+    clash = d.withColumn("_n_tokens", F.lit(1)).withColumn("n_tokens", F.lit(2)).withColumn("_posterior", F.lit(3)).withColumn("posterior", F.lit(4)).withColumn("_row", F.lit(5)).withColumn("_copy", F.lit(6))
+    assert mixing.resample(clash, labels).columns == clash.columns
     kept = mixing.resample(d, labels, keep=("q1_t0", "q0_t1"))
     assert kept.columns == d.columns and kept.select("doc_id", "text").distinct().count() == d.select("doc_id", "text").distinct().count()
 
