@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from quotemill.operators import candles as batch_candles
@@ -75,23 +74,22 @@ def test_landing_adds_a_replayed_batch_once(spark, tmp_path):
     assert live.TickStore(spark, store).read("unified_ticks").count() == 5
 
 
-@pytest.mark.parametrize("split", [1, 3])
-def test_decisions_carry_their_state_across_batches(spark, tmp_path, split):
-    import __spark_entry__ as entry
+def test_decisions_carry_their_state_across_batches(spark, tmp_path):
+    from pyspark.sql import Window
+
+    from quotemill.functions.stage import stage
     from quotemill.operators import strategy
     from quotemill.plans import queries
 
-    features = queries.dense(spark, "/root/testdata/sf0.001").ticks.filter("symbol = 'click'").orderBy("timestamp_utc", "seq").toPandas()
-    assert entry and len(features) > 50
-    schema = queries.dense(spark, "/root/testdata/sf0.001").ticks.schema
+    rows = queries.staged(spark, "/root/testdata/sf0.001").filter("symbol = 'click'")
+    rows = stage(rows.withColumn("part", F.ntile(3).over(Window.orderBy("timestamp_utc", "seq"))), "staged")
     src, out = tmp_path / "in", str(tmp_path / "out")
-    n = -(-len(features) // split)
-    for k in range(split):
-        spark.createDataFrame(features.iloc[k * n : (k + 1) * n], schema).coalesce(1).write.mode("append").parquet(str(src))
-    q = live.decisions(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).start(out)
-    q.processAllAvailable()
-    q.stop()
-    got = sorted((str(r.timestamp_utc), r.decision, r.reason) for r in spark.read.parquet(out).collect())
-    log = strategy.audit_log(spark.createDataFrame(features, schema))
-    assert len(got) == len(features)
-    assert {g[:2] for g in got if g[1]} >= {(str(r.timestamp_utc), r.decision) for r in log.collect() if r.decision}
+    for k in (1, 2, 3):  # a file a batch, in order
+        rows.filter(F.col("part") == k).coalesce(1).write.mode("append").parquet(str(src))
+        q = live.decisions(spark.readStream.schema(rows.schema).parquet(str(src))).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).start(out)
+        q.processAllAvailable()
+        q.stop()
+    got = {str(r.timestamp_utc): (r.decision, r.reason) for r in spark.read.parquet(out).collect()}
+    log = strategy.audit_log(rows).collect()
+    assert len(got) == rows.count() and len(log) > 50
+    assert all(got[str(r.timestamp_utc)] == (r.decision, r.reason) for r in log)
