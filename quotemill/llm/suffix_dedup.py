@@ -39,7 +39,7 @@ POSITION_BITS = 26
 CHUNK_DOCS, HASH_DOCS, RANGE_DOCS = 1000, 6_000, 6_000
 #: A k-mer in so many documents of one task is known to repeat and isn't sent for each.
 LOCAL = 32
-SAMPLE = 20_000
+SAMPLE, AVERAGE = 20_000, 400  # leads, and anchors of an average document
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -412,20 +412,21 @@ def _results(with_text: bool):
 
 
 def _splitters(docs: DataFrame, n: int, buckets: int) -> np.ndarray:
-    """buckets - 1 cuts among the leading tokens of a sample's anchors: about SAMPLE bytes-of-text-bounded documents."""
+    """buckets - 1 cuts among the leading tokens of a sample's anchors: 40 documents for each bucket, and of their anchors a
+    share by hash such that about SAMPLE come from documents of average length, however many documents there are."""
     if buckets < 2:
         return np.zeros(0, f"S{K}")
     wanted = min(n, 40 * buckets)
+    least = U((2**64 - 1) * SAMPLE // max(SAMPLE, AVERAGE * wanted))
 
     def leads(batches):
         for b in pieces(batches, limit=1 << 20):
             data, offsets = utf8_buffer(b.column("text"))
-            _, _, pos, _, _ = anchors(data, offsets)
-            pos = pos[:: max(1, len(pos) // 2000)] if len(pos) else pos
+            _, h, pos, _, _ = anchors(data, offsets)
+            pos = pos[mix(h) <= least]
             yield pa.RecordBatch.from_arrays([pa.array([data[p : p + K].tobytes() for p in pos], pa.binary())], names=["lead"])
 
-    # The smallest hashes, so that every partition of the sample has its share of the leads that are kept.
-    some = docs.select("text").sample(False, min(1.0, wanted / max(n, 1)), seed=3).mapInArrow(leads, "lead binary").orderBy(F.xxhash64("lead"), "lead").limit(SAMPLE).collect()
+    some = docs.select("text").sample(False, min(1.0, wanted / max(n, 1)), seed=3).mapInArrow(leads, "lead binary").collect()
     found = np.sort(np.array([bytes(r[0]) for r in some], f"S{K}"))
     return np.unique(found[(np.arange(1, buckets) * len(found)) // buckets]) if len(found) else found
 
