@@ -1,4 +1,10 @@
-"""A corpus pipeline made of the operators in quotemill.llm."""
+"""A corpus pipeline made of the operators in quotemill.llm.
+
+Every stage takes and (but for the last) returns the columns of documents; further columns pass through whatever their
+names.  Null and letterless texts go in the first stage, so do rows whose text no model accepts; rows with a null doc_id
+stay unless they are exact copies; repeated rows are exact copies, of which one stays.  Ties go to the smallest doc_id.  An
+empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
