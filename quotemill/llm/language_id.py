@@ -27,8 +27,8 @@ from .workspace import held, pieces, texts_of
 ORDER = 4
 #: Bytes of text that a worker scores at once.
 PIECE = 1 << 20
-#: n-grams that a worker remembers; beyond that it starts afresh.
-REMEMBERED = 500_000
+#: Bits of the number of n-grams that a worker remembers.
+REMEMBERED = 19
 #: Letters of a calibration slice; texts vary less the longer they are, so the threshold holds for longer ones too.
 SLICE, MARGIN = 60, 0.12
 #: Shorter texts are held against slices of the greatest of these lengths that they reach.
@@ -71,14 +71,25 @@ def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(categories()[cps] == 1, cps, 0).astype(U), off
 
 
-def ngrams(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes by order 1 to ORDER of the n-gram that ends at each symbol, and of its context; texts begin after zeros."""
+def windows(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Row j holds the symbol j places before each; texts begin after zeros."""
     n = len(symbols)
-    place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-    back = np.zeros((ORDER, n), U)  # back[j]: the symbol j before
+    back = np.zeros((ORDER, n), U)
     for j in range(ORDER):
-        back[j, j:] = symbols[: n - j]
-        back[j, place < j] = 0
+        back[j, j:] = symbols[: max(0, n - j)]
+        # Of a text shorter than this the place is a later text's, as near to its start.
+        early = (offsets[:-1, None] + np.arange(j)).ravel()
+        back[j, early[early < n]] = 0
+    return back
+
+
+def ngrams(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes by order 1 to ORDER of the n-gram that ends at each symbol, and of its context; texts begin after zeros."""
+    return _by_order(windows(symbols, offsets))
+
+
+def _by_order(back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = back.shape[1]
     grams, contexts = np.empty((n, ORDER), U), np.empty((n, ORDER), U)
     for table, shift in ((grams, 0), (contexts, 1)):
         h = np.zeros(n, U)
@@ -122,14 +133,12 @@ def fit(sample: list[tuple[str, str]]) -> Model:
         texts = [t for k, t in sample if k == lang]
         kept_out.append(texts[::5] if len(texts) >= 10 else texts)
         sym, off = symbols_of([t for i, t in enumerate(texts) if i % 5] if len(texts) >= 10 else texts)
-        found = ngrams(sym, off)
-        g, c = _fit_language(found[0][sym > 0], found[1][sym > 0])
+        g, c = _fit_language(*_by_order(windows(sym, off)[:, sym > 0]))
         model.grams += g
         model.contexts += c
     for k, texts in enumerate(kept_out):
         sym, off = symbols_of(texts)
-        found = ngrams(sym, off)
-        lp = model.log_probabilities(found[0][sym > 0], found[1][sym > 0])[:, k]
+        lp = model.log_probabilities(*_by_order(windows(sym, off)[:, sym > 0]))[:, k]
         for j, size in enumerate(LENGTHS):
             cut = np.arange(0, max(1, len(lp) - size + 1), size)
             means = np.array([-lp[a : a + size].mean() for a in cut]) if len(lp) else np.array([np.log(model.alphabet)])
@@ -140,28 +149,27 @@ def fit(sample: list[tuple[str, str]]) -> Model:
 
 
 class _Memo:
-    """What a worker has looked up so far, by the hash of the longest n-gram; at most REMEMBERED and one batch's."""
+    """What a worker has looked up so far: a slot for each hash of a longest n-gram, the later one stays."""
 
     def __init__(self, languages: int):
-        self.keys, self.lp = np.zeros(0, U), np.zeros((0, languages), np.float32)
-
-    def rows(self, model: Model, grams: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Log-probabilities of each letter by language."""
-        keys, first, inverse = np.unique(grams[:, ORDER - 1], return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-        lp = np.empty((len(keys), self.lp.shape[1]), np.float32)
-        lp[known] = self.lp[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            lp[new] = model.log_probabilities(grams[first[new]], contexts[first[new]])
-            if len(self.keys) + len(new) > REMEMBERED:
-                self.keys, self.lp = keys, lp
-            else:
-                self.keys, self.lp = np.insert(self.keys, at[new], keys[new]), np.insert(self.lp, at[new], lp[new], axis=0)
-        return lp[inverse]
+        self.keys, self.lp = np.zeros(1 << REMEMBERED, U), np.zeros((1 << REMEMBERED, languages), np.float32)
+
+    def rows(self, model: Model, back: np.ndarray) -> np.ndarray:
+        """Log-probabilities of each letter by language; only n-grams that have no slot are hashed by order and searched."""
+        key = back[0] * _FACTOR
+        for m in range(1, ORDER):
+            key = (key + back[m]) * _FACTOR
+        key = mix(key) | U(1)
+        slot = (key >> U(64 - REMEMBERED)).astype(np.int64)
+        lp = self.lp[slot]
+        missing = np.flatnonzero(self.keys[slot] != key)
+        if len(missing):
+            new, first, inverse = np.unique(key[missing], return_index=True, return_inverse=True)
+            found = model.log_probabilities(*_by_order(back[:, missing[first]]))
+            lp[missing] = found[inverse]
+            slots, one = np.unique(slot[missing[first]], return_index=True)
+            self.keys[slots], self.lp[slots] = new[one], found[one]
+        return lp
 
 
 def score(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -172,11 +180,10 @@ def score(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.nda
     sym, off = symbols_of(texts)
     is_letter = sym > 0
     letters = sums(is_letter.astype(np.float32), off)
-    grams, contexts = ngrams(sym, off)
     ends = np.zeros(n + 1, np.int64)
     np.cumsum(letters.astype(np.int64), out=ends[1:])
     memo = held(f"languages {model.uid}", lambda: _Memo(width))
-    lp = memo.rows(model, grams[is_letter], contexts[is_letter]) if is_letter.any() else np.zeros((0, width), np.float32)
+    lp = memo.rows(model, windows(sym, off)[:, is_letter]) if is_letter.any() else np.zeros((0, width), np.float32)
     h = np.stack([-sums(lp[:, k], ends) for k in range(width)], 1) / np.maximum(letters, 1)[:, None]
     best = h.argmin(1)
     lowest = h[np.arange(n), best]
