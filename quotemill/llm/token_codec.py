@@ -1,13 +1,15 @@
 """A context-mixing range coder for token ids, run over many blocks at once.
 
-Every block starts from the same model and its own coder, so blocks are independent; ``encode`` and ``decode`` step
-through all blocks of a chunk together, one id of each block a step, as numpy operations over the blocks.
-
-Each id is coded as: is it the order-2 prediction; if not, is it the order-1 prediction; if not, its high and low
-byte from order-0 counts.  The two yes/no chances are mixed in the logistic domain from what the three orders say
-of the candidate (order 2: hits of its slot's confidence; order 1: whether and how firmly it predicts the same id;
-order 0: how common the id's high byte is) with weights that learn in each block.  All arithmetic is on integers, so
-any machine decodes what another wrote.
+A chunk's header holds what its blocks start from: the chunk's distinct ids with their order-0 frequencies, and for each
+its commonest follower with the chance of it (order 1).  Every block is reset to that state and has its own coder,
+checksum and order-2 table, so blocks are independent of each other; ``encode`` and ``decode`` step through all blocks of
+a chunk together, one id of each block a step, as numpy operations over the blocks.
+
+Each id is coded as: is it what the block's order-2 table predicts (if the context was met); if not, is it the order-1
+prediction (if there is another); if not, its place among the order-0 frequencies.  The two yes/no chances are mixed in
+the logistic domain from what the three orders say of the candidate (order 2: hits of its slot; order 1: how likely the
+follower is, and whether both predict the same id; order 0: how common the candidate is) with probabilities and weights
+that learn in each block.  All arithmetic is on integers, so any machine decodes what another wrote.
 """
 
 from __future__ import annotations
@@ -16,19 +18,19 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-SLOTS = 2048  # of each order's table of predictions, in each block
-MAGIC = b"QMTOKEN1"
-REFRESH = 128  # order-0 tables follow their counts this many ids late at most, sooner while a block is young
-EARLY = (7, 15, 31, 63)
-CLASSES = 8  # order-0 low bytes are counted for high bytes 0 to 6 and the rest
+BLOCK = 2048
+SLOTS = 2048  # of the order-2 table, in each block
+MAGIC = b"QMTOKEN2"
+HEAD = 32  # bytes before the primer
+LEAST_PAIR = 3  # times that a follower must occur in the chunk to be predicted
 TOP, BOTTOM = np.uint64(1 << 32), np.uint64(1 << 24)
-SIXTEEN, THIRTY_TWO = np.uint64(16), np.uint64(32)
+THIRTY_TWO = np.uint64(32)
+FLAG_BITS, ID_BITS = np.uint64(16), np.uint64(20)
 RATE, LEARN = 5, 14
 
 
 class Corrupt(ValueError):
-    """A block whose ids don't have the checksum that it was written with."""
+    """A block or header that doesn't have the checksum that it was written with."""
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -42,13 +44,61 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 STRETCH, SQUASH = _tables()
 
 
+class _Primer:
+    """What all blocks of a chunk start from; ids are handled as their places among the chunk's distinct ids."""
+
+    def __init__(self, symbols: np.ndarray, counts: np.ndarray, follow: np.ndarray, firm: np.ndarray):
+        self.symbols, self.counts, self.follow, self.firm = symbols, counts, follow, firm
+        total = 1 << int(ID_BITS)
+        share = np.maximum(counts.astype(np.int64) * (total - len(counts)) // max(int(counts.sum()), 1), 1)
+        share[np.argmax(share)] += total - share.sum()
+        self.cum = np.concatenate([[0], np.cumsum(share)])
+        self.share = share
+        #: How common an id is, on a scale of 0 to 31: half powers of two.
+        self.common = np.minimum(np.searchsorted(np.int64(1) << np.arange(1, 20), share, "right") + (share > total >> 6), 31)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[_Primer, np.ndarray]:
+        """(the primer of ids, the ids' places)."""
+        counts = np.bincount(ids, minlength=1 << 16)
+        symbols = np.flatnonzero(counts)
+        place = np.zeros(1 << 16, np.int64)
+        place[symbols] = np.arange(len(symbols))
+        x, size = place[ids], len(symbols)
+        pairs, times = np.unique(x[:-1] * size + x[1:], return_counts=True)
+        pairs, times = pairs[times >= LEAST_PAIR], times[times >= LEAST_PAIR]
+        order = np.lexsort((times, pairs // size))
+        pairs, times = pairs[order], times[order]
+        left = pairs // size
+        best = np.flatnonzero(np.diff(left, append=-1))
+        follow, firm = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        follow[left[best]] = pairs[best] % size
+        chance = times[best] * 4095 // (counts[symbols[left[best]]] + 1)
+        firm[left[best]] = np.maximum((STRETCH[chance] + 2048) >> 7, 1)
+        return cls(symbols, counts[symbols], follow, firm), x
+
+    def pack(self) -> bytes:
+        wide = (np.diff(self.symbols, prepend=0).astype("<u2"), self.counts.astype("<u4"), self.follow.astype("<u2"), self.firm.astype("u1"))
+        return zlib.compress(np.array([len(self.symbols)], "<u4").tobytes() + b"".join(np.frombuffer(a.tobytes(), "u1").reshape(len(a), -1).T.tobytes() for a in wide))
+
+    @classmethod
+    def unpack(cls, packed: bytes) -> _Primer:
+        raw = np.frombuffer(zlib.decompress(packed), "u1")
+        size, at, parts = int(raw[:4].view("<u4")[0]), 4, []
+        for kind in ("<u2", "<u4", "<u2", "u1"):
+            width = np.dtype(kind).itemsize
+            parts.append(np.ascontiguousarray(raw[at : at + size * width].reshape(width, size).T).view(kind).ravel().astype(np.int64))
+            at += size * width
+        return cls(np.cumsum(parts[0]), *parts[1:])
+
+
 class _Chance:
     """A mixed yes/no chance: three adaptive probabilities, chosen by small contexts, and weights of each block."""
 
-    def __init__(self, lanes: int, sizes: tuple[int, int, int]):
-        self.sizes = sizes
-        self.p = [np.full(lanes * n, 1 << 14, np.int32) for n in sizes]
-        self.w = [np.full(lanes, 26000, np.int32) for _ in sizes]
+    def __init__(self, lanes: int, starts: list[np.ndarray]):
+        self.sizes = [len(s) for s in starts]
+        self.p = [np.tile(s.astype(np.int32), lanes) for s in starts]
+        self.w = [np.full(lanes, 26000, np.int32) for _ in starts]
 
     def predict(self, lane: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """16-bit chance of yes for the given lanes, within 32 and 65504."""
@@ -57,74 +107,60 @@ class _Chance:
         self.s = [STRETCH[v >> 4] for v in self.now]
         self.weight = [w[lane] for w in self.w]
         dot = (self.weight[0] * self.s[0] + self.weight[1] * self.s[1] + self.weight[2] * self.s[2]) >> 16
-        self.mixed = SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        return np.clip(self.mixed << 4, 32, 65504)
+        self.mixed = SQUASH[np.minimum(np.maximum(dot, -2047), 2047) + 2047]
+        return np.minimum(np.maximum(self.mixed << 4, 32), 65504)
 
     def learn(self, lane: np.ndarray, yes: np.ndarray) -> None:
         err = (yes.astype(np.int32) << 12) - self.mixed
         goal = yes.astype(np.int32) * 65535
         for k in range(3):
             self.p[k][self.at[k]] = self.now[k] + ((goal - self.now[k]) >> RATE)
-            self.w[k][lane] = np.clip(self.weight[k] + ((err * self.s[k]) >> LEARN - 4), -(1 << 19), 1 << 19)
+            self.w[k][lane] = np.minimum(np.maximum(self.weight[k] + ((err * self.s[k]) >> LEARN - 4), -(1 << 19)), 1 << 19)
 
 
 class _Model:
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, primer: _Primer):
+        self.primer = primer
         self.lane = np.arange(lanes, dtype=np.int64)
         self.base = self.lane * SLOTS
-        self.guess = [np.zeros(lanes * SLOTS, np.uint16) for _ in range(2)]
-        self.trust = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-        self.two = _Chance(lanes, (16, 32, 32))
-        self.one = _Chance(lanes, (16, 16, 32))
-        self.high = np.ones((lanes, 256), np.int32)
-        self.low = np.ones((lanes * CLASSES, 256), np.int32)
+        self.guess = np.zeros(lanes * SLOTS, np.uint16)
+        self.trust = np.zeros(lanes * SLOTS, np.int8)
+        even, firm = np.full(32, 1 << 15), SQUASH[np.arange(32) * 128 + 63] << 4
+        self.two = _Chance(lanes, [even, np.concatenate([even, firm]), even])
+        self.one = _Chance(lanes, [firm, even, even])
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
-        self.refresh()
-
-    def refresh(self) -> None:
-        self.high_cum = self._cumulate(self.high)
-        self.low_cum = self._cumulate(self.low)
-
-    @staticmethod
-    def _cumulate(counts: np.ndarray) -> np.ndarray:
-        """Cumulative counts scaled to 16 bits; every symbol keeps a share of one at least."""
-        cum = np.zeros((len(counts), 257), np.int32)
-        np.cumsum(counts, axis=1, out=cum[:, 1:])
-        scale = ((65536 - 256) << 14) // cum[:, -1:].astype(np.int64)
-        return ((cum * scale) >> 14).astype(np.int32).ravel() + np.tile(np.arange(257, dtype=np.int32), len(counts))
-
-    def slots(self) -> None:
-        h1 = (self.last * 40503) & 0xFFFFFFFF
-        h2 = ((self.last * 2654435761) ^ (self.before * 2246822519)) & 0xFFFFFFFF
-        self.at = [self.base + ((h1 >> 3) % SLOTS), self.base + ((h2 >> 7) % SLOTS)]
-        self.g = [g[a].astype(np.int32) for g, a in zip(self.guess, self.at)]
-        self.t = [t[a].astype(np.int32) for t, a in zip(self.trust, self.at)]
-
-    def commonness(self, lane: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """How common an id's high byte is among the block's, on a scale of 0 to 31."""
-        at = lane * 257 + (ids >> 8)
-        return np.minimum((self.high_cum[at + 1] - self.high_cum[at]) >> 9, 31)
-
-    def first_chance(self) -> np.ndarray:
-        agree = self.g[0] == self.g[1]
-        return self.two.predict(self.lane, [self.t[1], np.minimum(self.t[0], 15) + 16 * agree, self.commonness(self.lane, self.g[1])])
-
-    def second_chance(self, lane: np.ndarray) -> np.ndarray:
-        return self.one.predict(lane, [self.t[0][lane], self.t[1][lane], self.commonness(lane, self.g[0][lane])])
-
-    def learn_id(self, ids: np.ndarray) -> None:
-        for k in range(2):
-            hit = self.g[k] == ids
-            trust = np.where(hit, np.minimum(self.t[k] + 1, 15), self.t[k] >> 1)
-            self.trust[k][self.at[k]] = trust
-            self.guess[k][self.at[k]] = np.where(hit | (trust > 0), self.g[k], ids)
-        self.before = self.last
-        self.last = ids.astype(np.int64)
-
-    def learn_bytes(self, lane: np.ndarray, high: np.ndarray, low: np.ndarray) -> None:
-        self.high[lane, high] += 24
-        self.low[lane * CLASSES + np.minimum(high, CLASSES - 1), low] += 24
+
+    def step(self) -> None:
+        """Looks up both predictions; ``asked`` are the lanes whose order-2 context was met."""
+        self.at = self.base + (((self.last * 40503 + self.before * 2654435761) >> 7) & SLOTS - 1)
+        self.g2, self.t2 = self.guess[self.at].astype(np.int64), self.trust[self.at].astype(np.int64)
+        self.g1, self.firm = self.primer.follow[self.last], self.primer.firm[self.last]
+        self.agree = (self.g1 == self.g2) & (self.firm > 0)
+        self.asked = np.flatnonzero(self.t2)
+
+    def second_order(self) -> np.ndarray:
+        k = self.asked
+        agree = self.agree[k]
+        return self.two.predict(k, [self.t2[k] + 16 * agree, self.firm[k] + 32 * agree, self.primer.common[self.g2[k]]])
+
+    def others(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lanes whose order-1 prediction is asked next, lanes without another prediction); found: lanes that are done."""
+        open_ = np.ones(len(self.lane), bool)
+        open_[found] = False
+        ask = open_ & (self.firm > 0) & ~(self.agree & (self.t2 > 0))
+        return np.flatnonzero(ask), np.flatnonzero(open_ & ~ask)
+
+    def first_order(self, k: np.ndarray) -> np.ndarray:
+        return self.one.predict(k, [self.firm[k], self.t2[k], self.primer.common[self.g1[k]]])
+
+    def learn(self, x: np.ndarray) -> None:
+        hit = (self.g2 == x) & (self.t2 > 0)
+        trust = np.where(hit, np.minimum(self.t2 + 1, 15), self.t2 >> 1)
+        keep = hit | (trust > 0)
+        self.trust[self.at] = np.maximum(trust, 1)
+        self.guess[self.at] = np.where(keep, self.g2, x)
+        self.before, self.last = self.last, x
 
 
 class _Writer:
@@ -134,9 +170,9 @@ class _Writer:
         self.out = np.zeros((lanes, 2 * steps + 8), np.uint32)
         self.n = np.zeros(lanes, np.int64)
 
-    def code(self, lane, start, share) -> None:
-        """Narrows the lanes' intervals to [start, start + share) of 65536."""
-        low, r = self.low[lane], self.range[lane] >> SIXTEEN
+    def code(self, lane, start, share, bits=FLAG_BITS) -> None:
+        """Narrows the lanes' intervals to [start, start + share) of 2 ** bits."""
+        low, r = self.low[lane], self.range[lane] >> bits
         low = low + r * start.astype(np.uint64)
         r = r * share.astype(np.uint64)
         settle = np.flatnonzero(((low ^ (low + r)) < TOP) | (r < BOTTOM))
@@ -168,10 +204,10 @@ class _Reader:
         self.code_now = (self.words[:, 0] << THIRTY_TWO) | self.words[:, 1]
         self.n = np.full(len(words), 2)
 
-    def place(self, lane: np.ndarray) -> np.ndarray:
-        """Where of 65536 the lanes' codes lie."""
-        self.r = self.range[lane] >> SIXTEEN
-        return np.minimum((self.code_now[lane] - self.low[lane]) // self.r, np.uint64(65535)).astype(np.int64)
+    def place(self, lane: np.ndarray, bits=FLAG_BITS) -> np.ndarray:
+        """Where of 2 ** bits the lanes' codes lie."""
+        self.r = self.range[lane] >> bits
+        return np.minimum((self.code_now[lane] - self.low[lane]) // self.r, np.uint64((1 << int(bits)) - 1)).astype(np.int64)
 
     def take(self, lane, start, share) -> None:
         low = self.low[lane] + self.r * start.astype(np.uint64)
@@ -188,111 +224,98 @@ class _Reader:
         self.low[lane], self.range[lane] = low, r
 
 
-def _encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
-    """ids: a row for each block."""
-    lanes, steps = ids.shape
-    m, w = _Model(lanes), _Writer(lanes, 2 * steps)
-    columns = np.ascontiguousarray(ids.T).astype(np.int32)
-    for t in range(steps):
-        x = columns[t]
-        m.slots()
-        p = m.first_chance()
-        yes = x == m.g[1]
-        w.code(m.lane, np.where(yes, 0, p), np.where(yes, p, 65536 - p))
-        m.two.learn(m.lane, yes)
-        rest = np.flatnonzero(~yes)
-        if len(rest):
-            p = m.second_chance(rest)
-            yes = x[rest] == m.g[0][rest]
-            w.code(rest, np.where(yes, 0, p), np.where(yes, p, 65536 - p))
-            m.one.learn(rest, yes)
-            rest = rest[~yes]
-        if len(rest):
-            high, low = x[rest] >> 8, x[rest] & 255
-            for table, row, symbol in ((m.high_cum, rest, high), (m.low_cum, rest * CLASSES + np.minimum(high, CLASSES - 1), low)):
-                at = row * 257 + symbol
-                w.code(rest, table[at], table[at + 1] - table[at])
-            m.learn_bytes(rest, high, low)
-        m.learn_id(x)
-        if t % REFRESH == REFRESH - 1 or t in EARLY:
-            m.refresh()
+def _encode_blocks(x: np.ndarray, primer: _Primer) -> list[np.ndarray]:
+    """x: a row of places for each block."""
+    lanes, steps = x.shape
+    m, w = _Model(lanes, primer), _Writer(lanes, 2 * steps)
+    for now in np.ascontiguousarray(x.T):
+        m.step()
+        lane = m.asked
+        p, yes = m.second_order(), now[lane] == m.g2[lane]
+        w.code(lane, np.where(yes, 0, p), np.where(yes, p, 65536 - p))
+        m.two.learn(lane, yes)
+        lane, rest = m.others(lane[yes])
+        p, yes = m.first_order(lane), now[lane] == m.g1[lane]
+        w.code(lane, np.where(yes, 0, p), np.where(yes, p, 65536 - p))
+        m.one.learn(lane, yes)
+        rest = np.concatenate([rest, lane[~yes]])
+        w.code(rest, primer.cum[now[rest]], primer.share[now[rest]], ID_BITS)
+        m.learn(now)
     return w.finish()
 
 
-def _decode_blocks(words: list[np.ndarray], steps: int) -> np.ndarray:
+def _decode_blocks(words: list[np.ndarray], steps: int, primer: _Primer) -> np.ndarray:
     lanes = len(words)
-    m, r = _Model(lanes), _Reader(words)
-    out = np.empty((steps, lanes), np.int32)
+    m, r = _Model(lanes, primer), _Reader(words)
+    out = np.empty((steps, lanes), np.int64)
     for t in range(steps):
-        m.slots()
-        p = m.first_chance()
-        yes = r.place(m.lane) < p
-        r.take(m.lane, np.where(yes, 0, p), np.where(yes, p, 65536 - p))
-        m.two.learn(m.lane, yes)
-        x = m.g[1].copy()
-        rest = np.flatnonzero(~yes)
-        if len(rest):
-            p = m.second_chance(rest)
-            yes = r.place(rest) < p
-            r.take(rest, np.where(yes, 0, p), np.where(yes, p, 65536 - p))
-            m.one.learn(rest, yes)
-            x[rest[yes]] = m.g[0][rest[yes]]
-            rest = rest[~yes]
-        if len(rest):
-            found = []
-            row = rest
-            for table in (m.high_cum, m.low_cum):
-                want, base = r.place(rest), row * 257
-                at = np.zeros(len(rest), np.int64)
-                for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                    at += step * (table[base + at + step] <= want)
-                at += base
-                r.take(rest, table[at], table[at + 1] - table[at])
-                found.append(at - base)
-                row = rest * CLASSES + np.minimum(at - base, CLASSES - 1)
-            high, low = found
-            m.learn_bytes(rest, high, low)
-            x[rest] = (high << 8) | low
-        m.learn_id(x)
-        out[t] = x
-        if t % REFRESH == REFRESH - 1 or t in EARLY:
-            m.refresh()
+        m.step()
+        now, lane = m.g2.copy(), m.asked
+        p = m.second_order()
+        yes = r.place(lane) < p
+        r.take(lane, np.where(yes, 0, p), np.where(yes, p, 65536 - p))
+        m.two.learn(lane, yes)
+        lane, rest = m.others(lane[yes])
+        p = m.first_order(lane)
+        yes = r.place(lane) < p
+        r.take(lane, np.where(yes, 0, p), np.where(yes, p, 65536 - p))
+        m.one.learn(lane, yes)
+        now[lane] = m.g1[lane]
+        rest = np.concatenate([rest, lane[~yes]])
+        found = np.searchsorted(primer.cum, r.place(rest, ID_BITS), "right") - 1
+        r.take(rest, primer.cum[found], primer.share[found])
+        now[rest] = found
+        m.learn(now)
+        out[t] = now
     return out.T
 
 
+def _head(n: int, blocks: int, steps: int, packed: bytes) -> bytes:
+    head = MAGIC + np.array([n], "<u8").tobytes() + np.array([blocks, steps, len(packed)], "<u4").tobytes()
+    return head + np.array([zlib.crc32(packed, zlib.crc32(head))], "<u4").tobytes() + packed
+
+
 def encode(ids: np.ndarray) -> bytes:
-    """ids (below 65536) as one chunk: magic, number of ids, of blocks, of ids in a block; for each block its words and
-    its ids' crc32; then the words."""
+    """ids (below 65536) as one chunk: magic, number of ids, of blocks, of ids in a block, the primer's size, the crc32
+    of all this and the primer; the primer; for each block its words and its ids' crc32; then the words."""
     n = len(ids)
     steps = min(BLOCK, max(n, 1))
     blocks = -(-n // steps) if n else 0
-    head = MAGIC + np.array([n], "<u8").tobytes() + np.array([blocks, steps], "<u4").tobytes()
     if not blocks:
-        return head
+        return _head(n, 0, steps, b"")
     if ids.max() > 0xFFFF:
         raise ValueError("ids must be below 65536")
-    table = np.zeros(blocks * steps, np.int32)
-    table[:n] = ids
-    words = _encode_blocks(table.reshape(blocks, steps))
+    primer, x = _Primer.of(ids)
+    packed = primer.pack()
+    table = np.zeros(blocks * steps, np.int64)
+    table[:n] = x
+    words = _encode_blocks(table.reshape(blocks, steps), primer)
     sums = [zlib.crc32(ids[k * steps : (k + 1) * steps].astype("<u4").tobytes()) for k in range(blocks)]
-    return head + np.array([len(w) for w in words], "<u4").tobytes() + np.array(sums, "<u4").tobytes() + np.concatenate(words).astype("<u4").tobytes()
+    return _head(n, blocks, steps, packed) + np.array([len(w) for w in words], "<u4").tobytes() + np.array(sums, "<u4").tobytes() + np.concatenate(words).astype("<u4").tobytes()
 
 
 def decode(chunk: bytes) -> np.ndarray:
-    """The ids of a chunk; Corrupt if a block's checksum doesn't hold."""
-    if chunk[:8] != MAGIC:
+    """The ids of a chunk; Corrupt if a block's or the header's checksum doesn't hold."""
+    if chunk[:8] != MAGIC or len(chunk) < HEAD:
         raise Corrupt("not a chunk of token ids")
     n = int(np.frombuffer(chunk, "<u8", 1, 8)[0])
-    blocks, steps = (int(v) for v in np.frombuffer(chunk, "<u4", 2, 16))
+    blocks, steps, size, check = (int(v) for v in np.frombuffer(chunk, "<u4", 4, 16))
+    packed, at = chunk[HEAD : HEAD + size], HEAD + size
+    if zlib.crc32(packed, zlib.crc32(chunk[: HEAD - 4])) != check:
+        raise Corrupt("header")
     if not blocks:
         return np.zeros(0, np.uint32)
-    sizes = np.frombuffer(chunk, "<u4", blocks, 24)
-    sums = np.frombuffer(chunk, "<u4", blocks, 24 + 4 * blocks)
-    words = np.frombuffer(chunk, "<u4", offset=24 + 8 * blocks)
+    if len(chunk) < at + 8 * blocks or (len(chunk) - at) % 4:
+        raise Corrupt("cut short")
+    primer = _Primer.unpack(packed)
+    sizes = np.frombuffer(chunk, "<u4", blocks, at)
+    sums = np.frombuffer(chunk, "<u4", blocks, at + 4 * blocks)
+    words = np.frombuffer(chunk, "<u4", offset=at + 8 * blocks)
     if len(words) != sizes.sum():
         raise Corrupt("cut short")
     cuts = np.cumsum(sizes.astype(np.int64))
-    ids = _decode_blocks([words[b - s : b] for s, b in zip(sizes.astype(np.int64), cuts)], steps).reshape(-1)[:n].astype(np.uint32)
+    found = _decode_blocks([words[b - s : b] for s, b in zip(sizes.astype(np.int64), cuts)], steps, primer)
+    ids = primer.symbols[found.reshape(-1)[:n]].astype(np.uint32)
     for k in range(blocks):
         if zlib.crc32(ids[k * steps : (k + 1) * steps].astype("<u4").tobytes()) != sums[k]:
             raise Corrupt(f"block {k}")

@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,7 +240,7 @@ def test_byte_bpe_equals_tiktoken(spark):
     assert all(digest[x.doc_id].ids_sha256 == hashlib.sha256(np.array(x.ids, "<u4").tobytes()).hexdigest() and digest[x.doc_id].n_tokens == len(x.ids) for x in back)
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 4095, 4096, 4097, 9000])
+@pytest.mark.parametrize("n", [0, 1, 2, 2047, 2048, 2049, 4097, 9000])
 def test_codec_round_trip_and_checksums(n):
     rng = np.random.default_rng(n)
     ids = (rng.zipf(1.3, n) % 50257).astype(np.uint32)
@@ -253,6 +254,29 @@ def test_codec_round_trip_and_checksums(n):
             token_codec.decode(bytes(bad))
 
 
+def test_codec_blocks_are_independent_and_beat_zlib():
+    cache, matched = token_files._cache(None, True)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    ids = token_files.with_end(*token_files.encode(texts, cache, matched)).astype(np.uint32)
+    blob = token_codec.encode(ids)
+    assert (token_codec.decode(blob) == ids).all()
+    assert len(blob) < 0.93 * len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+    every = (np.arange(1 << 16) * 40503 % (1 << 16)).astype(np.uint32)
+    assert (token_codec.decode(token_codec.encode(every)) == every).all()
+
+
+def test_codec_reports_damage_anywhere():
+    ids = (np.random.default_rng(3).zipf(1.3, 5000) % 50257).astype(np.uint32)
+    blob = token_codec.encode(ids)
+    for at in [0, 9, token_codec.HEAD + 3, len(blob) // 3, len(blob) // 2, len(blob) - 40]:
+        bad = bytearray(blob)
+        bad[at] ^= 4
+        with pytest.raises(token_codec.Corrupt):
+            token_codec.decode(bytes(bad))
+    with pytest.raises(token_codec.Corrupt):
+        token_codec.decode(blob[:-4])
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
