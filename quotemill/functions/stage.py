@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -24,4 +26,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         base = f"file://{_local[0]}"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._quotemill_path = path
+    return staged
+
+
+@contextlib.contextmanager
+def held_stage(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """stage(df, name) for the length of a block; its files go after it, so repeated writes (micro-batches) leave none."""
+    staged = stage(df, name)
+    try:
+        yield staged
+    finally:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(staged._quotemill_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

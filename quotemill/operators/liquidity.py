@@ -53,15 +53,27 @@ def swept(direction: Column, price: Column, tol: Column) -> Column:
     return F.when(direction == "high", (F.col("bar_high") >= price - tol) & (F.col("bar_close") < price)).otherwise((F.col("bar_low") <= price + tol) & (F.col("bar_close") > price))
 
 
-SLICES = 64.0
+def by_cells(bars: DataFrame, low: Column, high: Column, levels: DataFrame, keys=P.KEY) -> tuple[DataFrame, DataFrame]:
+    """(bars, a row for each price cell between low and high; levels with the cell of their ``price``), both with ``_cell``.
+
+    A key's cells are as wide as its bars reach on average, so whatever the instrument there are at most three rows for
+    a bar on average.  Levels of keys without bars and rows without prices go.
+    """
+    slack = (F.abs(low) + F.abs(high)) * 1e-9
+    reach = bars.withColumn("_from", low - slack).withColumn("_to", high + slack)
+    mean = F.greatest(F.avg(F.col("_to") - F.col("_from")), F.max(F.abs("_to")) * 1e-9)
+    width = reach.groupBy(*keys).agg(F.when(mean > 0, mean).otherwise(1.0).alias("_width"))
+    cell = lambda x: F.floor(x / F.col("_width"))
+    spread = reach.join(width, list(keys)).withColumn("_cell", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to"))))).drop("_from", "_to", "_width")
+    return spread, levels.join(width, list(keys)).withColumn("_cell", cell(F.col("price"))).drop("_width")
 
 
 def sweeps(bars: DataFrame, session_levels: DataFrame, swings: DataFrame, equal: DataFrame, atr: str = "atr_20_1m") -> DataFrame:
     """bars with liq_swept, liq_side, sweep_tier and the sweep candle's low, high, wick and body.
 
     Levels are tier 1 and 2 session levels from when they show, then all swings and clusters (tier 3); the lowest tier
-    wins, then the earliest level.  The range join goes by price cells wider than any reach: a bar meets the cells
-    between its low and high, widened by its tolerance, and a level lies in one cell.
+    wins, then the earliest level.  The range join goes by price cells (``by_cells``): a bar meets the cells between its
+    low and high, widened by its tolerance, and a level lies in one cell.
     """
     stats = bars.groupBy(*P.KEY).agg(F.median(F.when(~F.isnan(atr), F.col(atr))).alias("_m"))
     b = bars.join(stats, list(P.KEY), "left").withColumn("_tol", F.greatest(F.coalesce(F.when(~F.isnan(atr), F.col(atr)), F.col("_m"), F.lit(0.0)) * P.SWEEP_ATR, F.lit(P.SWEEP_FLOOR)))
@@ -72,9 +84,7 @@ def sweeps(bars: DataFrame, session_levels: DataFrame, swings: DataFrame, equal:
     levels = session_levels.select(*P.KEY, "direction", "price", "tier", "visible", F.col("ordinal").cast("long").alias("ordinal")).unionByName(structural).unionByName(clusters)
     # Equal levels sweep at the same bars; only the first of each matters.
     levels = levels.groupBy(*P.KEY, "direction", "price", "tier", "visible").agg(F.min("ordinal").alias("ordinal"))
-    cell = lambda x: F.floor(x / F.lit(SLICES)).cast("long")
-    b = b.withColumn("_cell", F.explode(F.sequence(cell(F.col("bar_low") - F.col("_tol")), cell(F.col("bar_high") + F.col("_tol")))))
-    lv = levels.withColumn("_cell", cell(F.col("price")))
+    b, lv = by_cells(b, F.col("bar_low") - F.col("_tol"), F.col("bar_high") + F.col("_tol"), levels)
     # A bar's low sweeps levels down to its close and its high levels up to its close, both inside its own widened range.
     met = b.join(lv, [*P.KEY, "_cell"]).filter((F.col("visible").isNull() | (F.col("visible") <= F.col("bar_time"))) & swept(F.col("direction"), F.col("price"), F.col("_tol")))
     best = met.groupBy(*P.KEY, "bar_time").agg(F.min_by(F.struct("direction", "tier"), order).alias("s"))
@@ -89,26 +99,49 @@ def sweeps(bars: DataFrame, session_levels: DataFrame, swings: DataFrame, equal:
     )
 
 
-def nearest_levels(points: DataFrame, levels: DataFrame, n: int = P.V3_NEAREST, keys=P.KEY, width: float = SLICES) -> DataFrame:
-    """points (…, price) with the nearest level above and below, and the best score among the n nearest.
+def nearest_levels(points: DataFrame, levels: DataFrame, n: int = P.V3_NEAREST, keys=P.KEY) -> DataFrame:
+    """points (…, price) with the nearest level above and below, and the best score among the n nearest; equally near
+    levels count from the lower one.
 
-    Levels are first reduced to distinct prices of a key; the join is by key on that reduced side.
+    A key's distinct levels, in order of price, part its prices into intervals, each of which holds the n + 1 levels
+    up to it and the n beyond it; a point lies in one interval and meets it by price cells as wide as the mean interval,
+    at most three for an interval on average.  Each point keeps its row, repeated ones too; one without a price gets
+    nulls, and points of keys without levels go.
     """
-    lv = levels.groupBy(*keys, F.col("price").alias("level")).agg(F.max("score").alias("score"))
-    p = points.withColumn("_id", F.struct(*points.columns))
-    near = p.join(lv, list(keys)).withColumn("_gap", F.abs(F.col("level") - F.col("price")))
-    rank = F.row_number().over(W.partitionBy("_id").orderBy("_gap", "level"))
-    near = near.withColumn("_rank", rank)
-    return near.groupBy("_id").agg(F.min(F.when(F.col("level") > F.col("price"), F.col("level"))).alias("nearest_above"), F.max(F.when(F.col("level") < F.col("price"), F.col("level"))).alias("nearest_below"), F.max(F.when(F.col("_rank") <= n, F.col("score"))).alias("best_score")).select("_id.*", "nearest_above", "nearest_below", "best_score")
+    lv = levels.filter(F.col("price").isNotNull()).groupBy(*keys, F.col("price").alias("_level")).agg(F.max("score").alias("_score"))
+    ends = lv.groupBy(*keys).agg(F.min("_level").alias("_low"), F.max("_level").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / F.col("_n")).otherwise(1.0)
+    ends = ends.select(*keys, "_low", "_n", width.alias("_width"))
+    below_all = F.lit(float("-inf"))
+    lv = lv.unionByName(ends.select(*keys, below_all.alias("_level"), F.lit(None).cast(lv.schema["_score"].dataType).alias("_score")))
+    rung, up = F.when(F.col("_level") > below_all, F.struct("_level", "_score")), W.partitionBy(*keys).orderBy("_level")
+    lv = lv.select(*keys, "_level", F.lead("_level").over(up).alias("_next"), F.concat(F.collect_list(rung).over(up.rowsBetween(-n, 0)), F.collect_list(rung).over(up.rowsBetween(1, n))).alias("_around"))
+    cell = lambda x: F.floor(F.least(F.greatest((x - F.col("_low")) / F.col("_width"), F.lit(-1.0)), F.col("_n") + F.lit(1.0)))
+    last = F.when(F.col("_next").isNull(), F.col("_n") + 1).otherwise(cell(F.col("_next")))
+    lv = lv.join(ends, list(keys)).withColumn("_cell", F.explode(F.sequence(cell(F.col("_level")), last))).drop(*ends.columns[len(keys) :])
+    p = points.join(ends, list(keys)).select(*[points[c] for c in points.columns], cell(F.col("price")).alias("_cell"), F.col("price").alias("_price"))
+    inside = (F.col("_level") <= F.col("_price")) & (F.col("_next").isNull() | (F.col("_price") < F.col("_next")))
+    met = p.alias("p").join(lv.alias("l"), [*(F.col(f"p.{k}") == F.col(f"l.{k}") for k in [*keys, "_cell"]), inside], "left")
+    prices = F.transform("_around", lambda x: x["_level"])
+    gaps = F.array_sort(F.transform("_around", lambda x: F.struct(F.abs(x["_level"] - F.col("_price")).alias("gap"), x["_level"].alias("level"), x["_score"].alias("score"))))
+    return met.select(
+        *[F.col(f"p.{c}") for c in points.columns], F.array_min(F.filter(prices, lambda x: x > F.col("_price"))).alias("nearest_above"),
+        F.array_max(F.filter(prices, lambda x: x < F.col("_price"))).alias("nearest_below"), F.array_max(F.transform(F.slice(gaps, 1, n), lambda x: x["score"])).alias("best_score"),
+    )
+
+
+def _reach(share: float) -> tuple[Column, Column]:
+    """Prices that a bar can touch when a level counts up to ``share`` (at most a half) of its price away."""
+    return F.col("bar_low") - 2 * share * F.abs("bar_low"), F.col("bar_high") + 2 * share * F.abs("bar_high")
 
 
 def first_sweeps(levels: DataFrame, bars: DataFrame, tolerance: float = P.V3_SWEEP) -> DataFrame:
     """levels (symbol, source, direction, price, formed_at) with the first later bar that reaches beyond the level by
     ``tolerance`` of it and closes back."""
     p = F.col("price")
-    b = bars.select(*P.KEY, "bar_time", "bar_high", "bar_low", "bar_close")
+    b, lv = by_cells(bars.select(*P.KEY, "bar_time", "bar_high", "bar_low", "bar_close"), *_reach(tolerance), levels)
     hit = F.when(F.col("direction") == "high", (F.col("bar_high") > p * (1 + tolerance)) & (F.col("bar_close") < p)).otherwise((F.col("bar_low") < p * (1 - tolerance)) & (F.col("bar_close") > p))
-    met = levels.join(b, list(P.KEY)).filter((F.col("bar_time") > F.col("formed_at")) & hit)
+    met = lv.join(b, [*P.KEY, "_cell"]).filter((F.col("bar_time") > F.col("formed_at")) & hit)
     first = met.groupBy(*levels.columns).agg(F.min("bar_time").alias("swept_at"))
     return levels.join(first, levels.columns, "left")
 
@@ -138,7 +171,8 @@ def confluence_score(timeframes: Column, timeframe: Column, is_swept: Column, co
 def touches(levels: DataFrame, bars: DataFrame, within: float = P.V3_SWEEP) -> DataFrame:
     """levels with the number of bars whose range comes within ``within`` of the price (our own definition)."""
     tol = F.col("price") * within
-    met = levels.join(bars.select(*P.KEY, "bar_high", "bar_low"), list(P.KEY)).filter((F.col("bar_high") >= F.col("price") - tol) & (F.col("bar_low") <= F.col("price") + tol))
+    b, lv = by_cells(bars.select(*P.KEY, "bar_high", "bar_low"), *_reach(within), levels)
+    met = lv.join(b, [*P.KEY, "_cell"]).filter((F.col("bar_high") >= F.col("price") - tol) & (F.col("bar_low") <= F.col("price") + tol))
     n = met.groupBy(*levels.columns).agg(F.count(F.lit(1)).alias("touches"))
     return levels.join(n, levels.columns, "left").withColumn("touches", F.coalesce("touches", F.lit(0)))
 

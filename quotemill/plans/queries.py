@@ -649,9 +649,8 @@ def _(s, d):
 @query("theta_sweeps", f"WITH z AS ({_sessions_sql(2)}), {TICKS}, {bars_sql('b', '15 minutes')}, lv AS (SELECT symbol, source, snapshot_time AS visible, current_session_high AS price FROM z), hit AS (SELECT b.symbol, b.source, b.bar_time, min(lv.visible) AS first_level, count(*) AS levels FROM b JOIN lv ON b.symbol = lv.symbol AND b.source = lv.source AND lv.visible <= b.bar_time AND b.bar_high >= lv.price - 2.0 AND b.bar_close < lv.price GROUP BY 1, 2, 3) SELECT * FROM hit")
 def _(s, d):
     lv = sessions.session_levels(candles.minute_ranges(ticks(s, d))).select(*P.KEY, F.col("snapshot_time").alias("visible"), F.col("current_session_high").alias("price"))
-    cell = lambda x: F.floor(x / F.lit(liquidity.SLICES)).cast("long")
-    b = b15(s, d).withColumn("_cell", F.explode(F.sequence(cell(F.col("bar_low")), cell(F.col("bar_high") + 2.0))))
-    met = b.join(lv.withColumn("_cell", cell(F.col("price"))), [*P.KEY, "_cell"]).filter((F.col("visible") <= F.col("bar_time")) & liquidity.swept(F.lit("high"), F.col("price"), F.lit(2.0)))
+    b, lv = liquidity.by_cells(b15(s, d), F.col("bar_low"), F.col("bar_high") + 2.0, lv)
+    met = b.join(lv, [*P.KEY, "_cell"]).filter((F.col("visible") <= F.col("bar_time")) & liquidity.swept(F.lit("high"), F.col("price"), F.lit(2.0)))
     return met.groupBy(*P.KEY, "bar_time").agg(F.min("visible").alias("first_level"), F.count(F.lit(1)).alias("levels"))
 
 

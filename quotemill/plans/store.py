@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stage import held_stage
 from ..operators.silver import insert_or_ignore
 
 #: Keys by which rows of a table are one.
@@ -52,24 +53,37 @@ class TickStore:
     def _write(self, df: DataFrame, table: str, mode: str) -> None:
         if self.read_only:
             raise PermissionError("the store is read-only")
-        (df.repartition("symbol").sortWithinPartitions(*[k for k in KEYS[table] if k != "symbol"]).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(self._where(table)))
+        # A symbol's days are spread over tasks; a file holds its days in order, so reads of a time range skip row groups.
+        order = [k for k in KEYS[table] if k != "symbol"]
+        (df.repartition("symbol", F.to_date(order[0])).sortWithinPartitions("symbol", *order).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(self._where(table)))
 
     def insert(self, table: str, rows: DataFrame, order: list[str] | None = None) -> int:
-        """Adds rows whose key is new; returns how many were added.  Of equal keys among the rows the first stays."""
+        """Adds rows whose key is new; returns how many were added.  Of equal keys among the rows the first stays.
+
+        Of the table only the keys between the rows' first and last time are read.
+        """
         keys = KEYS[table]
         order = order or [c for c in rows.columns if c not in keys][:1] or keys
-        nothing = rows.limit(0)
-        new = insert_or_ignore(self.read(table).select(*keys) if self.exists(table) else nothing.select(*keys), rows, keys, order).cache()
-        try:
-            n = new.count()
-            if n:
-                self._write(new, table, "append")
-            return n
-        finally:
-            new.unpersist()
+        with held_stage(rows, f"insert-{table}") as given:
+            seen = given.limit(0).select(*keys)
+            if self.exists(table):
+                ends = given.agg(F.min(keys[0]).cast("string").alias("a"), F.max(keys[0]).cast("string").alias("b")).first()
+                time, kind = F.col(keys[0]), given.schema[keys[0]].dataType
+                seen = self.read(table).filter(time.between(F.lit(ends.a).cast(kind), F.lit(ends.b).cast(kind)) | time.isNull()).select(*keys)
+            with held_stage(insert_or_ignore(seen, given, keys, order), f"new-{table}") as new:
+                n = new.count()
+                if n:
+                    self._write(new, table, "append")
+                return n
 
     def replace_symbols(self, table: str, rows: DataFrame) -> None:
-        """Puts rows in place of all rows of their symbols; other symbols stay."""
+        """Puts rows in place of all rows of their symbols; other symbols stay.
+
+        A candle table keeps the columns that it has: others of the rows are left out, missing ones are null.  Other
+        tables grow by the rows' new columns.
+        """
+        if table.startswith("candles_") and self.exists(table):
+            rows = conform(rows, self.read(table).schema)
         self._write(rows, table, "overwrite")
 
     def between(self, table: str, symbol: str, start, end) -> DataFrame:

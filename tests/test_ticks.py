@@ -197,6 +197,49 @@ def test_lowest_tier_wins_a_sweep(spark):
     assert liquidity.sweeps(b, late, sw, none).first().sweep_tier == 3
 
 
+@pytest.mark.parametrize("scale", [1e-4, 1.0, 1e5])
+def test_level_joins_equal_all_pairs_at_any_price(spark, scale):
+    r = random.Random(5)
+    closes = [scale * (1 + r.randrange(-60, 60) / 4000) for _ in range(80)]
+    b = bars_of(spark, [(c, c * (1 + r.random() / 400), c * (1 - r.random() / 400), c * (1 + r.randrange(-2, 3) / 1000)) for c in closes])
+    made = [("X", "mt5", r.choice(["high", "low"]), scale * (1 + r.randrange(-80, 80) / 4000), T0 + dt.timedelta(minutes=15 * r.randrange(60)), i) for i in range(40)]
+    lv = spark.createDataFrame(made, "symbol string, source string, direction string, price double, formed_at timestamp_ntz, score int")
+    bars = [x.asDict() for x in b.collect()]
+    swept = {x.score: x.swept_at for x in liquidity.first_sweeps(lv, b).collect()}
+    touched = {x.score: x.touches for x in liquidity.touches(lv, b).collect()}
+    for _, _, side, p, formed, i in made:
+        hit = lambda x: x["bar_high"] > p * 1.0005 and x["bar_close"] < p if side == "high" else x["bar_low"] < p * (1 - 0.0005) and x["bar_close"] > p  # noqa: B023, E731
+        assert swept[i] == min((x["bar_time"] for x in bars if x["bar_time"] > formed and hit(x)), default=None)
+        assert touched[i] == sum(x["bar_high"] >= p - p * 0.0005 and x["bar_low"] <= p + p * 0.0005 for x in bars)
+    points = [(k, scale * v) for k, v in enumerate([0.1, 0.99, 1.0, 1.0, 1.0007, 1.013, 7.0])] + [(98, made[0][3]), (99, None)]
+    best = {}
+    for m in made:
+        best[m[3]] = max(best.get(m[3], -1), m[5])
+    frame = spark.createDataFrame([("X", "mt5", *x) for x in points] + [("Z", "mt5", 100, 1.0)], "symbol string, source string, score int, price double")
+    found = {x[2]: tuple(x[4:]) for x in liquidity.nearest_levels(frame, lv).collect()}
+    assert sorted(found) == [k for k, _ in points]
+    for k, p in points[:-1]:
+        near = sorted(best, key=lambda x: (abs(x - p), x))[:3]  # noqa: B023
+        assert found[k] == (min((x for x in best if x > p), default=None), max((x for x in best if x < p), default=None), max(best[x] for x in near))
+    assert found[99] == (None, None, None)
+
+
+def test_inserts_leave_no_files_and_meet_old_and_new_days(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quotemill.functions.stage._local", [f"{tmp_path}/staged"])
+    store, b = TickStore(spark, f"{tmp_path}/store"), flat(spark, range(1, 9), minutes=720)
+    early, late = b.filter(F.col("bar_time") < F.lit("2024-01-03").cast("timestamp_ntz")), b.filter(F.col("bar_time") >= F.lit("2024-01-02").cast("timestamp_ntz"))
+    assert (store.insert("candles_4h", early), store.insert("candles_4h", late), store.insert("candles_4h", b), store.insert("candles_4h", b.limit(0))) == (4, 4, 0, 0)
+    assert store.read("candles_4h").count() == 8 and not [p for p in (tmp_path / "staged").iterdir() if not p.name.startswith(".")]
+
+
+def test_candle_tables_keep_their_columns(spark, tmp_path):
+    store, b = TickStore(spark, f"{tmp_path}/store"), bars_of(spark, [(1, 2, 0, 1)])
+    store.replace_symbols("candles_1m", b)
+    store.replace_symbols("candles_1m", b.drop("bar_open").withColumn("extra", F.lit(1)))
+    (row,) = store.read("candles_1m").collect()
+    assert "extra" not in row.asDict() and row.bar_open is None and row.bar_high == 2
+
+
 def test_clusters_are_greedy_and_strongest_first():
     assert liquidity._cluster([1.0, 1.1, 5.0, 1.05, 5.1, 9.0], 0.2) == [(pytest.approx(1.05), 3), (pytest.approx(5.05), 2)]
     assert liquidity._cluster([1.0], 0.2) == []
