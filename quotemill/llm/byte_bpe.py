@@ -16,6 +16,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -216,7 +217,7 @@ class PieceCache(dict):
         if self.new:
             parts = self.encode_new(self.new)
             count = np.array([len(p) for p in parts], np.int64)
-            flat = np.fromiter((i for p in parts for i in p), np.uint32, int(count.sum()))
+            flat = np.fromiter(itertools.chain.from_iterable(parts), np.uint32, int(count.sum()))
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
             self.flat = np.concatenate([self.flat, flat])
             self.count = np.concatenate([self.count, count])
