@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -224,12 +225,13 @@ def test_level_joins_equal_all_pairs_at_any_price(spark, scale):
     assert found[99] == (None, None, None)
 
 
-def test_inserts_leave_no_files_and_meet_old_and_new_days(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("quotemill.functions.stage._local", [f"{tmp_path}/staged"])
-    store, b = TickStore(spark, f"{tmp_path}/store"), flat(spark, range(1, 9), minutes=720)
+def test_inserts_leave_no_files_and_meet_old_and_new_days(spark, tmp_path):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    left = lambda: {*shared.glob("insert-candles_4h*"), *shared.glob("new-candles_4h*")}
+    store, b, before = TickStore(spark, f"{tmp_path}/store"), flat(spark, range(1, 9), minutes=720), left()
     early, late = b.filter(F.col("bar_time") < F.lit("2024-01-03").cast("timestamp_ntz")), b.filter(F.col("bar_time") >= F.lit("2024-01-02").cast("timestamp_ntz"))
     assert (store.insert("candles_4h", early), store.insert("candles_4h", late), store.insert("candles_4h", b), store.insert("candles_4h", b.limit(0))) == (4, 4, 0, 0)
-    assert store.read("candles_4h").count() == 8 and not [p for p in (tmp_path / "staged").iterdir() if not p.name.startswith(".")]
+    assert store.read("candles_4h").count() == 8 and shared.is_dir() and left() == before
 
 
 def test_candle_tables_keep_their_columns(spark, tmp_path):
