@@ -9,14 +9,15 @@ empty table gives an empty table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quotemill.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup, workspace
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that no language model accepts (texts without letters among them)."""
-    found = language_id.identify(docs, language_id.train(docs))
-    return found.filter("NOT rejected").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return language_id.identify(rows, language_id.train(docs)).filter("NOT rejected").select("_row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

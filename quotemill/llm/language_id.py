@@ -140,8 +140,8 @@ def fit(sample: list[tuple[str, str]]) -> Model:
         sym, off = symbols_of(texts)
         lp = model.log_probabilities(*_by_order(windows(sym, off)[:, sym > 0]))[:, k]
         for j, size in enumerate(LENGTHS):
-            cut = np.arange(0, max(1, len(lp) - size + 1), size)
-            means = np.array([-lp[a : a + size].mean() for a in cut]) if len(lp) else np.array([np.log(model.alphabet)])
+            whole = len(lp) // size
+            means = -lp[: whole * size].reshape(whole, size).mean(1) if whole else np.array([-lp.mean() if len(lp) else np.log(model.alphabet)])
             model.reject[k, j] = np.quantile(means, 0.999) * (1 + MARGIN)
     # No threshold lies below that of longer texts.
     model.reject = np.maximum.accumulate(model.reject[:, ::-1], axis=1)[:, ::-1]

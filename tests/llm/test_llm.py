@@ -678,3 +678,25 @@ def test_pipeline_stages(spark):
             assert set(ids) <= set(before) and len(set(ids)) > 0.8 * len(before)
         if name == "byte_bpe":
             assert all(r.decoded_sha256 == hashlib.sha256(before[r.doc_id].encode()).hexdigest() for r in kept.collect())
+
+
+def test_pipeline_on_repeated_rows_clashing_names_and_empty_table(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select([c.split()[0] for c in SCHEMA.split(", ")]).limit(60)
+    docs = docs.union(docs.limit(20)).union(spark.createDataFrame([(None, "a text of its own without a number of its own", "en", None, None), (None, None, None, None, None)], SCHEMA))
+    names = ["_gone", "_row", "_id", "_digest", "_posterior", "score", "n_tokens", "rejected", "kept", "class_id", "content", "lang_pred"]
+    wide = docs.withColumns({c: F.lit(k) for k, c in enumerate(names)})
+
+    def through(d, stages):
+        for name, stage in stages:
+            d = corpus_pipeline.workspace.written(stage(spark, d, sf), name)
+        return d
+
+    kept = through(wide, corpus_pipeline.STAGES[:-1])
+    assert kept.columns == wide.columns and all(r[c] == k for r in kept.collect() for k, c in enumerate(names))
+    plain, whole = through(docs, corpus_pipeline.STAGES), through(wide, corpus_pipeline.STAGES)
+    row = lambda r: (r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256)
+    assert sorted(map(row, plain.collect()), key=str) == sorted(map(row, whole.collect()), key=str)
+    assert through(docs.limit(0), corpus_pipeline.STAGES).count() == 0
