@@ -59,9 +59,9 @@ def active_gaps(bars: DataFrame, gaps: DataFrame, structured: DataFrame) -> Data
     side = F.when(F.col("smc_trend_15m") == "bull", "bullish_fvg").when(F.col("smc_trend_15m") == "bear", "bearish_fvg")
     met = b.join(spread, [*P.KEY, "bar_no"]).filter((F.col("fvg_side") == side) & (F.col("filled_at").isNull() | (F.col("filled_at") > F.col("bar_time"))))
     distance = F.abs((F.col("fvg_high") + F.col("fvg_low")) / 2 - F.col("bar_close"))
-    best = met.groupBy(*P.KEY, "bar_time").agg(F.min_by(F.struct("fvg_high", "fvg_low", "fvg_side", "age"), F.struct(distance, F.col("formed_at"))).alias("g"))
+    best = met.groupBy(*P.KEY, "bar_time").agg(F.min_by(F.struct("fvg_high", "fvg_low", "fvg_side", "age", "formed_at"), F.struct(distance, F.col("formed_at"))).alias("g"))
     out = b.join(best, [*P.KEY, "bar_time"], "left")
-    return out.select(*P.KEY, "bar_time", F.col("g.fvg_high").alias("fvg_high"), F.col("g.fvg_low").alias("fvg_low"), F.col("g.fvg_side").alias("fvg_side"), F.lit(False).alias("fvg_filled"), F.coalesce(F.col("g.age"), F.lit(0)).alias("fvg_age_bars"))
+    return out.select(*P.KEY, "bar_time", F.col("g.fvg_high").alias("fvg_high"), F.col("g.fvg_low").alias("fvg_low"), F.col("g.fvg_side").alias("fvg_side"), F.lit(False).alias("fvg_filled"), F.coalesce(F.col("g.age"), F.lit(0)).alias("fvg_age_bars"), F.col("g.formed_at").alias("fvg_timestamp"))
 
 
 def gaps_v3(bars: DataFrame) -> DataFrame:

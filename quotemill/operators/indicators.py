@@ -83,9 +83,13 @@ def medians(bars: DataFrame, name: str, alias: str = "median_atr") -> DataFrame:
     return bars.filter(F.col(name).isNotNull() & ~F.isnan(name)).groupBy(*P.KEY).agg(F.median(name).alias(alias))
 
 
-def with_r_dynamic(bars: DataFrame, atr_name: str = "atr_15_15m") -> DataFrame:
-    m = medians(bars, atr_name, "_median")
-    return bars.join(m, list(P.KEY), "left").withColumn("r_dynamic", r_dynamic(F.col(atr_name), F.col("_median"))).drop("_median")
+def with_r_dynamic(bars: DataFrame, atr_name: str = "atr_15_15m", trailing: int | None = None) -> DataFrame:
+    """bars with r_dynamic, from the median of all of a key's values, or of the last ``trailing`` up to each bar."""
+    if trailing:
+        m = bars.withColumn("_median", F.percentile(F.when(~F.isnan(atr_name), F.col(atr_name)), F.lit(0.5)).over(over().rowsBetween(1 - trailing, W.currentRow)))
+    else:
+        m = bars.join(medians(bars, atr_name, "_median"), list(P.KEY), "left")
+    return m.withColumn("r_dynamic", r_dynamic(F.col(atr_name), F.col("_median"))).drop("_median")
 
 
 def fill_forward(df: DataFrame, cols: list[str], keys=P.KEY, order: str = "bar_time") -> DataFrame:

@@ -68,25 +68,32 @@ def by_cells(bars: DataFrame, low: Column, high: Column, levels: DataFrame, keys
     return spread, levels.join(width, list(keys)).withColumn("_cell", cell(F.col("price"))).drop("_width")
 
 
-def sweeps(bars: DataFrame, session_levels: DataFrame, swings: DataFrame, equal: DataFrame, atr: str = "atr_20_1m") -> DataFrame:
+def sweeps(bars: DataFrame, session_levels: DataFrame, swings: DataFrame, equal: DataFrame | None, atr: str = "atr_20_1m", causal: bool = False) -> DataFrame:
     """bars with liq_swept, liq_side, sweep_tier and the sweep candle's low, high, wick and body.
 
     Levels are tier 1 and 2 session levels from when they show, then all swings and clusters (tier 3); the lowest tier
     wins, then the earliest level.  The range join goes by price cells (``by_cells``): a bar meets the cells between its
     low and high, widened by its tolerance, and a level lies in one cell.
+
+    causal: swings have ``visible`` and, as session levels, ``until``, from and before which a bar must start to sweep
+    them; bars without an ATR take the least tolerance, as a median is not known yet, and there are no clusters.
     """
-    stats = bars.groupBy(*P.KEY).agg(F.median(F.when(~F.isnan(atr), F.col(atr))).alias("_m"))
+    level_cols = [*P.KEY, "direction", "price", "tier", "visible", "until", "ordinal"]
+    never = F.lit(None).cast(bars.schema["bar_time"].dataType)
+    median = F.lit(None).cast("double") if causal else F.median(F.when(~F.isnan(atr), F.col(atr)))
+    stats = bars.groupBy(*P.KEY).agg(F.count(F.lit(1)).alias("_n"), median.alias("_m")).drop("_n")
     b = bars.join(stats, list(P.KEY), "left").withColumn("_tol", F.greatest(F.coalesce(F.when(~F.isnan(atr), F.col(atr)), F.col("_m"), F.lit(0.0)) * P.SWEEP_ATR, F.lit(P.SWEEP_FLOOR)))
-    early = F.lit(None).cast(bars.schema["bar_time"].dataType)
     order = F.struct(F.col("tier"), F.col("visible"), F.col("ordinal"))
-    structural = swings.select(*P.KEY, F.col("kind").alias("direction"), "price", F.lit(3).alias("tier"), early.alias("visible"), (F.when(F.col("kind") == "high", 0).otherwise(1) * F.lit(1 << 40) + F.row_number().over(W.partitionBy(*P.KEY, "kind").orderBy("bar_time"))).cast("long").alias("ordinal"))
-    clusters = equal.select(*P.KEY, "direction", "price", F.lit(3).alias("tier"), early.alias("visible"), (F.lit(1 << 42) + F.when(F.col("direction") == "high", 0).otherwise(1)).cast("long").alias("ordinal"))
-    levels = session_levels.select(*P.KEY, "direction", "price", "tier", "visible", F.col("ordinal").cast("long").alias("ordinal")).unionByName(structural).unionByName(clusters)
+    place = F.row_number().over(W.partitionBy(*P.KEY, "kind").orderBy("bar_time"))
+    levels = swings.select(*P.KEY, F.col("kind").alias("direction"), "price", F.lit(3).alias("tier"), F.col("visible") if causal else never.alias("visible"), F.col("until") if causal else never.alias("until"), (F.when(F.col("kind") == "high", 0).otherwise(1) * F.lit(1 << 40) + place).cast("long").alias("ordinal"))
+    if equal is not None:
+        levels = levels.unionByName(equal.select(*P.KEY, "direction", "price", F.lit(3).alias("tier"), never.alias("visible"), never.alias("until"), (F.lit(1 << 42) + F.when(F.col("direction") == "high", 0).otherwise(1)).cast("long").alias("ordinal")))
+    levels = levels.unionByName(session_levels.select(*level_cols[:-2], F.col("until") if causal else never.alias("until"), F.col("ordinal").cast("long").alias("ordinal")))
     # Equal levels sweep at the same bars; only the first of each matters.
-    levels = levels.groupBy(*P.KEY, "direction", "price", "tier", "visible").agg(F.min("ordinal").alias("ordinal"))
+    levels = levels.groupBy(*level_cols[:-1]).agg(F.min("ordinal").alias("ordinal"))
     b, lv = by_cells(b, F.col("bar_low") - F.col("_tol"), F.col("bar_high") + F.col("_tol"), levels)
     # A bar's low sweeps levels down to its close and its high levels up to its close, both inside its own widened range.
-    met = b.join(lv, [*P.KEY, "_cell"]).filter((F.col("visible").isNull() | (F.col("visible") <= F.col("bar_time"))) & swept(F.col("direction"), F.col("price"), F.col("_tol")))
+    met = b.join(lv, [*P.KEY, "_cell"]).filter((F.col("visible").isNull() | (F.col("visible") <= F.col("bar_time"))) & (F.col("until").isNull() | (F.col("until") > F.col("bar_time"))) & swept(F.col("direction"), F.col("price"), F.col("_tol")))
     best = met.groupBy(*P.KEY, "bar_time").agg(F.min_by(F.struct("direction", "tier"), order).alias("s"))
     out = bars.join(best, [*P.KEY, "bar_time"], "left")
     hit = F.col("s").isNotNull()

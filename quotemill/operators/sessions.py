@@ -65,11 +65,21 @@ def tick_session_levels(ticks: DataFrame, bars_4h: DataFrame) -> DataFrame:
     )
 
 
+LEVELS = [("prev_day_high", "high", 1), ("prev_day_low", "low", 1), ("current_session_high", "high", 2), ("current_session_low", "low", 2), ("prev_session_high", "high", 2), ("prev_session_low", "low", 2)]
+
+
+def _each_level(snapshots: DataFrame, *more: str) -> DataFrame:
+    each = F.array(*[F.struct(F.col(c).alias("price"), F.lit(d).alias("direction"), F.lit(t).alias("tier"), F.lit(i).alias("ordinal")) for i, (c, d, t) in enumerate(LEVELS)])
+    return snapshots.select(*P.KEY, F.col("snapshot_time").alias("visible"), *more, F.explode(each).alias("l")).select(*P.KEY, "visible", *more, "l.*").filter("price IS NOT NULL")
+
+
 def levels_of(snapshots: DataFrame) -> DataFrame:
     """Tier 1 and 2 levels with the time from which they count; of equal (price to 2 places, direction) the first stays."""
-    cols = [("prev_day_high", "high", 1), ("prev_day_low", "low", 1), ("current_session_high", "high", 2), ("current_session_low", "low", 2), ("prev_session_high", "high", 2), ("prev_session_low", "low", 2)]
-    each = F.array(*[F.struct(F.col(c).alias("price"), F.lit(d).alias("direction"), F.lit(t).alias("tier"), F.lit(i).alias("ordinal")) for i, (c, d, t) in enumerate(cols)])
-    rows = snapshots.select(*P.KEY, F.col("snapshot_time").alias("visible"), F.explode(each).alias("l")).select(*P.KEY, "visible", "l.*").filter("price IS NOT NULL")
     key = [*P.KEY, "direction", F.rint(F.col("price") * 100).alias("_k")]
-    first = rows.groupBy(*key).agg(F.min_by(F.struct("price", "tier", "visible", "ordinal"), F.struct("visible", "ordinal")).alias("f"))
+    first = _each_level(snapshots).groupBy(*key).agg(F.min_by(F.struct("price", "tier", "visible", "ordinal"), F.struct("visible", "ordinal")).alias("f"))
     return first.select(*P.KEY, "direction", "f.*")
+
+
+def recent_levels(snapshots: DataFrame, kept: int = P.LEVEL_SNAPSHOTS) -> DataFrame:
+    """Tier 1 and 2 levels of each snapshot, from its time until the snapshot ``kept`` places later."""
+    return _each_level(snapshots.withColumn("until", F.lead("snapshot_time", kept).over(over(order=("snapshot_time",)))), "until")

@@ -6,6 +6,8 @@ runs per key; bars are few next to ticks.
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,93 +27,128 @@ ADDED = [
 ]
 
 
-class _Side:
-    """One direction's half of the state: the level a break must close beyond, and the strong level behind it.
+KNOWN = [T.StructField(n, t) for n, t in (("n_confirmed_swing_highs_15m", _L), ("n_confirmed_swing_lows_15m", _L), ("swing_high_known", _B), ("swing_low_known", _B))]
+NAMES = {1: "bull", -1: "bear", None: None}
+
 
-    ``sign`` is 1 for highs broken upwards and -1 for lows broken downwards; prices are compared times sign.
+@dataclasses.dataclass
+class Side:
+    """One direction's half of the state: the level a break must close beyond, the strong level behind it, and of the
+    direction's swings the last price, the extreme, and the bars' extreme since the last one.
+
+    Sign 1: highs, broken upwards; -1: lows, broken downwards.  Prices are compared times sign.
     """
 
-    def __init__(self, sign: int):
-        self.sign, self.level, self.strong = sign, None, None
+    sign: int
+    level: float | None = None
+    strong: float | None = None
+    last: float | None = None
+    extreme: float | None = None
+    since: float | None = None
 
     def beyond(self, price: float, level: float | None) -> bool:
         return level is not None and price * self.sign > level * self.sign
 
-
-def _fold(g: pd.DataFrame, mode: str) -> dict:
-    n = len(g)
-    high, low, close = (g[f"bar_{k}"].to_numpy(float) for k in ("high", "low", "close"))
-    is_high, is_low = g["is_swing_high"].to_numpy(bool), g["is_swing_low"].to_numpy(bool)
-    ms = g["bar_time"].to_numpy("datetime64[ms]").astype(np.int64)
-    r = g["r_dynamic"].to_numpy() if "r_dynamic" in g else np.full(n, P.FRACTAL_RIGHT_MAX)
-    up, down = _Side(1), _Side(-1)
-    trend, at = None, {1: None, -1: None}  # at: bar of the last swing high and low
-    prices = {1: high, -1: low}
-    extreme = {1: None, -1: None}  # of all swings so far
-    out = {f.name: [None] * n if f.dataType != _B else np.zeros(n, bool) for f in ADDED}
-
-    for i in range(n):
-        # Swings of this bar: the high first.  A swing in the direction of the trend may set a new level, and the
-        # strong level becomes the last opposite swing of earlier bars.
-        previous = dict(at)
-        earlier = dict(extreme)
-        for side, flag in ((up, is_high[i]), (down, is_low[i])):
-            if flag:
-                s = side.sign
-                if trend in (None, s) and (side.level is None or side.beyond(prices[s][i], side.level)):
-                    side.level = prices[s][i]
-                    if previous[-s] is not None:
-                        side.strong = prices[-s][previous[-s]]
-                at[s] = i
-                extreme[s] = prices[s][i] if extreme[s] is None else s * max(s * extreme[s], s * prices[s][i])
-
-        def stamp(side: _Side) -> None:
-            s = side.sign
-            if at[-s] is not None:
-                j = at[-s]
-                side.strong = prices[-s][j]
-                if mode == "bos":
-                    out["zone_low" if s > 0 else "zone_high"][i] = low[j : i + 1].min() if s > 0 else high[j : i + 1].max()
-            out["bos_detected_15m"][i] = True
-            out["bos_up_15m" if s > 0 else "bos_down_15m"][i] = True
-            out["bos_time_ms"][i], out["r_dynamic_at_bos"][i] = int(ms[i]), int(r[i])
-
-        if mode == "bos":
+    def further(self, a: float | None, b: float) -> float:
+        return b if a is None else self.sign * max(self.sign * a, self.sign * b)
+
+
+class Structure:
+    """The ordered rule, bar by bar, in a state of fixed size."""
+
+    def __init__(self, mode: str = "bos"):
+        self.mode, self.trend, self.sides = mode, None, {1: Side(1), -1: Side(-1)}
+
+    def step(self, high: float, low: float, close: float, ms: int, r: int, swings: list[dict[int, tuple[float, float]]]) -> dict:
+        """The bar's row.  swings: for each swing bar that counts from now on, in order, by sign its price and the bars'
+        extreme on that side from it to this bar."""
+        up, down = self.sides[1], self.sides[-1]
+        row = dict.fromkeys((f.name for f in ADDED), None) | {f.name: False for f in ADDED if f.dataType == _B}
+        for side, price in ((up, high), (down, low)):
+            if side.since is not None:
+                side.since = side.further(side.since, price)
+        # The high of a swing bar goes first.  A swing in the direction of the trend may set a new level, and the strong
+        # level becomes the last opposite swing of earlier bars.
+        earlier = {s: x.extreme for s, x in self.sides.items()}
+        for found in swings:
+            previous = {s: x.last for s, x in self.sides.items()}
+            for s, side in self.sides.items():
+                if s in found:
+                    price, since = found[s]
+                    if self.trend in (None, s) and (side.level is None or side.beyond(price, side.level)):
+                        side.level = price
+                        if previous[-s] is not None:
+                            side.strong = previous[-s]
+                    side.last, side.since, side.extreme = price, since, side.further(side.extreme, price)
+
+        def stamp(side: Side) -> None:
+            s, other = side.sign, self.sides[-side.sign]
+            if other.last is not None:
+                side.strong = other.last
+                if self.mode == "bos":
+                    row["zone_low" if s > 0 else "zone_high"] = other.since
+            row["bos_detected_15m"] = row["bos_up_15m" if s > 0 else "bos_down_15m"] = True
+            row["bos_time_ms"], row["r_dynamic_at_bos"] = ms, r
+
+        if self.mode == "bos":
             for side in (up, down):
-                if side.beyond(close[i], side.level):
+                if side.beyond(close, side.level):
                     stamp(side)
-                    trend = side.sign
+                    self.trend = side.sign
         else:
-            side, other = (up, down) if trend in (None, 1) else (down, up)
-            if side.beyond(close[i], side.level):
-                if trend == side.sign:
+            side, other = (up, down) if self.trend in (None, 1) else (down, up)
+            if side.beyond(close, side.level):
+                if self.trend == side.sign:
                     stamp(side)
-                trend = side.sign
-            elif side.strong is not None and other.beyond(close[i], side.strong):
+                self.trend = side.sign
+            elif side.strong is not None and other.beyond(close, side.strong):
                 s = other.sign
-                out["choch_detected_15m"][i] = True
-                out["choch_up_15m" if s > 0 else "choch_down_15m"][i] = True
-                trend = s
+                row["choch_detected_15m"] = row["choch_up_15m" if s > 0 else "choch_down_15m"] = True
+                self.trend = s
                 up.level = down.level = side.strong = None
                 other.strong = earlier[-s]
-        out["smc_trend_15m"][i] = {1: "bull", -1: "bear", None: None}[trend]
-        out["hh_15m"][i], out["ll_15m"][i], out["strong_low_15m"][i], out["strong_high_15m"][i] = up.level, down.level, up.strong, down.strong
-    for f in ADDED:
-        if f.dataType == _L or isinstance(f.dataType, T.IntegerType):
-            out[f.name] = pd.array(out[f.name], "Int64")
-    return out
+        row["smc_trend_15m"] = NAMES[self.trend]
+        row["hh_15m"], row["ll_15m"], row["strong_low_15m"], row["strong_high_15m"] = up.level, down.level, up.strong, down.strong
+        return row
 
 
-def structure(bars: DataFrame, mode: str = "bos") -> DataFrame:
+def _fold(g: pd.DataFrame, mode: str, confirmed: bool) -> dict:
+    n = len(g)
+    high, low, close = (g[f"bar_{k}"].to_numpy(float) for k in ("high", "low", "close"))
+    flags = {1: g["is_swing_high"].to_numpy(bool), -1: g["is_swing_low"].to_numpy(bool)}
+    ms = g["bar_time"].to_numpy("datetime64[ms]").astype(np.int64)
+    r = g["r_dynamic"].to_numpy() if "r_dynamic" in g else np.full(n, P.FRACTAL_RIGHT_MAX)
+    rule, out = Structure(mode), []
+    counts = {1: 0, -1: 0}
+    waiting: dict[int, list[int]] = {}
+    for i in range(n):
+        if flags[1][i] or flags[-1][i]:
+            waiting.setdefault(i + int(r[i]) if confirmed else i, []).append(i)
+        bars = waiting.pop(i, [])
+        swings = [{s: ((high if s > 0 else low)[j], high[j : i + 1].max() if s > 0 else low[j : i + 1].min()) for s in (1, -1) if flags[s][j]} for j in bars]
+        row = rule.step(high[i], low[i], close[i], int(ms[i]), int(r[i]), swings)
+        if confirmed:
+            for s in counts:
+                counts[s] += sum(s in x for x in swings)
+            row |= {"n_confirmed_swing_highs_15m": counts[1], "n_confirmed_swing_lows_15m": counts[-1], "swing_high_known": any(1 in x for x in swings), "swing_low_known": any(-1 in x for x in swings)}
+        out.append(row)
+    fields = [*ADDED, *(KNOWN if confirmed else [])]
+    whole = {f.name: [row[f.name] for row in out] for f in fields}
+    return {f.name: pd.array(whole[f.name], "Int64") if isinstance(f.dataType, (T.LongType, T.IntegerType)) else np.array(whole[f.name], bool) if f.dataType == _B else whole[f.name] for f in fields}
+
+
+def structure(bars: DataFrame, mode: str = "bos", confirmed: bool = False) -> DataFrame:
     """15-minute bars (with swing flags and r_dynamic) and their structure.
 
     mode 'bos': breaks both ways, whatever the trend; they repeat while closes stay beyond the level.
     mode 'choch': breaks only with the trend, the first sets it silently; a close through the strong level turns it,
     clears the levels and takes the opposite extreme of all earlier swings as the new strong level.
+    confirmed: a swing counts from the bar that confirms it, r_dynamic bars after its own; the numbers of swings so far and
+    flags of the bars that confirm one are added.
     """
     if mode not in ("bos", "choch"):
         raise ValueError(mode)
-    return per_key(bars, lambda g: _fold(g, mode), ADDED)
+    return per_key(bars, lambda g: _fold(g, mode, confirmed), [*ADDED, *(KNOWN if confirmed else [])])
 
 
 def _breaks_v3(g: pd.DataFrame, window: int, horizon: int) -> dict:

@@ -39,6 +39,17 @@ def swing_rows(flagged: DataFrame, high: str = "is_swing_high", low: str = "is_s
     return flagged.select(*P.KEY, "bar_time", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("s")).select(*P.KEY, "bar_time", "s.kind", "s.price")
 
 
+def known_swings(flagged: DataFrame, width: str, kept: int = P.EQUAL_LOOKBACK) -> DataFrame:
+    """swing_rows with ``visible``, when the bar that confirms it (r_dynamic bars later) has closed, and ``until``, when
+    the swing of its kind ``kept`` places later is visible.  Of one kind, swings are confirmed in their order."""
+    at = F.lit(None).cast(flagged.schema["bar_time"].dataType)
+    for r in range(P.FRACTAL_RIGHT_MIN, P.FRACTAL_RIGHT_MAX + 1):
+        at = F.when(F.col("r_dynamic") == r, F.lead("bar_time", r).over(over())).otherwise(at)
+    rows = flagged.withColumn("visible", at + F.expr(f"INTERVAL {width}"))
+    found = swing_rows(rows).join(rows.select(*P.KEY, "bar_time", "visible"), [*P.KEY, "bar_time"])
+    return found.withColumn("until", F.lead("visible", kept).over(W.partitionBy(*P.KEY, "kind").orderBy("bar_time")))
+
+
 def swing_counts(swings: DataFrame) -> DataFrame:
     """Swings with running numbers of highs and lows, in the order (bar_time, kind)."""
     w = over(order=("bar_time", "kind")).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -23,6 +23,9 @@ V3_KILLZONE = (7, 9)
 METALS = ("XAUUSD", "XAGUSD")
 METAL_DIVISOR, FX_DIVISOR, VOLUME_SCALE = 1_000.0, 100_000.0, 1_000_000.0
 
+# Our own bounds of what a live run remembers: 15-minute bars for the median ATR, snapshots whose levels can be swept.
+MEDIAN_BARS, LEVEL_SNAPSHOTS = 672, 9
+
 KEY = ("symbol", "source")
 
 

@@ -88,10 +88,10 @@ def gaps_sql(bars: str, sd: str = "sd", name: str = "fg") -> str:
 def active_gaps_sql(sd: str = "sd", gaps: str = "fg", name: str = "ag") -> str:
     """Each bar against every gap formed before it."""
     return f"""tb AS (SELECT b.symbol, b.source, b.bar_time, b.i, b.bar_close, t.smc_trend_15m AS trend FROM gb b ASOF LEFT JOIN (SELECT * FROM {sd} WHERE smc_trend_15m IS NOT NULL) t ON t.symbol = b.symbol AND t.source = b.source AND b.bar_time >= t.bar_time),
- ak AS (SELECT b.symbol, b.source, b.bar_time, b.i + 2 - g.bar_no AS one_more, g.fvg_high, g.fvg_low, g.fvg_side, row_number() OVER (PARTITION BY b.symbol, b.source, b.bar_time ORDER BY abs((g.fvg_high + g.fvg_low) / 2.0 - b.bar_close), g.formed_at) AS rk
+ ak AS (SELECT b.symbol, b.source, b.bar_time, b.i + 2 - g.bar_no AS one_more, g.fvg_high, g.fvg_low, g.fvg_side, g.formed_at, row_number() OVER (PARTITION BY b.symbol, b.source, b.bar_time ORDER BY abs((g.fvg_high + g.fvg_low) / 2.0 - b.bar_close), g.formed_at) AS rk
    FROM tb b JOIN {gaps} g ON g.symbol = b.symbol AND g.source = b.source AND g.formed_at < b.bar_time AND NOT coalesce(g.filled_at <= b.bar_time, false) AND g.fvg_trend <> 'unknown'
    AND g.fvg_side = CASE b.trend WHEN 'bull' THEN 'bullish_fvg' WHEN 'bear' THEN 'bearish_fvg' END AND b.i + 1 - g.bar_no <= 20),
- {name} AS MATERIALIZED (SELECT b.symbol, b.source, b.bar_time, fvg_high, fvg_low, fvg_side, false AS fvg_filled, CAST(coalesce(one_more - 1, 0) AS INTEGER) AS fvg_age_bars FROM tb b LEFT JOIN (SELECT * FROM ak WHERE rk = 1) a ON a.symbol = b.symbol AND a.source = b.source AND a.bar_time = b.bar_time)"""
+ {name} AS MATERIALIZED (SELECT b.symbol, b.source, b.bar_time, fvg_high, fvg_low, fvg_side, false AS fvg_filled, CAST(coalesce(one_more - 1, 0) AS INTEGER) AS fvg_age_bars, formed_at AS fvg_timestamp FROM tb b LEFT JOIN (SELECT * FROM ak WHERE rk = 1) a ON a.symbol = b.symbol AND a.source = b.source AND a.bar_time = b.bar_time)"""
 
 
 def equal_levels_sql(swings: str, bars: str, name: str = "eq") -> str:
@@ -138,7 +138,7 @@ def features_sql(session: str) -> str:
     at = lambda width: f"time_bucket(INTERVAL '{width}', t.timestamp_utc)"
     on = lambda x: f"{x}.symbol = t.symbol AND {x}.source = t.source"
     return f"""ft0 AS (SELECT t.*, sv.bar_open, sv.bar_high, sv.bar_low, sv.bar_close, sv.atr AS atr_20_1m, sv.rsi_14, sv.liq_swept, sv.liq_side, sv.sweep_tier, sv.sweep_wick, sv.sweep_body, sv.sweep_candle_low AS low_1m, sv.sweep_candle_high AS high_1m,
-   ag.fvg_high, ag.fvg_low, ag.fvg_side, ag.fvg_filled, ag.fvg_age_bars, cf.confirmed_1m_swing_high, cf.confirmed_1m_swing_low,
+   ag.fvg_high, ag.fvg_low, ag.fvg_side, ag.fvg_filled, ag.fvg_age_bars, ag.fvg_timestamp, cf.confirmed_1m_swing_high, cf.confirmed_1m_swing_low,
    sd.atr AS atr_15_15m, sd.r_dynamic, sd.smc_trend_15m, sd.hh_15m, sd.ll_15m, sd.strong_low_15m, sd.strong_high_15m, sd.bos_detected_15m, sd.bos_up_15m, sd.bos_down_15m, sd.choch_detected_15m, sd.choch_up_15m, sd.choch_down_15m, sd.bos_time_ms, sd.r_dynamic_at_bos,
    sd.is_swing_high AS is_swing_high_15m, sd.is_swing_low AS is_swing_low_15m, bias.market_bias_4h
   FROM ticks t LEFT JOIN sv ON {on('sv')} AND sv.bar_time = {at('1 minute')} LEFT JOIN ag ON {on('ag')} AND ag.bar_time = {at('1 minute')} LEFT JOIN cf ON {on('cf')} AND cf.bar_time = {at('1 minute')}

@@ -863,7 +863,7 @@ def _(s, d):
     return metrics.funnel(backtest.backtest(staged(s, d)))
 
 
-@query("detections", f"{DENSE_FULL} SELECT count(*) FILTER (bos_detected_15m) AS bos, count(*) FILTER (choch_detected_15m) AS choch, count(*) FILTER (is_swing_high_15m) AS swing_highs, count(*) FILTER (is_swing_low_15m) AS swing_lows, 0::BIGINT AS gaps FROM ft")
+@query("detections", f"{DENSE_FULL} SELECT count(*) FILTER (bos_detected_15m) AS bos, count(*) FILTER (choch_detected_15m) AS choch, count(*) FILTER (is_swing_high_15m) AS swing_highs, count(*) FILTER (is_swing_low_15m) AS swing_lows, count(DISTINCT fvg_timestamp) AS gaps FROM ft")
 def _(s, d):
     return metrics.detections(dense(s, d).ticks)
 
