@@ -15,11 +15,12 @@ def numbered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("bar_no", F.row_number().over(over()))
 
 
-def find_gaps(bars: DataFrame, structured: DataFrame, atr: str = "atr_20_1m") -> DataFrame:
+def find_gaps(bars: DataFrame, structured: DataFrame, atr: str = "atr_20_1m", fallback: bool = True) -> DataFrame:
     """Gaps around bar i within 20 bars after the last 15-minute trigger: formed_at, bar_no, fvg_high, fvg_low, fvg_side,
     fvg_trend (of that time, 'unknown' before the first), bos_bar_time, fvg_filled, filled_at.
 
-    A gap is filled by the first close beyond its far edge among bars i+2 to i+21.
+    A gap is filled by the first close beyond its far edge among bars i+2 to i+21.  fallback: bars without an ATR take the
+    key's median, otherwise they make no gaps.
     """
     w = over()
     trig = structured.filter("bos_detected_15m OR choch_detected_15m").select(*P.KEY, F.col("bar_time").alias("trigger_time"))
@@ -32,7 +33,7 @@ def find_gaps(bars: DataFrame, structured: DataFrame, atr: str = "atr_20_1m") ->
     b = b.withColumn("_atr", F.col(atr))
     for name, col, shift in (("_h0", "bar_high", 1), ("_l0", "bar_low", 1), ("_h2", "bar_high", -1), ("_l2", "bar_low", -1)):
         b = b.withColumn(name, F.lag(col, shift).over(w))
-    b = b.withColumn("_ahead", ahead).join(mean, list(P.KEY), "left").withColumn("_atr", F.coalesce("_atr", "_median"))
+    b = b.withColumn("_ahead", ahead).join(mean, list(P.KEY), "left").withColumn("_atr", F.coalesce("_atr", "_median") if fallback else F.col("_atr"))
     floor = F.greatest(F.col("_atr") * P.GAP_ATR, F.lit(P.GAP_FLOOR))
     bull, bear = F.col("_l2") > F.col("_h0"), F.col("_h2") < F.col("_l0")
     g = b.filter(F.col("_h0").isNotNull() & F.col("_h2").isNotNull() & (F.abs(F.col("bar_close") - F.col("bar_open")) > F.col("_atr") * P.DISPLACEMENT) & (bull | bear))

@@ -73,7 +73,7 @@ def build_features(ticks: DataFrame, mode: str = "bos", causal: bool = False) ->
         b1 = liquidity.sweeps(b1, sessions.levels_of(snaps), turned, liquidity.equal_levels(turned, b1))
     b1 = stage(swings.last_confirmed(b1), "bars-1m-swept")
     known = shown(b15, "bar_time", "15m")
-    found = stage(gaps.find_gaps(b1, known), "gaps")
+    found = stage(gaps.find_gaps(b1, known, fallback=not causal), "gaps")
     active = gaps.active_gaps(b1, found, known)
     wide = b1.join(active, [*P.KEY, "bar_time"], "left").withColumnRenamed("sweep_candle_low", "sweep_low_1m").withColumnRenamed("sweep_candle_high", "sweep_high_1m")
     flags = {"swing_high_known": "is_swing_high_15m", "swing_low_known": "is_swing_low_15m"} if causal else {"is_swing_high": "is_swing_high_15m", "is_swing_low": "is_swing_low_15m"}
