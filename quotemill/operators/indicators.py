@@ -1,12 +1,11 @@
 """ATR, RSI, EMA and the values derived from them.
 
-Wilder's recursion is linear but unbounded in the past, so it is not a window frame; each key's bars go through
-pandas' compiled ewm.  Bars are the aggregate of ticks, so a key's group is small next to its ticks.
+Wilder's recursion is linear but unbounded in the past, so it is not a window frame: it is a scan over slices of time
+(``scan``), so that a key's history is many tasks.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +14,7 @@ from pyspark.sql import types as T
 
 from .. import params as P
 from ..functions.core import over, r_dynamic
+from . import scan
 
 
 def per_key(df: DataFrame, fn, added: list[T.StructField], keys=P.KEY, order: str = "bar_time") -> DataFrame:
@@ -29,53 +29,30 @@ def per_key(df: DataFrame, fn, added: list[T.StructField], keys=P.KEY, order: st
     return df.groupBy(*keys).applyInPandas(run, T.StructType([*df.schema.fields, *added]))
 
 
-def _wilder(x: np.ndarray, n: int, seeded: bool) -> np.ndarray:
-    return pd.Series(x).ewm(alpha=1 / n, adjust=False, min_periods=0 if seeded else n).mean().to_numpy()
-
-
 def atr(bars: DataFrame, n: int, name: str, warmup: str = "zero") -> DataFrame:
     """Wilder's average true range.  The first value, at bar n-1, is the mean of n true ranges; bars before it are 0
     (or null, by warmup); all null with fewer than n bars."""
-
-    def fn(g):
-        if len(g) < n:
-            return {name: np.full(len(g), np.nan)}
-        h, l, c = (g[f"bar_{k}"].to_numpy(float) for k in ("high", "low", "close"))
-        before = np.r_[np.nan, c[:-1]]
-        tr = np.fmax(h - l, np.fmax(abs(h - before), abs(l - before)))
-        out = np.full(len(g), 0.0 if warmup == "zero" else np.nan)
-        out[n - 1 :] = _wilder(np.r_[tr[:n].mean(), tr[n:]], n, True)
-        return {name: out}
-
-    return _nan_to_null(per_key(bars, fn, [T.StructField(name, T.DoubleType())]), name)
+    b = scan.previous(scan.sliced(bars, "bar_time"), "bar_close", "_close")
+    b = b.withColumn("_tr", F.greatest(F.col("bar_high") - F.col("bar_low"), F.abs(F.col("bar_high") - F.col("_close")), F.abs(F.col("bar_low") - F.col("_close"))))
+    found = scan.averages(b, [scan.Average("_tr", name, 1 / n, seed=n, shown=n, early=0.0 if warmup == "zero" else None)])
+    return found.select(*[c for c in bars.columns if c != name], name)
 
 
 def rsi(bars: DataFrame, n: int = P.RSI, name: str = "rsi_14", price: str = "bar_close") -> DataFrame:
-    """Relative strength from Wilder averages of rises and falls that start at the first difference; 100 without falls."""
-
-    def fn(g):
-        if len(g) < n:
-            return {name: np.full(len(g), np.nan)}
-        d = np.diff(g[price].to_numpy(float), prepend=np.nan)
-        up, down = np.where(d > 0, d, 0.0), np.where(d < 0, -d, 0.0)
-        a, b = _wilder(up, n, False), _wilder(down, n, False)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return {name: np.where(np.isnan(a), np.nan, np.where(b == 0, 100.0, 100 - 100 / (1 + a / b)))}
-
-    return _nan_to_null(per_key(bars, fn, [T.StructField(name, T.DoubleType())]), name)
+    """Relative strength from Wilder averages of rises and falls, which start as none at the first bar, from bar n-1 on; 100
+    without falls."""
+    b = scan.previous(scan.sliced(bars, "bar_time"), price, "_close")
+    change = F.coalesce(F.col(price) - F.col("_close"), F.lit(0.0))
+    b = b.withColumn("_up", F.greatest(change, F.lit(0.0))).withColumn("_down", F.greatest(-change, F.lit(0.0)))
+    found = scan.averages(b, [scan.Average("_up", "_rise", 1 / n, shown=n), scan.Average("_down", "_fall", 1 / n, shown=n)])
+    value = F.when(F.col("_rise").isNotNull(), F.when(F.col("_fall") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_rise") / F.col("_fall"))))
+    return found.select(*[c for c in bars.columns if c != name], value.alias(name))
 
 
 def ema(df: DataFrame, n: int = P.EMA, price: str = "bid", name: str = "ema_20", order: str = "bar_time") -> DataFrame:
-    """Exponential mean with weight 2/(n+1), null for the first n-1 rows."""
-
-    def fn(g):
-        return {name: g[price].astype(float).ewm(span=n, adjust=False, min_periods=n).mean().to_numpy()}
-
-    return _nan_to_null(per_key(df, fn, [T.StructField(name, T.DoubleType())], order=order), name)
-
-
-def _nan_to_null(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, F.when(~F.isnan(name), F.col(name)))
+    """Exponential mean with weight 2/(n+1), null for the first n-1 values; order is a time."""
+    d = scan.sliced(df, order).withColumn("_price", F.col(price).cast("double"))
+    return scan.averages(d, [scan.Average("_price", name, 2 / (n + 1), shown=n)], order=order).select(*[c for c in df.columns if c != name], name)
 
 
 def medians(bars: DataFrame, name: str, alias: str = "median_atr") -> DataFrame:

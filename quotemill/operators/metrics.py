@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
+from .scan import sliced
 
 
 def summary(trades: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -36,11 +37,22 @@ def equity_curve(trades: DataFrame, keys=P.KEY, order=("exit_time", "n"), capita
     return trades.withColumn("equity", F.lit(capital) + F.sum("pnl").over(w))
 
 
-def max_drawdown(trades: DataFrame, keys=P.KEY, order=("exit_time", "n"), capital: float = P.CAPITAL) -> DataFrame:
-    """The largest fall of equity below its running maximum, which starts at the capital."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    e = equity_curve(trades, keys, order, capital)
-    return e.withColumn("_top", F.greatest(F.lit(capital), F.max("equity").over(w))).groupBy(*keys).agg(F.max(F.col("_top") - F.col("equity")).alias("max_drawdown"))
+def max_drawdown(trades: DataFrame, keys=P.KEY, order=("exit_time", "n"), capital: float = P.CAPITAL, width: str = "30 days") -> DataFrame:
+    """The largest fall of equity below its running maximum, which starts at the capital.
+
+    A scan over slices of time (by the first column of order): each slice is reduced to its sum, the highest and the lowest
+    equity within it and its own largest fall; what earlier slices lead to is composed over a row per slice.
+    """
+    keys = list(keys)
+    t = sliced(trades, order[0], width)
+    within = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    t = t.select(*keys, "_slice", *[c for c in order if c not in keys], F.sum("pnl").over(within).alias("_sum"))
+    t = t.withColumn("_top", F.greatest(F.lit(0.0), F.max("_sum").over(within)))
+    s = t.groupBy(*keys, "_slice").agg(F.max_by("_sum", F.struct(*order)).alias("_end"), F.max("_sum").alias("_high"), F.min("_sum").alias("_low"), F.max(F.col("_top") - F.col("_sum")).alias("_fall"))
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    s = s.withColumn("_start", F.lit(capital) + F.coalesce(F.sum("_end").over(before), F.lit(0.0)))
+    s = s.withColumn("_peak", F.greatest(F.lit(capital), F.max(F.col("_start") + F.col("_high")).over(before)))
+    return s.groupBy(*keys).agg(F.max(F.greatest(F.col("_fall"), F.col("_peak") - F.col("_start") - F.col("_low"))).alias("max_drawdown"))
 
 
 def sharpe(trades: DataFrame, keys=P.KEY) -> DataFrame:

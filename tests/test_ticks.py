@@ -6,13 +6,14 @@ import datetime as dt
 import random
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quotemill import params as P
 from quotemill.functions import core
-from quotemill.operators import asof, backtest, candles, gaps, indicators, liquidity, metrics, sessions, silver, strategy, structure, swings
+from quotemill.operators import asof, backtest, candles, gaps, indicators, liquidity, metrics, scan, sessions, silver, strategy, structure, swings
 from quotemill.plans import reports
 from quotemill.plans.store import TickStore
 from quotemill.sources import bi5, lake
@@ -388,3 +389,67 @@ def test_empty_tables(spark):
     b = flat(spark, [1]).limit(0)
     assert indicators.atr(b, 3, "atr").count() == 0 and structure.structure(with_swings(b)).count() == 0
     assert candles.ohlc(spark.createDataFrame([], "timestamp_utc timestamp_ntz, symbol string, source string, mid double, seq bigint"), "1 hour").count() == 0
+
+
+def test_averages_over_slices_equal_a_run_over_the_whole(spark):
+    r = np.random.default_rng(1)
+    # One row in 20 hours: eight or nine of a key's rows make a slice, so seeds and warm-ups cross slices.
+    frames = []
+    for symbol, n in (("A", 120), ("B", 19), ("C", 20), ("D", 1)):
+        at = np.datetime64("2024-01-01T03:00:00") + np.arange(n) * np.timedelta64(20, "h")
+        u = r.normal(10, 3, n)
+        u[5::17] = np.nan
+        frames.append(pd.DataFrame({"symbol": symbol, "source": "s", "bar_time": at.astype("datetime64[us]"), "u": u}))
+    whole = pd.concat(frames)
+    df = spark.createDataFrame(whole.sample(frac=1, random_state=2), "symbol string, source string, bar_time timestamp_ntz, u double").withColumn("u", F.when(~F.isnan("u"), F.col("u")))
+    wanted = [scan.Average("u", "seeded", 1 / 20, seed=20, shown=20, early=0.0), scan.Average("u", "plain", 2 / 21, shown=20), scan.Average("u", "short", 0.5, seed=3)]
+    found = scan.averages(scan.sliced(df, "bar_time"), wanted)
+    assert found.groupBy("symbol", "_slice").count().agg(F.max("count")).first()[0] <= 9
+    got = {k: g.sort_values("bar_time") for k, g in found.toPandas().groupby("symbol")}
+    for f in frames:
+        out, u = got[f["symbol"].iloc[0]], f["u"].dropna().to_numpy()
+        for a in wanted:
+            want = np.full(len(u), np.nan)
+            if len(u) >= a.seed:
+                x = u[: a.seed].mean()
+                for i in range(a.seed - 1, len(u)):
+                    x = x if i < a.seed else (1 - a.weight) * x + a.weight * u[i]
+                    want[i] = x
+            want[: a.shown - 1] = a.early if a.early is not None and len(u) >= a.shown else np.nan
+            have = out.loc[out["u"].notna(), a.name].to_numpy(float)
+            np.testing.assert_allclose(have, want, rtol=1e-9)
+
+
+def test_previous_values_cross_slices(spark):
+    rows_ = [("A", "s", T0 + dt.timedelta(hours=31 * k), float(k)) for k in range(40)]
+    df = spark.createDataFrame(rows_, "symbol string, source string, bar_time timestamp_ntz, u double")
+    got = scan.previous(scan.sliced(df, "bar_time"), "u", "was").orderBy("bar_time").collect()
+    assert [r.was for r in got] == [None, *[float(k) for k in range(39)]]
+
+
+def test_drawdown_over_slices_equals_a_run_over_the_whole(spark):
+    r = np.random.default_rng(4)
+    pnl = r.normal(0, 50, 400)
+    for sign in (1, -1, 0):
+        p = np.abs(pnl) * sign if sign else pnl
+        t = spark.createDataFrame([("X", "a", T0 + dt.timedelta(days=int(k) // 2), int(k), float(x)) for k, x in enumerate(p)], "symbol string, source string, exit_time timestamp_ntz, n int, pnl double")
+        equity = np.r_[10_000, 10_000 + np.cumsum(p)]
+        assert metrics.max_drawdown(t).first().max_drawdown == pytest.approx((np.maximum.accumulate(equity) - equity).max())
+
+
+def test_many_facts_equal_one_join_after_the_other(spark):
+    r = np.random.default_rng(5)
+    at = lambda n: [T0 + dt.timedelta(hours=float(h)) for h in r.uniform(0, 120, n)]
+    keys = lambda n: [("XY"[k], "s") for k in r.integers(0, 2, n)]
+    left = spark.createDataFrame([(*k, t, i) for i, (k, t) in enumerate(zip(keys(300), at(300)))], "symbol string, source string, timestamp_utc timestamp_ntz, seq int")
+    a = spark.createDataFrame([(*k, t, float(i), None if i % 3 else "t") for i, (k, t) in enumerate(zip(keys(40), at(40)))], "symbol string, source string, bar_time timestamp_ntz, x double, y string")
+    b = a.withColumn("z", F.col("x") * 2).withColumn("bar_time", F.date_trunc("day", "bar_time").cast("timestamp_ntz")).select("symbol", "source", "bar_time", "z").filter("z < 40")
+    facts = [asof.Fact(a, "bar_time", ["x", "y"]), asof.Fact(b, "bar_time", ["z"], tie=["z"]), asof.Fact(a.limit(0).withColumnsRenamed({"x": "v"}), "bar_time", ["v"])]
+    got = asof.asof_many(left, "timestamp_utc", facts)
+    want = left
+    for f in facts:
+        want = asof.asof_backward(want, f.rows, "timestamp_utc", f.at, f.cols, tie=f.tie)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_row") and got.filter("z IS NOT NULL").count() > 0
