@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .textvec import categories, code_points
-from .workspace import held, pieces, texts_of
+from .workspace import held, pieces, texts_of, trim
 
 # ---------------------------------------------------------------- pre-tokenisation
 
@@ -142,6 +142,8 @@ def piece_starts(cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- merging
 
 BIG = 1 << 60
+#: Bytes of text that are in work at once.
+PIECE = 1 << 20
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -296,7 +298,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         cache, _ = _codec(vocabulary(path))
-        for b in pieces(batches):
+        for b in pieces(batches, limit=PIECE):
             ids, at, _, _ = encode_texts(texts_of(b), cache)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], names=names)
 
@@ -326,7 +328,7 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         cache, decoder = _codec(vocabulary(path))
-        for b in pieces(batches):
+        for b in pieces(batches, limit=PIECE):
             ids, at, _, _ = encode_texts(texts_of(b), cache)
             raw = ids.astype("<u4")
             back = decoder.decode(ids.astype(np.int64))
@@ -336,6 +338,7 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 [b.column("doc_id"), pa.array(np.diff(at)), pa.array([sha(raw[i:j].tobytes()) for i, j in zip(at, at[1:])], pa.string()), pa.array([sha(back[i:j]) for i, j in zip(ends, ends[1:])], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

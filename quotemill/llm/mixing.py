@@ -25,8 +25,10 @@ from pyspark.sql import types as T
 
 from .sampling import sample_by_table
 from .textvec import U, hashes, sums, words
-from .workspace import pieces, texts_of, utf8_buffer, written
+from .workspace import pieces, released, texts_of, utf8_buffer, written
 
+#: Bytes of text that are in work at once.
+PIECE = 1 << 20
 BUCKETS = 1 << 17
 PER_DOMAIN, MAX_CHARS = 1500, 8000
 EPOCHS, BATCH = 12, 64
@@ -122,13 +124,13 @@ def _annotated(docs: DataFrame, model: Classifier, tokens: str, posterior: str)
     names = [*docs.columns, tokens, posterior]
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, limit=PIECE):
             p = model.posteriors(*_lower(b.column("text")))
             n, d = p.shape
             col = pa.ListArray.from_arrays(pa.array(np.arange(0, n * d + 1, d), pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(t.split()) for t in texts_of(b)], pa.int64()), col], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(tokens, T.LongType()), T.StructField(posterior, T.ArrayType(T.DoubleType()))]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField(tokens, T.LongType()), T.StructField(posterior, T.ArrayType(T.DoubleType()))]))
 
 
 def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
