@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..functions.core import floor_to
+from .ranges import Minima, count_up_to
 from .swings import last_n
 
 
@@ -68,12 +71,89 @@ def by_cells(bars: DataFrame, low: Column, high: Column, levels: DataFrame, keys
     return spread, levels.join(width, list(keys)).withColumn("_cell", cell(F.col("price"))).drop("_width")
 
 
+SWEPT = "tier int, visible timestamp_ntz, ordinal bigint, direction string"
+
+
+def _swept_in_cell(bars: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
+    """The first level of the lowest tier that each bar sweeps: bar's row number and the level's.
+
+    Levels of a tier and direction are sorted by price; a bar's are a stretch of them, whose least rank (by visible, then
+    ordinal) is looked up.  If that one isn't visible yet, none of them is.
+    """
+    high, low, close, tol = (bars[c].to_numpy(float) for c in ("bar_high", "bar_low", "bar_close", "_tol"))
+    levels = levels.sort_values(["visible", "ordinal"], kind="stable", na_position="first").reset_index(drop=True)
+    visible = pd.to_datetime(levels["visible"]).to_numpy("datetime64[us]")
+    visible = np.where(np.isnat(visible), np.datetime64("0001-01-01", "us"), visible)
+    price, kinds = levels["price"].to_numpy(float), levels["tier"].to_numpy() * 2 + (levels["direction"] == "low").to_numpy()
+    time = bars["bar_time"].to_numpy("datetime64[us]")
+    found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for kind in np.unique(kinds):
+        own = np.flatnonzero(kinds == kind)
+        own = own[np.argsort(price[own], kind="stable")]
+        p = price[own]
+        if kind % 2:
+            a, b = np.searchsorted(p, low - tol, "left"), np.searchsorted(p, close, "left")
+            reaches = lambda k, i: low[i] <= p[k] + tol[i]
+            a = _settled(a, len(p), reaches, -1)
+        else:
+            a, b = np.searchsorted(p, close, "right"), np.searchsorted(p, high + tol, "right")
+            reaches = lambda k, i: high[i] >= p[k] - tol[i]
+            b = _settled(b, len(p), reaches, 1)
+        some = np.flatnonzero(a < b)
+        if len(some):
+            first = Minima(own)(a[some], b[some])
+            seen = visible[first] <= time[some]
+            found[0].append(some[seen])
+            found[1].append(first[seen])
+    bar, level = np.concatenate(found[0]), np.concatenate(found[1])
+    keep = ["tier", "visible", "ordinal", "direction"]
+    return pd.concat([bars[[*P.KEY, "bar_time"]].iloc[bar].reset_index(drop=True), levels[keep].iloc[level].reset_index(drop=True)], axis=1)
+
+
+def _settled(edge: np.ndarray, n: int, reaches, out: int) -> np.ndarray:
+    """The edge of a stretch, moved where the rule as it is rounded includes a level more or less than the sum did.
+
+    out: the way that leads out of the stretch, 1 for its end, -1 for its start.
+    """
+    edge = edge.copy()
+    bars = np.arange(len(edge))
+    while True:
+        beyond = edge if out > 0 else edge - 1
+        at = bars[(beyond >= 0) & (beyond < n)]
+        at = at[reaches(beyond[at], at)]
+        if not len(at):
+            break
+        edge[at] += out
+    while True:
+        inside = edge - 1 if out > 0 else edge
+        at = bars[(inside >= 0) & (inside < n)]
+        at = at[~reaches(inside[at], at)]
+        if not len(at):
+            return edge
+        edge[at] -= out
+
+
+def _first_swept(bars: DataFrame, levels: DataFrame, width: str = "90 days") -> DataFrame:
+    """(key, bar_time, tier, visible, ordinal, direction) of the first level of each tier and direction that a bar sweeps
+    in a cell.  A cell's bars are parted by time, so that a task has a season's at most; levels go to the seasons in which
+    they show and the cell has bars."""
+    b = floor_to(bars, "bar_time", width, "_slice").select(*P.KEY, "_cell", "_slice", "bar_time", "bar_high", "bar_low", "bar_close", "_tol")
+    places = b.select(*P.KEY, "_cell", "_slice").distinct()
+    lv = levels.join(places, [*P.KEY, "_cell"]).filter(F.col("visible").isNull() | (F.col("visible") < F.col("_slice") + F.expr(f"INTERVAL {width}")))
+    lv = lv.select(*P.KEY, "_cell", F.col("_slice").alias("_slice"), "direction", "price", "tier", "visible", "ordinal")
+    kind = bars.schema["bar_time"].dataType.simpleString()
+    result = f"symbol string, source string, bar_time {kind}, {SWEPT.replace('timestamp_ntz', kind)}"
+    group = [*P.KEY, "_cell", "_slice"]
+    return b.groupBy(*group).cogroup(lv.groupBy(*group)).applyInPandas(lambda x, y: _swept_in_cell(x, y), result)
+
+
 def sweeps(bars: DataFrame, session_levels: DataFrame, swings: DataFrame, equal: DataFrame | None, atr: str = "atr_20_1m", causal: bool = False) -> DataFrame:
     """bars with liq_swept, liq_side, sweep_tier and the sweep candle's low, high, wick and body.
 
     Levels are tier 1 and 2 session levels from when they show, then all swings and clusters (tier 3); the lowest tier
     wins, then the earliest level.  The range join goes by price cells (``by_cells``): a bar meets the cells between its
-    low and high, widened by its tolerance, and a level lies in one cell.
+    low and high, widened by its tolerance, and a level lies in one cell.  There the first level that a bar sweeps is found
+    by two looks into a table of minima (``_first_swept``), however many levels the cell has gathered.
 
     causal: swings have ``visible`` and, as session levels, ``until``, from and before which a bar must start to sweep
     them; bars without an ATR take the least tolerance, as a median is not known yet, and there are no clusters.
@@ -92,8 +172,11 @@ def sweeps(bars: DataFrame, session_levels: DataFrame, swings: DataFrame, equal:
     # Equal levels sweep at the same bars; only the first of each matters.
     levels = levels.groupBy(*level_cols[:-1]).agg(F.min("ordinal").alias("ordinal"))
     b, lv = by_cells(b, F.col("bar_low") - F.col("_tol"), F.col("bar_high") + F.col("_tol"), levels)
-    # A bar's low sweeps levels down to its close and its high levels up to its close, both inside its own widened range.
-    met = b.join(lv, [*P.KEY, "_cell"]).filter((F.col("visible").isNull() | (F.col("visible") <= F.col("bar_time"))) & (F.col("until").isNull() | (F.col("until") > F.col("bar_time"))) & swept(F.col("direction"), F.col("price"), F.col("_tol")))
+    if causal:
+        # A bar's low sweeps levels down to its close and its high levels up to its close, both inside its own widened range.
+        met = b.join(lv, [*P.KEY, "_cell"]).filter((F.col("visible") <= F.col("bar_time")) & (F.col("until").isNull() | (F.col("until") > F.col("bar_time"))) & swept(F.col("direction"), F.col("price"), F.col("_tol")))
+    else:
+        met = _first_swept(b, lv)
     best = met.groupBy(*P.KEY, "bar_time").agg(F.min_by(F.struct("direction", "tier"), order).alias("s"))
     out = bars.join(best, [*P.KEY, "bar_time"], "left")
     hit = F.col("s").isNotNull()
@@ -176,12 +259,15 @@ def confluence_score(timeframes: Column, timeframe: Column, is_swept: Column, co
 
 
 def touches(levels: DataFrame, bars: DataFrame, within: float = P.V3_SWEEP) -> DataFrame:
-    """levels with the number of bars whose range comes within ``within`` of the price (our own definition)."""
-    tol = F.col("price") * within
-    b, lv = by_cells(bars.select(*P.KEY, "bar_high", "bar_low"), *_reach(within), levels)
-    met = lv.join(b, [*P.KEY, "_cell"]).filter((F.col("bar_high") >= F.col("price") - tol) & (F.col("bar_low") <= F.col("price") + tol))
-    n = met.groupBy(*levels.columns).agg(F.count(F.lit(1)).alias("touches"))
-    return levels.join(n, levels.columns, "left").withColumn("touches", F.coalesce("touches", F.lit(0)))
+    """levels with the number of bars whose range comes within ``within`` of the price (our own definition).
+
+    A bar that doesn't touch lies below or above: the count is that of lows up to the upper edge less that of highs below
+    the lower edge.  Levels and bars are sorted together, not compared.
+    """
+    p = F.col("price")
+    low = count_up_to(levels, p + p * within, bars, "bar_low", "_upper")
+    both = count_up_to(low, p - p * within, bars, "bar_high", "_lower", strict=True)
+    return both.select(*levels.columns, (F.col("_upper") - F.col("_lower")).alias("touches"))
 
 
 def round_number_levels(bars: DataFrame, step: float = 50.0) -> DataFrame:

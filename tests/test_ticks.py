@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quotemill import params as P
 from quotemill.functions import core
-from quotemill.operators import asof, backtest, candles, gaps, indicators, liquidity, metrics, scan, sessions, silver, strategy, structure, swings
+from quotemill.operators import asof, backtest, candles, gaps, indicators, liquidity, metrics, ranges, scan, sessions, silver, strategy, structure, swings
 from quotemill.plans import reports
 from quotemill.plans.store import TickStore
 from quotemill.sources import bi5, lake
@@ -453,3 +453,47 @@ def test_many_facts_equal_one_join_after_the_other(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("_row") and got.filter("z IS NOT NULL").count() > 0
+
+
+@pytest.mark.parametrize("scale", [100.0, 1e4])
+def test_sweeps_by_minima_equal_all_pairs(spark, scale):
+    r = random.Random(11)
+    price = lambda: scale + round(r.random() * 20, 1)
+    b = bars_of(spark, [(c := price(), c + r.randrange(4), c - r.randrange(4), c + r.choice([-1, 0, 1]) * 0.5) for _ in range(150)], 1).withColumn("atr_20_1m", F.when(F.minute("bar_time") % 3 > 0, F.lit(4.0)))
+    kinds = lambda: r.choice(["high", "low"])
+    ses = spark.createDataFrame([("X", "mt5", kinds(), price(), r.choice([1, 2]), T0 + dt.timedelta(minutes=r.randrange(150)), r.randrange(6)) for _ in range(12)], "symbol string, source string, direction string, price double, tier int, visible timestamp_ntz, ordinal int")
+    sw = spark.createDataFrame([("X", "mt5", T0 + dt.timedelta(minutes=k), kinds(), price()) for k in range(9)], "symbol string, source string, bar_time timestamp_ntz, kind string, price double")
+    eq = spark.createDataFrame([("X", "mt5", "high", price(), 2)], "symbol string, source string, direction string, price double, strength int")
+    got = {x.bar_time: (x.sweep_tier, x.liq_side) for x in liquidity.sweeps(b, ses, sw, eq).collect()}
+    counts, levels = {"high": 0, "low": 0}, []
+    for x in sw.orderBy("bar_time").collect():
+        counts[x.kind] += 1
+        levels.append((3, dt.datetime.min, (x.kind == "low") * (1 << 40) + counts[x.kind], x.kind, x.price))
+    levels += [(3, dt.datetime.min, (1 << 42) + (x.direction == "low"), x.direction, x.price) for x in eq.collect()]
+    levels += [(x.tier, x.visible, x.ordinal, x.direction, x.price) for x in ses.collect()]
+    for x in b.collect():
+        tol = max((x.atr_20_1m or 4.0) * P.SWEEP_ATR, P.SWEEP_FLOOR)
+        hit = lambda d, p: x.bar_high >= p - tol and x.bar_close < p if d == "high" else x.bar_low <= p + tol and x.bar_close > p  # noqa: B023, E731
+        best = min((v for v in levels if v[1] <= x.bar_time and hit(v[3], v[4])), default=(None,) * 5)
+        assert got[x.bar_time] == (best[0], best[3])
+    assert len({v for v in got.values()}) > 4
+
+
+def test_minima_of_stretches():
+    r = np.random.default_rng(2)
+    values = r.integers(0, 99, 500)
+    a = r.integers(0, 499, 300)
+    b = a + 1 + (r.random(300) * (500 - a - 1)).astype(int)
+    assert ranges.Minima(values)(a, b).tolist() == [values[x:y].min() for x, y in zip(a, b)]
+
+
+def test_counts_of_values_equal_comparisons(spark):
+    r = random.Random(9)
+    v = [(k, "s", r.choice([None, float(r.randrange(50)), r.random() * 50])) for k in "AAB" for _ in range(150)]
+    p = [(k, "s", i, r.choice([None, -5.0, 99.0, float(r.randrange(50)), r.random() * 50])) for i in range(80) for k in "ABC"]
+    values, points = spark.createDataFrame(v, "symbol string, source string, x double"), spark.createDataFrame(p, "symbol string, source string, i int, at double")
+    for strict in (False, True):
+        got = {(x.symbol, x.i): x.n for x in ranges.count_up_to(points, F.col("at"), values, "x", "n", strict).collect()}
+        for k, _, i, at in p:
+            want = 0 if at is None else sum(x is not None and (x < at if strict else x <= at) for s, _, x in v if s == k)
+            assert got[k, i] == want
