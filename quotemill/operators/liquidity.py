@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.core import floor_to
-from .ranges import Minima, count_up_to
+from .ranges import Minima, count_up_to, first_hit
 from .swings import last_n
 
 
@@ -220,20 +220,16 @@ def nearest_levels(points: DataFrame, levels: DataFrame, n: int = P.V3_NEAREST,
     )
 
 
-def _reach(share: float) -> tuple[Column, Column]:
-    """Prices that a bar can touch when a level counts up to ``share`` (at most a half) of its price away."""
-    return F.col("bar_low") - 2 * share * F.abs("bar_low"), F.col("bar_high") + 2 * share * F.abs("bar_high")
-
-
 def first_sweeps(levels: DataFrame, bars: DataFrame, tolerance: float = P.V3_SWEEP) -> DataFrame:
-    """levels (symbol, source, direction, price, formed_at) with the first later bar that reaches beyond the level by
-    ``tolerance`` of it and closes back."""
-    p = F.col("price")
-    b, lv = by_cells(bars.select(*P.KEY, "bar_time", "bar_high", "bar_low", "bar_close"), *_reach(tolerance), levels)
-    hit = F.when(F.col("direction") == "high", (F.col("bar_high") > p * (1 + tolerance)) & (F.col("bar_close") < p)).otherwise((F.col("bar_low") < p * (1 - tolerance)) & (F.col("bar_close") > p))
-    met = lv.join(b, [*P.KEY, "_cell"]).filter((F.col("bar_time") > F.col("formed_at")) & hit)
-    first = met.groupBy(*levels.columns).agg(F.min("bar_time").alias("swept_at"))
-    return levels.join(first, levels.columns, "left")
+    """levels (symbol, source, direction, price, formed_at; none null) with the first later bar that reaches beyond the
+    level by ``tolerance`` of it and closes back; found by blocks of bars (``ranges.first_hit``)."""
+    p, high = F.col("price"), F.col("direction") == "high"
+    up, down = p * (1 + tolerance), p * (1 - tolerance)
+    hit = F.when(high, (F.col("bar_high") > up) & (F.col("bar_close") < p)).otherwise((F.col("bar_low") < down) & (F.col("bar_close") > p))
+    # A block has room for a sweep if some bar reaches beyond the level and some closes on its other side.
+    possible = F.when(high, (F.col("max_high") > up) & (F.col("min_close") < p)).otherwise((F.col("min_low") < down) & (F.col("max_close") > p))
+    extremes = {"max_high": F.max("bar_high"), "min_low": F.min("bar_low"), "min_close": F.min("bar_close"), "max_close": F.max("bar_close")}
+    return first_hit(levels, "formed_at", bars.select(*P.KEY, "bar_time", "bar_high", "bar_low", "bar_close"), possible, hit, "swept_at", extremes)
 
 
 def confluence(levels: DataFrame, within: float = P.V3_CONFLUENCE) -> DataFrame:

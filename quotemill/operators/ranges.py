@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..functions.stage import stage
 
 
 class Minima:
@@ -55,3 +56,49 @@ def count_up_to(points: DataFrame, at: Column, values: DataFrame, value: str, na
     within = F.sum("_one").over(W.partitionBy(*keys, "_cell").orderBy("_x", "_side").rowsBetween(W.unboundedPreceding, W.currentRow))
     found = both.withColumn("_within", within).filter("_row IS NOT NULL").join(base, [*keys, "_cell"], "left")
     return found.select("_row.*", F.when(F.col("_x").isNull(), 0).otherwise(F.coalesce("_base", F.lit(0)) + F.coalesce("_within", F.lit(0))).cast("long").alias(name))
+
+
+#: Days of a block, from the widest to a day; each but the first is a part of the one before.
+TIERS = (512, 64, 8, 1)
+
+
+def day_number(at: str) -> Column:
+    return F.floor(F.unix_micros(F.col(at).cast("timestamp")) / 86_400_000_000).cast("long")
+
+
+def first_hit(points: DataFrame, after: str, bars: DataFrame, possible: Column, hit: Column, name: str, extremes: dict[str, Column], keys=P.KEY) -> DataFrame:
+    """points with the time of their key's first bar later than ``after`` for which ``hit`` holds, or null.
+
+    extremes: aggregates of a block of bars; possible: whether a block with such extremes can hold a hit, which must be true
+    of every block around a bar that is one.  Blocks are a tree: a point goes down only below blocks that can hold a hit, to
+    days.  Of its days it looks first at one, then, if that holds none, at the next two, four and so on, so that it meets
+    the bars of few more days than lie before its hit.
+    """
+    keys = list(keys)
+    base = stage(points.filter(F.col(after).isNotNull()).distinct().withColumn("_id", F.xxhash64(*points.columns)), "points")
+    days = stage(bars.withColumn("_d1", day_number("bar_time")).groupBy(*keys, "_d1").agg(*[a.alias(c) for c, a in extremes.items()]), "days")
+    fold = {c: (F.max if c.startswith("max") else F.min) for c in extremes}
+    found = base.withColumn("_from", day_number(after))
+    for wider, tier in zip((None, *TIERS), TIERS):
+        blocks = days.withColumn(f"_d{tier}", F.floor(F.col("_d1") / tier).cast("long"))
+        if wider:
+            blocks = blocks.withColumn(f"_d{wider}", F.floor(F.col("_d1") / wider).cast("long"))
+        group = [*keys, *([f"_d{wider}"] if wider else []), f"_d{tier}"]
+        blocks = blocks.groupBy(*group).agg(*[f(c).alias(c) for c, f in fold.items()])
+        met = found.join(blocks, [*keys, *([f"_d{wider}"] if wider else [])]).filter((F.col(f"_d{tier}") >= F.floor(F.col("_from") / tier)) & possible)
+        found = met.drop(*fold, *([f"_d{wider}"] if wider else []))
+    place = F.row_number().over(W.partitionBy("_id", *points.columns).orderBy("_d1"))
+    left = stage(found.select(*points.columns, "_id", "_d1", place.alias("_place")), "days-to-look-at")
+    b = bars.withColumn("_d1", day_number("bar_time"))
+    hits, step = None, 1
+    while True:
+        some = left.filter(F.col("_place") < 2 * step).join(b, [*keys, "_d1"]).filter((F.col("bar_time") > F.col(after)) & hit)
+        new = stage(some.groupBy("_id", *points.columns).agg(F.min("bar_time").alias(name)), "hits")
+        hits = new if hits is None else hits.unionByName(new)
+        rest = left.filter(F.col("_place") >= 2 * step)
+        left = rest.join(new.select("_id", *points.columns), ["_id", *points.columns], "left_anti")
+        step *= 2
+        if left.isEmpty():
+            break
+        left = stage(left, "days-to-look-at")
+    return points.join(hits.drop("_id"), points.columns, "left")

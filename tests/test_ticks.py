@@ -497,3 +497,23 @@ def test_counts_of_values_equal_comparisons(spark):
         for k, _, i, at in p:
             want = 0 if at is None else sum(x is not None and (x < at if strict else x <= at) for s, _, x in v if s == k)
             assert got[k, i] == want
+
+
+def test_first_sweeps_over_years_equal_all_pairs(spark):
+    r = random.Random(21)
+    data, c = [], 100.0
+    for k in range(1500):  # a bar a day: more than one of the widest blocks
+        c += r.gauss(0, 1.2)
+        close = c + r.choice([-1, 0, 1]) * r.random() * 2
+        data.append(("X", "mt5", T0 + dt.timedelta(days=k, hours=r.randrange(24)), c, max(c, close) + r.random() * 2, min(c, close) - r.random() * 2, close))
+    b = spark.createDataFrame(data, "symbol string, source string, bar_time timestamp_ntz, bar_open double, bar_high double, bar_low double, bar_close double")
+    made = [("X", "mt5", r.choice(["high", "low"]), r.choice(data)[6] + r.choice([0.0, 0.5, 30.0]), T0 + dt.timedelta(days=r.randrange(1500)), i) for i in range(120)] + [("Y", "mt5", "high", 1.0, T0, 999)]
+    made += made[:3]
+    lv = spark.createDataFrame(made, "symbol string, source string, direction string, price double, formed_at timestamp_ntz, score int")
+    out = liquidity.first_sweeps(lv, b).collect()
+    got = {x.score: x.swept_at for x in out}
+    assert len(out) == len(made)
+    for sym, _, side, p, formed, i in made:
+        hit = lambda x: x[4] > p * 1.0005 and x[6] < p if side == "high" else x[5] < p * (1 - 0.0005) and x[6] > p  # noqa: B023, E731
+        assert got[i] == min((x[2] for x in data if sym == "X" and x[2] > formed and hit(x)), default=None)
+    assert sum(v is not None for v in got.values()) > 60
