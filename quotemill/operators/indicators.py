@@ -38,19 +38,19 @@ def atr(bars: DataFrame, n: int, name: str, warmup: str = "zero") -> DataFrame:
     return found.select(*[c for c in bars.columns if c != name], name)
 
 
-def rsi(bars: DataFrame, n: int = P.RSI, name: str = "rsi_14", price: str = "bar_close") -> DataFrame:
+def rsi(bars: DataFrame, n: int = P.RSI, name: str = "rsi_14", price: str = "bar_close", order: str = "bar_time") -> DataFrame:
     """Relative strength from Wilder averages of rises and falls, which start as none at the first bar, from bar n-1 on; 100
     without falls."""
-    b = scan.previous(scan.sliced(bars, "bar_time"), price, "_close")
+    b = scan.previous(scan.sliced(bars, order), price, "_close", order=order)
     change = F.coalesce(F.col(price) - F.col("_close"), F.lit(0.0))
     b = b.withColumn("_up", F.greatest(change, F.lit(0.0))).withColumn("_down", F.greatest(-change, F.lit(0.0)))
-    found = scan.averages(b, [scan.Average("_up", "_rise", 1 / n, shown=n), scan.Average("_down", "_fall", 1 / n, shown=n)])
+    found = scan.averages(b, [scan.Average("_up", "_rise", 1 / n, shown=n), scan.Average("_down", "_fall", 1 / n, shown=n)], order=order)
     value = F.when(F.col("_rise").isNotNull(), F.when(F.col("_fall") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_rise") / F.col("_fall"))))
     return found.select(*[c for c in bars.columns if c != name], value.alias(name))
 
 
 def ema(df: DataFrame, n: int = P.EMA, price: str = "bid", name: str = "ema_20", order: str = "bar_time") -> DataFrame:
-    """Exponential mean with weight 2/(n+1), null for the first n-1 values; order is a time."""
+    """Exponential mean with weight 2/(n+1), null for the first n-1 values; order is a time or a number."""
     d = scan.sliced(df, order).withColumn("_price", F.col(price).cast("double"))
     return scan.averages(d, [scan.Average("_price", name, 2 / (n + 1), shown=n)], order=order).select(*[c for c in df.columns if c != name], name)
 

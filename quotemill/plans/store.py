@@ -106,14 +106,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def jdbc_options(url: str, table: str, user: str = "", password: str = "", fetch: int = 10_000) -> dict[str, str]:
-    """Options for a JDBC landing table; the driver's jar comes with the cluster."""
-    return {"url": url, "dbtable": table, "user": user, "password": password, "fetchsize": str(fetch)}
-
-
 def unprocessed(landing: DataFrame, cleaned: DataFrame, key: str = "time_msc", limit: int | None = None) -> DataFrame:
     """Landing rows whose key isn't among the cleaned ones, in key order."""
     out = landing.join(cleaned.select(key).distinct(), key, "left_anti").select(*landing.columns).orderBy(key)
     return out.limit(limit) if limit else out
-
-
