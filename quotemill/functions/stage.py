@@ -9,22 +9,27 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written below spark.checkpoint.dir, which all machines share (unset: a local folder on a single machine, an error on a cluster), and read back."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def place(spark: SparkSession, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir, which all machines share (unset: a local folder on a single machine, an error on a cluster)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if df.sparkSession.sparkContext.master.partition("[")[0] != "local":
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="quotemill-"))
             atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         base = f"file://{_local[0]}"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df written to a place of its own and read back."""
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged._quotemill_path = path

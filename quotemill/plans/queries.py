@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import core
-from ..functions.stage import stage
+from ..functions.stage import place, stage
 from ..operators import asof, backtest, candles, gaps, indicators, liquidity, metrics, sessions, silver, strategy, structure, swings
-from ..sources import bi5, events
-from . import features, oracles, store
+from ..sources import bi5, events, lake
+from . import catalog, features, oracles, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -184,14 +185,23 @@ def _(s, d):
     return e.select("event_id", core.as_float("x").alias("as_float"), core.as_int("x").alias("as_int"), core.as_bool("x").alias("as_bool"))
 
 
-@query("trading_hours", "SELECT h AS hour FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS h) WHERE isodow(h) < 6")
+HOURS = "SELECT h AS hour FROM (SELECT unnest(generate_series((SELECT date_trunc('day', min(ts)) FROM events), (SELECT date_trunc('day', max(ts)) + INTERVAL 23 HOUR FROM events), INTERVAL 1 HOUR)) AS h) WHERE isodow(h) < 6"
+
+
+def event_hours(s, d):
+    """The trading hours of the days that the events cover."""
+    ends = raw(s, d).agg(F.to_date(F.min("timestamp_utc")).cast("string"), F.date_add(F.to_date(F.max("timestamp_utc")), 1).cast("string")).first()
+    return bi5.trading_hours(s, *ends)
+
+
+@query("trading_hours", HOURS)
 def _(s, d):
-    return bi5.trading_hours(s, "2024-01-01 00:00:00", "2024-01-31 00:00:00")
+    return event_hours(s, d)
 
 
-@query("hour_files", "SELECT h AS hour, printf('XAUUSD/%04d/%02d/%02d/%02dh_ticks.bi5', year(h), month(h) - 1, day(h), hour(h)) AS file FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-09 23:00:00', INTERVAL 1 HOUR)) AS h) WHERE isodow(h) < 6")
+@query("hour_files", f"SELECT hour, printf('XAUUSD/%04d/%02d/%02d/%02dh_ticks.bi5', year(hour), month(hour) - 1, day(hour), hour(hour)) AS file FROM ({HOURS})")
 def _(s, d):
-    return bi5.trading_hours(s, "2024-01-01 00:00:00", "2024-01-10 00:00:00").select("hour", bi5.hour_name(F.lit("XAUUSD"), F.col("hour")).alias("file"))
+    return event_hours(s, d).withColumn("file", bi5.hour_name(F.lit("XAUUSD"), F.col("hour")))
 
 
 # ---------------------------------------------------------------- store reads
@@ -873,3 +883,96 @@ def _(s, d):
     return s.read.parquet(f"{d}/events.parquet").select("event_id", strategy.lot_multiplier(F.col("event_id") % 11).alias("multiplier"))
 
 
+# ---------------------------------------------------------------- storage: what is written is read again
+
+VENDOR = """v AS (SELECT date_trunc('millisecond', timestamp_utc) AS tick, CASE WHEN symbol IN ('click', 'view') THEN 'XAUUSD' ELSE 'EURUSD' END AS metal, symbol, seq, bid, ask, volume FROM raw WHERE bid > 0 AND ask > 0),
+ w AS (SELECT *, CASE metal WHEN 'XAUUSD' THEN 1000.0::DOUBLE ELSE 100000.0::DOUBLE END AS scale FROM v)"""
+
+
+def vendor_files(s, d):
+    """The events as the vendor's hour files: two symbols, whose prices have different divisors."""
+    metal = F.when(F.col("symbol").isin("click", "view"), "XAUUSD").otherwise("EURUSD")
+    t = raw(s, d).filter("bid > 0 AND ask > 0").select(F.date_trunc("millisecond", "timestamp_utc").cast("timestamp_ntz").alias("timestamp_utc"), metal.alias("symbol"), "ask", "bid", F.col("volume").alias("ask_volume"), (F.col("volume") * 2).alias("bid_volume"))
+    return bi5.encoded(t)
+
+
+@query("decoded_hours", f"WITH {RAW}, {VENDOR} SELECT tick AS timestamp_utc, metal AS symbol, round_even(ask * scale, 0) / scale AS ask, round_even(bid * scale, 0) / scale AS bid, volume AS ask_volume, volume * 2 AS bid_volume FROM w")
+def _(s, d):
+    t = bi5.decoded(vendor_files(s, d))
+    return t.select(F.col("timestamp_utc").cast("timestamp_ntz").alias("timestamp_utc"), "symbol", "ask", "bid", *[F.round(c, 1).alias(c) for c in ("ask_volume", "bid_volume")])
+
+
+@query("decoded_hours_fixed", f"WITH {RAW}, {VENDOR} SELECT tick AS timestamp_utc, metal AS symbol, round_even(ask * scale, 0) / 100000.0::DOUBLE AS ask, round_even(bid * scale, 0) / 100000.0::DOUBLE AS bid, round(volume / 1000000, 9) AS ask_volume FROM w")
+def _(s, d):
+    t = bi5.decoded(vendor_files(s, d), fixed=True)
+    return t.select(F.col("timestamp_utc").cast("timestamp_ntz").alias("timestamp_utc"), "symbol", "ask", "bid", F.round("ask_volume", 9).alias("ask_volume"))
+
+
+@query("lake_months", f"WITH {RAW} SELECT timestamp_utc, symbol, bid, ask, seq, year(timestamp_utc) AS year, month(timestamp_utc) AS month FROM raw WHERE timestamp_utc >= TIMESTAMP '2024-01-01' AND timestamp_utc < TIMESTAMP '2024-02-01'")
+def _(s, d):
+    path = place(s, "lake")
+    lake.write_ticks(raw(s, d).select("timestamp_utc", "symbol", "bid", "ask", "seq"), path)
+    return lake.scan(s, path, (2024, 1), (2024, 1))
+
+
+@query("lake_compacted", f"WITH {RAW} SELECT timestamp_utc, symbol, min(bid) AS bid FROM raw GROUP BY 1, 2 HAVING count(DISTINCT bid) = 1")
+def _(s, d):
+    path, target = place(s, "lake"), place(s, "lake-compacted")
+    # Every tick twice, in two files; times at which a symbol has two prices are left out, as which of them stays is up to the files.
+    t = raw(s, d).select("timestamp_utc", "symbol", "bid", "ask", "seq")
+    alone = t.groupBy("timestamp_utc", "symbol").agg(F.count_distinct("bid").alias("n")).filter("n = 1").drop("n")
+    for _ in range(2):
+        lake.write_ticks(t.join(alone, ["timestamp_utc", "symbol"], "left_semi"), path)
+    lake.compact(s, path, target)
+    return s.read.parquet(target).select("timestamp_utc", "symbol", "bid")
+
+
+@query("store_ticks", f"WITH {RAW} SELECT timestamp_utc, symbol, source, arg_min(bid, seq) AS bid, min(seq) AS seq FROM raw WHERE symbol IN ('click', 'view') GROUP BY 1, 2, 3")
+def _(s, d):
+    kept = store.TickStore(s, place(s, "store"))
+    t = raw(s, d).filter("symbol IN ('click', 'view')").select("timestamp_utc", "symbol", "source", "bid", "seq")
+    # The second insert overlaps with the first; the later rows of a key lose.
+    first = t.withColumn("_n", F.row_number().over(W.partitionBy("timestamp_utc", "symbol", "source").orderBy("seq"))).filter("_n = 1 OR seq % 2 = 0").drop("_n")
+    kept.insert("unified_ticks", first, order=["seq"])
+    kept.insert("unified_ticks", t, order=["seq"])
+    return kept.read("unified_ticks").select("timestamp_utc", "symbol", "source", "bid", "seq")
+
+
+@query("store_candles", f"WITH {TICKS}, {bars_sql('b', '15 minutes')} SELECT symbol, source, bar_time, bar_open, CASE WHEN symbol = 'view' THEN bar_close + 1 ELSE bar_close END AS bar_close FROM b")
+def _(s, d):
+    kept = store.TickStore(s, place(s, "store"))
+    b = stage(b15(s, d).select(*P.KEY, "bar_time", "bar_open", "bar_close"), "bars")
+    kept.replace_symbols("candles_15m", b)
+    # One symbol again, with a column that the table doesn't have: its rows are replaced, the others' and the columns stay.
+    kept.replace_symbols("candles_15m", b.filter("symbol = 'view'").withColumn("bar_close", F.col("bar_close") + 1).withColumn("extra", F.lit(1)))
+    return kept.read("candles_15m").select(*P.KEY, *[c for c in kept.read("candles_15m").columns if c not in P.KEY])
+
+
+@query("store_features", f"WITH {TICKS} SELECT timestamp_utc, symbol, source, seq, mid, CASE WHEN symbol = 'click' THEN spread END AS spread FROM ticks")
+def _(s, d):
+    kept = store.TickStore(s, place(s, "store"))
+    t = ticks(s, d).select("timestamp_utc", "symbol", "source", "seq", "mid", "spread")
+    kept.replace_symbols("tick_features", t.withColumn("mid", F.lit(0.0)).drop("spread"))
+    kept.replace_symbols("tick_features", t.filter("symbol <> 'click'").drop("spread"))
+    # A new column widens the table; rows that were written before it have nulls.
+    kept.replace_symbols("tick_features", t.filter("symbol = 'click'"))
+    return kept.read("tick_features").select("timestamp_utc", "symbol", "source", "seq", "mid", "spread")
+
+
+@query("store_decisions", f"WITH {RAW}, k AS (SELECT timestamp_utc, symbol, min(seq) AS seq FROM raw GROUP BY 1, 2) SELECT timestamp_utc, symbol, CASE WHEN seq % 3 = 0 THEN 'OPEN_T1_LONG' WHEN seq % 3 = 1 THEN 'OPEN_T1_SHORT' END AS decision, seq FROM k WHERE symbol = 'view' AND seq % 3 < 2")
+def _(s, d):
+    kept = store.TickStore(s, place(s, "store"))
+    made = F.when(F.col("seq") % 3 == 0, "OPEN_T1_LONG").when(F.col("seq") % 3 == 1, "OPEN_T1_SHORT").otherwise("HOLD")
+    t = raw(s, d).groupBy("timestamp_utc", "symbol").agg(F.min("seq").alias("seq")).withColumn("decision", made)
+    for _ in range(2):  # a decision that is given again stays once
+        kept.insert("trade_decisions", t, order=["seq"])
+    return kept.decisions("view", held=False).select("timestamp_utc", "symbol", "decision", "seq")
+
+
+@query("catalog_ticks", f"WITH {RAW} SELECT timestamp_utc, symbol, bid, ask, volume, source FROM raw WHERE symbol = 'view' AND bid > 50")
+def _(s, d):
+    # A database of its own, so that runs don't meet.
+    db = catalog.Catalog(s, f"quotemill_{uuid.uuid4().hex[:12]}", place(s, "catalog"))
+    db.create()
+    db.append("unified_ticks", raw(s, d))
+    return db.read("unified_ticks").filter("symbol = 'view' AND bid > 50").select(F.col("timestamp_utc").cast("timestamp_ntz").alias("timestamp_utc"), "symbol", "bid", "ask", "volume", "source")

@@ -73,6 +73,29 @@ def encode(ticks: pd.DataFrame, hour: dt.datetime, symbol: str) -> bytes:
     return lzma.compress(rows.tobytes(), format=lzma.FORMAT_ALONE)
 
 
+def encoded(ticks: DataFrame) -> DataFrame:
+    """(symbol, hour, file, content): the hour files of ticks (timestamp_utc, symbol, ask, bid, ask_volume, bid_volume)."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        symbol, hour = key
+        return pd.DataFrame({"symbol": [symbol], "hour": [hour], "content": [encode(g.sort_values("timestamp_utc", kind="stable"), hour, symbol)]})
+
+    at = F.window("timestamp_utc", "1 hour")["start"].cast("timestamp_ntz")
+    hours = ticks.withColumn("hour", at).groupBy("symbol", "hour").applyInPandas(run, "symbol string, hour timestamp_ntz, content binary")
+    return hours.withColumn("file", hour_name(F.col("symbol"), F.col("hour")))
+
+
+def decoded(hours: DataFrame, fixed: bool = False) -> DataFrame:
+    """The ticks of hour files (symbol, hour, file, content), with their file."""
+
+    def run(batches):
+        for b in batches:
+            for symbol, hour, file, content in zip(b["symbol"], b["hour"], b["file"], b["content"]):
+                yield decode(bytes(content), hour.to_pydatetime(), symbol, fixed).assign(file=file)
+
+    return hours.select("symbol", "hour", "file", "content").mapInPandas(run, f"{TICKS}, file string")
+
+
 def read(spark: SparkSession, path: str, fixed: bool = False) -> DataFrame:
     """Ticks of all hour files below path; symbol and hour come from each file's name.  One pass, no shuffle."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bi5").load(path).select("path", "content")

@@ -111,17 +111,6 @@ def file_of(symbol: str, hour: dt.datetime) -> str:
     return f"{symbol}/{hour.year:04d}/{hour.month - 1:02d}/{hour.day:02d}/{hour.hour:02d}h_ticks.bi5"
 
 
-def decoded(hours: DataFrame) -> DataFrame:
-    """The ticks of fetched hours, with their file."""
-
-    def run(batches):
-        for b in batches:
-            for symbol, hour, file, content in zip(b["symbol"], b["hour"], b["file"], b["content"]):
-                yield bi5.decode(bytes(content), hour.to_pydatetime(), symbol).assign(file=file)
-
-    return hours.filter("status = 'fetched'").select("symbol", "hour", "file", "content").mapInPandas(run, f"{bi5.TICKS}, file string")
-
-
 def months(start: dt.datetime, end: dt.datetime) -> Iterator[tuple[dt.datetime, dt.datetime]]:
     while start < end:
         after = (start.replace(day=1) + dt.timedelta(days=32)).replace(day=1, hour=0, minute=0, second=0, microsecond=0)
@@ -147,7 +136,7 @@ def download(spark: SparkSession, root: str, symbol: str, start: str, end: str,
             landed = [r.file for r in spark.read.parquet(f"{path}/hours").filter((F.col("symbol") == symbol) & F.col("hour").between(F.lit(a), F.lit(b - dt.timedelta(hours=1)))).select("file").distinct().collect()]
         told["hours_resumed"] += len(landed)
         reader = spark.read.format("hour_files").options(root=root, symbol=symbol, start=a.isoformat(), end=b.isoformat(), skip=",".join(landed), **{k: str(v) for k, v in options.items()})
-        with held_stage(reader.load(), "hours") as hours, held_stage(decoded(hours), "ticks") as ticks:
+        with held_stage(reader.load(), "hours") as hours, held_stage(bi5.decoded(hours.filter("status = 'fetched'")), "ticks") as ticks:
             by = {r.file: r.n for r in ticks.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
             if by:
                 lake.write_ticks(ticks.drop("file"), f"{path}/ticks")
