@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -59,22 +61,35 @@ def _judged(df: DataFrame, min_notional: float) -> DataFrame:
     return df.withColumn("rule", rule)
 
 
-def unify_dukascopy(df: DataFrame, symbol: str = "XAUUSD", min_notional: float = P.MIN_NOTIONAL) -> DataFrame:
+def unify_dukascopy(df: DataFrame, symbol: str = "XAUUSD", min_notional: float = P.MIN_NOTIONAL, told: Observation | None = None) -> DataFrame:
     """Prices and mean volume of good rows; zero spreads stay, inverted rows and small notionals go."""
     missing = [c for c in DUKASCOPY_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
     if "symbol" not in df.columns:
         df = df.withColumn("symbol", F.lit(symbol))
-    good = _judged(df, min_notional).filter("rule = 'ok'").select("timestamp_utc", F.upper(F.trim(F.coalesce("symbol", F.lit(symbol)))).alias("symbol"), F.round("bid", 5).alias("bid"), F.round("ask", 5).alias("ask"), "volume", "volume_usd", F.lit("dukascopy").alias("source"))
+    judged = _judged(df, min_notional)
+    if told is not None:
+        judged = judged.observe(told, *_counters())
+    good = judged.filter("rule = 'ok'").select("timestamp_utc", F.upper(F.trim(F.coalesce("symbol", F.lit(symbol)))).alias("symbol"), F.round("bid", 5).alias("bid"), F.round("ask", 5).alias("ask"), "volume", "volume_usd", F.lit("dukascopy").alias("source"))
     return with_mid_spread(good)
 
 
+def _counters() -> list[Column]:
+    named = [F.count_if(F.col("rule") == r).alias(r) for r in ("invalid", "inverted", "below_notional", "ok")]
+    return [F.count(F.lit(1)).alias("raw"), *named, F.count_if((F.col("ask") == F.col("bid")) & (F.col("rule") == "ok")).alias("zero_spread")]
+
+
 def quality_counters(df: DataFrame, min_notional: float = P.MIN_NOTIONAL) -> DataFrame:
     """One row: raw, invalid, inverted, zero_spread, below_notional, ok; a single partial aggregate."""
-    j = _judged(df, min_notional)
-    named = [F.count_if(F.col("rule") == r).alias(r) for r in ("invalid", "inverted", "below_notional", "ok")]
-    return j.agg(F.count(F.lit(1)).alias("raw"), *named, F.count_if((F.col("ask") == F.col("bid")) & (F.col("rule") == "ok")).alias("zero_spread"))
+    return _judged(df, min_notional).agg(*_counters())
+
+
+def unify_observed(df: DataFrame, symbol: str = "XAUUSD", min_notional: float = P.MIN_NOTIONAL) -> tuple[DataFrame, Observation]:
+    """unify_dukascopy, and an observation that has quality_counters' figures once the rows have been written or counted:
+    they are gathered in the same pass, no second scan."""
+    told = Observation(f"quality-{uuid.uuid4().hex[:8]}")
+    return unify_dukascopy(df, symbol, min_notional, told), told
 
 
 def in_days(df: DataFrame, start, end, ts: str = "timestamp_utc") -> DataFrame:

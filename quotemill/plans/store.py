@@ -36,9 +36,20 @@ class TickStore:
             raise ValueError(f"unknown table {table}")
         return f"{self.path}/{table}"
 
-    def exists(self, table: str) -> bool:
+    def _folder(self, table: str):
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self._where(table))
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+        return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self, table: str) -> bool:
+        """Whether the table has files; a folder alone is none."""
+        hadoop, files = self._folder(table)
+        return files.exists(hadoop) and any(not f.getPath().getName().startswith(("_", ".")) for f in files.listStatus(hadoop))
+
+    def prepare(self, table: str) -> str:
+        """Makes the table's folder, so that a stream can wait for its files; returns its path."""
+        hadoop, files = self._folder(table)
+        files.mkdirs(hadoop)
+        return self._where(table)
 
     def tables(self) -> list[str]:
         return [t for t in KEYS if self.exists(t)]

@@ -43,13 +43,25 @@ def divisor(symbol: str) -> float:
     return P.METAL_DIVISOR if symbol.upper() in P.METALS else P.FX_DIVISOR
 
 
+def unpacked(data: bytes) -> bytes:
+    return lzma.decompress(data) if data else b""
+
+
+def fault_of(data: bytes) -> str | None:
+    """Why an hour's data is not what it should be, or null; an empty file is an hour without ticks."""
+    try:
+        return "cut" if len(unpacked(data)) % ROW.itemsize else None
+    except lzma.LZMAError as e:
+        return f"unreadable: {e}"
+
+
 def decode(data: bytes, hour: dt.datetime, symbol: str, fixed: bool = False) -> pd.DataFrame:
     """Ticks of one compressed hour; a cut last row is ignored, unreadable data gives none.
 
     fixed: the older rule, which divides every symbol by 100 000 and leaves volumes as they are.
     """
     try:
-        raw = lzma.decompress(data) if data else b""
+        raw = unpacked(data)
     except lzma.LZMAError:
         raw = b""
     rows = np.frombuffer(raw[: len(raw) // ROW.itemsize * ROW.itemsize], ROW)
@@ -98,15 +110,27 @@ def decoded(hours: DataFrame, fixed: bool = False) -> DataFrame:
 
 def read(spark: SparkSession, path: str, fixed: bool = False) -> DataFrame:
     """Ticks of all hour files below path; symbol and hour come from each file's name.  One pass, no shuffle."""
+    return read_checked(spark, path, fixed).filter("fault IS NULL OR fault = 'cut'").filter("timestamp_utc IS NOT NULL").drop("file", "fault")
+
+
+def read_checked(spark: SparkSession, path: str, fixed: bool = False) -> DataFrame:
+    """Ticks of all hour files below path with their file, and a row without a tick for each file that has a ``fault``:
+    unreadable, cut (its whole rows are there too), or misnamed.  Written once, ticks and rejects part without a second read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bi5").load(path).select("path", "content")
+    names = [c.split()[0] for c in TICKS.split(", ")]
 
     def run(batches):
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
-                symbol, year, month, day, hour = name.rsplit("/", 5)[1:] if name.count("/") >= 5 else (None,) * 5
-                if symbol is None:
-                    continue
-                at = dt.datetime(int(year), int(month) + 1, int(day), int(hour[:2]))
-                yield decode(content, at, symbol, fixed)
-
-    return files.mapInPandas(run, TICKS)
+                try:
+                    symbol, year, month, day, hour = name.rsplit("/", 5)[1:]
+                    at = dt.datetime(int(year), int(month) + 1, int(day), int(hour[:2]))
+                except ValueError:
+                    fault = "misnamed"
+                else:
+                    fault = fault_of(content)
+                    yield decode(content, at, symbol, fixed).assign(file=name, fault=None)
+                if fault:
+                    yield pd.DataFrame({c: [None] for c in names} | {"file": [name], "fault": [fault]}).astype({"timestamp_utc": "datetime64[us]"})
+
+    return files.mapInPandas(run, f"{TICKS}, file string, fault string")

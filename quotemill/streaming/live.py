@@ -7,10 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
+from ..operators import silver
 from ..operators.strategy import T1_LONG, T1_SHORT, Relay, decide, prepared, rows_of
 from ..plans.store import TickStore
+from .features import live_features
 
 
 def candles(ticks: DataFrame, width: str, delay: str = "1 minute") -> DataFrame:
@@ -52,3 +56,31 @@ def land(ticks: DataFrame, store_path: str, checkpoint: str, table: str = "unifi
         TickStore(df.sparkSession, store_path).insert(table, df)
 
     return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def start(quotes: DataFrame, store_path: str, checkpoint: str, delay: str = "1 minute", every: str | None = None) -> list[StreamingQuery]:
+    """The live loop: quotes of a terminal (symbol, bid, ask, last, volume, time_msc) into ticks, features and decisions.
+
+    Three queries, each with its own checkpoint, hand over through the store: ticks are landed and, in state, enriched
+    (``streaming.features``); decisions follow the features' files.  All writes are by key, so batches may be given again.
+    every: a trigger interval ('15 seconds'); a source's batch size (as ``rate`` of the polled quotes) makes it a number of
+    ticks.
+    """
+    spark = quotes.sparkSession
+    unified = silver.unify_mt5(quotes).withColumn("seq", F.unix_millis("timestamp_utc"))
+    store = TickStore(spark, store_path)
+
+    def keep(table: str, order: str):
+        def batch(df: DataFrame, _: int) -> None:
+            store.insert(table, df, order=[order])
+
+        return batch
+
+    def started(df: DataFrame, name: str, batch) -> StreamingQuery:
+        writer = df.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/{name}").queryName(name)
+        return (writer.trigger(processingTime=every) if every else writer).start()
+
+    enriched = live_features(unified, delay)
+    columns = T.StructType([f for f in enriched.schema if f.name != "symbol"] + [enriched.schema["symbol"]])
+    features = spark.readStream.schema(columns).parquet(store.prepare("tick_features"))
+    return [started(unified, "ticks", keep("unified_ticks", "bid")), started(enriched, "features", keep("tick_features", "seq")), started(decisions(features), "decisions", keep("trade_decisions", "decision"))]

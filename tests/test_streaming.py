@@ -171,3 +171,33 @@ def test_the_live_state_stays_bounded():
     assert all(s[n] <= m for s in sizes for n, m in limits.items()) and sizes[0]["atrs"] == sizes[1]["atrs"] == P.MEDIAN_BARS
     again = online.Online.restore(rules.parts(), dict(rules.now))
     assert again.parts() == rules.parts() and again.now == rules.now
+
+
+def test_the_live_loop_stores_ticks_features_and_decisions(spark, tmp_path):
+    from quotemill.operators import strategy
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live_features.PROVIDER)
+    ticks = walk(1200, "A", 45)
+    ms = ticks["timestamp_utc"].to_numpy().astype("datetime64[ms]").astype(np.int64)
+    quotes = pd.DataFrame({"symbol": "a", "bid": ticks["bid"], "ask": ticks["ask"], "last": ticks["bid"], "volume": 1.0, "time_msc": ms})
+    last = quotes.tail(1).assign(time_msc=quotes["time_msc"].max() + 86_400_000)
+    src = tmp_path / "in"
+    schema = spark.createDataFrame(quotes.head(1)).schema
+    for f in (quotes.head(700), quotes.tail(500)), (last,):
+        for part in f:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+        queries = live.start(stream, str(tmp_path / "store"), str(tmp_path / "ck"))
+        for q in queries:  # each hands over to the next
+            q.processAllAvailable()
+        for q in queries:
+            q.stop()
+    store = live.TickStore(spark, str(tmp_path / "store"))
+    assert store.read("unified_ticks").count() == 1201
+    got = store.read("tick_features").toPandas()
+    unified = store.read("unified_ticks").withColumn("seq", F.unix_millis("timestamp_utc")).orderBy("timestamp_utc").limit(1200)
+    batch = features.build_features(unified, causal=True).ticks
+    assert_same_features(got, batch.toPandas(), online.NAMES)
+    decided = {str(r.timestamp_utc): (r.decision, r.reason) for r in store.read("trade_decisions").collect()}
+    log = strategy.audit_log(batch).collect()
+    assert len(decided) == 1200 and log and all(decided[str(r.timestamp_utc)] == (r.decision, r.reason) for r in log)

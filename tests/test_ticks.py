@@ -517,3 +517,31 @@ def test_first_sweeps_over_years_equal_all_pairs(spark):
         hit = lambda x: x[4] > p * 1.0005 and x[6] < p if side == "high" else x[5] < p * (1 - 0.0005) and x[6] > p  # noqa: B023, E731
         assert got[i] == min((x[2] for x in data if sym == "X" and x[2] > formed and hit(x)), default=None)
     assert sum(v is not None for v in got.values()) > 60
+
+
+def test_counters_come_with_the_rows(spark, tmp_path):
+    vols = [(9.0, 10.0, 200.0), (10.0, 9.0, 200.0), (10.0, 10.0, 200.0), (0.0, 0.0, 200.0), (float("nan"), 9.0, 200.0), (10.0, 10.0, 99.999), (10.0, 10.0, 100.0)]
+    df = spark.createDataFrame([(T0, a, b, v, v, None) for a, b, v in vols], "timestamp_utc timestamp_ntz, ask double, bid double, ask_volume double, bid_volume double, symbol string")
+    rows_, told = silver.unify_observed(df)
+    rows_.write.parquet(str(tmp_path / "out"))
+    assert told.get == silver.quality_counters(df).first().asDict() and spark.read.parquet(str(tmp_path / "out")).count() == told.get["ok"]
+
+
+def test_unreadable_and_cut_hours_are_told(spark, tmp_path):
+    import lzma
+
+    hour = dt.datetime(2024, 1, 5, 10)
+    folder = tmp_path / "XAUUSD" / "2024" / "00" / "05"
+    folder.mkdir(parents=True)
+    frame = pd.DataFrame({"timestamp_utc": [pd.Timestamp(hour) + pd.Timedelta(seconds=k) for k in range(3)], "ask": 2000.5, "bid": 2000.25, "ask_volume": 1e6, "bid_volume": 2e6})
+    whole = bi5.encode(frame, hour, "XAUUSD")
+    (folder / "10h_ticks.bi5").write_bytes(whole)
+    (folder / "11h_ticks.bi5").write_bytes(b"no archive")
+    (folder / "12h_ticks.bi5").write_bytes(lzma.compress(lzma.decompress(whole)[:-7], format=lzma.FORMAT_ALONE))
+    (folder / "13h_ticks.bi5").write_bytes(b"")
+    (tmp_path / "XAUUSD" / "odd.bi5").write_bytes(whole)
+    got = bi5.read_checked(spark, str(tmp_path)).collect()
+    faults = {r.file.rsplit("/", 1)[1]: r.fault.split(":")[0] for r in got if r.fault}
+    assert faults == {"11h_ticks.bi5": "unreadable", "12h_ticks.bi5": "cut", "odd.bi5": "misnamed"}
+    assert bi5.read(spark, str(tmp_path)).count() == sum(r.timestamp_utc is not None for r in got) == 5
+    assert bi5.decode(whole, hour, "XAUUSD", fixed=True)["bid"].tolist() == pytest.approx([20.0025] * 3)
