@@ -5,8 +5,12 @@ Lots follow equity, so the trades of a key are serial; keys and parameter sets r
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .. import params as P
@@ -51,10 +55,36 @@ class Trade:
         return self.side * price >= self.side * level
 
 
+@dataclass(slots=True)
+class Block:
+    """What a run of ticks can do to an account: whether any of them may act by itself (a break, a first-stage action or a
+    wide spread), and by side (1 and -1) the extremes of the price that closes a trade and of the swings that trail it."""
+
+    acts: bool
+    least: dict[int, float]
+    most: dict[int, float]
+    swing: dict[int, float]
+
+
+def blocks(p: P.BacktestParams) -> Callable[[pa.RecordBatch, np.ndarray], list[Block]]:
+    def watch(b: pa.RecordBatch, cuts: np.ndarray) -> list[Block]:
+        number = lambda c, none: pc.fill_null(b.column(c), none).to_numpy(zero_copy_only=False).astype(float)
+        flag = lambda c: pc.fill_null(b.column(c), False).to_numpy(zero_copy_only=False).astype(bool)
+        bid, ask = number("bid", 0.0), number("ask", 0.0)
+        acts = (ask - bid >= p.wide_pips * p.pip) | pc.is_valid(b.column("t1_action")).to_numpy(zero_copy_only=False) | flag("bos_detected_15m") | flag("choch_detected_15m")
+        low, high = np.minimum.reduceat, np.maximum.reduceat
+        swing_low, swing_high = high(number("confirmed_1m_swing_low", -np.inf), cuts), low(number("confirmed_1m_swing_high", np.inf), cuts)
+        columns = (np.logical_or.reduceat(acts, cuts), low(bid, cuts), high(bid, cuts), low(ask, cuts), high(ask, cuts), swing_low, swing_high)
+        return [Block(a, {1: bl, -1: al}, {1: bh, -1: ah}, {1: sl, -1: sh}) for a, bl, bh, al, ah, sl, sh in zip(*(c.tolist() for c in columns))]
+
+    return watch
+
+
 class Book:
     """One key's account: open trades by type, relay, equity and what was recorded."""
 
     def __init__(self, p: P.BacktestParams, strategy: Strategy = decide):
+        self.seen = self.opened = 0
         self.p, self.strategy, self.relay, self.open = p, strategy, Relay(), {}
         self.equity, self.next_pair, self.recorded = p.capital, 1, 0
         self.rows: list[dict] = []  # since the last drain
@@ -100,6 +130,29 @@ class Book:
         out, self.rows = self.rows, []
         return out
 
+    def passes(self, block: Block, n: int) -> bool:
+        """Whether none of the block's n ticks does anything but move the extremes of open trades, which is done here.
+
+        A stopped first stage has its reasons written tick by tick, and a pending second one waits for more than prices.
+        """
+        self.seen += n
+        if block.acts or any(t.pending for t in self.open.values()) or self.relay.stopped and "T2" not in self.open:
+            self.opened += n
+            return False
+        for t in self.open.values():
+            s = t.side
+            worst, best = (block.least[s], block.most[s]) if s > 0 else (block.most[s], block.least[s])
+            trails = t.hit2 and s * (block.swing[s] - s * P.TRAIL_BUFFER * self.p.pip) > s * t.sl
+            if s * worst <= s * t.sl or t.tp is not None and t.reached(best, t.tp) or not t.hit1 and t.reached(best, t.p1) or t.hit1 and not t.hit2 and t.reached(best, t.p2) or trails:
+                self.opened += n
+                return False
+        for t in self.open.values():
+            s = t.side
+            worst, best = (block.least[s], block.most[s]) if s > 0 else (block.most[s], block.least[s])
+            t.best = s * max(s * t.best, s * best) if t.best else best
+            t.worst = s * min(s * t.worst, s * worst) if t.worst else worst
+        return True
+
     # ---- one tick, in this order
 
     def tick(self, row: dict, now: int, bar: int) -> None:
@@ -201,7 +254,8 @@ def backtest(features: DataFrame, params: P.BacktestParams | None = None, strate
     """Rows of kind trade, event (breaks) and reason (why a stopped first stage got no second).
 
     ``strategy`` is called for each tick as ``decide`` is.  A key's ticks stream through its book, so a task holds one
-    batch of ticks and the book, however long the key.
+    batch of ticks and the book, however long the key.  With ``decide`` blocks of ticks in which nothing can happen are
+    passed over by their extremes; another strategy may act on any tick and sees them all.
     """
     p = params or P.BacktestParams()
-    return fold_ticks(prepared(features, p.align_bias), p.keys, lambda: Book(p, strategy), SCHEMA)
+    return fold_ticks(prepared(features, p.align_bias), p.keys, lambda: Book(p, strategy), SCHEMA, blocks(p) if strategy is decide else None)

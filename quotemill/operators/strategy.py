@@ -6,9 +6,10 @@ All times are event times, so a run gives the same result at any wall clock.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -195,36 +196,61 @@ class _Log:
         return out
 
 
-def fold_ticks(ticks: DataFrame, keys: tuple[str, ...], new: Callable[[], object], schema: str) -> DataFrame:
+#: Ticks of a block that a fold may pass over as a whole.
+BLOCK = 64
+
+
+def fold_ticks(ticks: DataFrame, keys: tuple[str, ...], new: Callable[[], object], schema: str, watch: Callable[[pa.RecordBatch, np.ndarray], list] | None = None) -> DataFrame:
     """Each key's ticks, in order, through an object of its own with tick(row, ms, bar), finish(last row) and drain().
 
     Keys are sorted within partitions and streamed batch by batch; what the object drains goes out after each batch.
+    watch: gives for each block of a batch (from its first rows) what the object's ``passes`` judges it by; a block that
+    passes is not turned into rows, as none of its ticks would do anything.
     """
-    order, fields = [*keys, "timestamp_utc", "seq"], T._parse_datatype_string(schema)
-    arrow = to_arrow_schema(fields)
+    order = [*keys, "timestamp_utc", "seq"]
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
-        now_key, book, row = None, None, None
-        for b in batches:
-            out = []
-            ms = pc.cast(b.column("timestamp_utc"), pa.timestamp("ms"), safe=False).cast(pa.int64()).to_pylist()
-            for at, row_now in zip(ms, b.to_pylist()):
-                key = tuple(row_now[k] for k in keys)
+        for out in folded(batches, keys, new, watch):
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return ticks.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def folded(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], new: Callable[[], object], watch: Callable[[pa.RecordBatch, np.ndarray], list] | None) -> Iterator[list[dict]]:
+    """The fold over batches of sorted ticks: what the books drained after each."""
+    now_key, book, last = None, None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        out = []
+        ms = pc.cast(b.column("timestamp_utc"), pa.timestamp("ms"), safe=False).cast(pa.int64()).to_numpy()
+        turn = np.ones(b.num_rows, bool)
+        turn[1:] = False
+        for k in keys:
+            v = b.column(k).to_numpy(zero_copy_only=False)
+            turn[1:] |= v[1:] != v[:-1]
+        firsts = np.flatnonzero(turn)
+        within = np.arange(b.num_rows) - np.repeat(firsts, np.diff(np.r_[firsts, b.num_rows]))
+        cuts = np.flatnonzero(within % BLOCK == 0)
+        seen = watch(b, cuts) if watch else [None] * len(cuts)
+        for start, stop, block in zip(cuts.tolist(), [*cuts[1:].tolist(), b.num_rows], seen):
+            if turn[start]:
+                key = tuple(b.column(k)[start].as_py() for k in keys)
                 if book is None or key != now_key:
                     if book is not None:
-                        book.finish(row)
+                        book.finish(last.to_pylist()[0])
                         out += book.drain()
                     now_key, book = key, new()
-                row = row_now
+            last = b.slice(stop - 1, 1)
+            if block is not None and book.passes(block, stop - start):
+                continue
+            for at, row in zip(ms[start:stop].tolist(), b.slice(start, stop - start).to_pylist()):
                 book.tick(row, at, at // 900_000)
-            if book is not None:
-                out += book.drain()
-            yield pa.RecordBatch.from_pylist(out, arrow)
-        if book is not None:
-            book.finish(row)
-            yield pa.RecordBatch.from_pylist(book.drain(), arrow)
-
-    return ticks.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, schema)
+        yield out + book.drain()
+    if book is not None:
+        book.finish(last.to_pylist()[0])
+        yield book.drain()
 
 
 def audit_log(features: DataFrame, align_bias: bool = False, strategy: Strategy = decide) -> DataFrame:

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -545,3 +546,27 @@ def test_unreadable_and_cut_hours_are_told(spark, tmp_path):
     assert faults == {"11h_ticks.bi5": "unreadable", "12h_ticks.bi5": "cut", "odd.bi5": "misnamed"}
     assert bi5.read(spark, str(tmp_path)).count() == sum(r.timestamp_utc is not None for r in got) == 5
     assert bi5.decode(whole, hour, "XAUUSD", fixed=True)["bid"].tolist() == pytest.approx([20.0025] * 3)
+
+
+def test_blocks_that_are_passed_over_change_nothing(spark):
+    from quotemill.operators.strategy import decide, folded, prepared
+    from quotemill.plans import queries
+
+    rare = queries.staged(spark, "/root/testdata/sf0.01")
+    # Signals as rare as on real ticks: one in 150 can have a break, the others nothing to act on.
+    keep = "seq % 150 = 0"
+    for c in ("bos_up_15m", "bos_down_15m", "choch_up_15m", "choch_down_15m", "bos_detected_15m", "choch_detected_15m"):
+        rare = rare.withColumn(c, F.expr(f"{keep} AND {c}"))
+    rare = rare.withColumn("ask", F.expr("bid + 0.1"))
+    for p in (P.BacktestParams(), P.BacktestParams(relay="full", align_bias=True)):
+        t = prepared(rare, p.align_bias).toPandas().sort_values(["symbol", "source", "timestamp_utc", "seq"], kind="stable")
+        t = pa.Table.from_pandas(t, preserve_index=False)
+        books = []
+
+        def new():
+            books.append(backtest.Book(p, decide))  # noqa: B023
+            return books[-1]
+
+        runs = [[x for out in folded(iter(t.to_batches(1000)), p.keys, new, watch) for x in out] for watch in (None, backtest.blocks(p))]
+        assert runs[0] == runs[1] and sum(x["kind"] == "trade" for x in runs[0]) > 5
+        assert sum(b.seen for b in books) == t.num_rows and sum(b.opened for b in books) < t.num_rows
