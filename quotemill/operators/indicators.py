@@ -7,7 +7,7 @@ Wilder's recursion is linear but unbounded in the past, so it is not a window fr
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,24 +29,47 @@ def per_key(df: DataFrame, fn, added: list[T.StructField], keys=P.KEY, order: st
     return df.groupBy(*keys).applyInPandas(run, T.StructType([*df.schema.fields, *added]))
 
 
+def _true_range() -> Column:
+    return F.greatest(F.col("bar_high") - F.col("bar_low"), F.abs(F.col("bar_high") - F.col("_close")), F.abs(F.col("bar_low") - F.col("_close")))
+
+
+def _atr(n: int, name: str, warmup: str) -> scan.Average:
+    return scan.Average("_tr", name, 1 / n, seed=n, shown=n, early=0.0 if warmup == "zero" else None)
+
+
+def _strength(n: int) -> list[scan.Average]:
+    return [scan.Average("_up", "_rise", 1 / n, shown=n), scan.Average("_down", "_fall", 1 / n, shown=n)]
+
+
+def _changes(price: str) -> dict[str, Column]:
+    change = F.coalesce(F.col(price) - F.col("_close"), F.lit(0.0))
+    return {"_up": F.greatest(change, F.lit(0.0)), "_down": F.greatest(-change, F.lit(0.0))}
+
+
+def _rsi() -> Column:
+    return F.when(F.col("_rise").isNotNull(), F.when(F.col("_fall") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_rise") / F.col("_fall"))))
+
+
 def atr(bars: DataFrame, n: int, name: str, warmup: str = "zero") -> DataFrame:
     """Wilder's average true range.  The first value, at bar n-1, is the mean of n true ranges; bars before it are 0
     (or null, by warmup); all null with fewer than n bars."""
-    b = scan.previous(scan.sliced(bars, "bar_time"), "bar_close", "_close")
-    b = b.withColumn("_tr", F.greatest(F.col("bar_high") - F.col("bar_low"), F.abs(F.col("bar_high") - F.col("_close")), F.abs(F.col("bar_low") - F.col("_close"))))
-    found = scan.averages(b, [scan.Average("_tr", name, 1 / n, seed=n, shown=n, early=0.0 if warmup == "zero" else None)])
-    return found.select(*[c for c in bars.columns if c != name], name)
+    b = scan.previous(scan.sliced(bars, "bar_time"), "bar_close", "_close").withColumn("_tr", _true_range())
+    return scan.averages(b, [_atr(n, name, warmup)]).select(*[c for c in bars.columns if c != name], name)
 
 
 def rsi(bars: DataFrame, n: int = P.RSI, name: str = "rsi_14", price: str = "bar_close", order: str = "bar_time") -> DataFrame:
     """Relative strength from Wilder averages of rises and falls, which start as none at the first bar, from bar n-1 on; 100
     without falls."""
     b = scan.previous(scan.sliced(bars, order), price, "_close", order=order)
-    change = F.coalesce(F.col(price) - F.col("_close"), F.lit(0.0))
-    b = b.withColumn("_up", F.greatest(change, F.lit(0.0))).withColumn("_down", F.greatest(-change, F.lit(0.0)))
-    found = scan.averages(b, [scan.Average("_up", "_rise", 1 / n, shown=n), scan.Average("_down", "_fall", 1 / n, shown=n)], order=order)
-    value = F.when(F.col("_rise").isNotNull(), F.when(F.col("_fall") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_rise") / F.col("_fall"))))
-    return found.select(*[c for c in bars.columns if c != name], value.alias(name))
+    found = scan.averages(b.withColumns(_changes(price)), _strength(n), order=order)
+    return found.select(*[c for c in bars.columns if c != name], _rsi().alias(name))
+
+
+def atr_rsi(bars: DataFrame, n: int, name: str, warmup: str = "zero") -> DataFrame:
+    """atr(n) and rsi() of the same bars in one scan."""
+    b = scan.previous(scan.sliced(bars, "bar_time"), "bar_close", "_close").withColumn("_tr", _true_range())
+    found = scan.averages(b.withColumns(_changes("bar_close")), [_atr(n, name, warmup), *_strength(P.RSI)])
+    return found.select(*[c for c in bars.columns if c not in (name, "rsi_14")], name, _rsi().alias("rsi_14"))
 
 
 def ema(df: DataFrame, n: int = P.EMA, price: str = "bid", name: str = "ema_20", order: str = "bar_time") -> DataFrame:

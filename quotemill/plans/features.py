@@ -33,7 +33,7 @@ def bars_15m(ticks: DataFrame, mode: str = "bos", causal: bool = False) -> DataF
 
 
 def bars_1m(ticks: DataFrame, causal: bool = False) -> DataFrame:
-    return indicators.rsi(indicators.atr(candles.ohlc(ticks, "1 minute"), P.ATR_1M, "atr_20_1m", "null" if causal else "zero"))
+    return indicators.atr_rsi(candles.ohlc(ticks, "1 minute"), P.ATR_1M, "atr_20_1m", "null" if causal else "zero")
 
 
 MINUTE = ["bar_open", "bar_high", "bar_low", "bar_close", "atr_20_1m", "rsi_14", "liq_swept", "liq_side", "sweep_tier", "sweep_wick", "sweep_body", "sweep_low_1m", "sweep_high_1m", "fvg_high", "fvg_low", "fvg_side", "fvg_filled", "fvg_age_bars", "fvg_timestamp", "confirmed_1m_swing_high", "confirmed_1m_swing_low"]

@@ -651,7 +651,7 @@ def _(s, d):
 
 @query("sweeps", f"{SWUNG}, ses AS ({_sessions_sql(2)}), {oracles.sweeps_sql('m1', 'ses', 'sw')} SELECT symbol, source, bar_time, liq_swept, liq_side, sweep_tier, sweep_candle_low, sweep_candle_high, sweep_wick, sweep_body FROM sv")
 def _(s, d):
-    bars, turned = b1(s, d), swing_table(s, d)
+    bars, turned = stage(b1(s, d), "bars"), stage(swing_table(s, d), "swings")
     out = liquidity.sweeps(bars, quarter_levels(s, d), turned, liquidity.equal_levels(turned, bars))
     return out.select(*P.KEY, "bar_time", "liq_swept", "liq_side", "sweep_tier", "sweep_candle_low", "sweep_candle_high", "sweep_wick", "sweep_body")
 
