@@ -2,19 +2,25 @@
 
 A k-mer of UTF-8 bytes is a closed syncmer if the smallest of its s-mers (by hash) is its first or its last.  The
 choice looks at nothing but the k-mer itself, so an edit disturbs only the anchors it touches.  A fingerprint holds
-all distinct anchors (47-bit hashes and a bit for the kind, each with its first place), in base 64, so it grows with the text; two
-fingerprints are compared over all anchors of both, and an anchor counts as shared if it is in both and its
-displacement agrees with the one most shared anchors vote for or with a neighbour in place.
+every anchor each time it occurs, in order of place: a word of 32 bits with 28 bits of hash and the gap to the anchor
+before, which is K - S at most.  The words are deflated where that is shorter (texts that repeat themselves) and
+written in base 64, so a fingerprint grows with the text and says where each anchor is.
+
+``likeness`` counts occurrences that two texts share in matching places over all occurrences of both.  28 bits are
+enough for that: an anchor of a text meets one of n others by chance with probability n / 2^28, and has to agree in
+place besides.
 
 Texts under SHORT bytes have all their SHORT_K-mers as anchors besides (the top bit of a hash tells them), which count
 only between two such texts; texts of fewer than SHORT_K bytes have one anchor, their own hash.  Null counts as empty; two empty texts are alike (1),
-an empty and a non-empty one are not (0).  Equal texts have equal fingerprints.
+an empty and a non-empty one are not (0).  Equal texts have equal fingerprints (within one build of zlib).  Of rows
+that share a doc_id, null included, each has its own result; they follow each other by text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +35,12 @@ from .workspace import pieces, texts_of
 K, S = 20, 8
 #: Any 2K - S - 1 = 31 bytes hold a syncmer, which three quarters of a text of SHORT bytes are well above.
 SHORT, SHORT_K = 128, 5
-SHORT_BIT = U(1 << 47)
-#: Places are kept to this many bytes, so that a fingerprint's places fit 32 bits.
-PLACE_MAX = (1 << 32) - 1
+SHORT_BIT = U(1 << 28)
+#: In place of a gap: a SHORT_K-mer's word, whose place is its number among them.  Any K - S k-mers in a row hold a
+#: syncmer (if the smallest s-mer under them is one of the first K - S, the k-mer that starts there, else the one that ends there).
+SHORT_GAP = 15
+#: Comparisons sort by (hash, place) in one integer; places and their displacements take this many bits.
+PLACE_BITS = 34
 #: Displacements this close are one diagonal; a short insertion moves the rest by less.
 SLACK = 64
 
@@ -65,13 +74,13 @@ def syncmers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def short_anchors(raw: bytes) -> np.ndarray:
     """The hashes of all SHORT_K-mers of a short text by place, or its own hash if it has none."""
     if len(raw) < SHORT_K:
-        return np.array([int.from_bytes(hashlib.sha256(raw).digest()[:6], "little")][: len(raw)], U) | SHORT_BIT
+        return np.array([int.from_bytes(hashlib.sha256(raw).digest()[:4], "little") >> 4][: len(raw)], U) | SHORT_BIT
     at = eights(np.frombuffer(raw, np.uint8))[: len(raw) - SHORT_K + 1]
     return mix(at & U((1 << 8 * SHORT_K) - 1)) & (SHORT_BIT - U(1)) | SHORT_BIT
 
 
-def sketch_many(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """For each text: its distinct anchors' hashes (ascending), their first places and the number of them."""
+def sketch_many(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its anchors' hashes and places, in order of place, SHORT_K-mers last."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     offsets = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) for r in raw], out=offsets[1:])
@@ -84,46 +93,101 @@ def sketch_many(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
         if len(r) < SHORT:
             more = short_anchors(r)
             h_i, place = np.concatenate([h_i, more]), np.concatenate([place, np.arange(len(more))])
-        hh, first = np.unique(h_i, return_index=True)
-        out.append((hh, place[first], len(hh)))
+        out.append((h_i, place))
     return out
 
 
-def pack(sketch: tuple[np.ndarray, np.ndarray, int]) -> str:
-    """Number of distinct anchors (4 bytes), then the hashes (6 bytes each), then the places (4 bytes each)."""
-    h, p, n = sketch
-    six = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return base64.b64encode(np.array([n], "<u4").tobytes() + six.tobytes() + np.minimum(p, PLACE_MAX).astype("<u4").tobytes()).decode()
+def pack(sketch: tuple[np.ndarray, np.ndarray]) -> str:
+    """A byte (1 if the rest is deflated), then a word for each anchor."""
+    h, p = sketch
+    gaps = np.where(h < SHORT_BIT, np.diff(p, prepend=-1), SHORT_GAP).astype(U)
+    raw = ((h & (SHORT_BIT - U(1))) << U(4) | gaps).astype("<u4").tobytes()
+    small = zlib.compress(raw, 1)
+    return base64.b64encode(b"\1" + small if len(small) < len(raw) else b"\0" + raw).decode()
 
 
-def unpack(fingerprint: str) -> tuple[np.ndarray, np.ndarray, int]:
+def unpack(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(fingerprint)
-    n = (len(raw) - 4) // 10
-    h = np.zeros((n, 8), np.uint8)
-    h[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 4).reshape(n, 6)
-    return h.view("<u8").ravel(), np.frombuffer(raw, "<u4", n, 4 + 6 * n).astype(np.int64), int(np.frombuffer(raw, "<u4", 1)[0])
-
-
-def likeness(a, b) -> float:
-    """The share of the union's anchors that both texts have in matching places."""
-    (ha, pa_, _), (hb, pb, _) = a, b
+    word = np.frombuffer(zlib.decompress(raw[1:]) if raw[0] else raw[1:], "<u4").astype(U)
+    h, gap = word >> U(4), (word & U(15)).astype(np.int64)
+    short = gap == SHORT_GAP
+    return np.where(short, h | SHORT_BIT, h), np.concatenate([np.cumsum(gap[~short]) - 1, np.arange(short.sum())])
+
+
+def _ranked(ra: np.ndarray, rb: np.ndarray, kinds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (index, index) of each kind's first with its first, second with second, ...; and the same from the last."""
+    edge = np.arange(kinds + 1)
+    sa, sb = np.searchsorted(ra, edge), np.searchsorted(rb, edge)
+    at = np.arange(len(ra))
+    before, after, others = at - sa[ra], sa[ra + 1] - 1 - at, sb[ra + 1] - sb[ra]
+    i, z = np.flatnonzero(before < others), np.flatnonzero(after < others)
+    return [(i, sb[ra[i]] + before[i]), (z, sb[ra[z] + 1] - 1 - after[z])]
+
+
+def _crowd(shifts: np.ndarray) -> tuple[int, int]:
+    """How many displacements lie within SLACK of the one that has most about it, and the commonest of those."""
+    votes = np.sort(shifts)
+    low, high = np.searchsorted(votes, votes - SLACK, "left"), np.searchsorted(votes, votes + SLACK, "right")
+    best = (high - low).argmax()
+    values, counts = np.unique(votes[low[best] : high[best]], return_counts=True)
+    return int(high[best] - low[best]), int(values[counts.argmax()])
+
+
+def _nearest(want: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """For each wanted key the index of the nearest of the sorted keys, the smaller of two, -1 beyond SLACK."""
+    right = np.searchsorted(have, want, "left")
+    left = np.maximum(right - 1, 0)
+    right = np.minimum(right, len(have) - 1)
+    near = np.where(np.abs(have[left] - want) <= np.abs(have[right] - want), left, right)
+    return np.where(np.abs(have[near] - want) <= SLACK, near, -1)
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Occurrences of anchors that both texts have in matching places, over all of both: 0 to 1, 1 for equal texts.
+
+    The main displacement is the one most pairs of occurrences vote for, where an anchor's first occurrence is paired
+    with its first in the other text and so on, or its last with its last, whichever agree better.  On it, two
+    occurrences of an anchor match if each is the other's nearest and they are off by SLACK at most.  The rest are
+    paired from the first on and match if their displacement is within SLACK of that of the pair before or after them.
+    So an anchor that a text repeats counts as often as both texts have it.
+    """
+    (ha, pa_), (hb, pb) = a, b
     if not len(ha) or not len(hb):
         return 1.0 if len(ha) == len(hb) else 0.0
     if (ha[-1] < SHORT_BIT) != (hb[-1] < SHORT_BIT):
-        (ha, pa_), (hb, pb) = ((h[: np.searchsorted(h, SHORT_BIT)], p) for h, p in ((ha, pa_), (hb, pb)))
-    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    if not len(ia):
+        (ha, pa_), (hb, pb) = ((h[h < SHORT_BIT], p[h < SHORT_BIT]) for h, p in ((ha, pa_), (hb, pb)))
+    common = np.intersect1d(ha, hb)
+    if not len(common):
         return 0.0
-    order = np.argsort(pa_[ia], kind="stable")
-    shift = (pb[ib] - pa_[ia])[order]
-    votes = np.sort(shift)
-    crowd = np.searchsorted(votes, shift + SLACK, "right") - np.searchsorted(votes, shift - SLACK, "left")
-    main = abs(shift - shift[crowd.argmax()]) <= SLACK
-    step = np.abs(np.diff(shift)) <= SLACK
-    beside = np.zeros(len(shift), bool)
-    beside[1:] |= step
-    beside[:-1] |= step
-    return float((main | beside).sum() / (len(ha) + len(hb) - len(ia)))
+
+    def grouped(h: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kind = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        both = common[kind] == h
+        kind, p = kind[both], p[both]
+        order = np.argsort(kind, kind="stable")
+        return kind[order], p[order]
+
+    (ra, xa), (rb, xb) = grouped(ha, pa_), grouped(hb, pb)
+    _, main = max((_crowd(xb[j] - xa[i]) for i, j in _ranked(ra, rb, len(common))), key=lambda c: c[0])
+    base = int(xa.max()) + 1
+    here, there = (ra << PLACE_BITS) + (xa + main + base), (rb << PLACE_BITS) + (xb + base)
+    to, back = _nearest(here, there), _nearest(there, here)
+    on = (to >= 0) & (back[to] == np.arange(len(ra)))
+    taken = np.zeros(len(rb), bool)
+    taken[to[on]] = True
+    count = int(on.sum())
+    if not on.all() and not taken.all():
+        rest, others = np.flatnonzero(~on), np.flatnonzero(~taken)
+        i, j = _ranked(ra[rest], rb[others], len(common))[0]
+        i, j = np.concatenate([np.flatnonzero(on), rest[i]]), np.concatenate([to[on], others[j]])
+        order = np.lexsort((ra[i], xa[i]))
+        i, j = i[order], j[order]
+        step = np.abs(np.diff(xb[j] - xa[i])) <= SLACK
+        beside = np.zeros(len(i), bool)
+        beside[1:] |= step
+        beside[:-1] |= step
+        count = int((on[i] | beside).sum())
+    return count / (len(ha) + len(hb) - count)
 
 
 def edited(text: str, following: str) -> str:

@@ -606,13 +606,93 @@ def test_fingerprints_keep_every_anchor():
     passage = prose(50, 40)
     a, b = (f"{prose(k, 2000)} {passage} {prose(k + 10, 2000)}" for k in (60, 80))
     sketches = [fingerprints.unpack(fingerprints.pack(s)) for s in fingerprints.sketch_many([a, b])]
-    for text, (h, places, n) in zip((a, b), sketches):
+    for text, (h, places) in zip((a, b), sketches):
         raw = text.encode()
-        _, every = fingerprints.syncmers(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        assert h.tolist() == sorted(set(every.tolist())) and len(places) == n == len(h) > 1000
+        at, every = fingerprints.syncmers(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert h.tolist() == every.tolist() and places.tolist() == at.tolist() and len(h) > 1000
     in_passage = set(fingerprints.sketch_many([passage])[0][0].tolist())
     assert len(in_passage) >= 20 and all(in_passage <= set(s[0].tolist()) for s in sketches)
-    assert fingerprints.likeness(*sketches) >= 0.9 * len(in_passage) / sum(s[2] for s in sketches)
+    assert fingerprints.likeness(*sketches) >= 0.9 * len(in_passage) / sum(len(s[0]) for s in sketches)
+
+
+def test_fingerprints_come_back_whole_and_stay_short():
+    lines = "".join(f"the same line again, number {k % 3}\n" for k in range(400))
+    texts = ["", "é", "abcd", "abcde", prose(5, 12), prose(5, 20), prose(5, 3000), lines, "x" * 3000, "é😀" * 300]
+    for text, sketch in zip(texts, fingerprints.sketch_many(texts)):
+        packed = fingerprints.pack(sketch)
+        assert [x.tolist() for x in fingerprints.unpack(packed)] == [x.tolist() for x in sketch]
+        assert len(text) < fingerprints.SHORT or len(packed) < 0.9 * len(text.encode())
+
+
+def plain_likeness(a, b):
+    """The definition of likeness with lists and loops."""
+    slack, short = fingerprints.SLACK, int(fingerprints.SHORT_BIT)
+    a, b = ([(int(h), int(p)) for h, p in zip(*s)] for s in (a, b))
+    if not a or not b:
+        return float(len(a) == len(b))
+    if (a[-1][0] < short) != (b[-1][0] < short):
+        a, b = ([x for x in s if x[0] < short] for s in (a, b))
+
+    def ranked(a, b, last=False):
+        out = []
+        for h in sorted({h for h, _ in a} & {h for h, _ in b}):
+            p, q = (sorted((x for k, x in s if k == h), reverse=last) for s in (a, b))
+            out += [(h, x, y) for x, y in zip(p, q)]
+        return out
+
+    both = {h for h, _ in a} & {h for h, _ in b}
+    if not both:
+        return 0.0
+    best = None
+    for last in (False, True):
+        shifts = sorted(y - x for _, x, y in ranked(a, b, last))
+        crowds = [[v for v in shifts if abs(v - s) <= slack] for s in shifts]
+        crowd = max(crowds, key=len)
+        if best is None or len(crowd) > best[0]:
+            counts = Counter(crowd)
+            best = len(crowd), min(counts, key=lambda v: (-counts[v], v))
+    main = best[1]
+
+    def nearest(h, want, s):
+        d = [(abs(p - want), p) for k, p in s if k == h]
+        return min(d)[1] if d and min(d)[0] <= slack else None
+
+    pairs = []
+    for h, p in a:
+        q = nearest(h, p + main, b) if h in both else None
+        if q is not None and nearest(h, q - main, a) == p:
+            pairs.append((h, p, q))
+    used, met = {(h, p) for h, p, _ in pairs}, {(h, q) for h, _, q in pairs}
+    rest = ranked([x for x in a if x not in used], [x for x in b if x not in met])
+    line = sorted([(p, h, q - p, True) for h, p, q in pairs] + [(p, h, q - p, False) for h, p, q in rest])
+    agree = lambda i, j: 0 <= j < len(line) and abs(line[i][2] - line[j][2]) <= slack
+    n = sum(x[3] or agree(i, i - 1) or agree(i, i + 1) for i, x in enumerate(line))
+    return n / (len(a) + len(b) - n)
+
+
+def test_likeness_equals_its_definition():
+    r = random.Random(3)
+    few = lambda n: " ".join(r.choice(WORDS[:3]) for _ in range(n))
+    line = "a line that comes again and again\n"
+    texts = ["", "é", "ab", prose(1, 8), prose(1, 12), prose(2, 300), prose(3, 300), few(15), few(200), few(300), line * 40, "x" * 400, "yx" * 200]
+    texts += [line * 10 + prose(4, 60) + line * 20, prose(4, 60) + line * 25, prose(2, 300)[500:] + prose(2, 300)[:500], few(100) + prose(2, 300) + few(50)]
+    texts += [fingerprints.edited(t, u) for t, u in zip(texts, texts[1:])] + [t[len(t) // 3 :] for t in texts if len(t) > 100]
+    sketches = fingerprints.sketch_many(texts)
+    seen = set()
+    for s in sketches:
+        assert fingerprints.likeness(s, s) == 1.0
+        for o in sketches:
+            got = fingerprints.likeness(s, o)
+            assert got == plain_likeness(s, o)
+            seen.add(round(got, 1))
+    assert {0.0, 0.1, 0.5, 0.6, 1.0} <= seen
+
+
+def test_texts_that_repeat_lines_or_words_stay_like_their_edits():
+    lines = "".join(f"log line {k % 7}: nothing of note has come to pass today\n" for k in range(500))
+    for text in (lines, "spam and eggs, " * 600, prose(1, 40) * 50, prose(2, 500) + lines):
+        a, b = fingerprints.sketch_many([text, fingerprints.edited(text, prose(9, 6000))])
+        assert fingerprints.likeness(a, b) > 0.5
 
 
 def test_fingerprints_of_short_texts_survive_an_edit():
