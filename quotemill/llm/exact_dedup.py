@@ -26,6 +26,8 @@ from .workspace import scratch, written
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows that a bucket of an index is planned for, and its fewest buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 4_000_000, 32
+#: A group is hot above this many rows and above this share of the batch, so no batch has more than 1 / HOT_SHARE hot groups.
+HOT_ROWS, HOT_SHARE = 10_000, 0.001
 
 
 def digest_column(text: str | F.Column) -> F.Column:
@@ -80,12 +82,23 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
 
     def _judged(self, docs: DataFrame, batch: str | None) -> DataFrame:
+        """Every row with its group's answer.
+
+        Rows of hot groups stay where they are and meet a broadcast of at most 1 / HOT_SHARE = 1000 rows, whatever the
+        batch; the others are joined by sort-merge, where no group is more than HOT_SHARE of the batch or HOT_ROWS.
+        """
         batch = batch or uuid.uuid4().hex
         rows = written(digests(docs), "digests")
         found = written(groups(rows), "digest-groups")
         self.append(written(self.unseen(found), "digests-new"), batch)
+        total = found.agg(F.sum("group_size")).first()[0] or 0
+        hot = found.select("digest", "group_size").filter(F.col("group_size") > max(HOT_ROWS, int(total * HOT_SHARE)))
+        # The index's rows of hot digests are found by the broadcast too, so the index isn't moved for them.
+        answers = written(self.rows().join(F.broadcast(hot), "digest"), "digests-hot")
         sizes = found.select("digest", "group_size").join(self.rows().hint("merge"), "digest")
-        judged = rows.join(sizes.hint("merge"), "digest")
+        judged = rows.join(F.broadcast(answers), "digest").unionByName(
+            rows.join(F.broadcast(answers.select("digest")), "digest", "left_anti").join(sizes.hint("merge"), "digest")
+        )
         same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")) & (F.col("own") == F.col("keep_own"))
         return judged.withColumn("kept", (F.col("batch") == batch) & same)
 

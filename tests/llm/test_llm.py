@@ -582,6 +582,20 @@ def test_keep_distinct_prefers_the_longest_original(spark):
         assert got == [(0, 2), (1, 4), (2, 4)]
 
 
+def test_hot_groups_of_copies_get_the_same_answer_by_broadcast(spark, monkeypatch):
+    texts = ["hot copy", " hot  copy", "", None, "twice", "twice ", *[f"single {k}" for k in range(20)]]
+    d = table(spark, texts * 3 + ["hot copy"] * 40 + [""] * 30)
+    # Two rows with the id and text of one that stays, so that repeats fall into a hot group as well.
+    best = exact_dedup.exact_dedup(d).filter("text_sha256 = sha2('hotcopy', 256) AND kept").first().keep_id
+    d = d.union(d.filter(F.col("doc_id") == best)).union(awkward(spark).select(*d.columns))
+    plain = sorted(map(str, exact_dedup.exact_dedup(d).collect()))
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 5)
+    for share in (0.0, 0.25, 0.001):
+        monkeypatch.setattr(exact_dedup, "HOT_SHARE", share)
+        assert sorted(map(str, exact_dedup.exact_dedup(d).collect())) == plain
+        assert exact_dedup.keep_distinct(d).count() == len({r.text_sha256 for r in exact_dedup.exact_dedup(d).collect()})
+
+
 def test_keep_distinct_keeps_one_of_identical_rows(spark):
     d = awkward(spark)
     out = exact_dedup.keep_distinct(d)
