@@ -258,4 +258,4 @@ def backtest(features: DataFrame, params: P.BacktestParams | None = None, strate
     passed over by their extremes; another strategy may act on any tick and sees them all.
     """
     p = params or P.BacktestParams()
-    return fold_ticks(prepared(features, p.align_bias), p.keys, lambda: Book(p, strategy), SCHEMA, blocks(p) if strategy is decide else None)
+    return fold_ticks(prepared(features, p.align_bias), p.keys, lambda: Book(p, strategy), SCHEMA, blocks(p) if strategy is decide else None, strategy is not decide)
