@@ -35,6 +35,19 @@ def test_a_busy_day_of_a_key_is_many_tasks_of_the_asof_join(uncoalesced):
     assert all(r.fact == (None if r.seq < 7 else (r.seq - 7) // 50 * 50 + 7) for r in out.collect())
 
 
+def test_the_dense_path_of_a_key_is_many_tasks_and_its_running_sum(uncoalesced):
+    d = queries.dense_ticks(uncoalesced, SF)
+    assert tasks_of(d.filter("symbol = 'view'")) > 1
+    start = dt.datetime(2024, 1, 1)
+    raw = [r for r in queries.ticks(uncoalesced, SF).filter("symbol = 'view'").collect()]
+    mean, total, want = sum(r.bid for r in raw) / len(raw), 0.0, {}
+    for r in sorted(raw, key=lambda r: (start + (r.timestamp_utc - start) / 30, r.seq)):
+        total += r.bid - mean
+        want[r.seq] = 2000 + total / 35
+    got = {r.seq: r.bid for r in d.filter("symbol = 'view'").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.00501 for k in want)
+
+
 def test_packed_chunks_keep_rows_order_keys_and_slices(spark):
     p = strategy.prepared(queries.staged(spark, SF))
     t = core.slice_of(p, "timestamp_utc", strategy.SLICE, "_slice").orderBy("symbol", "source", "timestamp_utc", "seq").toArrow()
