@@ -11,6 +11,8 @@ from .workspace import checkpointed
 
 #: Edges that a task contracts at once.
 PIECE = 1 << 19
+#: Edges of a task that writes a step, and how many tasks write it at least.
+TASK_ROWS, LEAST_TASKS = 1 << 16, 8
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -51,28 +53,37 @@ def contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b); a component's name is its smallest node.
 
-    Without edges that join two nodes there are no rows.  Tasks first contract their own edges.  Then alternates
-    large-star and small-star steps (Kiveris et al., 2014): each replaces a node's edges by edges to the smallest node
-    it knows, by one aggregation and one join, without collecting neighbours; each step's edges are written to the
-    shared folder.  Ends when the edges stop changing.
+    Without edges that join two nodes there are no rows.  edges are read once.  Tasks first contract their own edges.  Then
+    alternates large-star and small-star steps (Kiveris et al., 2014): each replaces a node's edges by edges to the
+    smallest node it knows, by one aggregation and one join, without collecting neighbours; each step's edges are
+    contracted again by tasks and written to the shared folder, by as many tasks as they need and not as a shuffle has.
+    No step makes more edges or larger ends, and one that changes nothing leaves stars, so it ends; it does so as soon as
+    every node has one edge down or none, and no end of one has its own.
     """
-    e = checkpointed(contracted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()), "edges")
-    state = _state(e)
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+    e = checkpointed(contracted(edges.distinct()), "edges")
     while True:
+        n, open_ = _state(e)
+        if not open_:
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = checkpointed(large, "edges")
+        large = checkpointed(contracted(_packed(large, n)), "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s")).select(F.col("s.v").alias("u"), F.col("s.m").alias("v"))
-        e = checkpointed(small.filter("u <> v").distinct(), "edges")
-        now = _state(e)
-        if now == state:
-            break
-        state = now
+        e = checkpointed(contracted(_packed(small.filter("u <> v").distinct(), n)), "edges")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    return _packed(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), 2 * n)
+
+
+def _packed(rows: DataFrame, n: int) -> DataFrame:
+    """rows, n at most, in no more tasks than they need."""
+    return rows.coalesce(max(LEAST_TASKS, -(-n // TASK_ROWS)))
 
 
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _state(e: DataFrame) -> tuple[int, int]:
+    """How many edges there are, and how many nodes don't stand as in stars: with several edges down, or with edges both ways."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("down")).union(e.select("v", F.lit(0)))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+    return tuple(nodes.agg(F.coalesce(F.sum("down"), F.lit(0)), F.count_if(F.expr("down > 1 OR down = 1 AND least = 0"))).first())

@@ -373,8 +373,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = written(carried(docs, reps, buckets), "carried")
     stars = estimates(_stars(buckets), texts)
     best = stars.groupBy("a").agg(F.max(F.struct("est", (-F.col("b")).alias("neg"))).alias("m")).select("a", (-F.col("m.neg")).alias("b"))
-    links = checkpointed(verify(best, texts), "links")
-    links = links.union(checkpointed(_settled(_units(buckets, checkpointed(components(links), "components"), texts)), "links"))
+    named = checkpointed(components(verify(best, texts)), "components")
+    links = named.toDF("a", "b").union(_settled(_units(buckets, named, texts)))
     named = checkpointed(components(links), "components")
     classes = reps.select("content", "doc_id").join(named.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("content", F.coalesce("component", "doc_id").alias("class"))
     out = made.select("doc_id", "content").join(classes.hint("merge"), "content", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")))

@@ -217,6 +217,31 @@ def test_components(spark):
     assert got == {i: 0 for i in range(21)} | {30: 30, 35: 30, 40: 30}
 
 
+def test_components_write_few_files(spark, monkeypatch):
+    """With many shuffle partitions the steps after the first are written by few tasks, and stars end at once."""
+    sizes, write = [], components.checkpointed
+    monkeypatch.setattr(components, "checkpointed", lambda df, name: (out := write(df, name), sizes.append(len(out.inputFiles())))[0])
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        r = random.Random(5)
+        chains = [(1000 * c + x, 1000 * c + x + 1) for c in range(10) for x in range(60)]
+        r.shuffle(chains)
+        got = dict(components.components(spark.createDataFrame(chains, "a bigint, b bigint")).collect())
+        assert got == {1000 * c + x: 1000 * c for c in range(10) for x in range(61)}
+        assert len(sizes) > 1 and max(sizes[1:]) <= 8
+        sizes.clear()
+        star = [(x, 0) for x in range(1, 300)]
+        assert dict(components.components(spark.createDataFrame(star, "a bigint, b bigint")).collect()) == dict.fromkeys(range(300), 0)
+        assert len(sizes) == 1
+        assert components.components(spark.createDataFrame([(3, 3)], "a bigint, b bigint")).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # ---------------------------------------------------------------- 2, 4
 
 def test_byte_bpe_equals_tiktoken(spark):
