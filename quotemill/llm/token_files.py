@@ -27,11 +27,19 @@ from .byte_bpe import PieceCache, encode_texts
 from .workspace import held, pieces, scratch, texts_of
 
 END_ID = 0
-#: Ids that a chunk holds before it is closed; a longer document is a chunk of its own.
-CHUNK_IDS = 1 << 22
+#: A part of as many ids has no smaller last chunk, and a chunk twice as many at most (a longer document is a chunk of its
+#: own): the coder takes a step for all blocks of a chunk at once, so ids of small chunks cost several times as much.
+CHUNK_IDS = 3 << 20
 CHUNK_SCHEMA = "part int, chunk int, before bigint, doc_ids array<bigint>, counts array<bigint>, payload binary"
 
 
+def _byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 def _cache(path: str | None, added: bool) -> tuple[PieceCache, list[str]]:
     """The pieces met before, and the tokens that no piece may be looked up around."""
 
@@ -39,11 +47,18 @@ def _cache(path: str | None, added: bool) -> tuple[PieceCache, list[str]]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         tokenizer.encode_special_tokens = not added
         matched = [t.content for t in tokenizer.get_added_tokens_decoder().values() if added or not t.special]
-        return PieceCache(lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]), matched
+        whole = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        split, model, chars = tokenizer.pre_tokenizer, tokenizer.model, _byte_chars()
+        # A piece is one word to the library's model, where nothing but the split into words comes before it.
+        plain = tokenizer.normalizer is None and isinstance(split, ByteLevel) and not split.add_prefix_space
+        cache = PieceCache((lambda new: [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(chars))] for p in new]) if plain else whole)
+        cache.encode_whole = whole
+        return cache, matched
 
     return held(f"tokenizer {path} {added}", make)
 
@@ -58,7 +73,7 @@ def encode(texts: list[str], cache: PieceCache, matched: list[str]) -> tuple[np.
         looked_up[i] = ""
     ids, at, _, _ = encode_texts(looked_up, cache)
     parts = [ids[a:b] for a, b in zip(at, at[1:])]
-    for i, found in zip(whole, cache.encode_new([texts[i] for i in whole])):
+    for i, found in zip(whole, cache.encode_whole([texts[i] for i in whole])):
         parts[i] = np.array(found, np.uint32)
     return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
@@ -75,31 +90,30 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, chunk_ids: i
     def run(batches):
         (cache, matched), part = _cache(tokenizer, added), TaskContext.get().partitionId()
         before = chunk = n_held = 0
-        doc_ids, counts, parts = [], [], []
+        rows = []  # (doc_ids, counts, ids) of consecutive documents
 
-        def close():
-            nonlocal before, chunk, n_held, doc_ids, counts, parts
+        def close(k):
+            nonlocal before, chunk, n_held, rows
+            doc_ids, counts, ids = (np.concatenate(x) if j else pa.concat_arrays(x) for j, x in enumerate(zip(*rows[:k])))
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([before], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())),
-                    pa.array([np.concatenate(counts)], pa.list_(pa.int64())), pa.array([token_codec.encode(np.concatenate(parts))], pa.binary()),
+                    pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([before], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids),
+                    pa.array([counts], pa.list_(pa.int64())), pa.array([token_codec.encode(ids)], pa.binary()),
                 ],
                 names=["part", "chunk", "before", "doc_ids", "counts", "payload"],
             )
-            before, chunk, n_held, doc_ids, counts, parts = before + n_held, chunk + 1, 0, [], [], []
+            before, chunk, n_held, rows = before + len(ids), chunk + 1, n_held - len(ids), rows[k:]
             return out
 
         for b in pieces(batches):
             ids, at = encode(texts_of(b), cache, matched)
             all_ids, n = with_end(ids, at), np.diff(at) + 1
-            if doc_ids and n_held + len(all_ids) > chunk_ids:
-                yield close()
-            doc_ids += b.column("doc_id").to_pylist()
-            counts.append(n)
-            parts.append(all_ids)
+            while rows and n_held + len(all_ids) > 2 * chunk_ids:
+                yield close(max(1, int(np.searchsorted(np.cumsum([len(r[2]) for r in rows]), chunk_ids, "right"))))
+            rows.append((b.column("doc_id").cast(pa.int64()), n, all_ids))
             n_held += len(all_ids)
-        if doc_ids:
-            yield close()
+        if rows:
+            yield close(len(rows))
 
     docs.select("doc_id", "text").repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(run, CHUNK_SCHEMA).write.parquet(path)
 

@@ -315,6 +315,32 @@ def test_token_files(spark):
         at += len(ids)
 
 
+def test_token_files_have_no_small_last_chunk(spark, tmp_path):
+    """A part's ids beyond a chunk's size stay with its last chunk, and pieces go to the library's model as in whole texts."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [prose(k, 40) + f" {k * 7919} é😀\n\xad\x7f\xa0" for k in range(300)]
+    own = [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    total = sum(map(len, own))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, shuffles = spark.conf.get(batch), spark.conf.get("spark.sql.shuffle.partitions")
+    for size, several in ((total - 100, False), (total // 4, True)):
+        path = f"file://{tmp_path}/{size}"
+        try:
+            spark.conf.set(batch, "20")
+            spark.conf.set("spark.sql.shuffle.partitions", "1")
+            token_files.write(table(spark, texts), path, chunk_ids=size, added=True)
+        finally:
+            spark.conf.set(batch, before)
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        sizes = [sum(x.counts) for x in spark.read.parquet(path).orderBy("chunk").collect()]
+        assert (len(sizes) > 1) == several and max(sizes) <= 2 * size and sum(sizes) == total
+        assert not several or sizes[-1] >= size
+        got = sorted((x.doc_id, x.ids) for x in token_files.read(spark, path).collect())
+        assert [ids for _, ids in got] == own
+
+
 def test_token_files_match_added_tokens(spark, tmp_path):
     from tokenizers import Tokenizer
 
