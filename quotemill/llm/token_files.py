@@ -23,21 +23,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import token_codec
-from .byte_bpe import PieceCache, encode_texts
-from .workspace import held, pieces, scratch, texts_of
+from .byte_bpe import PieceCache, piece_starts, ragged
+from .textvec import code_points
+from .workspace import held, pieces, scratch, texts_of, trim
 
 END_ID = 0
 #: A part of as many ids has no smaller last chunk, and a chunk twice as many at most (a longer document is a chunk of its
 #: own): the coder takes a step for all blocks of a chunk at once, so ids of small chunks cost several times as much.
-CHUNK_IDS = 3 << 20
+CHUNK_IDS = 4 << 20
 CHUNK_SCHEMA = "part int, chunk int, before bigint, doc_ids array<bigint>, counts array<bigint>, payload binary"
 
 
-def _byte_chars() -> dict[int, str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
+#: Pieces met before that a worker keeps at most, besides those of the texts at hand.
+KNOWN_PIECES = 1_000_000
+
+
+def _byte_chars() -> np.ndarray:
+    """The printable character's code point that stands for each byte in a byte-level vocabulary; 0 for 0xFF, which no text holds."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+    chars = np.arange(256, dtype="<u4")
+    others = np.setdiff1d(chars, own)
+    chars[others] = 256 + np.arange(len(others))
+    chars[0xFF] = 0
+    return chars
 
 
 def _cache(path: str | None, added: bool) -> tuple[PieceCache, list[str]]:
@@ -56,22 +64,63 @@ def _cache(path: str | None, added: bool) -> tuple[PieceCache, list[str]]:
         split, model, chars = tokenizer.pre_tokenizer, tokenizer.model, _byte_chars()
         # A piece is one word to the library's model, where nothing but the split into words comes before it.
         plain = tokenizer.normalizer is None and isinstance(split, ByteLevel) and not split.add_prefix_space
-        cache = PieceCache((lambda new: [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(chars))] for p in new]) if plain else whole)
+
+        def words(new):
+            text = chars[np.frombuffer(b"\xff".join(new), np.uint8)].tobytes().decode("utf-32-le")
+            return [[t.id for t in model.tokenize(w)] for w in text.split("\0")]
+
+        cache = PieceCache(words if plain else lambda new: whole([p.decode() for p in new]), KNOWN_PIECES)
         cache.encode_whole = whole
         return cache, matched
 
     return held(f"tokenizer {path} {added}", make)
 
 
+def _look_up(texts: list[str], cache: PieceCache) -> tuple[np.ndarray, np.ndarray]:
+    """encode() without tokens to match: each distinct piece of the texts, as bytes, is looked up once."""
+    cps, offsets = code_points(texts)
+    starts = piece_starts(cps, offsets)
+    if not len(starts):
+        return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+    data = "".join(texts).encode()
+    cuts = np.append(starts, len(cps))
+    if len(data) > len(cps):
+        width = np.ones(len(cps), np.uint8)
+        for least in (0x80, 0x800, 0x10000):
+            width += cps >= least
+        at = np.zeros(len(cps) + 1, np.int64)
+        np.cumsum(width, out=at[1:])
+        cuts = at[cuts]
+    wide = len(data) >= 1 << 31
+    found = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(starts), [None, pa.py_buffer(cuts.astype(np.int64 if wide else np.int32)), pa.py_buffer(data)]).dictionary_encode()
+    kept = found.dictionary.cast(pa.large_binary())
+    ends, held_by = np.frombuffer(kept.buffers()[1], np.int64, len(kept) + 1).tolist(), kept.buffers()[2].to_pybytes()
+    distinct = [held_by[a:b] for a, b in zip(ends, ends[1:])]
+    numbers = np.fromiter(map(cache.__getitem__, distinct), np.int64, len(distinct))
+    cache.settle()
+    index = found.indices.to_numpy()
+    begin, count = cache.begin[numbers], cache.count[numbers]
+    if len(cache) > cache.limit:
+        flat = cache.flat[ragged(begin, count)]
+        begin = np.cumsum(count) - count
+        cache.reset()
+        cache.update(zip(distinct, range(len(distinct))))
+        cache.flat, cache.begin, cache.count = flat, begin, count
+    n = count[index]
+    piece_at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(n, out=piece_at[1:])
+    return cache.flat[ragged(begin[index], n)], piece_at[np.searchsorted(starts, offsets)]
+
+
 def encode(texts: list[str], cache: PieceCache, matched: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, each text's offset among the ids)."""
     whole = [i for i, t in enumerate(texts) if any(m in t for m in matched)]
     if not whole:
-        return encode_texts(texts, cache)[:2]
+        return _look_up(texts, cache)
     looked_up = list(texts)
     for i in whole:
         looked_up[i] = ""
-    ids, at, _, _ = encode_texts(looked_up, cache)
+    ids, at = _look_up(looked_up, cache)
     parts = [ids[a:b] for a, b in zip(at, at[1:])]
     for i, found in zip(whole, cache.encode_whole([texts[i] for i in whole])):
         parts[i] = np.array(found, np.uint32)
@@ -95,6 +144,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, chunk_ids: i
         def close(k):
             nonlocal before, chunk, n_held, rows
             doc_ids, counts, ids = (np.concatenate(x) if j else pa.concat_arrays(x) for j, x in enumerate(zip(*rows[:k])))
+            rows = rows[k:]
+            trim()
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([before], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids),
@@ -102,7 +153,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, chunk_ids: i
                 ],
                 names=["part", "chunk", "before", "doc_ids", "counts", "payload"],
             )
-            before, chunk, n_held, rows = before + len(ids), chunk + 1, n_held - len(ids), rows[k:]
+            before, chunk, n_held = before + len(ids), chunk + 1, n_held - len(ids)
             return out
 
         for b in pieces(batches):
